@@ -1,3 +1,4 @@
 """Imports every query module, which registers its queries."""
 
 from tillworks.catalog import report_queries  # noqa: F401
+from tillworks.catalog import scalar_queries  # noqa: F401

@@ -18,3 +18,9 @@ def recipe_explosion(lines: DataFrame, recipes: DataFrame, ingredients: DataFram
     return lines.join(recipe, "menu_item_id").select(
         *keep, "ingredient_id", "ingredient_name", "unit", (F.col("per_unit") * F.col("qty")).cast("decimal(14,3)").alias("qty")
     )
+
+
+def opening_payment(method, created_at):
+    """Payment state and time of a new bill: UPI waits for confirmation, cash and card are paid at once."""
+    waits = method == "upi"
+    return F.when(waits, "pending").otherwise("paid"), F.when(~waits, created_at)
