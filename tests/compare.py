@@ -36,7 +36,9 @@ def canon(names, rows):
 
 
 def compare(con, sql, df):
+    t0 = time.time()
     got = canon(df.columns, [tuple(r) for r in df.collect()])
+    compare.spark_seconds = time.time() - t0
     rel = con.execute(sql)
     want = canon([d[0] for d in rel.description], rel.fetchall())
     return got, want
@@ -74,5 +76,5 @@ if __name__ == "__main__":
             print("   only spark:", [r for r in gr if r not in sw][:2])
             print("   only check:", [r for r in wr if r not in sg][:2], flush=True)
         else:
-            print(f"ok   {key}: {len(gr)} rows {time.time() - t0:.1f}s", flush=True)
+            print(f"ok   {key}: {len(gr)} rows, spark {compare.spark_seconds:.1f}s of {time.time() - t0:.1f}s", flush=True)
     print("bad:", bad)

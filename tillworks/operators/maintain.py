@@ -10,3 +10,12 @@ def merge_recipe_lines(lines: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Repeated ingredients of a recipe summed, unknown ingredients dropped."""
     merged = lines.groupBy("menu_item_id", "ingredient_id").agg(F.sum("qty").cast("decimal(12,3)").alias("qty"))
     return merged.join(ingredients.select(F.col("id").alias("ingredient_id")), "ingredient_id", "left_semi").select("menu_item_id", "ingredient_id", "qty")
+
+
+def recipe_map(recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """Per menu item its recipe as an array ordered by ingredient name."""
+    part = ingredients.select(F.col("id").alias("ingredient_id"), "name", "unit")
+    entry = F.struct(F.lower("name").alias("key"), "ingredient_id", "name", "unit", "qty")
+    packed = recipes.join(part, "ingredient_id").groupBy("menu_item_id").agg(F.array_sort(F.collect_list(entry)).alias("_r"))
+    plain = lambda e: F.struct(e["ingredient_id"].alias("ingredient_id"), e["name"].alias("name"), e["unit"].alias("unit"), e["qty"].alias("qty"))
+    return packed.select("menu_item_id", F.transform("_r", plain).alias("recipe"))

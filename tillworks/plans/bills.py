@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions import clean
+from tillworks.sources import payloads
+
 
 def recipe_explosion(lines: DataFrame, recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
     """One row per order line and recipe ingredient, with the ingredient's name and unit frozen.
@@ -24,3 +27,17 @@ def opening_payment(method, created_at):
     """Payment state and time of a new bill: UPI waits for confirmation, cash and card are paid at once."""
     waits = method == "upi"
     return F.when(waits, "pending").otherwise("paid"), F.when(~waits, created_at)
+
+
+def preview_input(bills: DataFrame) -> DataFrame:
+    """Raw bills whose phone and items are acceptable, ready for a coupon quote."""
+    phone = clean.digits(F.col("phone"))
+    return bills.filter(clean.phone_ok(phone) & payloads.is_filled_array(F.col("items"))).select(
+        "id", phone.alias("phone"), "created_at", F.lit("paid").alias("payment_status"), F.col("coupon_code").alias("code")
+    )
+
+
+def priced_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
+    """Payload lines of active items with a positive quantity, named and priced from the menu; the rest drop out."""
+    active = menu.filter("is_active").select(F.col("id").alias("menu_item_id"), "name", "price", "category")
+    return lines.filter("qty > 0").join(active, "menu_item_id")
