@@ -185,7 +185,7 @@ def net_order_movement(t):
 
 @query(
     "latest_movements",
-    "SELECT pos, id, ingredient_id, kind, qty, balance_after, username FROM (SELECT lg.*, row_number() OVER (PARTITION BY ingredient_id ORDER BY created_at DESC, id DESC) AS pos FROM lg) x LEFT JOIN pos_admins a ON a.id = x.id % 25 WHERE pos <= 50",
+    "SELECT pos, x.id, ingredient_id, kind, qty, balance_after, username FROM (SELECT lg.*, row_number() OVER (PARTITION BY ingredient_id ORDER BY created_at DESC, id DESC) AS pos FROM lg) x LEFT JOIN pos_admins a ON a.id = x.id % 25 WHERE pos <= 50",
     **LEDGER,
 )
 def latest_movements(t):

@@ -51,7 +51,7 @@ SELECT event_id AS id, 'staff' || CAST(user_id % 25 AS VARCHAR) AS username,
  FROM events WHERE event_type IN ('error','signup')""",
     "pos_login_bursts": """
 SELECT id, username, '10.0.0.' || CAST(id % 8 AS VARCHAR) AS ip, succeeded,
- TIMESTAMP '2024-01-01' + INTERVAL '1' MICROSECOND * ((epoch_us(created_at) - epoch_us(TIMESTAMP '2024-01-01')) // 240) AS created_at
+ TIMESTAMP '2024-01-01' + to_microseconds((epoch_us(created_at) - epoch_us(TIMESTAMP '2024-01-01')) // 240) AS created_at
  FROM pos_login_attempts""",
     "pos_sessions": """
 SELECT event_id AS id, user_id % 25 AS admin_id, '10.0.0.' || CAST(event_id % 40 AS VARCHAR) AS ip,

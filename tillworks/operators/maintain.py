@@ -1,15 +1,28 @@
-"""Batch maintenance of the shop's own tables."""
+"""Batch maintenance of the shop's own tables.
+
+Edits arrive as staged rows ``(seq, id, is_new, ...)``: a validated batch is merged
+over the current table with one full outer join. Where the table format has MERGE,
+the accepted rows are its source.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions import clean
+from tillworks.functions import timeutil as T
+from tillworks.operators import diff as D
+from tillworks.sources import payloads
+
 
 def merge_recipe_lines(lines: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Repeated ingredients of a recipe summed, unknown ingredients dropped."""
     merged = lines.groupBy("menu_item_id", "ingredient_id").agg(F.sum("qty").cast("decimal(12,3)").alias("qty"))
-    return merged.join(ingredients.select(F.col("id").alias("ingredient_id")), "ingredient_id", "left_semi").select("menu_item_id", "ingredient_id", "qty")
+    known = ingredients.select(F.col("id").alias("ingredient_id"))
+    return merged.join(known, "ingredient_id", "left_semi").select("menu_item_id", "ingredient_id", "qty")
 
 
 def recipe_map(recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
@@ -19,3 +32,320 @@ def recipe_map(recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
     packed = recipes.join(part, "ingredient_id").groupBy("menu_item_id").agg(F.array_sort(F.collect_list(entry)).alias("_r"))
     plain = lambda e: F.struct(e["ingredient_id"].alias("ingredient_id"), e["name"].alias("name"), e["unit"].alias("unit"), e["qty"].alias("qty"))
     return packed.select("menu_item_id", F.transform("_r", plain).alias("recipe"))
+
+
+# ---- staged edits ---------------------------------------------------------
+
+
+def latest_edit(staged: DataFrame) -> DataFrame:
+    """The last staged row per id, by an aggregate that combines map-side."""
+    rest = [c for c in staged.columns if c != "id"]
+    return staged.groupBy("id").agg(F.max_by(F.struct(*rest), "seq").alias("r")).select("id", "r.*")
+
+
+def duplicate_keys(current: DataFrame, staged: DataFrame, key: Column) -> DataFrame:
+    """Ids of staged rows whose key another row holds: a current row, or an earlier staged one.
+
+    A current row that is itself being edited no longer holds its old key.
+    """
+    held = current.join(staged.select("id"), "id", "left_anti").select(key.alias("_k"), "id", F.lit(-1).cast("bigint").alias("seq"))
+    wanted = staged.select(key.alias("_k"), "id", "seq")
+    owner = held.unionByName(wanted).groupBy("_k").agg(F.min_by("id", F.struct("seq", "id")).alias("_owner"))
+    return wanted.join(owner, "_k").filter(F.col("_owner") != F.col("id")).select("id")
+
+
+def with_errors(staged: DataFrame, current: DataFrame, rules: list[tuple[Column, str]], missing: str, key: Column | None = None, taken: str = "") -> DataFrame:
+    """Adds ``error``: the first broken rule, an update of an unknown id, or a key already taken."""
+    known = current.select("id", F.lit(True).alias("_known"))
+    rows = staged.join(known, "id", "left").withColumn("error", clean.first_violation(*rules, (~F.col("is_new") & F.col("_known").isNull(), missing))).drop("_known")
+    if key is None:
+        return rows
+    clashes = duplicate_keys(current, rows.filter("error is null"), key).withColumn("_clash", F.lit(True))
+    rows = rows.join(clashes, "id", "left")
+    return rows.withColumn("error", F.when(F.col("error").isNull() & F.col("_clash"), F.lit(taken)).otherwise(F.col("error"))).drop("_clash")
+
+
+def apply_edits(current: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame:
+    """The merged table with ``outcome`` and ``changes`` per row; refused edits follow with their error.
+
+    ``columns`` are the editable columns both sides share. Other columns of the
+    current table are kept.
+    """
+    ok = edits.filter("error is null").select("id", F.struct(*columns).alias("_new"))
+    old = current.select("*", F.struct(*columns).alias("_old"))
+    rows = old.join(ok, "id", "full_outer")
+    pick = lambda c: F.when(F.col("_new").isNotNull(), F.col("_new")[c]).otherwise(F.col("_old")[c]).alias(c)
+    opts = {"ignoreNullFields": "false"}
+    same = F.to_json("_old", opts) == F.to_json("_new", opts)
+    outcome = F.when(F.col("_new").isNull(), "kept").when(F.col("_old").isNull(), "created").when(same, "unchanged").otherwise("updated")
+    delta = D.changes_json(D.json_diff(F.to_json("_old", opts), F.to_json("_new", opts)))
+    merged = rows.withColumn("outcome", outcome).withColumn("changes", F.when(F.col("outcome") == "updated", delta))
+    merged = merged.select("id", *[pick(c) for c in columns], "outcome", "changes")
+    refused = edits.filter("error is not null").select("id", *[F.lit(None).cast(t).alias(c) for c, t in merged.select(*columns).dtypes], F.col("error").alias("outcome"), F.lit(None).cast("string").alias("changes"))
+    return merged.unionByName(refused)
+
+
+MENU_COLUMNS = ["name", "category", "price", "is_active", "image_url"]
+
+
+def menu_edits(staged: DataFrame, menu: DataFrame) -> DataFrame:
+    rows = latest_edit(staged).select(
+        "id", "seq", "is_new", clean.blank_to_null(F.col("name")).alias("name"), clean.category_or_default(F.col("category")).alias("category"),
+        "price", F.coalesce("is_active", F.lit(True)).alias("is_active"), clean.blank_to_null(F.col("image_url")).alias("image_url"),
+    )
+    rules = [
+        (F.col("name").isNull(), "Name is required."),
+        (~F.col("image_url").rlike(clean.URL_PATTERN), "Image URL must start with http:// or https://"),
+    ]
+    return with_errors(rows, menu, rules, "Menu item not found.")
+
+
+INGREDIENT_COLUMNS = ["name", "unit"]
+
+
+def ingredient_edits(staged: DataFrame, ingredients: DataFrame) -> DataFrame:
+    rows = latest_edit(staged).withColumn("name", clean.blank_to_null(F.col("name")))
+    rules = [
+        (F.col("name").isNull(), "Name is required."),
+        (~F.coalesce(F.col("unit").isin(*clean.UNITS), F.lit(False)), "Choose a valid unit."),
+    ]
+    return with_errors(rows, ingredients, rules, "Ingredient not found.", F.lower("name"), "Name already exists.")
+
+
+STOCK_SETTING_COLUMNS = ["track_stock", "low_stock_at"]
+
+
+def stock_setting_edits(staged: DataFrame, ingredients: DataFrame) -> DataFrame:
+    rows = latest_edit(staged).withColumn("track_stock", F.coalesce("track_stock", F.lit(False)))
+    level = F.col("low_stock_at")
+    return with_errors(rows, ingredients, [((level < 0) | (level > 1_000_000_000), "Low stock alert must be 0 or more.")], "Ingredient not found.")
+
+
+STAFF_COLUMNS = ["username", "role", "is_active", "login_from", "login_to", "auto_approve"]
+
+
+def staff_edits(staged: DataFrame, admins: DataFrame) -> DataFrame:
+    """Usernames are keys in lower case; both or neither login hour; super accounts are never gated."""
+    rows = latest_edit(staged).select(
+        "id", "seq", "is_new", clean.username_key(F.col("username")).alias("username"), F.coalesce("role", F.lit("admin")).alias("role"),
+        F.coalesce("is_active", F.lit(True)).alias("is_active"), clean.blank_to_null(F.col("login_from")).alias("login_from"),
+        clean.blank_to_null(F.col("login_to")).alias("login_to"), F.coalesce("auto_approve", F.lit(False)).alias("auto_approve"),
+    )
+    rules = [
+        (~F.col("username").rlike(clean.USERNAME_PATTERN), "Username must be 3-32 characters: letters, numbers, dot, dash or underscore."),
+        (~F.col("role").isin(*clean.ROLES), "Choose a valid role."),
+        (F.col("login_from").isNull() != F.col("login_to").isNull(), "Set both a start and an end time for the login hours, or leave both blank."),
+    ]
+    checked = with_errors(rows, admins, rules, "User not found.", F.lower("username"), "Username is already taken.")
+    is_super = F.col("role") == "super"
+    for c in ("login_from", "login_to"):
+        checked = checked.withColumn(c, F.when(~is_super, F.col(c)))
+    return checked.withColumn("auto_approve", is_super | F.col("auto_approve"))
+
+
+def sessions_after_staff_edits(sessions: DataFrame, admins: DataFrame, edits: DataFrame) -> DataFrame:
+    """Sessions left after a role change or a deactivation signs the account out."""
+    new = edits.filter("error is null").select("id", F.col("role").alias("_role"), F.col("is_active").alias("_active"))
+    hit = admins.join(new, "id").filter((F.col("role") != F.col("_role")) | (F.col("is_active") & ~F.col("_active")))
+    return sessions.join(hit.select(F.col("id").alias("admin_id")), "admin_id", "left_anti")
+
+
+COUPON_COLUMNS = [
+    "code", "description", "kind", "value", "max_discount", "min_bill", "buy_qty", "get_qty", "applies_to", "item_ids", "categories",
+    "valid_from", "valid_to", "usage_limit", "per_customer_limit", "is_active",
+]
+COUPON_PAYLOAD = (
+    "code string, description string, kind string, value string, max_discount string, min_bill string, buy_qty string, get_qty string, "
+    "applies_to string, item_ids string, categories string, valid_from string, valid_to string, usage_limit string, "
+    "per_customer_limit string, is_active boolean"
+)
+
+
+def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
+    """Coupon payloads ``(seq, id, is_new, payload)`` normalised and checked."""
+    p = latest_edit(staged).select("id", "seq", "is_new", F.from_json("payload", COUPON_PAYLOAD).alias("p"))
+    raw = lambda c: F.col(f"p.{c}")
+    num = lambda c, t: F.nullif(raw(c), F.lit("")).cast(t)
+    kind = F.lower(F.trim(F.coalesce(raw("kind"), F.lit(""))))
+    scope = F.coalesce(clean.blank_to_null(F.lower(raw("applies_to"))), F.lit("all"))
+    bogo, whole = kind == "bogo", scope == "all"
+    empty_ids, empty_texts = F.array().cast("array<bigint>"), F.array().cast("array<string>")
+    rows = p.select(
+        "id", "seq", "is_new",
+        clean.coupon_code_key(raw("code")).alias("code"),
+        clean.blank_to_null(raw("description")).alias("description"),
+        kind.alias("kind"),
+        F.when(bogo, F.lit(0)).otherwise(F.coalesce(num("value", "decimal(10,2)"), F.lit(0))).cast("decimal(10,2)").alias("value"),
+        F.when(kind != "flat", num("max_discount", "decimal(10,2)")).alias("max_discount"),
+        F.coalesce(num("min_bill", "decimal(10,2)"), F.lit(0)).cast("decimal(10,2)").alias("min_bill"),
+        F.when(bogo, num("buy_qty", "int")).alias("buy_qty"),
+        F.when(bogo, num("get_qty", "int")).alias("get_qty"),
+        scope.alias("applies_to"),
+        F.when(whole, empty_ids).otherwise(payloads.id_list(raw("item_ids"))).alias("item_ids"),
+        F.when(whole, empty_texts).otherwise(payloads.text_list(raw("categories"))).alias("categories"),
+        num("valid_from", "date").alias("valid_from"),
+        num("valid_to", "date").alias("valid_to"),
+        num("usage_limit", "int").alias("usage_limit"),
+        num("per_customer_limit", "int").alias("per_customer_limit"),
+        F.coalesce(raw("is_active"), F.lit(True)).alias("is_active"),
+    )
+    c = F.col
+    rules = [
+        (~c("code").rlike(clean.COUPON_CODE_PATTERN), "Code must be 3 to 20 letters, numbers, - or _."),
+        (~c("kind").isin(*clean.COUPON_KINDS), "Choose a coupon type."),
+        ((c("kind") == "percent") & ((c("value") <= 0) | (c("value") > 100)), "Percentage must be more than 0 and at most 100."),
+        ((c("kind") == "flat") & (c("value") <= 0), "Discount amount must be more than 0."),
+        ((c("kind") == "bogo") & ((F.coalesce(c("buy_qty"), F.lit(0)) < 1) | (F.coalesce(c("get_qty"), F.lit(0)) < 1)), "Buy and free quantities must both be at least 1."),
+        (c("max_discount") <= 0, "Maximum discount must be more than 0."),
+        (c("min_bill") < 0, "Minimum bill cannot be negative."),
+        (~c("applies_to").isin("all", "items"), "Choose what the coupon applies to."),
+        ((c("applies_to") == "items") & (F.size("item_ids") == 0) & (F.size("categories") == 0), "Pick at least one item or category for this coupon."),
+        (c("valid_to") < c("valid_from"), "Valid until must be on or after valid from."),
+        (c("usage_limit") < 1, "Total uses must be at least 1, or blank."),
+        (c("per_customer_limit") < 1, "Uses per customer must be at least 1, or blank."),
+    ]
+    return with_errors(rows, coupons, rules, "Coupon not found.", F.upper("code"), "Coupon code already exists.")
+
+
+def replace_recipes(recipes: DataFrame, payloads_in: DataFrame, menu: DataFrame, ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Replaces the recipes of the items whose payload is valid.
+
+    Returns the new recipe table and one row per item whose recipe text changed.
+    """
+    known = menu.select(F.col("id").alias("menu_item_id"), "name")
+    edited = payloads_in.join(known, "menu_item_id").filter(payloads.recipe_payload_error(F.col("items")).isNull())
+    fresh = merge_recipe_lines(payloads.explode_recipe_items(edited.select("menu_item_id", "items")), ingredients)
+    touched = edited.select("menu_item_id", "name")
+    table = recipes.join(touched.select("menu_item_id"), "menu_item_id", "left_anti").unionByName(fresh)
+    text = lambda df, name: recipe_map(df, ingredients).select("menu_item_id", F.to_json("recipe").alias(name))
+    before = text(recipes.join(touched, "menu_item_id", "left_semi"), "before")
+    compared = touched.join(before, "menu_item_id", "left").join(text(fresh, "after"), "menu_item_id", "left")
+    blank = lambda c: F.coalesce(c, F.lit("[]")).alias(c)
+    changed = compared.select("menu_item_id", "name", blank("before"), blank("after")).filter("before <> after")
+    return table, changed
+
+
+# ---- settings -------------------------------------------------------------
+
+SETTINGS_COLUMNS = [
+    "shop_name", "shop_address", "shop_phone", "currency", "upi_id", "country_code", "receipt_footer", "hide_out_of_stock",
+    "tagline", "whatsapp", "maps_url", "cover_image_url",
+]
+
+
+def patch_settings(current: DataFrame, patches: DataFrame) -> DataFrame:
+    """Settings of many shops patched from JSON ``(id, patch)``.
+
+    The core keys are always overwritten; the home-page keys and the stock flag only
+    when the patch names them. Adds ``error``; a refused patch leaves the row as it was.
+    """
+    rows = current.join(patches.select("id", F.from_json("patch", "map<string,string>").alias("p")), "id")
+    value = lambda k: clean.blank_to_null(F.col("p")[k])
+    named = lambda k, new, old: F.when(F.map_contains_key("p", k), new).otherwise(F.col(old))
+    fresh = {
+        "shop_name": value("shop_name"),
+        "shop_address": value("shop_address"),
+        "shop_phone": value("shop_phone"),
+        "currency": value("currency"),
+        "upi_id": value("upi_id"),
+        "country_code": F.coalesce(clean.digits(F.col("p")["country_code"]), F.lit("91")),
+        "receipt_footer": F.coalesce(value("receipt_footer"), F.lit("Thank you! Visit again.")),
+        "hide_out_of_stock": F.when(F.col("p")["hide_out_of_stock"].isin("true", "false"), F.col("p")["hide_out_of_stock"] == "true").otherwise(F.col("hide_out_of_stock")),
+        "tagline": named("tagline", value("tagline"), "tagline"),
+        "whatsapp": named("whatsapp", clean.digits(F.col("p")["whatsapp"]), "whatsapp"),
+        "maps_url": named("maps_url", value("maps_url"), "maps_url"),
+        "cover_image_url": named("cover_image_url", value("cover_image_url"), "cover_image_url"),
+    }
+    n = {k: F.col(f"_n.{k}") for k in fresh}
+    rows = rows.withColumn("_n", F.struct(*[v.alias(k) for k, v in fresh.items()]))
+    long = clean.longer_than
+    bad_url = lambda c: ~c.rlike(clean.URL_PATTERN) | long(c, 500)
+    error = clean.first_violation(
+        (n["shop_name"].isNull(), "Shop name is required."),
+        (long(n["shop_name"], 80), "Shop name can be at most 80 characters."),
+        (n["currency"].isNull() | long(n["currency"], 5), "Currency symbol must be 1-5 characters."),
+        (~n["upi_id"].rlike(clean.UPI_PATTERN), "Enter a valid UPI ID, e.g. myshop@okaxis."),
+        (long(n["country_code"], 4), "Country code must be 1-4 digits."),
+        (long(n["shop_address"], 200) | long(n["receipt_footer"], 200), "Address and receipt footer can be at most 200 characters."),
+        (long(n["shop_phone"], 20), "Shop phone can be at most 20 characters."),
+        (long(n["tagline"], 120), "Tagline can be at most 120 characters."),
+        (~n["whatsapp"].rlike(clean.WHATSAPP_PATTERN), "Enter a valid WhatsApp number (10-15 digits)."),
+        (bad_url(n["maps_url"]), "Google Maps link must start with https://"),
+        (bad_url(n["cover_image_url"]), "Cover photo URL must start with https://"),
+    )
+    rows = rows.withColumn("error", error)
+    opts = {"ignoreNullFields": "false"}
+    old_json, new_json = F.to_json(F.struct(*SETTINGS_COLUMNS), opts), F.to_json("_n", opts)
+    changes = F.when(F.col("error").isNull() & (old_json != new_json), D.changes_json(D.json_diff(old_json, new_json)))
+    rows = rows.withColumn("changes", changes)
+    final = [F.when(F.col("error").isNull(), n[k]).otherwise(F.col(k)).alias(k) for k in SETTINGS_COLUMNS]
+    return rows.select("id", *final, "error", "changes")
+
+
+# ---- deletes, purges, backfills, constraints ------------------------------
+
+
+def without(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Cascade: child rows of deleted parents go."""
+    return child.join(gone.select(F.col("id").alias(key)), key, "left_anti")
+
+
+def orphaned(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Set null: child rows of deleted parents stay and lose the reference."""
+    hit = gone.select(F.col("id").alias("_gone")).distinct()
+    return child.join(hit, F.col(key) == F.col("_gone"), "left").withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+
+
+def delete_snapshots(table: DataFrame, gone: DataFrame, columns: list[str], entity: str) -> DataFrame:
+    """Audit rows keeping what was deleted."""
+    rows = table.join(gone.select("id"), "id", "left_semi")
+    return rows.select(F.col("id").cast("string").alias("entity_id"), F.lit(f"{entity}.delete").alias("action"), D.as_json(columns).alias("details"))
+
+
+def rekey_phones(orders: DataFrame, moves: DataFrame) -> DataFrame:
+    """A customer's new number follows to the bills: ``moves`` is (phone, new_phone)."""
+    return orders.join(moves, "phone", "left").withColumn("phone", F.coalesce("new_phone", "phone")).drop("new_phone")
+
+
+def backfill_orders(orders: DataFrame, served_before) -> DataFrame:
+    """Fills columns added later: paid time, subtotal, and served state of old bills."""
+    paid_at = F.when(F.col("payment_status") == "paid", F.coalesce("paid_at", "created_at")).otherwise(F.col("paid_at"))
+    old = F.col("created_at") < T.instant(served_before)
+    return (
+        orders.withColumn("paid_at", paid_at)
+        .withColumn("subtotal", F.coalesce("subtotal", "total"))
+        .withColumn("kitchen_status", F.when(old, F.lit("served")).otherwise(F.col("kitchen_status")))
+    )
+
+
+def backfill_sessions(sessions: DataFrame, approved_before) -> DataFrame:
+    old = F.col("created_at") < T.instant(approved_before)
+    return sessions.withColumn("approved_at", F.when(old, F.coalesce("approved_at", "created_at")).otherwise(F.col("approved_at")))
+
+
+def backfill_admins(admins: DataFrame) -> DataFrame:
+    return admins.withColumn("auto_approve", F.lit(True))
+
+
+def rule_counts(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """Violations per rule of one table in one aggregate, one row per rule."""
+    counted = df.agg(*[F.count_if(~F.coalesce(ok, F.lit(True))).alias(name) for name, ok in rules.items()])
+    pairs = F.array(*[F.struct(F.lit(name).alias("rule"), F.col(f"`{name}`").alias("violations")) for name in rules])
+    return counted.select(F.inline(pairs))
+
+
+def missing_parents(child: DataFrame, key: str, parent: DataFrame, rule: str) -> DataFrame:
+    """Child rows whose reference has no parent."""
+    refs = child.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.count("*").alias("n"))
+    lost = refs.join(parent.select("id"), "id", "left_anti")
+    return lost.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum("n"), F.lit(0)).alias("violations"))
+
+
+def repeated_keys(df: DataFrame, key: Column, rule: str) -> DataFrame:
+    """Rows beyond the first of each key."""
+    groups = df.groupBy(key.alias("k")).agg(F.count("*").alias("n"))
+    return groups.agg(F.lit(rule).alias("rule"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+
+
+def union_all(frames: list[DataFrame]) -> DataFrame:
+    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -95,3 +95,17 @@ def running_balance(df: DataFrame, keys: list[str], order: list, slot: Column, c
 def _resolve(base: Column, carry: Column, cum: Column) -> Column:
     """Balance from the last reset in the slot, else from the carried-in balance."""
     return F.when(base.isNotNull(), base["v"] + cum - base["at"]).otherwise(carry + cum)
+
+
+def running_last(df: DataFrame, keys: list[str], order: list, slot: Column, value: str, name: str) -> DataFrame:
+    """Adds ``name``: the latest non-null ``value`` of the key up to and including the row."""
+    slotted = df.withColumn(_SLOT, slot)
+    upto, _ = _within(keys, order)
+    local = slotted.withColumn("_last", F.last(value, ignorenulls=True).over(upto))
+    closing = slotted.filter(F.col(value).isNotNull()).groupBy(*keys, _SLOT).agg(F.max_by(value, F.struct(*order)).alias("_close"))
+    # Slots without any value carry nothing of their own but still need the carried-in one.
+    slots = slotted.groupBy(*keys, _SLOT).agg(F.count("*").alias("_n")).join(closing, [*keys, _SLOT], "left")
+    _, _, earlier = _over_slots(keys)
+    carried = slots.select(*keys, _SLOT, F.last("_close", ignorenulls=True).over(earlier).alias("_carry"))
+    joined = local.join(carried, [*keys, _SLOT])
+    return joined.select(*df.columns, F.coalesce("_last", "_carry").alias(name))

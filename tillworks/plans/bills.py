@@ -1,13 +1,21 @@
-"""Bill documents and bill intake."""
+"""Bill intake: from raw payloads to accepted orders, lines, ingredients and customers."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.config import cut_lineage
 from tillworks.functions import clean
+from tillworks.functions import timeutil as T
+from tillworks.operators import coupons as C
+from tillworks.operators.prefix import running_last
 from tillworks.sources import payloads
 
+AMOUNT = C.AMOUNT
+
 
 def recipe_explosion(lines: DataFrame, recipes: DataFrame, ingredients: DataFrame) -> DataFrame:
     """One row per order line and recipe ingredient, with the ingredient's name and unit frozen.
@@ -23,7 +31,7 @@ def recipe_explosion(lines: DataFrame, recipes: DataFrame, ingredients: DataFram
     )
 
 
-def opening_payment(method, created_at):
+def opening_payment(method: Column, created_at: Column) -> tuple[Column, Column]:
     """Payment state and time of a new bill: UPI waits for confirmation, cash and card are paid at once."""
     waits = method == "upi"
     return F.when(waits, "pending").otherwise("paid"), F.when(~waits, created_at)
@@ -41,3 +49,83 @@ def priced_lines(lines: DataFrame, menu: DataFrame) -> DataFrame:
     """Payload lines of active items with a positive quantity, named and priced from the menu; the rest drop out."""
     active = menu.filter("is_active").select(F.col("id").alias("menu_item_id"), "name", "price", "category")
     return lines.filter("qty > 0").join(active, "menu_item_id")
+
+
+def checked_bills(bills: DataFrame) -> DataFrame:
+    """Cleaned bills with ``error``, the first broken input rule."""
+    rows = bills.select(
+        "id", "created_at", "created_by", "items",
+        clean.digits(F.col("phone")).alias("phone"),
+        clean.blank_to_null(F.col("customer_name")).alias("name"),
+        clean.payment_method(F.col("payment_method")).alias("method"),
+        clean.coupon_code_key(F.col("coupon_code")).alias("code"),
+    )
+    error = clean.first_violation(
+        (~clean.phone_ok(F.col("phone")), "Enter a valid 10-digit phone number, or leave it blank."),
+        (~F.col("method").isin(*clean.PAYMENT_METHODS), "Choose a valid payment method."),
+        (~payloads.is_filled_array(F.col("items")), "Add at least one item."),
+    )
+    return rows.withColumn("error", error)
+
+
+@dataclass(frozen=True)
+class Intake:
+    orders: DataFrame
+    items: DataFrame
+    ingredients: DataFrame
+    customers: DataFrame
+    rejects: DataFrame
+
+
+def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredients: DataFrame, coupons: DataFrame, customers: DataFrame) -> Intake:
+    """Takes a batch of raw bills in time order.
+
+    The accept decision is a column computed before anything is written: input rules,
+    then the coupon (a refused coupon refuses the bill), then at least one valid line.
+    The decided bills are written once to the shared checkpoint folder and feed all
+    outputs. Stock is deducted afterwards (see :mod:`tillworks.operators.stock`).
+    """
+    checked = checked_bills(bills)
+    ok = checked.filter("error is null")
+    lines = priced_lines(payloads.explode_bill_items(ok), menu)
+    sums = lines.groupBy("bill_id").agg(F.sum(F.col("price") * F.col("qty")).cast(AMOUNT).alias("subtotal"))
+    asking = ok.filter("code <> ''").select("id", "phone", "created_at", F.lit("paid").alias("payment_status"), "code")
+    bare_lines = lines.select(F.col("bill_id").alias("order_id"), "menu_item_id", "qty")
+    settled = C.settlement(asking, bare_lines, coupons, menu).select(
+        F.col("id").alias("bill_id"), "coupon_id", F.col("discount").alias("coupon_discount"), F.concat(F.lit("Coupon refused: "), F.col("reason")).alias("coupon_error")
+    )
+    rows = checked.withColumn("bill_id", F.col("id")).join(sums, "bill_id", "left").join(settled, "bill_id", "left")
+    no_line = F.when(F.col("subtotal").isNull(), "No valid items in order.")
+    rows = rows.withColumn("error", F.coalesce("error", "coupon_error", no_line))
+    decided = cut_lineage(rows.drop("items", "coupon_error", "bill_id"))
+
+    taken = decided.filter("error is null")
+    named = _customer_names(taken, customers)
+    status, paid_at = opening_payment(F.col("method"), F.col("created_at"))
+    discount = F.least(F.coalesce("coupon_discount", F.lit(0)).cast(AMOUNT), F.col("subtotal"))
+    orders = named.select(
+        "id", "phone", "customer_name", "subtotal", discount.alias("discount"), (F.col("subtotal") - discount).cast(AMOUNT).alias("total"),
+        "coupon_id", F.when(F.col("coupon_id").isNotNull(), F.col("code")).alias("coupon_code"), status.alias("payment_status"),
+        F.col("method").alias("payment_method"), paid_at.alias("paid_at"), F.lit("new").alias("kitchen_status"), "created_by", "created_at",
+    )
+    kept = lines.join(taken.select(F.col("id").alias("bill_id")), "bill_id", "left_semi")
+    items = kept.select(F.col("bill_id").alias("order_id"), "line_no", "menu_item_id", F.col("name").alias("item_name"), "price", "qty")
+    frozen = recipe_explosion(items.select("order_id", "line_no", "menu_item_id", "qty"), recipes, ingredients)
+    return Intake(orders, items, frozen, upsert_customers(taken, customers), decided.filter("error is not null").select("id", "error"))
+
+
+def _customer_names(taken: DataFrame, customers: DataFrame) -> DataFrame:
+    """Bill name: its own, else the customer's latest name at that moment, else the stored one."""
+    known = taken.filter("phone is not null")
+    rows = running_last(known, ["phone"], ["created_at", "id"], F.floor(T.hour_slot(F.col("created_at")) / 24), "name", "_latest")
+    stored = customers.select("phone", F.col("name").alias("_stored"))
+    rows = rows.join(stored, "phone", "left").withColumn("customer_name", F.coalesce("_latest", "_stored")).drop("_latest", "_stored")
+    walk_in = taken.filter("phone is null").withColumn("customer_name", F.col("name"))
+    return rows.unionByName(walk_in)
+
+
+def upsert_customers(taken: DataFrame, customers: DataFrame) -> DataFrame:
+    """Customers after a batch: the latest given name per phone, the old name where none was given."""
+    at = F.struct("created_at", "id")
+    fresh = taken.filter("phone is not null").groupBy("phone").agg(F.max_by("name", F.when(F.col("name").isNotNull(), at)).alias("_name"))
+    return customers.select("phone", "name").join(fresh, "phone", "full_outer").select("phone", F.coalesce("_name", "name").alias("name"))
