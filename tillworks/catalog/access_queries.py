@@ -9,7 +9,7 @@ from tillworks.catalog.registry import query
 from tillworks.catalog.scalar_queries import WINDOW_SQL
 from tillworks.operators import access as A
 
-BURST_AS_OF = "2024-01-01 01:30:00"
+BURST_AS_OF = "2024-01-01 02:46:11"
 BURST_SQL = f"TIMESTAMP '{BURST_AS_OF}'"
 RECENT = f"SELECT * FROM pos_login_bursts WHERE created_at > {BURST_SQL} - INTERVAL '15' MINUTE AND created_at < {BURST_SQL}"
 FAILS = "SELECT r.* FROM r LEFT JOIN (SELECT username, max(created_at) AS ok FROM r WHERE succeeded GROUP BY 1) s ON s.username = r.username WHERE NOT succeeded AND (ok IS NULL OR created_at > ok)"

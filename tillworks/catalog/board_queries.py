@@ -139,6 +139,11 @@ def stock_deduct(t):
     return S.deduct_sales(needs(t), t.orders, t.ingredients)
 
 
+@query("stock_deduct_block")
+def stock_deduct_block(t):
+    return S.deduct_sales_blocking(needs(t), t.orders, t.ingredients)
+
+
 CHANGES = """SELECT id, order_id, old, new, created_at FROM (SELECT id, order_id, created_at, {c} AS new, lag({c}) OVER (PARTITION BY order_id ORDER BY created_at, id) AS old FROM pos_status_events {w}) WHERE old <> new"""
 
 
