@@ -183,6 +183,19 @@ def stock_running_balance(t):
     return S.stock_ledger(t.stock_events, t.ingredients).select("id", "ingredient_id", "balance_after")
 
 
+@query("append_ledger", "SELECT id, ingredient_id, kind, qty, balance_after FROM lg", **LEDGER)
+def append_ledger(t):
+    """Ledger rows appended in two batches, the second delivered twice, and read back."""
+    from tillworks.sources.sinks import append_ledger as append
+    from tillworks.streaming.feeds import new_run
+
+    path = new_run(t.spark, "ledger")
+    rows = S.stock_ledger(t.stock_events, t.ingredients)
+    for batch, part in ((0, "id % 2 = 0"), (1, "id % 2 = 1"), (1, "id % 2 = 1")):
+        append(rows.filter(part), path, batch)
+    return t.spark.read.parquet(path).select("id", "ingredient_id", "kind", "qty", "balance_after")
+
+
 @query("net_order_movement", f"SELECT order_id, ingredient_id, CAST(-sum(qty) AS {Q14}) AS back FROM lg WHERE order_id IS NOT NULL GROUP BY 1, 2 HAVING sum(qty) <> 0", **LEDGER)
 def net_order_movement(t):
     return S.net_movements(S.stock_ledger(t.stock_events, t.ingredients))

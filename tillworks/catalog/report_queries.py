@@ -198,3 +198,15 @@ def unit_rollup(t):
 )
 def favourites(t):
     return R.favourites(t.orders, t.order_lines, t.menu, AS_OF)
+
+
+@query("usage_csv_export", f"SELECT CAST(day AS VARCHAR) AS day, name, CAST(CAST(sum(total) AS {Q}) AS VARCHAR) AS total, unit FROM u GROUP BY day, name, unit", **USAGE)
+def usage_csv_export(t):
+    """The daily usage CSV, written by the executors and read back as text."""
+    from tillworks.sources.sinks import write_usage_csv
+    from tillworks.streaming.feeds import new_run
+
+    usage = R.ingredient_usage(*USAGE_ARGS(t), by_day=True)
+    path = write_usage_csv(usage, new_run(t.spark, "usage-csv"), ALL_DAYS)
+    reader = t.spark.read.schema("day string, name string, total string, unit string").option("header", True).option("escape", '"')
+    return reader.csv(path)
