@@ -107,7 +107,7 @@ def test_late_orders(spark, run_dir):
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
-    got = rows(drain_to_parquet(stateful.late_orders(stream), f"{run_dir}/out"))
+    got = rows(jobs.late_orders(stream, f"{run_dir}/out"))
     assert got == [(1, "late"), (1, "very-late"), (3, "late")]
 
 
@@ -117,7 +117,7 @@ def test_pending_logins(spark, run_dir):
     for b in batches:
         spark.createDataFrame(b, "session_id bigint, event string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
     stream = spark.readStream.schema("session_id bigint, event string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
-    got = rows(drain_to_parquet(stateful.pending_logins(stream), f"{run_dir}/out"), "session_id", "state")
+    got = rows(jobs.pending_logins(stream, f"{run_dir}/out"), "session_id", "state")
     assert got == [(1, "approved"), (1, "signed out"), (1, "waiting"), (2, "denied"), (2, "waiting"), (3, "expired"), (3, "waiting"), (4, "waiting")]
 
 

@@ -314,16 +314,6 @@ def recipe_replace(t):
     return M.replace_recipes(t.recipes, recipe_payloads(t), t.menu, t.ingredients)[0]
 
 
-def settings_now(t):
-    k = F.col("c_custkey")
-    text = lambda v: F.lit(v).cast("string")
-    return t.raw("customer").select(
-        k.alias("id"), F.concat(F.lit("Shop "), k.cast("string")).alias("shop_name"), text(None).alias("shop_address"), text("080-1").alias("shop_phone"), text("₹").alias("currency"), text(None).alias("upi_id"),
-        text("91").alias("country_code"), text("Thank you! Visit again.").alias("receipt_footer"), F.lit(True).alias("hide_out_of_stock"), text("Fresh").alias("tagline"), text(None).alias("whatsapp"),
-        text("https://maps/1").alias("maps_url"), text(None).alias("cover_image_url"),
-    )
-
-
 def settings_patches(t):
     k = F.col("c_custkey")
     parts = F.concat_ws(
@@ -350,7 +340,7 @@ def settings_patches(t):
  WHEN c_custkey % 7 = 2 THEN 'Google Maps link must start with https://' END AS e FROM customer WHERE c_custkey % 2 = 1)""",
 )
 def settings_patch(t):
-    return M.patch_settings(settings_now(t), settings_patches(t)).select("id", "country_code", "tagline", "whatsapp", "hide_out_of_stock", "error", "changes")
+    return M.patch_settings(t.settings, settings_patches(t)).select("id", "country_code", "tagline", "whatsapp", "hide_out_of_stock", "error", "changes")
 
 
 # ---- deletes, backfills, constraints --------------------------------------

@@ -10,6 +10,7 @@ from tillworks.catalog.params import AS_OF, AS_OF_SQL, EVENTS_AS_OF, EVENTS_AS_O
 from tillworks.catalog.registry import query
 from tillworks.functions import access, clean, hours, labels
 from tillworks.functions import timeutil as T
+from tillworks.plans.bills import recipe_explosion
 from tillworks.sources import payloads
 
 SCANS = {
@@ -24,11 +25,17 @@ SCANS = {
     "audit_log": ("audit", "pos_audit_log"),
     "stock_movements": ("stock_events", "pos_stock_events"),
     "shifts": ("shifts", "pos_shifts"),
+    "settings": ("settings", "pos_settings"),
 }
 for _name, (_attr, _view) in SCANS.items():
     query(f"scan_{_name}", f"SELECT * FROM {_view}")(partial(lambda attr, t: getattr(t, attr), _attr))
 
 query("scan_order_items", "SELECT * FROM pos_order_items")(lambda t: t.numbered_items())
+query(
+    "scan_order_item_ingredients",
+    """SELECT i.order_id, i.line_no, g.id AS ingredient_id, g.name AS ingredient_name, g.unit, CAST(r.qty * i.qty AS DECIMAL(14,3)) AS qty FROM pos_order_items i
+ JOIN pos_menu_item_ingredients r ON r.menu_item_id = i.menu_item_id JOIN pos_ingredients g ON g.id = r.ingredient_id""",
+)(lambda t: recipe_explosion(t.numbered_items(), t.recipes, t.ingredients).select("order_id", "line_no", "ingredient_id", "ingredient_name", "unit", "qty"))
 query("scan_coupons", "SELECT * REPLACE (array_to_string(item_ids, ',') AS item_ids, array_to_string(categories, ',') AS categories, CAST(valid_from AS VARCHAR) AS valid_from, CAST(valid_to AS VARCHAR) AS valid_to) FROM pos_coupons")(
     lambda t: t.coupons.withColumn("item_ids", F.array_join(F.col("item_ids").cast("array<string>"), ",")).withColumn("categories", F.array_join("categories", ","))
 )

@@ -101,7 +101,7 @@ def stream_ip_lockout(t):
 )
 def stream_late_orders(t):
     events = live(t).orders.select(F.col("id").alias("order_id"), "created_at", "kitchen_status", "payment_status", F.col("created_at").alias("ts"))
-    return drain_to_parquet(stateful.late_orders(events), new_run(t.spark, "late-orders"))
+    return jobs.late_orders(events, new_run(t.spark, "late-orders"))
 
 
 @query(
@@ -112,4 +112,4 @@ def stream_late_orders(t):
  UNION ALL SELECT id, 'expired', epoch_us(created_at) // 1000 + 43200000 FROM pos_sessions WHERE id % 4 IN (0, 1) AND epoch_us(created_at) // 1000 + 43200000 < (SELECT max(epoch_us(ts)) // 1000 - 10800000 FROM pos_session_events))""",
 )
 def stream_pending_logins(t):
-    return drain_to_parquet(stateful.pending_logins(live(t).session_events), new_run(t.spark, "pending-logins"))
+    return jobs.pending_logins(live(t).session_events, new_run(t.spark, "pending-logins"))

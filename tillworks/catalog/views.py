@@ -119,6 +119,9 @@ SELECT o_orderkey AS id,
 SELECT id AS bill_id, j AS line_no, CAST(json_extract_string(items, '$[' || CAST(j AS VARCHAR) || '].menu_item_id') AS BIGINT) AS menu_item_id,
  CAST(json_extract_string(items, '$[' || CAST(j AS VARCHAR) || '].qty') AS INTEGER) AS qty
  FROM (SELECT id, items, unnest(range(0, CAST(json_array_length(items) AS BIGINT))) AS j FROM pos_bills WHERE json_type(items) = 'ARRAY')""",
+    "pos_settings": """
+SELECT c_custkey AS id, 'Shop ' || CAST(c_custkey AS VARCHAR) AS shop_name, CAST(NULL AS VARCHAR) AS shop_address, '080-1' AS shop_phone, '₹' AS currency, CAST(NULL AS VARCHAR) AS upi_id, '91' AS country_code,
+ 'Thank you! Visit again.' AS receipt_footer, true AS hide_out_of_stock, 'Fresh' AS tagline, CAST(NULL AS VARCHAR) AS whatsapp, 'https://maps/1' AS maps_url, CAST(NULL AS VARCHAR) AS cover_image_url FROM customer""",
     "pos_shop_hours": """
 SELECT c_custkey AS shop_id, '{' || concat_ws(',',
  '"mon":{"closed":false,"open":"' || CASE WHEN c_custkey % 17 = 0 THEN '7:00' ELSE lpad(CAST(6 + c_custkey % 4 AS VARCHAR), 2, '0') || ':30' END || '","close":"' || lpad(CAST(21 + c_custkey % 2 AS VARCHAR), 2, '0') || ':30"}',

@@ -48,9 +48,15 @@ def normalise_hours(shops: DataFrame) -> DataFrame:
 
 
 def valid_week(shops: DataFrame) -> DataFrame:
-    """Accepted shops with ``week``: per weekday whether closed, and both times as minutes of the day."""
+    """Accepted shops with ``week``: per weekday whether closed, and both times as minutes of the day.
+
+    The test for faults runs inside a generator: as an ordinary filter it would be
+    pushed below the parsing step and repeat the parse for every field it looks at.
+    """
     minute = lambda c: F.coalesce(minute_of(c), F.lit(0))
-    return week_entries(shops).filter("error is null").select(
+    row = F.array(F.struct("error", "days"))
+    kept = week_entries(shops).select("shop_id", F.inline(F.filter(row, lambda r: r["error"].isNull())))
+    return kept.select(
         "shop_id",
         F.transform("days", lambda d: F.struct(d["closed"].alias("closed"), minute(d["open"]).alias("o"), minute(d["close"]).alias("c"))).alias("week"),
     )

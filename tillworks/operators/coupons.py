@@ -37,13 +37,17 @@ def coupon_lines(bills: DataFrame, lines: DataFrame, coupons: DataFrame, menu: D
     """Lines of the bills that name a coupon, each marked whether the coupon covers it."""
     named = match_coupons(bills, coupons).filter("coupon_id is not null")
     scope = named.select(F.col("id").alias("order_id"), "coupon_id", "c_applies_to", "c_item_ids", "c_categories")
-    covered = (
+    rows = merged_lines(lines, menu).join(scope, "order_id")
+    return rows.select("order_id", "coupon_id", "menu_item_id", "price", "qty", _covered().alias("eligible"))
+
+
+def _covered() -> Column:
+    """Whether the coupon covers a line: the whole bill, the item, or its category."""
+    return (
         (F.col("c_applies_to") == "all")
         | F.array_contains("c_item_ids", F.col("menu_item_id"))
         | F.array_contains("c_categories", F.col("category"))
     )
-    rows = merged_lines(lines, menu).join(scope, "order_id")
-    return rows.select("order_id", "coupon_id", "menu_item_id", "price", "qty", covered.alias("eligible"))
 
 
 def price_levels(covered: DataFrame) -> DataFrame:
@@ -99,14 +103,37 @@ def capped(discount: Column, cap: Column, subtotal: Column) -> Column:
     return F.least(discount.cast(AMOUNT), cap.cast(AMOUNT), subtotal.cast(AMOUNT))
 
 
+def bill_sums(named: DataFrame, lines: DataFrame, menu: DataFrame) -> DataFrame:
+    """Per bill: subtotal, covered amount and units, free units and their value, in one pass.
+
+    ``named`` are bills with their coupon. Lines go straight to price levels (repeated
+    items add up there), the free units come from a running count over the levels of a
+    bill, and both sums close in the same grouping by bill.
+    """
+    scope = named.select(F.col("id").alias("order_id"), "c_applies_to", "c_item_ids", "c_categories", "c_buy_qty", "c_get_qty")
+    active = menu.filter("is_active").select(F.col("id").alias("menu_item_id"), "price", "category")
+    rows = lines.filter("qty > 0").join(active, "menu_item_id").join(scope, "order_id")
+    levels = rows.groupBy("order_id", "price", _covered().alias("eligible"), "c_buy_qty", "c_get_qty").agg(F.sum("qty").alias("units"))
+    covered = Window.partitionBy("order_id", "eligible")
+    upto = covered.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    levels = levels.withColumn("_before", F.sum("units").over(upto) - F.col("units")).withColumn("_all", F.sum("units").over(covered))
+    free = F.expr("(_all div (c_buy_qty + c_get_qty)) * c_get_qty")
+    here = F.when(F.col("eligible"), F.least(F.greatest(free - F.col("_before"), F.lit(0)), F.col("units")))
+    amount = F.col("price") * F.col("units")
+    hit = lambda c: F.coalesce(F.sum(F.when(F.col("eligible"), c)), F.lit(0))
+    return levels.withColumn("_free", here).groupBy(F.col("order_id").alias("id")).agg(
+        F.sum(amount).cast(AMOUNT).alias("subtotal"),
+        hit(amount).cast(AMOUNT).alias("eligible_amount"),
+        hit(F.col("units")).alias("eligible_units"),
+        F.coalesce(F.sum("_free"), F.lit(0)).alias("free_units"),
+        F.sum(F.when(F.col("c_buy_qty").isNotNull(), F.col("price") * F.col("_free"))).cast(AMOUNT).alias("bogo_discount"),
+    )
+
+
 def priced_bills(bills: DataFrame, lines: DataFrame, coupons: DataFrame, menu: DataFrame) -> DataFrame:
     """Bills with their coupon, line sums and the discount before any limit is tested."""
     matched = match_coupons(bills, coupons)
-    levels = price_levels(coupon_lines(bills, lines, coupons, menu))
-    offers = matched.filter("c_kind = 'bogo'").select(F.col("id").alias("order_id"), F.col("c_buy_qty").alias("buy_qty"), F.col("c_get_qty").alias("get_qty"))
-    sums = line_sums(levels).withColumnRenamed("order_id", "id")
-    bogo = bogo_discounts(levels, offers).withColumnRenamed("order_id", "id")
-    rows = matched.join(sums, "id", "left").join(bogo, "id", "left")
+    rows = matched.join(bill_sums(matched.filter("coupon_id is not null"), lines, menu), "id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0))
     rows = rows.withColumn("subtotal", zero("subtotal").cast(AMOUNT)).withColumn("eligible_amount", zero("eligible_amount").cast(AMOUNT))
     rows = rows.withColumn("eligible_units", zero("eligible_units")).withColumn("free_units", zero("free_units"))

@@ -371,6 +371,18 @@ class Tables:
             order_created_at(k, F.col("o_orderdate")).alias("created_at"),
         )
 
+    @cached_property
+    def settings(self) -> DataFrame:
+        """Settings of many shops, one per customer row."""
+        k = F.col("c_custkey")
+        text = lambda v: F.lit(v).cast("string")
+        return self.raw("customer").select(
+            k.alias("id"), F.concat(F.lit("Shop "), k.cast("string")).alias("shop_name"), text(None).alias("shop_address"), text("080-1").alias("shop_phone"),
+            text("₹").alias("currency"), text(None).alias("upi_id"), text("91").alias("country_code"), text("Thank you! Visit again.").alias("receipt_footer"),
+            F.lit(True).alias("hide_out_of_stock"), text("Fresh").alias("tagline"), text(None).alias("whatsapp"), text("https://maps/1").alias("maps_url"),
+            text(None).alias("cover_image_url"),
+        )
+
     @cached_property
     def shop_hours(self) -> DataFrame:
         """Opening hours of many shops as the JSON their owners typed, mistakes included."""

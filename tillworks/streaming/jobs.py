@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions import labels
 from tillworks.functions import timeutil as T
 from tillworks.operators import access as A
 from tillworks.operators import kitchen as K
@@ -160,3 +161,100 @@ def shift_totals(orders: DataFrame, shifts: DataFrame, run: str, as_of) -> DataF
 
     drain(orders, run, each)
     return state.read(orders.sparkSession, seen.last)
+
+
+def _millis(c):
+    return F.floor(T.micros(c) / 1000)
+
+
+def _event_clock(batch: DataFrame, before: DataFrame, column: str) -> DataFrame:
+    """One row ``clock_ms``: the latest event time up to and including this batch."""
+    seen = batch.agg(F.max(_millis(F.col(column))).alias("clock_ms")).unionByName(before.select("clock_ms"))
+    return seen.agg(F.max("clock_ms").alias("clock_ms"))
+
+
+LATE_STEPS = (("late", labels.LATE_MINUTES), ("very-late", labels.VERY_LATE_MINUTES))
+
+
+def late_orders(events: DataFrame, run: str) -> DataFrame:
+    """Marks an order ``late`` and ``very-late`` when the stream's clock passes its thresholds unserved.
+
+    ``events`` is ``(order_id, created_at, kitchen_status, payment_status, ts)``; the clock is the
+    latest ``ts`` seen, so a replay gives the same marks. Served or cancelled orders are
+    forgotten, and only orders that can still get a mark are kept between batches.
+    """
+    out = BatchLog(f"{run}/rows", "order_id bigint, mark string")
+    waiting = VersionedTable(f"{run}/waiting", "order_id bigint, created_ms bigint, stage int")
+    clock = VersionedTable(f"{run}/clock", "clock_ms bigint")
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        clock.write(_event_clock(batch, clock.read(spark, n - 1), "ts"), n)
+        now = clock.read(spark, n).first()["clock_ms"]
+        gone = (F.col("kitchen_status") == "served") | (F.col("payment_status") == "cancelled")
+        fresh = batch.groupBy("order_id").agg(
+            F.min(_millis(F.col("created_at"))).alias("created_ms"), F.max_by(gone, "ts").alias("_gone")
+        )
+        rows = waiting.read(spark, n - 1).join(fresh.withColumnRenamed("created_ms", "_first"), "order_id", "full_outer").filter(~F.coalesce("_gone", F.lit(False)))
+        rows = rows.select("order_id", F.coalesce("created_ms", "_first").alias("created_ms"), F.coalesce("stage", F.lit(0)).alias("stage"))
+        due = lambda minutes: F.col("created_ms") + minutes * 60_000 <= F.lit(now)
+        reached = sum((due(m).cast("int") for _, m in LATE_STEPS), F.lit(0))
+        marks = F.array_compact(F.array(*[F.when((F.col("stage") <= i) & due(m), F.lit(name)) for i, (name, m) in enumerate(LATE_STEPS)]))
+        out.write(rows.select("order_id", F.explode(marks).alias("mark")), n)
+        waiting.write(rows.withColumn("stage", reached).filter(F.col("stage") < len(LATE_STEPS)), n)
+
+    drain(events, run, each)
+    return out.read(events.sparkSession)
+
+
+SESSION = "session_id bigint, started_ms bigint, current string"
+
+
+def pending_logins(events: DataFrame, run: str, delay_minutes: int = 180) -> DataFrame:
+    """Follows each sign-in ``(session_id, event, ts)``: waiting, then approved, denied, signed out
+    or expired after twelve hours by the stream's clock less a delay for late answers.
+
+    The first answer decides; only an approved session can sign out later. Plain
+    aggregates per session, with the live sessions kept between batches.
+    """
+    out = BatchLog(f"{run}/rows", "session_id bigint, state string, at_ms bigint")
+    live = VersionedTable(f"{run}/live", SESSION)
+    clock = VersionedTable(f"{run}/clock", "clock_ms bigint")
+    ttl = A.SESSION_HOURS * 3_600_000
+
+    def each(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        clock.write(_event_clock(batch, clock.read(spark, n - 1), "ts"), n)
+        now = clock.read(spark, n).first()["clock_ms"]
+        at = F.struct(_millis(F.col("ts")).alias("ms"), F.col("event"))
+        pick = lambda *kinds: F.min(F.when(F.col("event").isin(*kinds), at))
+        fresh = batch.groupBy("session_id").agg(
+            pick("login").alias("login"), pick("approve", "deny", "logout", "revoke").alias("answer"), pick("logout", "revoke").alias("leave")
+        )
+        rows = live.read(spark, n - 1).join(fresh, "session_id", "full_outer")
+        began = F.col("current").isNull() & F.col("login").isNotNull()
+        rows = rows.filter(began | F.col("current").isNotNull()).withColumn("_began", began)
+        rows = rows.withColumn("started_ms", F.coalesce("started_ms", "login.ms"))
+        waits = F.coalesce("current", F.lit("waiting")) == "waiting"
+        answer = F.when(waits, F.col("answer"))
+        name = F.when(answer["event"] == "approve", "approved").when(answer["event"] == "deny", "denied").otherwise("signed out")
+        approved = F.coalesce((F.col("current") == "approved") | (answer["event"] == "approve"), F.lit(False))
+        left = F.when(approved, F.col("leave"))
+        alive = left.isNull() & (approved | (waits & F.col("answer").isNull()))
+        expires = F.col("started_ms") + ttl
+        over = alive & (expires < F.lit(now - delay_minutes * 60_000))
+        step = lambda cond, state, ms: F.when(cond, F.struct(state.alias("state"), ms.alias("at_ms")))
+        steps = F.array_compact(
+            F.array(
+                step(F.col("_began"), F.lit("waiting"), F.col("started_ms")),
+                step(answer.isNotNull(), name, answer["ms"]),
+                step(left.isNotNull(), F.lit("signed out"), left["ms"]),
+                step(over, F.lit("expired"), expires),
+            )
+        )
+        out.write(rows.select("session_id", F.inline(steps)), n)
+        still = rows.filter(alive & ~over).select("session_id", "started_ms", F.when(approved, "approved").otherwise("waiting").alias("current"))
+        live.write(still, n)
+
+    drain(events, run, each)
+    return out.read(events.sparkSession)

@@ -1,7 +1,7 @@
-"""Keyed state machines: attempt lockout, late orders and waiting sign-ins.
+"""The keyed state machine for raw sign-in tries.
 
-Their state per key is a handful of values. Rows of a key are handled in time order
-within a micro-batch, whose size the source bounds.
+Its state per key is a handful of times. Rows of a key are handled in time order within
+a micro-batch, whose size the source bounds.
 """
 
 from __future__ import annotations
@@ -13,12 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tillworks.functions import labels
 from tillworks.functions import timeutil as T
 from tillworks.operators import access as A
 
-MINUTE_MS = 60_000
-
 
 def _sorted(chunks: Iterator[pd.DataFrame], by: list[str]) -> pd.DataFrame:
     return pd.concat(list(chunks), ignore_index=True).sort_values(by, kind="stable")
@@ -58,86 +55,3 @@ def attempt_lockout(attempts: DataFrame, key: str, limit: int, reset_on_success:
     return rows.groupBy("key").applyInPandasWithState(
         step, "id bigint, key string, allowed boolean, wait_minutes bigint", "failures array<bigint>", "append", GroupStateTimeout.NoTimeout
     )
-
-
-def late_orders(events: DataFrame) -> DataFrame:
-    """Marks an order ``late`` and ``very-late`` when event time passes its thresholds unserved.
-
-    ``events`` is ``(order_id, created_at, kitchen_status, ts)``; served or cancelled orders
-    are forgotten. Time is the stream's watermark, so a replay gives the same marks.
-    """
-    steps = [("late", labels.LATE_MINUTES), ("very-late", labels.VERY_LATE_MINUTES)]
-
-    def mark(order_id: int, created: int, stage: int, watermark: int) -> tuple[int, list[tuple]]:
-        out = []
-        while stage < len(steps) and watermark >= created + steps[stage][1] * MINUTE_MS:
-            out.append((order_id, steps[stage][0]))
-            stage += 1
-        return stage, out
-
-    def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        created, stage = state.get if state.exists else (None, 0)
-        if not state.hasTimedOut:
-            rows = _sorted(chunks, ["ts_ms"])
-            created = int(rows["created_ms"].iloc[0]) if created is None else created
-            if rows["done"].iloc[-1]:
-                if state.exists:
-                    state.remove()
-                return
-        watermark = state.getCurrentWatermarkMs()
-        stage, out = mark(keys[0], created, stage, watermark)
-        if stage < len(steps):
-            state.update((created, stage))
-            state.setTimeoutTimestamp(max(created + steps[stage][1] * MINUTE_MS, watermark + 1))
-        elif state.exists:
-            state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["order_id", "mark"])
-
-    ms = lambda c: F.floor(T.micros(F.col(c)) / 1000)
-    rows = events.select(
-        "order_id",
-        ms("created_at").alias("created_ms"),
-        ms("ts").alias("ts_ms"),
-        ((F.col("kitchen_status") == "served") | (F.col("payment_status") == "cancelled")).alias("done"),
-        F.col("ts").cast("timestamp").alias("event_time"),
-    ).withWatermark("event_time", "0 seconds")
-    return rows.groupBy("order_id").applyInPandasWithState(
-        step, "order_id bigint, mark string", "created bigint, stage int", "append", GroupStateTimeout.EventTimeTimeout
-    )
-
-
-def pending_logins(events: DataFrame) -> DataFrame:
-    """Follows each sign-in ``(session_id, event, ts)``: waiting, then approved, denied, signed out or expired after twelve hours."""
-    answers = {"approve": "approved", "deny": "denied", "logout": "signed out", "revoke": "signed out"}
-    ttl = A.SESSION_HOURS * 60 * MINUTE_MS
-
-    def step(keys: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        if state.hasTimedOut:
-            out.append((keys[0], "expired", state.get[0] + ttl))
-            state.remove()
-        else:
-            started, current = state.get if state.exists else (None, None)
-            for event, at in _sorted(chunks, ["ts_ms"])[["event", "ts_ms"]].itertuples(index=False):
-                if event == "login":
-                    started, current = int(at), "waiting"
-                elif current == "waiting" or (current == "approved" and event in ("logout", "revoke")):
-                    current = answers[event]
-                else:
-                    continue
-                out.append((keys[0], current, int(at)))
-            if current in ("waiting", "approved"):
-                state.update((started, current))
-                state.setTimeoutTimestamp(max(started + ttl, state.getCurrentWatermarkMs() + 1))
-            elif state.exists:
-                state.remove()
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "state", "at_ms"])
-
-    rows = events.select(
-        "session_id", "event", F.floor(T.micros(F.col("ts")) / 1000).alias("ts_ms"), F.col("ts").cast("timestamp").alias("event_time")
-    ).withWatermark("event_time", "3 hours")
-    return rows.groupBy("session_id").applyInPandasWithState(
-        step, "session_id bigint, state string, at_ms bigint", "started bigint, current string", "append", GroupStateTimeout.EventTimeTimeout
-    )
