@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tillworks.catalog.params import AS_OF, AS_OF_SQL, DAY
 from tillworks.catalog.registry import query
-from tillworks.config import cut_lineage
+from tillworks.config import stage_table
 from tillworks.operators import coupons as C
 from tillworks.sources import payloads
 
@@ -146,7 +146,7 @@ def coupon_settlement(t):
 
 @query("coupon_limit_rank", "SELECT id, coupon_id, CAST(mine AS BIGINT) AS before_customer, CAST(used AS BIGINT) AS before_coupon FROM r2", **SETTLE)
 def coupon_limit_rank(t):
-    return C.limit_ranks(cut_lineage(C.priced_bills(*batch(t)))).select("id", "coupon_id", F.col("_mine").alias("before_customer"), F.col("_used").alias("before_coupon"))
+    return C.limit_ranks(stage_table(C.priced_bills(*batch(t)))).select("id", "coupon_id", F.col("_mine").alias("before_customer"), F.col("_used").alias("before_coupon"))
 
 
 @query(

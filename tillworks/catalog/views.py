@@ -109,12 +109,12 @@ SELECT o_orderkey AS id,
  CASE o_orderkey % 24 WHEN 1 THEN ' pct10 ' WHEN 2 THEN ' pct50 ' WHEN 3 THEN ' flat100 ' WHEN 4 THEN ' flatsm ' WHEN 5 THEN ' b1g1 ' WHEN 6 THEN ' b2g1 '
  WHEN 7 THEN ' off ' WHEN 8 THEN ' later ' WHEN 9 THEN ' gone ' WHEN 10 THEN ' picked ' WHEN 11 THEN 'NOPE' END AS coupon_code,
  CASE WHEN o_orderkey % 41 = 0 THEN '[]' WHEN o_orderkey % 43 = 0 THEN '{{"menu_item_id":1,"qty":1}}' WHEN o_orderkey % 47 = 0 THEN NULL
-  ELSE '[' || '{{"menu_item_id":' || CAST((o_orderkey * 31) % n AS VARCHAR) || ',"qty":' || CAST(o_orderkey % 4 AS VARCHAR) || '}}'
-  || CASE WHEN o_orderkey % 3 > 0 THEN ',{{"menu_item_id":' || CAST((o_orderkey * 31 + 17) % n AS VARCHAR) || ',"qty":' || CAST((o_orderkey + 1) % 4 AS VARCHAR) || '}}' ELSE '' END
-  || CASE WHEN o_orderkey % 3 = 2 THEN ',{{"menu_item_id":' || CAST((o_orderkey * 31 + 34) % n AS VARCHAR) || ',"qty":' || CAST((o_orderkey + 2) % 4 AS VARCHAR) || '}}'
-   || ',{{"menu_item_id":' || CAST((o_orderkey * 31) % n AS VARCHAR) || ',"qty":' || CAST(o_orderkey % 4 AS VARCHAR) || '}}' ELSE '' END || ']' END AS items,
+  ELSE '[' || '{{"menu_item_id":' || CAST(o_custkey + o_orderkey % 5 AS VARCHAR) || ',"qty":' || CAST(o_orderkey % 4 AS VARCHAR) || '}}'
+  || CASE WHEN o_orderkey % 3 > 0 THEN ',{{"menu_item_id":' || CAST(o_custkey + o_orderkey % 5 + 17 AS VARCHAR) || ',"qty":' || CAST((o_orderkey + 1) % 4 AS VARCHAR) || '}}' ELSE '' END
+  || CASE WHEN o_orderkey % 3 = 2 THEN ',{{"menu_item_id":' || CAST(o_custkey + o_orderkey % 5 + 34 AS VARCHAR) || ',"qty":' || CAST((o_orderkey + 2) % 4 AS VARCHAR) || '}}'
+   || ',{{"menu_item_id":' || CAST(o_custkey + o_orderkey % 5 AS VARCHAR) || ',"qty":' || CAST(o_orderkey % 4 AS VARCHAR) || '}}' ELSE '' END || ']' END AS items,
  CASE WHEN o_custkey % 20 <> 0 THEN o_custkey % 20 END AS created_by,
- o_orderdate + INTERVAL '1' SECOND * {SECOND_OF_DAY} AS created_at FROM orders, (SELECT count(*) AS n FROM part) c""",
+ o_orderdate + INTERVAL '1' SECOND * {SECOND_OF_DAY} AS created_at FROM orders""",
     "pos_bill_lines": """
 SELECT id AS bill_id, j AS line_no, CAST(json_extract_string(items, '$[' || CAST(j AS VARCHAR) || '].menu_item_id') AS BIGINT) AS menu_item_id,
  CAST(json_extract_string(items, '$[' || CAST(j AS VARCHAR) || '].qty') AS INTEGER) AS qty

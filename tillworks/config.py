@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 @dataclass(frozen=True)
@@ -47,8 +48,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut_lineage(df):
-    """Reliable checkpoint of ``df`` in the shared folder."""
+def stage_table(df: DataFrame) -> DataFrame:
+    """Writes ``df`` once as a parquet table in the shared folder and reads it back.
+
+    Later steps then prune columns, push filters and know the real size, and a lost
+    executor costs a re-read instead of the whole plan before it.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/stage/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder: the lighter form for loops whose rows shrink."""
     ctx = df.sparkSession.sparkContext
     if not ctx._jsc.sc().getCheckpointDir().isDefined():
         ctx.setCheckpointDir(shared_dir(df.sparkSession))

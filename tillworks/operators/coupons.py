@@ -7,7 +7,7 @@ from decimal import Decimal
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.config import cut_lineage
+from tillworks.config import stage_table
 from tillworks.functions import clean, labels
 from tillworks.functions import timeutil as T
 from tillworks.operators.prefix import running_sum
@@ -251,9 +251,9 @@ def settlement(bills: DataFrame, lines: DataFrame, coupons: DataFrame, menu: Dat
     """Prices a batch and settles both limits.
 
     The priced bills feed every counting step, so they are written once to the
-    shared checkpoint folder instead of being priced again for each.
+    shared folder instead of being priced again for each.
     """
-    return _quoted(settle(cut_lineage(priced_bills(bills, lines, coupons, menu))))
+    return _quoted(settle(stage_table(priced_bills(bills, lines, coupons, menu))))
 
 
 def catalogue(coupons: DataFrame, orders: DataFrame, as_of, currency: str) -> DataFrame:

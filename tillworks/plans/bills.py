@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.config import cut_lineage
+from tillworks.config import stage_table
 from tillworks.functions import clean
 from tillworks.functions import timeutil as T
 from tillworks.operators import coupons as C
@@ -82,10 +82,10 @@ def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredien
 
     The accept decision is a column computed before anything is written: input rules,
     then the coupon (a refused coupon refuses the bill), then at least one valid line.
-    The decided bills are written once to the shared checkpoint folder and feed all
-    outputs. Stock is deducted afterwards (see :mod:`tillworks.operators.stock`).
+    The cleaned bills and the decided bills are each written once to the shared folder:
+    the first feed every test, the second every output. Stock is deducted afterwards (see :mod:`tillworks.operators.stock`).
     """
-    checked = checked_bills(bills)
+    checked = stage_table(checked_bills(bills))
     ok = checked.filter("error is null")
     lines = priced_lines(payloads.explode_bill_items(ok), menu)
     sums = lines.groupBy("bill_id").agg(F.sum(F.col("price") * F.col("qty")).cast(AMOUNT).alias("subtotal"))
@@ -97,7 +97,7 @@ def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredien
     rows = checked.withColumn("bill_id", F.col("id")).join(sums, "bill_id", "left").join(settled, "bill_id", "left")
     no_line = F.when(F.col("subtotal").isNull(), "No valid items in order.")
     rows = rows.withColumn("error", F.coalesce("error", "coupon_error", no_line))
-    decided = cut_lineage(rows.drop("items", "coupon_error", "bill_id"))
+    decided = stage_table(rows.drop("items", "coupon_error", "bill_id"))
 
     taken = decided.filter("error is null")
     named = _customer_names(taken, customers)

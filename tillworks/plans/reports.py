@@ -2,7 +2,7 @@
 
 The sales report reads the orders once: they are reduced to a small cube keyed by
 local day, hour, payment state, method and author, which is written to the shared
-checkpoint folder, and every section is a further aggregate of that cube.
+folder, and every section is a further aggregate of that cube.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.config import cut_lineage
+from tillworks.config import stage_table
 from tillworks.functions import labels
 from tillworks.functions import timeutil as T
 
@@ -154,7 +154,7 @@ def favourites(orders: DataFrame, lines: DataFrame, menu: DataFrame, as_of, days
 def sales_report(orders: DataFrame, lines: DataFrame, menu: DataFrame, admins: DataFrame, days: T.DayRange) -> DataFrame:
     """All sections as rows: (section, rank, label, orders, total)."""
     # Left lazy, every section would push its own filter below the cube and scan the orders again.
-    cube = cut_lineage(order_cube(orders, days))
+    cube = stage_table(order_cube(orders, days))
     summary = sales_summary(cube)
     ranked = lambda df, *order: df.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order)))
     paid_orders = orders.filter(days.contains(F.col("created_at")) & (F.col("payment_status") == "paid"))
