@@ -350,8 +350,8 @@ def settings_patch(t):
     "cascade_delete",
     """SELECT 'recipe' AS child, menu_item_id AS key, count(*) AS rows FROM pos_menu_item_ingredients WHERE menu_item_id % 10 <> 3 GROUP BY 2
  UNION ALL SELECT 'order_item', CASE WHEN menu_item_id % 10 <> 3 THEN menu_item_id END, count(*) FROM pos_order_items GROUP BY 2
- UNION ALL SELECT 'order', CASE WHEN created_by % 6 <> 5 THEN created_by END, count(*) FROM pos_orders GROUP BY 2
- UNION ALL SELECT 'session', admin_id, count(*) FROM pos_sessions WHERE admin_id NOT IN (5, 11, 17) GROUP BY 2
+ UNION ALL SELECT 'order', CASE WHEN created_by NOT IN (SELECT id FROM pos_admins WHERE id % 6 = 5) THEN created_by END, count(*) FROM pos_orders GROUP BY 2
+ UNION ALL SELECT 'session', admin_id, count(*) FROM pos_sessions WHERE admin_id NOT IN (SELECT id FROM pos_admins WHERE id % 6 = 5) GROUP BY 2
  UNION ALL SELECT 'audit:' || action, CAST(entity_id AS BIGINT), 1 FROM (SELECT 'menu.delete' AS action, CAST(id AS VARCHAR) AS entity_id FROM pos_menu_items WHERE id % 10 = 3)""",
 )
 def cascade_delete(t):

@@ -114,9 +114,11 @@ def bill_sums(named: DataFrame, lines: DataFrame, menu: DataFrame) -> DataFrame:
     active = menu.filter("is_active").select(F.col("id").alias("menu_item_id"), "price", "category")
     rows = lines.filter("qty > 0").join(active, "menu_item_id").join(scope, "order_id")
     levels = rows.groupBy("order_id", "price", _covered().alias("eligible"), "c_buy_qty", "c_get_qty").agg(F.sum("qty").alias("units"))
-    covered = Window.partitionBy("order_id", "eligible")
-    upto = covered.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    levels = levels.withColumn("_before", F.sum("units").over(upto) - F.col("units")).withColumn("_all", F.sum("units").over(covered))
+    # One partitioning by bill serves the running count and the final grouping.
+    by_bill = Window.partitionBy("order_id")
+    upto = by_bill.orderBy("price").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    covered = F.when(F.col("eligible"), F.col("units")).otherwise(F.lit(0))
+    levels = levels.withColumn("_before", F.sum(covered).over(upto) - F.col("units")).withColumn("_all", F.sum(covered).over(by_bill))
     free = F.expr("(_all div (c_buy_qty + c_get_qty)) * c_get_qty")
     here = F.when(F.col("eligible"), F.least(F.greatest(free - F.col("_before"), F.lit(0)), F.col("units")))
     amount = F.col("price") * F.col("units")

@@ -7,6 +7,7 @@ broadcasts them only while their size is under its threshold.
 
 from __future__ import annotations
 
+import json
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -318,7 +319,10 @@ class Tables:
     @cached_property
     def coupons(self) -> DataFrame:
         money = lambda c: F.col(c).cast(MONEY).alias(c)
-        rows = self.spark.createDataFrame(COUPON_ROWS, COUPON_DDL)
+        # Made from a literal, so Spark knows how small it is and can broadcast it.
+        names = [c.split()[0] for c in COUPON_DDL.split(", ")]
+        text = json.dumps([dict(zip(names, row)) for row in COUPON_ROWS])
+        rows = self.spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{COUPON_DDL}>>")))
         return rows.select(
             "id", "code", "kind", money("value"), money("max_discount"), money("min_bill"), "buy_qty", "get_qty", "applies_to",
             "item_ids", "categories", F.col("valid_from").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"),
