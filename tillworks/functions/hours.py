@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions import messages
 from tillworks.functions.access import minute_of
 from tillworks.functions.clean import TIME_PATTERN
 
@@ -26,8 +27,8 @@ def week_entries(shops: DataFrame) -> DataFrame:
         badly = ~F.coalesce(e["open"].rlike(TIME_PATTERN) & e["close"].rlike(TIME_PATTERN), F.lit(False))
         fault = (
             F.when(shut, F.lit(None))
-            .when(badly, F.lit(f"Enter opening and closing times for {day.title()} as HH:MM, or mark it closed."))
-            .when(e["open"] == e["close"], F.lit(f"Opening and closing times for {day.title()} cannot be the same."))
+            .when(badly, F.lit(messages.missing_times(day.title())))
+            .when(e["open"] == e["close"], F.lit(messages.equal_times(day.title())))
         )
         return F.struct(
             F.lit(WEEK.index(day)).alias("weekday"),

@@ -13,6 +13,8 @@ from zoneinfo import ZoneInfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillworks.functions import messages
+
 SHOP_TZ = "Asia/Kolkata"
 MAX_SPAN_DAYS = 366
 MINUTE_US = 60_000_000
@@ -85,9 +87,9 @@ class DayRange:
         first = as_day(first)
         last = first if last is None else as_day(last)
         if last < first:
-            raise ValueError("End date must be on or after start date.")
+            raise ValueError(messages.BAD_RANGE)
         if max_span is not None and (last - first).days > max_span:
-            raise ValueError("Choose a range of up to 1 year.")
+            raise ValueError(messages.LONG_RANGE)
         return cls(first, last)
 
     @property

@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillworks.functions import clean
+from tillworks.functions import clean, messages
 from tillworks.functions import timeutil as T
 from tillworks.operators import diff as D
 from tillworks.sources import payloads
@@ -94,10 +94,10 @@ def menu_edits(staged: DataFrame, menu: DataFrame) -> DataFrame:
         "price", F.coalesce("is_active", F.lit(True)).alias("is_active"), clean.blank_to_null(F.col("image_url")).alias("image_url"),
     )
     rules = [
-        (F.col("name").isNull(), "Name is required."),
-        (~F.col("image_url").rlike(clean.URL_PATTERN), "Image URL must start with http:// or https://"),
+        (F.col("name").isNull(), messages.NO_NAME),
+        (~F.col("image_url").rlike(clean.URL_PATTERN), messages.BAD_IMAGE_URL),
     ]
-    return with_errors(rows, menu, rules, "Menu item not found.")
+    return with_errors(rows, menu, rules, messages.NO_MENU_ITEM)
 
 
 INGREDIENT_COLUMNS = ["name", "unit"]
@@ -106,10 +106,10 @@ INGREDIENT_COLUMNS = ["name", "unit"]
 def ingredient_edits(staged: DataFrame, ingredients: DataFrame) -> DataFrame:
     rows = latest_edit(staged).withColumn("name", clean.blank_to_null(F.col("name")))
     rules = [
-        (F.col("name").isNull(), "Name is required."),
-        (~F.coalesce(F.col("unit").isin(*clean.UNITS), F.lit(False)), "Choose a valid unit."),
+        (F.col("name").isNull(), messages.NO_NAME),
+        (~F.coalesce(F.col("unit").isin(*clean.UNITS), F.lit(False)), messages.BAD_UNIT),
     ]
-    return with_errors(rows, ingredients, rules, "Ingredient not found.", F.lower("name"), "Name already exists.")
+    return with_errors(rows, ingredients, rules, messages.NO_INGREDIENT, F.lower("name"), messages.NAME_TAKEN)
 
 
 STOCK_SETTING_COLUMNS = ["track_stock", "low_stock_at"]
@@ -118,7 +118,7 @@ STOCK_SETTING_COLUMNS = ["track_stock", "low_stock_at"]
 def stock_setting_edits(staged: DataFrame, ingredients: DataFrame) -> DataFrame:
     rows = latest_edit(staged).withColumn("track_stock", F.coalesce("track_stock", F.lit(False)))
     level = F.col("low_stock_at")
-    return with_errors(rows, ingredients, [((level < 0) | (level > 1_000_000_000), "Low stock alert must be 0 or more.")], "Ingredient not found.")
+    return with_errors(rows, ingredients, [((level < 0) | (level > 1_000_000_000), messages.BAD_ALERT)], messages.NO_INGREDIENT)
 
 
 STAFF_COLUMNS = ["username", "role", "is_active", "login_from", "login_to", "auto_approve"]
@@ -132,11 +132,11 @@ def staff_edits(staged: DataFrame, admins: DataFrame) -> DataFrame:
         clean.blank_to_null(F.col("login_to")).alias("login_to"), F.coalesce("auto_approve", F.lit(False)).alias("auto_approve"),
     )
     rules = [
-        (~F.col("username").rlike(clean.USERNAME_PATTERN), "Username must be 3-32 characters: letters, numbers, dot, dash or underscore."),
-        (~F.col("role").isin(*clean.ROLES), "Choose a valid role."),
-        (F.col("login_from").isNull() != F.col("login_to").isNull(), "Set both a start and an end time for the login hours, or leave both blank."),
+        (~F.col("username").rlike(clean.USERNAME_PATTERN), messages.BAD_USERNAME),
+        (~F.col("role").isin(*clean.ROLES), messages.BAD_ROLE),
+        (F.col("login_from").isNull() != F.col("login_to").isNull(), messages.HALF_WINDOW),
     ]
-    checked = with_errors(rows, admins, rules, "User not found.", F.lower("username"), "Username is already taken.")
+    checked = with_errors(rows, admins, rules, messages.NO_USER, F.lower("username"), messages.USERNAME_TAKEN)
     is_super = F.col("role") == "super"
     for c in ("login_from", "login_to"):
         checked = checked.withColumn(c, F.when(~is_super, F.col(c)))
@@ -191,20 +191,20 @@ def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
     )
     c = F.col
     rules = [
-        (~c("code").rlike(clean.COUPON_CODE_PATTERN), "Code must be 3 to 20 letters, numbers, - or _."),
-        (~c("kind").isin(*clean.COUPON_KINDS), "Choose a coupon type."),
-        ((c("kind") == "percent") & ((c("value") <= 0) | (c("value") > 100)), "Percentage must be more than 0 and at most 100."),
-        ((c("kind") == "flat") & (c("value") <= 0), "Discount amount must be more than 0."),
-        ((c("kind") == "bogo") & ((F.coalesce(c("buy_qty"), F.lit(0)) < 1) | (F.coalesce(c("get_qty"), F.lit(0)) < 1)), "Buy and free quantities must both be at least 1."),
-        (c("max_discount") <= 0, "Maximum discount must be more than 0."),
-        (c("min_bill") < 0, "Minimum bill cannot be negative."),
-        (~c("applies_to").isin("all", "items"), "Choose what the coupon applies to."),
-        ((c("applies_to") == "items") & (F.size("item_ids") == 0) & (F.size("categories") == 0), "Pick at least one item or category for this coupon."),
-        (c("valid_to") < c("valid_from"), "Valid until must be on or after valid from."),
-        (c("usage_limit") < 1, "Total uses must be at least 1, or blank."),
-        (c("per_customer_limit") < 1, "Uses per customer must be at least 1, or blank."),
+        (~c("code").rlike(clean.COUPON_CODE_PATTERN), messages.BAD_CODE),
+        (~c("kind").isin(*clean.COUPON_KINDS), messages.BAD_COUPON_KIND),
+        ((c("kind") == "percent") & ((c("value") <= 0) | (c("value") > 100)), messages.BAD_PERCENT),
+        ((c("kind") == "flat") & (c("value") <= 0), messages.BAD_FLAT),
+        ((c("kind") == "bogo") & ((F.coalesce(c("buy_qty"), F.lit(0)) < 1) | (F.coalesce(c("get_qty"), F.lit(0)) < 1)), messages.BAD_BOGO),
+        (c("max_discount") <= 0, messages.BAD_CAP),
+        (c("min_bill") < 0, messages.BAD_MIN_BILL),
+        (~c("applies_to").isin("all", "items"), messages.BAD_SCOPE),
+        ((c("applies_to") == "items") & (F.size("item_ids") == 0) & (F.size("categories") == 0), messages.EMPTY_SCOPE),
+        (c("valid_to") < c("valid_from"), messages.BAD_VALIDITY),
+        (c("usage_limit") < 1, messages.BAD_TOTAL_USES),
+        (c("per_customer_limit") < 1, messages.BAD_CUSTOMER_USES),
     ]
-    return with_errors(rows, coupons, rules, "Coupon not found.", F.upper("code"), "Coupon code already exists.")
+    return with_errors(rows, coupons, rules, messages.NO_COUPON, F.upper("code"), messages.CODE_TAKEN)
 
 
 def replace_recipes(recipes: DataFrame, payloads_in: DataFrame, menu: DataFrame, ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -249,7 +249,7 @@ def patch_settings(current: DataFrame, patches: DataFrame) -> DataFrame:
         "currency": value("currency"),
         "upi_id": value("upi_id"),
         "country_code": F.coalesce(clean.digits(F.col("p")["country_code"]), F.lit("91")),
-        "receipt_footer": F.coalesce(value("receipt_footer"), F.lit("Thank you! Visit again.")),
+        "receipt_footer": F.coalesce(value("receipt_footer"), F.lit(messages.DEFAULT_FOOTER)),
         "hide_out_of_stock": F.when(F.col("p")["hide_out_of_stock"].isin("true", "false"), F.col("p")["hide_out_of_stock"] == "true").otherwise(F.col("hide_out_of_stock")),
         "tagline": named("tagline", value("tagline"), "tagline"),
         "whatsapp": named("whatsapp", clean.digits(F.col("p")["whatsapp"]), "whatsapp"),
@@ -261,17 +261,17 @@ def patch_settings(current: DataFrame, patches: DataFrame) -> DataFrame:
     long = clean.longer_than
     bad_url = lambda c: ~c.rlike(clean.URL_PATTERN) | long(c, 500)
     error = clean.first_violation(
-        (n["shop_name"].isNull(), "Shop name is required."),
-        (long(n["shop_name"], 80), "Shop name can be at most 80 characters."),
-        (n["currency"].isNull() | long(n["currency"], 5), "Currency symbol must be 1-5 characters."),
-        (~n["upi_id"].rlike(clean.UPI_PATTERN), "Enter a valid UPI ID, e.g. myshop@okaxis."),
-        (long(n["country_code"], 4), "Country code must be 1-4 digits."),
-        (long(n["shop_address"], 200) | long(n["receipt_footer"], 200), "Address and receipt footer can be at most 200 characters."),
-        (long(n["shop_phone"], 20), "Shop phone can be at most 20 characters."),
-        (long(n["tagline"], 120), "Tagline can be at most 120 characters."),
-        (~n["whatsapp"].rlike(clean.WHATSAPP_PATTERN), "Enter a valid WhatsApp number (10-15 digits)."),
-        (bad_url(n["maps_url"]), "Google Maps link must start with https://"),
-        (bad_url(n["cover_image_url"]), "Cover photo URL must start with https://"),
+        (n["shop_name"].isNull(), messages.NO_SHOP_NAME),
+        (long(n["shop_name"], 80), messages.LONG_SHOP_NAME),
+        (n["currency"].isNull() | long(n["currency"], 5), messages.BAD_CURRENCY),
+        (~n["upi_id"].rlike(clean.UPI_PATTERN), messages.BAD_UPI),
+        (long(n["country_code"], 4), messages.BAD_COUNTRY_CODE),
+        (long(n["shop_address"], 200) | long(n["receipt_footer"], 200), messages.LONG_ADDRESS),
+        (long(n["shop_phone"], 20), messages.LONG_SHOP_PHONE),
+        (long(n["tagline"], 120), messages.LONG_TAGLINE),
+        (~n["whatsapp"].rlike(clean.WHATSAPP_PATTERN), messages.BAD_WHATSAPP),
+        (bad_url(n["maps_url"]), messages.BAD_MAPS_URL),
+        (bad_url(n["cover_image_url"]), messages.BAD_COVER_URL),
     )
     rows = rows.withColumn("error", error)
     opts = {"ignoreNullFields": "false"}

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.config import cut_lineage
+from tillworks.functions import messages
 from tillworks.functions import timeutil as T
 from tillworks.operators.prefix import running_balance, running_sum
 
@@ -75,8 +76,8 @@ def input_error(kind: Column, qty: Column) -> Column:
     """Why a stock input is refused, null when it is fine."""
     absent = qty.isNull()
     return (
-        F.when((kind == "count") & (absent | (qty < 0) | (qty > MAX_QTY)), "Enter the counted quantity (0 or more).")
-        .when((kind != "count") & (absent | (qty <= 0) | (qty > MAX_QTY)), "Enter a quantity greater than 0.")
+        F.when((kind == "count") & (absent | (qty < 0) | (qty > MAX_QTY)), messages.BAD_COUNT)
+        .when((kind != "count") & (absent | (qty <= 0) | (qty > MAX_QTY)), messages.BAD_QUANTITY)
     )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillworks.config import stage_table
-from tillworks.functions import clean
+from tillworks.functions import clean, messages
 from tillworks.functions import timeutil as T
 from tillworks.operators import coupons as C
 from tillworks.operators.prefix import running_last
@@ -61,9 +61,9 @@ def checked_bills(bills: DataFrame) -> DataFrame:
         clean.coupon_code_key(F.col("coupon_code")).alias("code"),
     )
     error = clean.first_violation(
-        (~clean.phone_ok(F.col("phone")), "Enter a valid 10-digit phone number, or leave it blank."),
-        (~F.col("method").isin(*clean.PAYMENT_METHODS), "Choose a valid payment method."),
-        (~payloads.is_filled_array(F.col("items")), "Add at least one item."),
+        (~clean.phone_ok(F.col("phone")), messages.BAD_PHONE),
+        (~F.col("method").isin(*clean.PAYMENT_METHODS), messages.BAD_METHOD),
+        (~payloads.is_filled_array(F.col("items")), messages.NO_ITEMS),
     )
     return rows.withColumn("error", error)
 
@@ -95,7 +95,7 @@ def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredien
         F.col("id").alias("bill_id"), "coupon_id", F.col("discount").alias("coupon_discount"), F.concat(F.lit("Coupon refused: "), F.col("reason")).alias("coupon_error")
     )
     rows = checked.withColumn("bill_id", F.col("id")).join(sums, "bill_id", "left").join(settled, "bill_id", "left")
-    no_line = F.when(F.col("subtotal").isNull(), "No valid items in order.")
+    no_line = F.when(F.col("subtotal").isNull(), messages.NO_VALID_ITEMS)
     rows = rows.withColumn("error", F.coalesce("error", "coupon_error", no_line))
     decided = stage_table(rows.drop("items", "coupon_error", "bill_id"))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.functions import messages
+
 BILL_ITEMS = "array<struct<menu_item_id:bigint,qty:int>>"
 RECIPE_ITEMS = "array<struct<ingredient_id:bigint,qty:decimal(12,3)>>"
 
@@ -41,7 +43,7 @@ def recipe_payload_error(items: Column) -> Column:
     """Why a recipe payload is rejected, null when it is fine."""
     parsed = F.from_json(items, RECIPE_ITEMS)
     bad = F.exists(parsed, lambda x: x["ingredient_id"].isNull() | (F.coalesce(x["qty"], F.lit(0)) <= 0))
-    return F.when(~is_array_text(items), "Invalid ingredients list.").when(bad, "Each ingredient needs a quantity greater than 0.")
+    return F.when(~is_array_text(items), messages.BAD_RECIPE_LIST).when(bad, messages.BAD_RECIPE_LINE)
 
 
 def id_list(json: Column) -> Column:
