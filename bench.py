@@ -31,7 +31,8 @@ def main() -> None:
     queries = catalog.queries()
     wanted = os.environ.get("BENCH_KEYS", "")
     keys = list(queries) if wanted == "all" else [k for k in wanted.split(",") if k] or HEADLINE
-    spark.read.parquet(f"{folder}/orders.parquet").write.format("noop").mode("overwrite").save()
+    # Starts the executor threads and the code generator; not timed.
+    spark.read.parquet(f"{folder}/orders.parquet").groupBy("o_orderstatus").count().orderBy("count").collect()
     seconds = {}
     for key in keys:
         started = time.perf_counter()

@@ -117,6 +117,8 @@ def test_shift(spark):
     assert (r.expected_cash, r.difference, r.label, r.pending_total, r.closed_by_name) == (D("1700.00"), D("-10.00"), "Short by", D("300.00"), "asha")
     frozen = shifts.reconcile(sh.withColumn("expected_cash", F.lit(D("1690.00"))), orders, admins, datetime(2024, 1, 2)).first()
     assert (frozen.expected_cash, frozen.label) == (D("1690.00"), "Exact match")
+    closed = shifts.reconcile(sh.withColumn("totals", F.lit('{"orders":2,"sales":900.5,"cash":900.5}')), orders, admins, datetime(2024, 1, 2)).first()
+    assert (closed.orders, closed.sales, closed.pending_total, closed.expected_cash) == (2, D("900.50"), D("0.00"), D("1400.50"))
 
 
 def test_ledger(spark):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillworks.catalog.params import ALL_DAYS_SQL, AS_OF, AS_OF_SQL, ONE_YEAR
+from tillworks.catalog.params import ALL_DAYS_SQL, AS_OF, AS_OF_SQL, ONE_YEAR, SHOP
 from tillworks.catalog.registry import query
 from tillworks.functions import labels
 from tillworks.operators import kitchen as K
@@ -110,7 +110,7 @@ def menu_status_join(t):
     **STOCK,
 )
 def hide_out_of_stock(t):
-    return S.sellable_menu(t.menu, S.menu_stock(t.recipes, t.ingredients), hide_out_of_stock=True)
+    return S.sellable_menu(t.menu, S.menu_stock(t.recipes, t.ingredients), hide_out_of_stock=SHOP.hide_out_of_stock)
 
 
 # ---- stock ----------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillworks.catalog.params import AS_OF, AS_OF_SQL, DAY
+from tillworks.catalog.params import AS_OF, AS_OF_SQL, DAY, SHOP
 from tillworks.catalog.registry import query
 from tillworks.config import stage_table
 from tillworks.operators import coupons as C
@@ -170,7 +170,7 @@ def coupon_usage_join(t):
 
 
 def _catalogue(t):
-    return C.catalogue(t.coupons, t.orders, AS_OF, "₹")
+    return C.catalogue(t.coupons, t.orders, AS_OF, SHOP.currency)
 
 
 @query("coupon_status", f"SELECT id, code, {STATE} AS state FROM pos_coupons LEFT JOIN u ON u.coupon_id = id", **USES)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tillworks.catalog import coupon_queries as CQ
+from tillworks.catalog.params import SHOP
 from tillworks.catalog.registry import query
 from tillworks.catalog.scalar_queries import RECIPE_GOOD, RECIPE_LINES, RECIPE_PAYLOADS, recipe_payloads
 from tillworks.operators import diff as D
@@ -433,7 +434,7 @@ AUDIT_DOCS = dict(
 
 @query("audit_render", "SELECT * FROM rd", **AUDIT_DOCS)
 def audit_render(t):
-    return D.render(t.audit_documents, "₹").select("id", "action", "entity_id", "created_at", "label", "target", "summary")
+    return D.render(t.audit_documents, SHOP.currency).select("id", "action", "entity_id", "created_at", "label", "target", "summary")
 
 
 @query("audit_page", "SELECT id, action, entity_id, created_at FROM pos_audit_log WHERE action LIKE 'stock.%' ORDER BY created_at DESC, id DESC LIMIT 50 OFFSET 50")
@@ -444,4 +445,4 @@ def audit_page(t):
 @query("audit_feed", "SELECT * FROM rd WHERE action LIKE 'menu.%' ORDER BY created_at DESC, id DESC LIMIT 50", **AUDIT_DOCS)
 def audit_feed(t):
     """A page of the audit log: cut first, rendered after."""
-    return D.render(P.audit_page(t.audit_documents, "menu", None, 50), "₹").select("id", "action", "entity_id", "created_at", "label", "target", "summary")
+    return D.render(P.audit_page(t.audit_documents, "menu", None, 50), SHOP.currency).select("id", "action", "entity_id", "created_at", "label", "target", "summary")

@@ -2,8 +2,11 @@
 
 from datetime import date, datetime
 
+from tillworks.config import ShopConfig
 from tillworks.functions.timeutil import DayRange
 
+SHOP = ShopConfig()
+
 AS_OF = datetime(1998, 7, 1, 12, 0, 0)
 EVENTS_AS_OF = datetime(2024, 1, 20, 12, 0, 0)
 ALL_DAYS = DayRange(date(1995, 1, 1), date(2001, 12, 31))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.functions import access, clean
+from tillworks.functions import access
 from tillworks.functions import timeutil as T
 
 LOCK_WINDOW_US = 15 * T.MINUTE_US
@@ -214,6 +214,3 @@ def attempts_after_purge(attempts: DataFrame, as_of) -> DataFrame:
 def sessions_after_purge(sessions: DataFrame, as_of) -> DataFrame:
     return sessions.filter(F.col("expires_at") >= T.instant(as_of))
 
-
-def username_of(name: Column) -> Column:
-    return clean.username_key(name)

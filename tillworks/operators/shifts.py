@@ -54,13 +54,17 @@ TOTALS = ["orders", "sales", "cash", "upi", "card", "pending_count", "pending_to
 def reconcile(shifts: DataFrame, orders: DataFrame, admins: DataFrame, as_of) -> DataFrame:
     """Every shift with its totals, expected cash, difference and label.
 
-    Closed shifts that carry a frozen ``expected_cash`` keep it: later changes to their
-    bills do not move it. Live figures fill the rest.
+    Shifts that carry frozen ``totals`` (JSON) or a frozen ``expected_cash`` keep them:
+    later changes to their bills do not move a closed shift. Live figures fill the rest.
     """
     live = shift_totals(shift_orders(shifts, orders, as_of)).withColumnRenamed("shift_id", "id")
     rows = shifts.join(live, "id", "left")
+    kind = {c: "bigint" if c == "orders" or c.endswith("count") else SUM for c in TOTALS}
+    if "totals" in shifts.columns:
+        rows = rows.withColumn("_kept", F.from_json("totals", ", ".join(f"{c} {t}" for c, t in kind.items())))
     for c in TOTALS:
-        rows = rows.withColumn(c, F.coalesce(c, F.lit(0)) if c.endswith("count") or c == "orders" else F.coalesce(c, F.lit(0)).cast(SUM))
+        kept = [F.when(F.col("totals").isNotNull(), F.coalesce(F.col("_kept")[c], F.lit(0)))] if "totals" in shifts.columns else []
+        rows = rows.withColumn(c, F.coalesce(*kept, F.col(c), F.lit(0)).cast(kind[c]))
     frozen = F.col("expected_cash") if "expected_cash" in shifts.columns else F.lit(None)
     rows = rows.withColumn("expected_cash", F.coalesce(frozen, F.col("opening_cash") + F.col("cash")).cast(SUM))
     difference = F.when(F.col("closed_at").isNotNull(), F.col("counted_cash") - F.col("expected_cash")).cast(SUM)

@@ -65,39 +65,50 @@ def _sales_by(cube: DataFrame, *keys: Column | str) -> DataFrame:
     return paid(cube).groupBy(*keys).agg(F.sum("orders").alias("orders"), money_sum("total").alias("total"))
 
 
+def per_method(cube: DataFrame) -> DataFrame:
+    return _sales_by(cube, F.coalesce("payment_method", F.lit("unknown")).alias("method"))
+
+
 def sales_by_method(cube: DataFrame) -> DataFrame:
-    return _sales_by(cube, F.coalesce("payment_method", F.lit("unknown")).alias("method")).orderBy(F.desc("total"), "method")
+    return per_method(cube).orderBy(F.desc("total"), "method")
 
 
 def zero_filled(spine: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Every spine key once, with zeros where nothing was found."""
-    return (
-        spine.join(found, key, "left")
-        .select(key, F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("total", F.lit(0)).cast(MONEY_SUM).alias("total"))
-        .orderBy(key)
+    return spine.join(found, key, "left").select(
+        key, F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("total", F.lit(0)).cast(MONEY_SUM).alias("total")
     )
 
 
-def sales_by_day(cube: DataFrame, days: T.DayRange) -> DataFrame:
+def per_day(cube: DataFrame, days: T.DayRange) -> DataFrame:
     return zero_filled(days.days(cube.sparkSession), _sales_by(cube, "day"), "day")
 
 
-def sales_by_hour(cube: DataFrame) -> DataFrame:
+def sales_by_day(cube: DataFrame, days: T.DayRange) -> DataFrame:
+    return per_day(cube, days).orderBy("day")
+
+
+def per_hour(cube: DataFrame) -> DataFrame:
     hours = cube.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))
     return zero_filled(hours, _sales_by(cube, "hour"), "hour")
 
 
-def sales_by_staff(cube: DataFrame, admins: DataFrame) -> DataFrame:
+def sales_by_hour(cube: DataFrame) -> DataFrame:
+    return per_hour(cube).orderBy("hour")
+
+
+def per_author(cube: DataFrame, admins: DataFrame) -> DataFrame:
     """Paid sales per author; authors without an account row share the ``—`` label but stay separate rows."""
-    per_author = _sales_by(cube, "created_by")
     names = admins.select(F.col("id").alias("created_by"), "username")
-    return (
-        per_author.join(names, "created_by", "left")
-        .select("created_by", F.coalesce("username", F.lit("—")).alias("username"), "orders", "total")
-        .orderBy(F.desc("total"), "username")
+    return _sales_by(cube, "created_by").join(names, "created_by", "left").select(
+        "created_by", F.coalesce("username", F.lit("—")).alias("username"), "orders", "total"
     )
 
 
+def sales_by_staff(cube: DataFrame, admins: DataFrame) -> DataFrame:
+    return per_author(cube, admins).orderBy(F.desc("total"), "username")
+
+
 def busy_hours(by_hour: DataFrame) -> DataFrame:
     """The inclusive span between the first and the last hour with sales (24 input rows)."""
     everything = Window.partitionBy()
@@ -175,11 +186,11 @@ def sales_report(orders: DataFrame, lines: DataFrame, menu: DataFrame, admins: D
         section(one, "average", F.lit("avg"), "orders", "avg_bill"),
         section(one, "pending", F.lit("pending"), "pending_orders", "pending_total"),
         section(one, "cancelled", F.lit("cancelled"), "cancelled_orders", "cancelled_total"),
-        section(ranked(sales_by_method(cube), F.desc("total"), "method"), "by_method", F.col("method")),
-        section(ranked(sales_by_day(cube, days), "day"), "by_day", F.col("day")),
-        section(ranked(sales_by_hour(cube), "hour"), "by_hour", F.col("hour")),
+        section(ranked(per_method(cube), F.desc("total"), "method"), "by_method", F.col("method")),
+        section(ranked(per_day(cube, days), "day"), "by_day", F.col("day")),
+        section(ranked(per_hour(cube), "hour"), "by_hour", F.col("hour")),
         section(ranked(top_items(top), F.desc("revenue"), F.desc("qty"), "name"), "top_items", F.col("name"), "qty", "revenue"),
-        section(ranked(sales_by_staff(cube, admins), F.desc("total"), "username", "created_by"), "by_staff", F.col("username")),
+        section(ranked(per_author(cube, admins), F.desc("total"), "username", "created_by"), "by_staff", F.col("username")),
     ]
     out = parts[0]
     for p in parts[1:]:

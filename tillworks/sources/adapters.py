@@ -45,8 +45,13 @@ def order_created_at(key: Column, day: Column) -> Column:
 
 
 def numbered(items: DataFrame, order: list[str]) -> DataFrame:
-    """Line numbers within each bill, counted per slice of (bill, line number) so a huge bill spreads out."""
-    return running_sum(items, ["order_id"], order, F.col(order[0]), line_no=F.lit(1))
+    """Line numbers within each bill, in the order of its line number, item and the rest.
+
+    Counted per slice of (line number, a million item ids), so even a bill holding a
+    large part of all lines spreads over many tasks.
+    """
+    slice_ = F.col("l_linenumber") * F.lit(10**12) + F.floor(F.col("l_partkey") / 1_000_000)
+    return running_sum(items, ["order_id"], order, slice_, line_no=F.lit(1))
 
 
 class Tables:
