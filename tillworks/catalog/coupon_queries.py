@@ -77,7 +77,7 @@ def _offers(t):
 
 @query("unit_explode", "SELECT order_id, price, CAST(sum(qty) AS BIGINT) AS units FROM cl WHERE eligible AND order_id % 12 IN (5, 6) GROUP BY 1, 2", **BATCH)
 def unit_explode(t):
-    """Unit counts per price level: what the reference spreads into one row per unit."""
+    """Unit counts per price level: the compact form of one row per unit."""
     offers = _offers(t).select("order_id")
     return C.price_levels(C.coupon_lines(*batch(t))).filter("eligible").join(offers, "order_id", "left_semi").select("order_id", "price", "units")
 
