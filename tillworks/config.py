@@ -38,13 +38,19 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for checkpoints and cut-lineage tables.
 
     The cluster names a shared folder in ``spark.checkpoint.dir``. Only where it
-    names none (a bare local test) is a fresh temporary folder used.
+    names none (a bare local test) is a temporary folder used, one for the session; on a
+    cluster that is an error.
     """
     ctx = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or ctx.getConf().get("spark.checkpoint.dir")
     if not named:
         current = ctx._jsc.sc().getCheckpointDir()
-        named = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        named = current.get() if current.isDefined() else None
+    if not named:
+        if not ctx.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        ctx.setCheckpointDir(named)
     return named.rstrip("/")
 
 
