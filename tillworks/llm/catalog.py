@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import packing, simhash, toxicity
+from tillworks.llm import packing, repeats, simhash, toxicity
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -50,6 +50,11 @@ def lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op7_repeated_strings")
+def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.digest(repeats.removed(table(spark, folder, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 

@@ -1,54 +1,27 @@
-"""Byte-level BPE ids of whole texts, with a per-worker memory of pre-tokens."""
+"""Byte-level BPE ids of whole texts."""
 
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 
-CACHE = 400_000  # pre-tokens a worker remembers
-TAKE = 1 << 16  # pre-tokens joined at a time
-
-
-class _Pieces(dict):
-    """Pre-token to its ids as little-endian 16-bit bytes."""
-
-    def __init__(self, encode):
-        super().__init__()
-        self.encode = encode
-
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = np.array(self.encode(piece), "<u2").tobytes()
-        self[piece] = ids
-        return ids
-
 
 @lru_cache(maxsize=2)
 def _loaded(path: str, pattern: str):
-    import regex
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     if len(ranks) > 1 << 16:
         raise ValueError("ids must fit 16 bits")
-    bpe = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return regex.compile(pattern), _Pieces(bpe.encode_ordinary)
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def ids_of(text: str | None, path: str, pattern: str) -> np.ndarray:
-    """Ids (uint16) of a whole text; none for null or empty text. Special-token strings are ordinary text.
-
-    The merges never cross pre-tokens, so joining remembered pre-tokens gives the tokenizer's own ids.
-    """
-    split, pieces = _loaded(path, pattern)
-    found = [m for m in split.findall(text or "")]
-    parts = [b"".join(map(pieces.__getitem__, found[at : at + TAKE])) for at in range(0, len(found), TAKE)]
-    return np.frombuffer(b"".join(parts), "<u2")
+    """Ids (uint16) of a whole text; none for null or empty text. Special-token strings are ordinary text."""
+    return _loaded(path, pattern).encode_to_numpy(text or "", disallowed_special=()).astype("<u2")
 
 
 def vocabulary() -> tuple[str, str, int]:
@@ -57,7 +30,3 @@ def vocabulary() -> tuple[str, str, int]:
 
     return public.path("byte_bpe_50k.tiktoken"), public.PATTERN, 50_257
 
-
-def batches(texts: Iterable[str | None], path: str, pattern: str) -> Iterator[np.ndarray]:
-    for t in texts:
-        yield ids_of(t, path, pattern)
