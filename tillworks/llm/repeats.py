@@ -11,8 +11,9 @@ places, and every string of ``width`` bytes holds one, which is all the merge st
 1. *Sampled prefixes*: the ``width - WINDOW + 1`` bytes from each sampled position are named
    by a hash; a name that occurs once ends all strings over it (they cannot repeat).
 2. *Triples and names of names*: names of consecutive sampled positions are joined with
-   their distances, three at a time and then three of those; equal joined names cover
-   equal text, so strings inside are repeated. One member stands for each name from there on.
+   their distances, three at a time, then three of those names, and once more; equal joined
+   names cover equal text, so strings inside are repeated. One member stands for each name
+   from there on.
 3. *Merge of the remaining suffixes*: starts between sampled positions that step 2 left open,
    and the members that stand for a name, meet by (bytes before, name, bytes after) in slots
    of ``SLOT`` starts and adjacent equal prefixes of ``width`` bytes are repeats.
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 from tillworks.config import stage_table
 
 WIDTH = 400
-WINDOW = 128  # starts that one sampled position can serve
+WINDOW = 192  # starts that one sampled position can serve; 128 and 64 more
 GRAM = 8
 SLOT = 16  # starts compared together in the merge
 CHUNK = 1 << 20  # starts of one document handled at a time
@@ -52,12 +53,12 @@ def cover(data: bytes, width: int = WIDTH) -> Iterator[tuple[int, np.ndarray]]:
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-        where, step = np.arange(m), 1
-        while step < WINDOW:
+        where = np.arange(m)
+        # Minima of 2, 4, ... 128 places, then of 192; the earlier place wins a tie.
+        for step in (1, 2, 4, 8, 16, 32, 64, WINDOW - 128):
             right = h[step:] < h[:-step]
             where = np.where(right, where[step:], where[:-step])
             h = np.where(right, h[step:], h[:-step])
-            step *= 2
         yield at, where[:n] + at
 
 
@@ -129,8 +130,8 @@ def _proven(sampled: DataFrame, width: int, core: int) -> tuple[DataFrame, DataF
         return df.withColumns({f"{name}_": joined, f"{end}_": reach}).drop("n1", "x1", "e1", "n2", "x2", "e2")
 
     df = sampled.withColumn("end", F.col("x") + core)
-    df = triple(triple(df, "core", "end", 1), "core_", "end_", 2)
-    levels = F.array(*[F.struct(F.col(n).alias("name"), F.col(e).alias("end")) for n, e in (("core_", "end_"), ("core__", "end__"))])
+    df = triple(triple(triple(df, "core", "end", 1), "core_", "end_", 1), "core__", "end__", 2)
+    levels = F.array(*[F.struct(F.col(f"core{u}").alias("name"), F.col(f"end{u}").alias("end")) for u in ("__", "___")])
     rows = df.select("rid", "x", "copies", F.explode(levels).alias("l")).select("rid", "x", "copies", "l.name", (F.col("l.end") - width).alias("hi")).where("hi >= x").distinct()
     rows = stage_table(rows)
     names = rows.groupBy("name", (F.col("hi") - F.col("x")).alias("room")).agg(F.sum("copies").alias("n"), F.min(F.struct("rid", "x")).alias("first")).where("n > 1")
@@ -153,13 +154,16 @@ def _mask(n: int, ranges: list[dict] | None) -> np.ndarray:
     return np.cumsum(edges)[:n] > 0
 
 
-def _slots(width: int, core: int):
-    """Rows for the merge: (key, rid, start, left, right, open) for slots of starts at one sampled position.
+def _slots(width: int):
+    """Rows for the merge: (key, rid, base, around, open, need) for slots of starts at one sampled position.
 
     A slot holds the starts ``x - l`` with ``l`` in one aligned run of ``SLOT`` values. ``key`` names
-    the text that all of them share, ``left`` and ``right`` are the bytes around it.
+    the text that all of them share, ``around`` holds the ``SLOT - 1`` bytes before and after it
+    (zeros where the document ends). Bit t of ``open``: start ``base - t`` is compared; of ``need``:
+    it is not known to repeat.
     """
-    schema = pa.schema([("key", pa.int64()), ("rid", pa.int64()), ("base", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("open", pa.int64()), ("need", pa.int64())])
+    names = [("key", pa.int64()), ("rid", pa.int64()), ("base", pa.int64()), ("around", pa.binary()), ("open", pa.int32()), ("need", pa.int32())]
+    schema, side = pa.schema(names), SLOT - 1
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
@@ -175,47 +179,83 @@ def _slots(width: int, core: int):
                 todo = known & (wanted[hi + 1] > wanted[lo])
                 for a, p, q in zip(x[todo].tolist(), lo[todo].tolist(), hi[todo].tolist(), strict=True):
                     for slot in range((a - q) // SLOT, (a - p) // SLOT + 1):
-                        near, far = max(slot * SLOT, a - q), min(slot * SLOT + SLOT - 1, a - p)
+                        base = a - slot * SLOT
+                        near, far = max(slot * SLOT, a - q), min(slot * SLOT + side, a - p)
                         if wanted[a - near + 1] == wanted[a - far]:
                             continue
-                        begin, end = a - slot * SLOT, a - slot * SLOT - SLOT + 1 + width
                         bits = need = 0
-                        for l in range(near, far + 1):
-                            one = 1 << (l - slot * SLOT)
-                            if not proven[a - l]:
-                                need |= one
-                            if not proven[a - l] or stand[a - l]:
-                                bits |= one
-                        left, right = data[max(0, begin - SLOT + 1) : begin], data[end : end + SLOT - 1]
-                        rows.append((digest(data[begin:end], slot), row["rid"], a - slot * SLOT, left, right, bits, need))
+                        for start in range(a - far, a - near + 1):
+                            if not proven[start]:
+                                need |= 1 << (base - start)
+                            if not proven[start] or stand[start]:
+                                bits |= 1 << (base - start)
+                        end = base - side + width
+                        around = data[max(0, base - side) : base].rjust(side, b"\0") + data[end : end + side].ljust(side, b"\0")
+                        key = digest(data[base:end], slot)
+                        rows.append((key - (1 << 64) if key >> 63 else key, row["rid"], base, around, bits, need))
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(_fit(c, s)) for c, s in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(c, s.type) for c, s in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 
 
-def _fit(values: tuple, field: pa.Field) -> pa.Array:
-    if field.name == "key":
-        return pa.array(np.array(values, np.uint64).view(np.int64))
-    return pa.array(values, field.type)
+def _twins(key: np.ndarray, around: np.ndarray, opened: np.ndarray) -> np.ndarray:
+    """Bits of the open starts whose whole string occurs in another row: same key, same bytes before and after."""
+    side, base = SLOT - 1, np.uint64(0x9E3779B97F4A7C15)
+    found = np.zeros(len(key), np.int32)
+    before, after = [key.view(np.uint64) * base], [np.zeros(len(key), np.uint64)]
+    with np.errstate(over="ignore"):
+        for k in range(side):
+            before.append((before[-1] ^ around[:, side - 1 - k].astype(np.uint64)) * base + np.uint64(k + 1))
+            after.append((after[-1] ^ (around[:, side + k].astype(np.uint64) + np.uint64(1))) * base)
+        for t in range(SLOT):
+            at = np.flatnonzero(opened >> t & 1)
+            if len(at) < 2:
+                continue
+            name = before[t][at] ^ (after[side - t][at] * np.uint64(0xBF58476D1CE4E5B9))
+            name ^= name >> np.uint64(31)
+            order = np.argsort(name, kind="stable")
+            same = name[order][1:] == name[order][:-1]
+            twin = np.append(same, False) | np.append(False, same)
+            found[at[order[twin]]] |= 1 << t
+    return found
 
 
 def _merge(slots: DataFrame) -> DataFrame:
     """Starts (rid, lo, hi) whose whole string occurs at another start too.
 
-    Every slot row yields one row for each open start, keyed by the shared text and the bytes
-    before and after it; equal keys are adjacent equal prefixes. Starts that only stand for a
-    proven name are compared but not returned. Keys are counted with
-    partial sums, so a hot passage combines before the shuffle.
+    Slots meet by key in one shuffle; within a key adjacent equal prefixes are repeats. A task
+    holds the rows of the keys at hand only, 40 bytes each. Starts that stand for a proven name
+    are compared but not returned.
     """
-    opened = F.expr(f"filter(sequence(0, {SLOT - 1}), t -> shiftright(open, t) & 1 = 1)")
-    starts = slots.select("rid", "base", "key", "left", "right", "need", F.explode(opened).alias("t"))
-    # With t bytes before the shared text, SLOT - 1 - t bytes after it belong to the string.
-    before = F.expr("substring(left, length(left) - t + 1, t)")
-    after = F.expr(f"substring(right, 1, {SLOT - 1} - t)")
-    keyed = starts.select("rid", (F.col("base") - F.col("t")).alias("p"), F.xxhash64("key", "t", before, after).alias("name"), F.expr("shiftright(need, t) & 1 = 1").alias("asked"))
-    counts = keyed.groupBy("name").count().where("count > 1").select("name")
-    return keyed.where("asked").join(counts, "name", "left_semi").select("rid", F.col("p").alias("lo"), F.col("p").alias("hi"))
+    schema = pa.schema([("rid", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64())])
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] | None = None
+        for f in frames:
+            if not f.num_rows:
+                continue
+            own = [f.column(n).to_numpy() for n in ("key", "rid", "base", "open", "need")]
+            own.append(np.frombuffer(b"".join(f.column("around").to_pylist()), np.uint8).reshape(f.num_rows, -1))
+            held = own if held is None else [np.concatenate(c) for c in zip(held, own, strict=True)]
+            upto = int(np.searchsorted(held[0], held[0][-1]))  # the last key may go on in the next batch
+            if upto:
+                yield from compared([c[:upto] for c in held])
+                held = [c[upto:] for c in held]
+        if held is not None:
+            yield from compared(held)
+
+    def compared(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        same = rows[0][1:] == rows[0][:-1]
+        met = np.append(same, False) | np.append(False, same)
+        key, rid, base, opened, need, around = (c[met] for c in rows)
+        twins = _twins(key, around, opened) & need
+        row, bit = np.nonzero(twins[:, None] >> np.arange(SLOT)[None, :] & 1)
+        if len(row):
+            start = pa.array(base[row] - bit)
+            yield pa.RecordBatch.from_arrays([pa.array(rid[row]), start, start], schema=schema)
+
+    return slots.repartition("key").sortWithinPartitions("key").mapInArrow(run, "rid long, lo long, hi long")
 
 
 def spans_of(n_bytes: int, width: int, lo: np.ndarray, hi: np.ndarray) -> list[tuple[int, int]]:
@@ -239,10 +279,9 @@ def _cut(text: pa.Array, repeats: pa.Array, width: int) -> Iterator[tuple[bytes
 
 
 def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """(rid, text, repeats): each row of ``docs`` (doc_id, text) by its key, with the ranges of its repeated starts.
+    """(rid, repeats): for each row of ``docs`` (doc_id, text) with repeats, by its key, the ranges of its repeated starts.
 
-    ``repeats`` is null where nothing repeats. Identical rows have one key and come once, with
-    ``copies``.
+    Identical rows have one key and come once.
     """
     core = width - WINDOW + 1
     if core < GRAM:
@@ -256,7 +295,7 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     lists = suspects.groupBy("rid").agg(F.collect_set("x").alias("sampled"))
     lists = lists.join(_ranges(held, "proven"), "rid", "left").join(_ranges(stand, "stand"), "rid", "left")
     texts = stage_table(keyed.join(lists, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("text", "sampled", "proven", "stand")]))
-    slots = stage_table(texts.mapInArrow(_slots(width, core), "key long, rid long, base long, left binary, right binary, open long, need long"))
+    slots = texts.mapInArrow(_slots(width), "key long, rid long, base long, around binary, open int, need int")
     found = _merge(slots).union(held)
     return _ranges(found, "repeats")
 
@@ -271,6 +310,15 @@ def removed(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return keyed.join(repeated_starts(docs, width), "rid", "left").select("doc_id", "text", "repeats")
 
 
+def without_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with every repeated byte cut out of ``text``; all rows and all columns stay."""
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(_key(F.col("doc_id"), F.col("text")).alias("rid"), own.alias("row"))
+    cut = keyed.join(repeated_starts(docs, width), "rid", "left")
+    text = kept_text(F.col("row.text"), F.col("repeats"), width)
+    return cut.select("row", text.alias("kept")).select(*[F.col("kept").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+
+
 def digest(found: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per row of :func:`removed`: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
 

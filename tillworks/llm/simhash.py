@@ -106,6 +106,20 @@ def _forest(fps: np.ndarray, masks: np.ndarray, quotas: list[int], tau: int) ->
             left = left[~near]
 
 
+def _linked(fp: np.ndarray, bounds: np.ndarray, tau: int, most: int = 64) -> np.ndarray:
+    """Which of the sorted groups hold a link at all: all distances within groups of up to ``most``; larger ones count as linked."""
+    sizes = np.diff(bounds)
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    found = sizes > most
+    fp = fp.view(np.uint64)
+    for d in range(1, min(most, int(sizes.max(initial=1)))):
+        at = np.flatnonzero(group[d:] == group[:-d])
+        if not len(at):
+            break
+        found[group[at[np.bitwise_count(fp[at] ^ fp[at + d]) <= tau]]] = True
+    return found
+
+
 def links(prints: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that span the same components as all pairs of ``prints.fp`` within ``tau`` bits.
 
@@ -113,7 +127,6 @@ def links(prints: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK
     blocks and each pair of blocks becomes a cell of its own, so no task holds more than two
     blocks of one key and no link is lost. A cell yields a spanning forest, never all pairs.
     """
-    spark = prints.sparkSession
     masks, keys = ring(tau, segments)
     tags = [(s, k, m) for s, own in enumerate(keys) for k, m in enumerate(own)]
     start_of, mask_of = np.array([t[0] for t in tags]), np.array([t[2] for t in tags], np.uint64)
@@ -158,6 +171,7 @@ def links(prints: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK
             bounds = np.append(starts, len(tag))
             upto = len(starts) if last else len(starts) - 1
             out = []
+            linked = _linked(fp, bounds, tau)
             for g in np.flatnonzero(np.diff(bounds[: upto + 1]) > 1):
                 own = fp[bounds[g] : bounds[g + 1]].view(np.uint64)
                 t = tag[bounds[g]]
@@ -166,6 +180,8 @@ def links(prints: DataFrame, tau: int = 4, segments: int = 5, block: int = BLOCK
                     free = np.uint64(exact[start_of[t]]) & ~mask_of[t]
                     if not ((own ^ own[0]) & free).any():
                         continue
+                if not linked[g]:
+                    continue
                 turned = np.array([masks[(start_of[t] + i) % segments] for i in range(segments)], np.uint64)
                 out.extend(_forest(own, turned, quotas, tau))
             if out:
@@ -207,3 +223,60 @@ def near_duplicates(docs: DataFrame, tau: int = 4, segments: int = 5, width: int
 
 def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)  # fixed odd numbers: one more hash family each
+
+
+def prints_of(text: str | None, width: int, families: int) -> list[int]:
+    """SimHashes of the distinct shingles of a text under ``families`` hash families; zeros without words."""
+    h = np.unique(hashes_of(text, width))
+    out = []
+    for k in range(families):
+        own = h * np.uint64(MIX[k])
+        own ^= own >> np.uint64(32)
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(own), 65536):
+            counts += np.unpackbits(own[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view(np.int64)[0]) if len(own) else 0)
+    return out
+
+
+def one_of_each(docs: DataFrame, width: int = 5, families: int = 4, tau: int = 6, segments: int = 7) -> DataFrame:
+    """The rows of ``docs`` with one document of each near-duplicate group: that of least doc_id.
+
+    Documents are linked when their SimHashes of distinct ``width``-word shingles differ in at most
+    ``tau`` of 64 bits in one of ``families`` hash families; groups are what links connect. One
+    family finds about half of the pairs with a resemblance of 0.9, four find nearly all, and
+    documents that share nothing are 32 bits apart. Exact copies always meet. Texts without words
+    (null and empty too) are copies of each other. Rows without a doc_id stay unless one with an id is in their group; rows
+    that repeat a doc_id and its text become one.
+    """
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([prints_of(t, width, families) for t in texts])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("fps"))
+    rows = stage_table(rows.select("doc_id", "th", "fps", F.xxhash64("fps").alias("node")))
+    nodes = stage_table(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("least")))
+    values = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
+    pairs, edges = None, None
+    for k in range(families):
+        own = values.where(F.col("family") == k)
+        found = links(own.select("fp").distinct(), tau, segments)
+        found = found.select(F.xxhash64(F.lit(k), "a").alias("a"), F.xxhash64(F.lit(k), "b").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+    pairs = stage_table(pairs)
+    at = F.xxhash64("family", "fp")
+    met = pairs.select(F.col("a").alias("b")).union(pairs.select("b")).union(values.groupBy("family", "fp").count().where("count > 1").select(at.alias("b"))).distinct()
+    edges = values.select(F.col("node").alias("a"), at.alias("b")).join(met, "b", "left_semi").select("a", "b").union(pairs)
+    placed = nodes.join(components(edges), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+    owners = placed.join(placed.groupBy("component").agg(F.min("least").alias("keep")), "component").select("node", "keep")
+    gone = rows.join(owners, "node").where("keep is not null and not (doc_id <=> keep)").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
+    again = rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1")
+    own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    left = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), own)
+    left = left.join(stage_table(gone), F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    if not again.isEmpty():
+        left = left.where("id is not null").dropDuplicates(["id", "th"]).union(left.where("id is null"))
+    return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
