@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import packing, repeats, simhash, toxicity
+from tillworks.llm import kdshards, licenses, lthash, neighbours, packing, repeats, segments, simhash, toxicity
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -27,6 +27,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_gumbel_segmentations")
+def gumbel_segmentations(spark: SparkSession, folder: str) -> DataFrame:
+    return segments.digest(segments.sampled(table(spark, folder, "documents")))
+
+
 @query("op2_simhash_pigeonring")
 def simhash_pigeonring(spark: SparkSession, folder: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, folder, "documents"))
@@ -50,6 +55,27 @@ def lexical_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"))
 
 
+@query("op4_kd_shards")
+def kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    found = kdshards.slots(kdshards.assign(table(spark, folder, "documents")))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query("op5_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.digest(licenses.scan(table(spark, folder, "documents")))
+
+
+@query("op6_multiset_hash")
+def multiset_hash(spark: SparkSession, folder: str) -> DataFrame:
+    return lthash.with_edits(table(spark, folder, "documents"))
+
+
+@query("op8_shifted_curves")
+def shifted_curves(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.nearest(table(spark, folder, "embeddings"))
+
+
 @query("op7_repeated_strings")
 def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(repeats.removed(table(spark, folder, "documents")))
