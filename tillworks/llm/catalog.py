@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import kdshards, licenses, lthash, neighbours, packing, repeats, segments, simhash, toxicity
+from tillworks.llm import kdshards, licenses, lthash, maxent, neighbours, packing, repeats, segments, simhash, toxicity
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -81,6 +81,12 @@ def repeated_strings(spark: SparkSession, folder: str) -> DataFrame:
     return repeats.digest(repeats.removed(table(spark, folder, "documents")))
 
 
+@query("op10_hashed_maxent")
+def hashed_maxent(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return maxent.scored(docs, toxicity.fold(F.col("doc_id"), 10) == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
