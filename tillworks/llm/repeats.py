@@ -167,9 +167,12 @@ def _slots(width: int):
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh64_intdigest
+        rows: list[tuple] = []
         for f in frames:
-            rows = []
-            for row in f.to_pylist():
+            for row in (r for at in range(0, f.num_rows, 64) for r in f.slice(at, 64).to_pylist()):
+                if len(rows) >= 20_000:
+                    yield packed(rows)
+                    rows = []
                 data = (row["text"] or "").encode("utf-8", "surrogatepass")
                 x, lo, hi = owners(data, width)
                 n = len(data) - width + 1
@@ -193,8 +196,11 @@ def _slots(width: int):
                         around = data[max(0, base - side) : base].rjust(side, b"\0") + data[end : end + side].ljust(side, b"\0")
                         key = digest(data[base:end], slot)
                         rows.append((key - (1 << 64) if key >> 63 else key, row["rid"], base, around, bits, need))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, s.type) for c, s in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        if rows:
+            yield packed(rows)
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, s.type) for c, s in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
 

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings used next to the whole word
 TRIM = ".,;:!?\"'()[]{}*#%&<>|-_"  # fixed value: marks cut off both ends of a word
-MAX_POSITIVE, MAX_UNLABELLED = 2_500, 6_000  # bound of the training sample, rows of least hash first
-CACHE = 200_000  # words whose buckets a worker remembers
+MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000  # bound of the training sample, rows of least hash first
+CACHE = 50_000  # words whose buckets a worker remembers
 
 
 @dataclass(frozen=True)
@@ -63,14 +63,14 @@ def _rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets or [np.empty(0, np.int32)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 5.0) -> np.ndarray:
-    """Buckets seen in clearly more (or fewer) positive texts than unlabelled ones: a z-score of ``least`` or more."""
+def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 8.0) -> np.ndarray:
+    """Buckets seen in clearly more positive texts than unlabelled ones: a z-score of ``least`` or more."""
     p = np.bincount(_rows(positive)[0], minlength=BUCKETS)
     u = np.bincount(_rows(unlabelled)[0], minlength=BUCKETS)
     n, m = max(1, len(positive)), max(1, len(unlabelled))
     share = (p + u + 1.0) / (n + m + 2.0)
     z = (p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    return np.flatnonzero((np.abs(z) >= least) & (p + u >= 5))
+    return np.flatnonzero((z >= least) & (p + u >= 5))
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 800, rate: float = 0.05, decay: float = 2e-4) -> Model:
