@@ -124,7 +124,7 @@ def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
 
 
 def step(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
-    """One minibatch gradient step in place; a row's step is its summed gradient over the root of its uses."""
+    """One minibatch gradient step in place; a row's step is its mean gradient, so frequent rows cannot overshoot."""
     g = np.exp(class_logs(weights, rows))
     g[np.arange(len(classes)), classes] -= 1
     for r in rows:
@@ -132,8 +132,8 @@ def step(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float
         own = r[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         uses = np.diff(np.append(first, len(own)))
-        weights[own[first]] -= (rate / np.sqrt(uses))[:, None].astype(np.float32) * np.add.reduceat(g[order], first)
-    weights[-1] -= np.float32(rate / np.sqrt(len(classes))) * g.sum(0) / len(SIZES)
+        weights[own[first]] -= (rate / uses)[:, None].astype(np.float32) * np.add.reduceat(g[order], first)
+    weights[-1] -= np.float32(rate) * g.mean(0)
 
 
 def _gathered(frames: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
