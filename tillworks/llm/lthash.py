@@ -32,23 +32,48 @@ def paragraphs(text: Column) -> Column:
     return F.filter(F.transform(cut, lambda p: F.trim(p)), lambda p: p != "")
 
 
-def vector(units: Column) -> Column:
-    """The fingerprint of an array of paragraphs: ``LANES + CELLS`` sums modulo 2**32, all zero for none."""
-    first = F.transform(units, lambda u: F.xxhash64(u))
-    # Each dense lane takes its own hash of the paragraph's hash and of the paragraph itself.
-    second = F.transform(units, lambda u: F.xxhash64(F.lit("lane"), u))
-    both = F.arrays_zip(first.alias("a"), second.alias("b"))
+def hashes(units: Column) -> Column:
+    """For each paragraph of an array its hash ``a``, a second hash ``b`` under 2**32 and its sparse lane."""
+    first = F.transform(units, lambda u: F.struct(F.xxhash64(u).alias("a"), F.xxhash64(F.lit("lane"), u).alias("b")))
+    return F.transform(
+        first,
+        lambda h: F.struct(
+            h["a"].alias("a"), h["b"].alias("wide"), F.pmod(h["b"], F.lit(POWER)).alias("b"), F.pmod(h["a"], F.lit(CELLS)).alias("cell")
+        ),
+    )
+
+
+def sums(found: Column) -> Column:
+    """The fingerprint of an array of :func:`hashes`: ``LANES + CELLS`` sums modulo 2**32, all zero for none.
+
+    Terms are under 2**32 and an array has under 2**31 of them, so the modulus is taken once.
+    """
     zero = F.lit(0).cast("long")
 
     def total(of) -> Column:
-        return F.aggregate(both, zero, lambda s, h: F.pmod(s + F.pmod(of(h), F.lit(POWER)), F.lit(POWER)))
+        return F.aggregate(found, zero, lambda s, h: s + of(h), lambda s: F.pmod(s, F.lit(POWER)))
 
-    dense = [total(lambda h, i=i: F.xxhash64(F.lit(i), h["a"], h["b"])) for i in range(LANES)]
-    sparse = F.transform(
-        F.sequence(F.lit(0), F.lit(CELLS - 1)),
-        lambda c: F.aggregate(both, zero, lambda s, h: F.when(F.pmod(h["a"], F.lit(CELLS)) == c, F.pmod(s + F.pmod(h["b"], F.lit(POWER)), F.lit(POWER))).otherwise(s)),
-    )
-    return F.concat(F.array(*dense), sparse)
+    # Each dense lane takes its own hash of the paragraph's two hashes.
+    dense = [total(lambda h, i=i: F.pmod(F.xxhash64(F.lit(i), h["a"], h["wide"]), F.lit(POWER))) for i in range(LANES)]
+    sparse = [total(lambda h, c=c: F.when(h["cell"] == c, h["b"]).otherwise(zero)) for c in range(CELLS)]
+    return F.array(*dense, *sparse)
+
+
+def vector(units: Column) -> Column:
+    """The fingerprint of an array of paragraphs as one expression; :func:`with_vector` is the form for whole tables."""
+    return sums(hashes(units))
+
+
+def with_vector(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the fingerprint of column ``text`` as column ``name``; null for null text.
+
+    Paragraphs and their hashes are columns of their own, so that each is computed once and
+    not once in every lane.
+    """
+    units, found = f"{name}_units", f"{name}_hashes"
+    df = df.withColumn(units, F.when(F.col(text).isNotNull(), paragraphs(F.col(text))))
+    df = df.withColumn(found, hashes(F.col(units)))
+    return df.withColumn(name, F.when(F.col(text).isNotNull(), sums(F.col(found)))).drop(units, found)
 
 
 def add(a: Column, b: Column) -> Column:
@@ -85,7 +110,7 @@ def _edited(text: Column, after: Column) -> Column:
 def _compared(df: DataFrame) -> DataFrame:
     """From (doc_id, text, vec, next_text, next_vec): the fingerprints and their likenesses."""
     df = df.withColumn("edited", _edited(F.col("text"), F.col("next_text")))
-    df = df.withColumn("edited_vec", vector(paragraphs(F.col("edited"))))
+    df = with_vector(df, "edited", "edited_vec")
     return df.select(
         "doc_id",
         F.char_length("text").cast("long").alias("n_chars"),
@@ -99,7 +124,7 @@ def _compared(df: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint) of each row; null text counts as empty."""
-    return docs.select("doc_id", vector(paragraphs(F.col("text"))).alias("fingerprint"))
+    return with_vector(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), "text", "fingerprint").select("doc_id", "fingerprint")
 
 
 def with_edits(docs: DataFrame) -> DataFrame:
@@ -110,7 +135,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     row of each range looks up the first row of the next.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    own = own.select("doc_id", "text", vector(paragraphs(F.col("text"))).alias("vec"), buckets(own.select("doc_id"), "doc_id").alias("bucket"))
+    own = with_vector(own.withColumn("bucket", buckets(own.select("doc_id"), "doc_id")), "text", "vec")
     order = Window.partitionBy("bucket").orderBy(F.col("doc_id").desc_nulls_last(), "text")
     rows = own.withColumns({
         "next_text": F.lead("text").over(order), "next_vec": F.lead("vec").over(order), "at": F.row_number().over(order),
@@ -121,7 +146,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     heads = F.when(F.col("at") == 1, F.struct("text", "vec"))
     edited = rows.withColumn("tail", ends).withColumn("head", heads)
     done = edited.withColumn("edited", F.when(inner, _edited(F.col("text"), F.col("next_text"))))
-    done = done.withColumn("edited_vec", F.when(inner, vector(paragraphs(F.col("edited")))))
+    done = with_vector(done, "edited", "edited_vec")
     done = stage_table(
         done.select(
             "doc_id", "bucket", "tail", "head", F.char_length("text").cast("long").alias("n_chars"),
@@ -133,8 +158,7 @@ def with_edits(docs: DataFrame) -> DataFrame:
     # Which range follows which: one small row for each range, no text.
     numbers = done.select("bucket").distinct()
     follow = Window.orderBy(F.col("bucket").desc())
-    first = numbers.agg(F.max("bucket").alias("top"))
-    chain = numbers.withColumn("next", F.lead("bucket").over(follow)).crossJoin(F.broadcast(first)).select("bucket", F.coalesce("next", "top").alias("next"))
+    chain = numbers.select("bucket", F.coalesce(F.lead("bucket").over(follow), F.first("bucket").over(follow)).alias("next"))
     heads = done.where("head is not null").select(F.col("bucket").alias("next"), F.col("head.text").alias("next_text"), F.col("head.vec").alias("next_vec"))
     tails = done.where("tail is not null").select("doc_id", "bucket", F.col("tail.text").alias("text"), F.col("tail.vec").alias("vec"))
     last = _compared(tails.join(chain, "bucket").join(heads, "next"))
