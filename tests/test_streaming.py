@@ -13,7 +13,8 @@ from tillworks.operators import stock as S
 from tillworks.sources.adapters import Tables
 from tillworks.sources.schemas import RAW
 from tillworks.streaming import jobs, stateful
-from tillworks.streaming.feeds import drain_to_parquet
+from tillworks.streaming.feeds import drain_to_parquet, stream_raw
+from tillworks.streaming.state import BatchLog
 
 BASE = datetime(2024, 1, 1)
 
@@ -74,6 +75,40 @@ def test_new_orders_once(spark, run_dir):
     assert rows(jobs.new_orders(stream, f"{run_dir}/out"), "id") == [(1,), (2,)]
 
 
+def test_folder_table_in_no_order(spark, folder, run_dir):
+    """Part files in no time order, one a micro-batch: no row is lost, the board follows event time."""
+
+    class Live(Tables):
+        def raw(self, name):
+            return stream_raw(spark, run_dir, name, 1)
+
+    full = Tables(spark, folder)
+    full.raw("orders").repartition(4).write.parquet(f"{run_dir}/orders.parquet")
+    full.raw("orders").limit(3).write.parquet(f"{run_dir}/orders_old.parquet")
+    live = Live(spark, run_dir)
+    new = jobs.new_orders(live.orders, f"{run_dir}/new")
+    assert rows(new, "id", "created_at") == rows(full.orders, "id", "created_at")
+    board = jobs.kitchen_board(live.orders, f"{run_dir}/board", AS_OF)
+    assert rows(board, "id", "board") == rows(K.kitchen_queue(full.orders, AS_OF), "id", "board")
+
+
+def test_one_file_table(spark, folder):
+    assert stream_raw(spark, folder, "orders").isStreaming
+    assert BatchLog(f"{folder}/no-such-table", "id bigint").read(spark).count() == 0
+
+
+def test_board_keeps_cancelled(spark, run_dir):
+    """A late older row neither changes a newer status nor brings a cancelled order back."""
+    at = lambda m: AS_OF - timedelta(minutes=m)
+    schema = "id bigint, customer_name string, payment_status string, kitchen_status string, kitchen_updated_at timestamp_ntz, created_at timestamp_ntz"
+    batches = [[(1, "a", "cancelled", "preparing", at(5), at(60)), (2, "b", "paid", "ready", at(5), at(60))], [(1, "a", "paid", "preparing", at(50), at(60)), (2, "b", "paid", "preparing", at(50), at(60))]]
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
+    got = jobs.kitchen_board(stream, f"{run_dir}/out", AS_OF)
+    assert rows(got, "id", "kitchen_status") == [(2, "ready")]
+
+
 def test_lockout_loop(spark, run_dir):
     """Raw tries: refused ones leave no trace."""
     import random
@@ -121,9 +156,16 @@ def test_pending_logins(spark, run_dir):
     assert got == [(1, "approved"), (1, "signed out"), (1, "waiting"), (2, "denied"), (2, "waiting"), (3, "expired"), (3, "waiting"), (4, "waiting")]
 
 
-def test_batch_replay_is_idempotent(spark, run_dir):
-    from tillworks.streaming.state import BatchLog
+def test_early_answer_waits(spark, run_dir):
+    at = lambda h: BASE + timedelta(hours=h)
+    for b in ([(1, "approve", at(1)), (2, "login", at(1))], [(1, "login", at(0))]):
+        spark.createDataFrame(b, "session_id bigint, event string, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
+    stream = spark.readStream.schema("session_id bigint, event string, ts timestamp_ntz").option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
+    got = rows(jobs.pending_logins(stream, f"{run_dir}/out"), "session_id", "state")
+    assert got == [(1, "approved"), (1, "waiting"), (2, "waiting")]
 
+
+def test_batch_replay_is_idempotent(spark, run_dir):
     log = BatchLog(f"{run_dir}/log", "id bigint")
     for _ in range(2):
         log.write(spark.range(3), 0)

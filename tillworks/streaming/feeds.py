@@ -12,13 +12,12 @@ from tillworks.sources.schemas import RAW
 
 
 def stream_raw(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 100) -> DataFrame:
-    """A table folder as a stream; ``files_per_trigger`` bounds every micro-batch."""
-    return (
-        spark.readStream.schema(RAW[name])
-        .option("pathGlobFilter", f"{name}*.parquet")
-        .option("maxFilesPerTrigger", files_per_trigger)
-        .parquet(folder)
-    )
+    """The table ``<folder>/<name>.parquet``, a file or a folder of part files, as a stream.
+
+    ``files_per_trigger`` bounds every micro-batch. The path is given as a pattern that only the
+    table itself matches, since a plain path must be a folder.
+    """
+    return spark.readStream.schema(RAW[name]).option("maxFilesPerTrigger", files_per_trigger).parquet(f"{folder}/{name}.parque[t]")
 
 
 def new_run(spark: SparkSession, name: str) -> str:

@@ -16,7 +16,7 @@ from tillworks.operators import access as A
 from tillworks.operators import kitchen as K
 from tillworks.operators import shifts as H
 from tillworks.operators import stock as S
-from tillworks.streaming.feeds import drain, drain_to_parquet
+from tillworks.streaming.feeds import drain
 from tillworks.streaming.state import BatchLog, VersionedTable
 
 
@@ -57,10 +57,11 @@ def kitchen_board(orders: DataFrame, run: str, as_of) -> DataFrame:
         now = batch.withColumn("version", F.lit(n).cast("bigint")).select(columns)
         both = state.read(batch.sparkSession, n - 1).unionByName(now)
         rest = [c for c in columns if c != "id"]
-        latest = both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct("version", "kitchen_updated_at", "created_at")).alias("r")).select("id", "r.*")
-        # Finished and outdated orders can never come back to a board.
+        changed = F.greatest("kitchen_updated_at", "created_at")  # of event times; the batch only decides between equal ones
+        latest = both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(changed, "version")).alias("r")).select("id", "r.*")
+        # A row older than an outdated one is outdated too; cancelled orders stay, so that no late row brings them back.
         fresh = K.since(as_of, 24) | K.since(as_of, 2, "kitchen_updated_at")
-        state.write(latest.filter(K.not_cancelled() & fresh).select(columns), n)
+        state.write(latest.filter(fresh).select(columns), n)
         seen.last = n
 
     drain(orders, run, each)
@@ -68,9 +69,18 @@ def kitchen_board(orders: DataFrame, run: str, as_of) -> DataFrame:
 
 
 def new_orders(orders: DataFrame, run: str) -> DataFrame:
-    """Each new order once, whatever number of times it is delivered within the watermark."""
-    rows = orders.select("id", "created_at").withColumn("created_at", F.col("created_at").cast("timestamp"))
-    return drain_to_parquet(rows.withWatermark("created_at", "1 day").dropDuplicatesWithinWatermark(["id"]), run)
+    """Each new order once, however often, late or out of order it is delivered.
+
+    An id counts as new unless an earlier batch has written it; no row is too late.
+    """
+    out = BatchLog(f"{run}/rows", "id bigint, created_at timestamp_ntz")
+
+    def each(batch: DataFrame, n: int) -> None:
+        rows = batch.groupBy("id").agg(F.min("created_at").alias("created_at"))
+        out.write(rows.join(out.before(batch.sparkSession, n).select("id"), "id", "left_anti"), n)
+
+    drain(orders.select("id", "created_at"), run, each)
+    return out.read(orders.sparkSession)
 
 
 def login_alerts(logins: DataFrame, admins: DataFrame, run: str, as_of, me: str) -> DataFrame:
@@ -215,10 +225,13 @@ def pending_logins(events: DataFrame, run: str, delay_minutes: int = 180) -> Dat
     or expired after twelve hours by the stream's clock less a delay for late answers.
 
     The first answer decides; only an approved session can sign out later. Plain
-    aggregates per session, with the live sessions kept between batches.
+    aggregates per session, with the live sessions kept between batches. Answers that come
+    before their sign-in wait for it until they are a session's life and the delay behind
+    the clock.
     """
     out = BatchLog(f"{run}/rows", "session_id bigint, state string, at_ms bigint")
     live = VersionedTable(f"{run}/live", SESSION)
+    early = VersionedTable(f"{run}/early", "session_id bigint, event string, ts timestamp_ntz")
     clock = VersionedTable(f"{run}/clock", "clock_ms bigint")
     ttl = A.SESSION_HOURS * 3_600_000
 
@@ -228,7 +241,11 @@ def pending_logins(events: DataFrame, run: str, delay_minutes: int = 180) -> Dat
         now = clock.read(spark, n).first()["clock_ms"]
         at = F.struct(_millis(F.col("ts")).alias("ms"), F.col("event"))
         pick = lambda *kinds: F.min(F.when(F.col("event").isin(*kinds), at))
-        fresh = batch.groupBy("session_id").agg(
+        at_hand = batch.select("session_id", "event", "ts").unionByName(early.read(spark, n - 1))
+        known = live.read(spark, n - 1).select("session_id").unionByName(at_hand.where("event = 'login'").select("session_id"))
+        waits_on = _millis(F.col("ts")) >= F.lit(now - ttl - delay_minutes * 60_000)
+        early.write(at_hand.join(known, "session_id", "left_anti").filter(waits_on), n)
+        fresh = at_hand.groupBy("session_id").agg(
             pick("login").alias("login"), pick("approve", "deny", "logout", "revoke").alias("answer"), pick("logout", "revoke").alias("leave")
         )
         rows = live.read(spark, n - 1).join(fresh, "session_id", "full_outer")

@@ -7,6 +7,7 @@ twice. Versions live in the shared folder, never on one executor.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -40,4 +41,19 @@ class BatchLog:
         df.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
     def read(self, spark: SparkSession) -> DataFrame:
-        return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(self.path)
+        """All batches; empty where no batch has run."""
+        return self._found(spark, self.path)
+
+    def before(self, spark: SparkSession, batch: int) -> DataFrame:
+        """What the batches before ``batch`` wrote, so a batch that runs again does not see its own rows."""
+        if not batch:
+            return spark.createDataFrame([], self.schema)
+        return self._found(spark, *[f"{self.path}/batch={b}" for b in range(batch)])
+
+    def _found(self, spark: SparkSession, *paths: str) -> DataFrame:
+        try:
+            return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return spark.createDataFrame([], self.schema)
