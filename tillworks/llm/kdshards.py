@@ -81,20 +81,25 @@ def _cut(points: DataFrame, nodes: list[Node], at: Column) -> None:
             step = F.floor((c.cast("decimal(20,0)") - F.lit(w["lo"]).cast("decimal(20,0)")) / F.lit(w["step"]).cast("decimal(20,0)")).cast("int")
             bin_ = F.when(own, step).otherwise(bin_)
             live = live | own
-        sums = points.where(live).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("bytes"))
+        sums = points.where(live).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
         found: dict[int, list] = {}
         for r in sums.collect():
-            found.setdefault(r["node"], []).append((r["bin"], r["bytes"]))
+            found.setdefault(r["node"], []).append((r["bin"], r["bytes"], r["n"]))
         for k, w in open_.items():
             c, low, step = F.col(w["order"][w["depth"]]), w["lo"], w["step"]
-            for b, size in sorted(found[k]):
+            for b, size, n in sorted(found[k]):
                 if w["below"] + size > w["want"]:
                     break
                 w["below"] += size
             else:
                 w["left"], w["done"] = w["left"] | (w["equal"] & (c <= w["hi"])), True
                 continue
-            # The cut lies in bin b. All below it goes left; a single value is looked into by the next dimension.
+            # The cut lies in bin b. A single row, or a bin that weighs next to nothing, goes to the nearer side whole.
+            if n == 1 or (step > 1 and size <= w["room"]):
+                whole = w["below"] + size / 2 <= w["want"]
+                w["left"], w["done"] = w["left"] | (w["equal"] & (c < low + (b + whole) * step)), True
+                continue
+            # All below it goes left; a single value is looked into by the next dimension.
             if step > 1:
                 w["lo"], w["hi"] = low + b * step, min(low + (b + 1) * step - 1, w["hi"])
                 continue
@@ -109,8 +114,8 @@ def _cut(points: DataFrame, nodes: list[Node], at: Column) -> None:
                 w["done"] = True
                 continue
             w["depth"] += 1
-            n = w["order"][w["depth"]]
-            w["lo"], w["hi"] = w["span"][f"lo_{n}"], w["span"][f"hi_{n}"]
+            name = w["order"][w["depth"]]
+            w["lo"], w["hi"] = w["span"][f"lo_{name}"], w["span"][f"hi_{name}"]
     for k, w in work.items():
         nodes[k].left = w["left"]
 
