@@ -3,9 +3,10 @@
 The rows are reduced to integer metadata. A node that is to become ``k`` shards is cut along
 its widest dimension (its value range as a share of the whole table's) at the weighted
 ``k // 2 : k`` quantile of the bytes, found by histograms that narrow down on the cut: each
-pass reads ``BINS`` sums for each node of the level, whatever the table's size. Ties are
-broken by the next dimensions, so every cut falls between two groups of equal texts unless a
-group is larger than ``WHOLE`` of a shard; such a group is cut by doc_id.
+pass reads at most ``BINS`` sums for each node of the level, whatever the table's size. A cut is
+a bound on the row's coordinates in the node's order, so ties are broken by the next
+dimensions and every cut falls between two groups of equal texts and metadata unless a group is
+larger than ``WHOLE`` of a shard; such a group is cut by doc_id.
 """
 
 from __future__ import annotations
@@ -17,21 +18,62 @@ from pyspark.sql import functions as F
 
 from tillworks.config import stage_table
 
-BINS = 256
-WHOLE = 0.01  # share of a shard up to which a group of equal texts stays together
+BINS = 2048
+WHOLE = 0.01  # share of a shard up to which rows next to a cut go to one side together
 DIMENSIONS = ("n_bytes", "n_words", "lang_at", "source_at")  # metadata a cut may follow
 TIES = ("text_hash", "doc_at")  # order within equal metadata
+HASHES = 1 << 62  # values of the coordinates in TIES
 OFFSET = 8  # bytes counted for each row besides its text
 BUCKET = 50_000  # rows numbered together
 
 
 @dataclass
 class Node:
-    """A box of the tree: ``shards`` to make, its conditions so far, and its cut."""
+    """A box of the tree with ``shards`` to make, numbered from ``first``."""
 
     shards: int
     first: int
-    where: list[Column] = field(default_factory=list)
+
+
+@dataclass
+class Cut:
+    """The search for one node's cut: all below (``prefix``, ``low``) is left, all above (``prefix``, ``high``) right."""
+
+    order: list[str]
+    spans: dict[str, tuple[int, int]]
+    want: float  # bytes that shall lie left
+    room: float  # bytes that may go to either side together
+    below: int = 0
+    prefix: list[int] = field(default_factory=list)
+    low: int = 0
+    high: int = 0
+    bound: list[int] | None = None
+
+    def __post_init__(self):
+        self.low, self.high = self.spans[self.order[0]]
+
+    @property
+    def step(self) -> int:
+        return max(1, -(-(self.high - self.low + 1) // BINS))
+
+    def narrow(self, bins: list[tuple[int, int, int, int]]) -> None:
+        """Takes (lowest, highest value, bytes, rows) of the bins between the bounds, in order."""
+        for least, most, size, n in bins:
+            if self.below + size <= self.want:
+                self.below += size
+                continue
+            last = len(self.prefix) + 1 == len(self.order)
+            if n == 1 or size <= self.room or (least == most and last):
+                # Next to nothing, or not to be told apart: whole to the nearer side.
+                left = self.below + size / 2 <= self.want
+                self.bound = [*self.prefix, most + 1 if left else least]
+            elif least == most:
+                self.prefix.append(least)
+                self.low, self.high = self.spans[self.order[len(self.prefix)]]
+            else:
+                self.low, self.high = least, most
+            return
+        self.bound = [*self.prefix, self.high + 1]
 
 
 def metadata(docs: DataFrame) -> DataFrame:
@@ -42,116 +84,101 @@ def metadata(docs: DataFrame) -> DataFrame:
         "doc_id",
         F.octet_length(text).cast("long").alias("n_bytes"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
-        F.xxhash64(text).alias("text_hash"),
-        # Word count in thousandths of the bytes: how dense the text is.
-        F.when(F.octet_length(text) > 0, (F.size(F.split(text, " ")) * 100_000 / F.octet_length(text)).cast("long")).otherwise(F.lit(0)).cast("long").alias("n_words"),
+        F.shiftrightunsigned(F.xxhash64(text), 2).alias("text_hash"),
+        # Spaces in hundred-thousandths of the bytes: how dense the text is.
+        F.when(F.octet_length(text) > 0, (F.length(text) - F.length(F.replace(text, F.lit(" ")))) * 100_000 / F.octet_length(text)).otherwise(F.lit(0)).cast("long").alias("n_words"),
         F.pmod(F.xxhash64(optional["lang"].cast("string")), F.lit(1 << 20)).alias("lang_at"),
         F.pmod(F.xxhash64(optional["source"].cast("string")), F.lit(1 << 20)).alias("source_at"),
-        F.coalesce(F.xxhash64("doc_id"), F.lit(0)).alias("doc_at"),
+        F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("doc_at"),
     )
     return own.withColumn("size", F.col("n_bytes") + OFFSET)
 
 
-def _cut(points: DataFrame, nodes: list[Node], at: Column) -> None:
-    """Cuts all ``nodes`` in two, in place: each gets the conditions of its left half as ``left``."""
-    spans = points.where("node is not null").groupBy("node").agg(
-        F.sum("size").alias("bytes"), *[f(c).alias(f"{n}_{c}") for c in (*DIMENSIONS, *TIES) for n, f in (("lo", F.min), ("hi", F.max))]
-    )
-    spans = {r["node"]: r for r in spans.collect()}
-    table = {c: max((r[f"hi_{c}"] for r in spans.values()), default=0) - min((r[f"lo_{c}"] for r in spans.values()), default=0) for c in DIMENSIONS}
-    work = {}
+def _of_node(values: list, kind: str) -> Column:
+    """The entry of ``values`` (numbers, lists of numbers, names or None) at the row's node, as a look-up in a constant array."""
+
+    def text(x) -> str:
+        if isinstance(x, list):
+            return f"array({', '.join(f'{i}L' for i in x)})"
+        return "null" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}L"
+
+    return F.expr(f"element_at(cast(array({', '.join(map(text, values))}) as array<{kind}>), node + 1)")
+
+
+def _orders() -> dict[str, list[str]]:
+    return {wide: [wide, *(c for c in DIMENSIONS if c != wide), *TIES] for wide in DIMENSIONS}
+
+
+def _keyed(placed: DataFrame, cuts: list[Cut | None]) -> DataFrame:
+    """Adds ``key``: the row's coordinates in its node's order."""
+    key, wide = F.lit(None).cast("array<bigint>"), _of_node([c.order[0] if c else "" for c in cuts], "string")
+    for name, order in _orders().items():
+        key = F.when(wide == name, F.array(*order)).otherwise(key)
+    return placed.withColumn("key", key)
+
+
+def _cuts(placed: DataFrame, nodes: list[Node]) -> list[Cut | None]:
+    """The cut of each node that has rows and more than one shard to make."""
+    ends = [f(c).alias(f"{n}_{c}") for c in DIMENSIONS for n, f in (("lo", F.min), ("hi", F.max))]
+    found = {r["node"]: r for r in placed.groupBy("node").agg(F.sum("size").alias("bytes"), *ends).collect()}
+    table = {c: max((r[f"hi_{c}"] for r in found.values()), default=0) - min((r[f"lo_{c}"] for r in found.values()), default=0) for c in DIMENSIONS}
+    cuts: list[Cut | None] = [None] * len(nodes)
     for k, node in enumerate(nodes):
-        if k not in spans:
-            node.left = F.lit(False)
+        if node.shards == 1 or k not in found:
             continue
-        r = spans[k]
-        wide = max(DIMENSIONS, key=lambda c: (r[f"hi_{c}"] - r[f"lo_{c}"]) / max(1, table[c]))
-        order = [wide, *(c for c in DIMENSIONS if c != wide), *TIES]
-        work[k] = {
-            "order": order, "depth": 0, "lo": r[f"lo_{wide}"], "hi": r[f"hi_{wide}"], "equal": F.lit(True), "left": F.lit(False),
-            "want": r["bytes"] * (node.shards // 2) / node.shards, "below": 0, "span": r, "room": WHOLE * r["bytes"] / node.shards,
-        }
-    while open_ := {k: w for k, w in work.items() if "done" not in w}:
+        r = found[k]
+        spans = {c: (r[f"lo_{c}"], r[f"hi_{c}"]) for c in DIMENSIONS} | {c: (0, HASHES - 1) for c in TIES}
+        wide = max(DIMENSIONS, key=lambda c: (spans[c][1] - spans[c][0]) / max(1, table[c]))
+        cuts[k] = Cut(_orders()[wide], spans, r["bytes"] * (node.shards // 2) / node.shards, WHOLE * r["bytes"] / node.shards)
+    keyed = _keyed(placed, cuts)
+    while any(c and c.bound is None for c in cuts):
         # One pass narrows every open node: bytes of BINS equal steps between its bounds.
-        bin_, live = F.lit(None).cast("int"), F.lit(False)
-        for k, w in open_.items():
-            c = F.col(w["order"][w["depth"]])
-            w["step"] = max(1, -(-(w["hi"] - w["lo"] + 1) // BINS))
-            own = (F.col("node") == k) & w["equal"] & c.between(w["lo"], w["hi"])
-            step = F.floor((c.cast("decimal(20,0)") - F.lit(w["lo"]).cast("decimal(20,0)")) / F.lit(w["step"]).cast("decimal(20,0)")).cast("int")
-            bin_ = F.when(own, step).otherwise(bin_)
-            live = live | own
-        sums = points.where(live).groupBy("node", bin_.alias("bin")).agg(F.sum("size").alias("bytes"), F.count("*").alias("n"))
-        found: dict[int, list] = {}
-        for r in sums.collect():
-            found.setdefault(r["node"], []).append((r["bin"], r["bytes"], r["n"]))
-        for k, w in open_.items():
-            c, low, step = F.col(w["order"][w["depth"]]), w["lo"], w["step"]
-            for b, size, n in sorted(found[k]):
-                if w["below"] + size > w["want"]:
-                    break
-                w["below"] += size
-            else:
-                w["left"], w["done"] = w["left"] | (w["equal"] & (c <= w["hi"])), True
-                continue
-            # The cut lies in bin b. A single row, or a bin that weighs next to nothing, goes to the nearer side whole.
-            if n == 1 or (step > 1 and size <= w["room"]):
-                whole = w["below"] + size / 2 <= w["want"]
-                w["left"], w["done"] = w["left"] | (w["equal"] & (c < low + (b + whole) * step)), True
-                continue
-            # All below it goes left; a single value is looked into by the next dimension.
-            if step > 1:
-                w["lo"], w["hi"] = low + b * step, min(low + (b + 1) * step - 1, w["hi"])
-                continue
-            value = low + b
-            w["left"] = w["left"] | (w["equal"] & (c < value))
-            w["equal"] = w["equal"] & (c == value)
-            last = w["depth"] + 1 == len(w["order"])
-            if last or (size <= w["room"] and w["order"][w["depth"]] == "text_hash"):
-                # A small group of equal texts goes to the nearer side whole.
-                if w["below"] + size / 2 <= w["want"]:
-                    w["left"] = w["left"] | w["equal"]
-                w["done"] = True
-                continue
-            w["depth"] += 1
-            name = w["order"][w["depth"]]
-            w["lo"], w["hi"] = w["span"][f"lo_{name}"], w["span"][f"hi_{name}"]
-    for k, w in work.items():
-        nodes[k].left = w["left"]
+        open_ = [c if c and c.bound is None else None for c in cuts]
+        at = _of_node([len(c.prefix) if c else None for c in open_], "int")
+        prefix = _of_node([c.prefix if c else [] for c in open_], "array<bigint>")
+        low, high, step = (_of_node([getattr(c, n) if c else None for c in open_], "bigint") for n in ("low", "high", "step"))
+        value = F.element_at("key", at + 1)
+        live = at.isNotNull() & (F.slice("key", F.lit(1), at) == prefix) & value.between(low, high)
+        seen = keyed.select("node", "size", F.when(live, value).alias("value"), low.alias("low"), step.alias("step"))
+        bins = seen.groupBy("node", F.expr("(value - low) div step").alias("bin")).agg(
+            F.min("value").alias("least"), F.max("value").alias("most"), F.sum("size").alias("bytes"), F.count("*").alias("n")
+        )
+        sums: dict[int, list] = {}
+        for r in bins.collect():
+            if r["bin"] is not None:
+                sums.setdefault(r["node"], []).append((r["least"], r["most"], r["bytes"], r["n"]))
+        for k, c in enumerate(open_):
+            if c:
+                c.narrow(sorted(sums[k]))
+    return cuts
 
 
 def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
-    """(doc_id, size, text_crc32, shard): every row in one of ``shards`` shards of nearly equal bytes.
+    """(doc_id, size, text_crc32, text_hash, shard): every row in one of ``shards`` shards of nearly equal bytes.
 
-    Size is the text's UTF-8 bytes plus 8. Equal texts share a shard unless they outweigh ``WHOLE``
-    of it. Rows that agree in text, metadata and doc_id cannot be told apart and stay together.
+    Size is the text's UTF-8 bytes plus 8. Equal texts of equal ``lang`` and ``source`` share a shard
+    unless they outweigh ``WHOLE`` of it. Rows that agree in text, metadata and doc_id cannot be told apart and stay together.
     Missing ``lang`` or ``source`` columns and nulls are single values; an empty table gives no rows.
     """
-    points = stage_table(metadata(docs))
+    placed = stage_table(metadata(docs)).withColumn("node", F.lit(0))
     nodes = [Node(shards, 0)]
-    placed = points.withColumn("node", F.lit(0))
     while any(n.shards > 1 for n in nodes):
-        # Nodes that are single shards already keep their number; the others are cut.
-        todo = [k for k, n in enumerate(nodes) if n.shards > 1]
-        number = F.lit(None).cast("int")
-        for i, k in enumerate(todo):
-            number = F.when(F.col("node") == k, i).otherwise(number)
-        _cut(placed.withColumn("node", number), [nodes[k] for k in todo], number)
-        after, to = [], F.lit(None).cast("int")
-        for k, n in enumerate(nodes):
-            if n.shards == 1:
-                to = F.when(F.col("node") == k, len(after)).otherwise(to)
-                after.append(Node(1, n.first))
-                continue
-            half = n.shards // 2
-            to = F.when(F.col("node") == k, F.when(n.left, len(after)).otherwise(len(after) + 1)).otherwise(to)
-            after += [Node(half, n.first), Node(n.shards - half, n.first + half)]
+        cuts = _cuts(placed, nodes)
+        after, left, right = [], [], []
+        for n, cut in zip(nodes, cuts, strict=True):
+            half = n.shards // 2 if cut else n.shards
+            left.append(len(after))
+            # A node without rows needs no cut.
+            after.append(Node(half if cut else 1, n.first))
+            right.append(len(after))
+            if cut:
+                after.append(Node(n.shards - half, n.first + half))
+        bound = _of_node([c.bound if c else [] for c in cuts], "array<bigint>")
+        below = F.col("key").isNull() | (F.col("key") < bound)
+        to = F.when(below, _of_node(left, "int")).otherwise(_of_node(right, "int"))
+        placed = stage_table(_keyed(placed, cuts).withColumn("node", to).drop("key"))
         nodes = after
-        placed = stage_table(placed.withColumn("node", to))
-    shard = F.lit(None).cast("int")
-    for k, n in enumerate(nodes):
-        shard = F.when(F.col("node") == k, n.first).otherwise(shard)
-    return placed.select("doc_id", "size", "text_crc32", "text_hash", shard.alias("shard"))
+    return placed.select("doc_id", "size", "text_crc32", "text_hash", _of_node([n.first for n in nodes], "int").alias("shard"))
 
 
 def slots(assigned: DataFrame) -> DataFrame:
