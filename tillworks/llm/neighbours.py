@@ -24,7 +24,8 @@ from tillworks.config import stage_table
 
 CURVES, AXES, LEVELS = 4, 4, 10  # orderings, projected dimensions, bits of each dimension
 BLOCK = 2048  # vectors of neighbouring keys
-QUERIES = 512  # queries that meet a block together
+QUERIES = 4096  # queries of a team, about
+AT_ONCE = 512  # queries multiplied with a block at once
 K = 20
 
 
@@ -112,18 +113,26 @@ def _products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def _series(first: int, last: int):
+    """The numbers from ``first`` to ``last``, none if ``last`` is smaller."""
+    return F.sequence(F.lit(first), F.lit(last)) if first <= last else F.lit(None).cast("array<int>")
+
+
 def blocks(vectors: DataFrame, curves: int, block: int) -> DataFrame:
     """(curve, part, vec_id, asks, width, v): each ordering cut into blocks of neighbouring keys."""
 
     @F.pandas_udf("array<long>")
     def places(v: pd.Series) -> pd.Series:
-        out = []
-        for cell in v:
-            a = np.frombuffer(cell, np.float64)
-            top = np.abs(a).max()
-            a = a / top
-            out.append([int(keys((a / np.linalg.norm(a))[None, :], c)[0]) for c in range(curves)])
-        return pd.Series(out)
+        out = pd.Series([None] * len(v), dtype=object)
+        lengths = v.str.len().to_numpy()
+        for n in np.unique(lengths):
+            at = np.flatnonzero(lengths == n)
+            a = _matrix(v.iloc[at].tolist())
+            a = a / np.abs(a).max(1)[:, None]
+            a /= np.linalg.norm(a, axis=1)[:, None]
+            for i, own in zip(at, np.stack([keys(a, c) for c in range(curves)], 1), strict=True):
+                out[i] = own
+        return out
 
     every = vectors.withColumn("keys", places("v"))
     ordered = every.select("*", F.posexplode("keys").alias("curve", "key")).drop("keys")
@@ -159,37 +168,47 @@ def nearest(rows: DataFrame, every: int = 20, k: int = K, curves: int = CURVES,
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     floor = near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("floor"))
     asked = vectors.where("asks").dropDuplicates(["vec_id", "v"]).join(floor, "vec_id", "left")
-    asked = asked.withColumn("team", F.floor(F.pmod(F.xxhash64("vec_id"), F.lit(max(1, vectors.where("asks").count() // QUERIES)))).cast("int"))
-
-    def packed(df: DataFrame, *by: str) -> DataFrame:
-        """Vectors of a team or block as rows of bounded byte strings."""
-        return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("vec_id", "floor", "v"))).alias("rows"))
-
-    teams = packed(asked, "team", "width")
-    # One curve's blocks hold every vector once.
-    held = packed(placed.where("curve = 0").withColumn("floor", F.lit(None).cast("double")), "part", "width")
-
-    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    groups = vectors.where("asks").count() // QUERIES + 1
+    asked = asked.withColumn("team", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
+    # One curve's blocks hold every vector once; each team of queries meets each block in a group of its own, of bounded size.
+    held = placed.where("curve = 0").select("part", "width", "vec_id", "v")
+    ends = held.agg(F.min("part"), F.max("part")).first()
+    lowest, highest = (0, -1) if ends[0] is None else ends
+    teams = asked.select("team", "width", "vec_id", "floor", "v", F.explode(_series(lowest, highest)).alias("part"))
+    others = held.withColumn("team", F.explode(_series(0, groups - 1)))
+
+    def meet(asking: pa.Table, block: pa.Table) -> pa.Table:
         schema = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-        for f in frames:
-            for a, b in zip(f.column("rows"), f.column("others"), strict=True):
-                a, b = a.as_py(), b.as_py()
-                q, x = _matrix([r["v"] for r in a]), _matrix([r["v"] for r in b])
-                ids, others = np.array([r["vec_id"] for r in a]), np.array([r["vec_id"] for r in b])
-                least = np.array([-np.inf if r["floor"] is None else r["floor"] for r in a])
-                centre = x.mean(0)
-                radius = np.sqrt(((x - centre) ** 2).sum(1).max())
-                bound = q @ centre + np.sqrt((q**2).sum(1)) * radius
-                todo = np.flatnonzero(bound * (1 + 1e-9 * np.sign(bound)) + 1e-12 >= least)
-                if not len(todo):
-                    continue
-                scores = _products(q[todo], x)
-                scores[scores < least[todo][:, None]] = -np.inf
-                row, col, value = _best(scores, others, ids[todo], k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[todo][row]), pa.array(col), pa.array(value)], schema=schema)
-
-    # The stated queries meet the blocks of all rows: teams x blocks pairs, each of bounded size.
-    pairs = held.select("width", F.col("rows").alias("others")).join(teams.select("width", "rows"), "width")
-    exact = pairs.repartition(F.xxhash64("others", "rows")).select("rows", "others").mapInArrow(meet, found)
+        if not len(asking) or not len(block):
+            return schema.empty_table()
+        x, ids = _matrix(block.column("v").to_pylist()), block.column("vec_id").to_numpy()
+        centre = x.mean(0)
+        radius = np.sqrt(((x - centre) ** 2).sum(1).max())
+        longest = np.sqrt((x**2).sum(1).max())
+        out = []
+        for at in range(0, len(asking), AT_ONCE):
+            own = asking.slice(at, AT_ONCE)
+            q, own_ids = _matrix(own.column("v").to_pylist()), own.column("vec_id").to_numpy()
+            least = np.array([-np.inf if t is None else t for t in own.column("floor").to_pylist()])
+            size = np.sqrt((q**2).sum(1))
+            slack = 1e-12 * x.shape[1] * size * longest  # beyond any rounding of the products below
+            todo = np.flatnonzero(q @ centre + size * radius + slack >= least)
+            if not len(todo):
+                continue
+            q, own_ids, least, slack = q[todo], own_ids[todo], least[todo], slack[todo]
+            rough = q @ x.T
+            if len(ids) > k + 1:  # a query's own id may be among the first
+                least = np.maximum(least, np.partition(rough, -(k + 1), axis=1)[:, -(k + 1)])
+            row, col = np.nonzero((rough >= (least - slack)[:, None]) & (ids[None, :] != own_ids[:, None]))
+            score = np.zeros(len(row))
+            for j in range(x.shape[1]):  # the stated measure, as in the window pass
+                score += q[row, j] * x[col, j]
+            rank = np.lexsort((ids[col], -score, row))
+            row, col, score = row[rank], col[rank], score[rank]
+            keep = np.arange(len(row)) - np.searchsorted(row, np.arange(len(q)))[row] < k
+            out.append(pa.Table.from_arrays([pa.array(own_ids[row[keep]]), pa.array(ids[col[keep]]), pa.array(score[keep])], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
+
+    exact = teams.groupBy("part", "team", "width").cogroup(others.groupBy("part", "team", "width")).applyInArrow(meet, found)
     ranked = exact.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
