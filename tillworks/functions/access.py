@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def minute_of(hhmm: Column) -> Column:
-    """'HH:MM' text to minutes since midnight."""
-    return F.substring(hhmm, 1, 2).cast("int") * 60 + F.substring(hhmm, 4, 2).cast("int")
+    """'HH:MM' text to minutes since midnight; 'H:MM' counts too, other texts give null."""
+    return F.substring_index(hhmm, ":", 1).try_cast("int") * 60 + F.substring_index(hhmm, ":", -1).try_cast("int")
 
 
 def in_login_window(role: Column, login_from: Column, login_to: Column, minute: Column) -> Column:

@@ -27,6 +27,7 @@ BAD_COUPON_KIND = "Choose a coupon type."
 BAD_PERCENT = "Percentage must be more than 0 and at most 100."
 BAD_FLAT = "Discount amount must be more than 0."
 BAD_BOGO = "Buy and free quantities must both be at least 1."
+BAD_COUPON_NUMBER = "A number or date of the coupon cannot be read."
 BAD_CAP = "Maximum discount must be more than 0."
 BAD_MIN_BILL = "Minimum bill cannot be negative."
 BAD_SCOPE = "Choose what the coupon applies to."

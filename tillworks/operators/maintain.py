@@ -8,6 +8,7 @@ the accepted rows are its source.
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -161,11 +162,18 @@ COUPON_PAYLOAD = (
 )
 
 
+#: Fields of a coupon payload that are given as text and read as numbers or days.
+COUPON_NUMBERS = {
+    "value": "decimal(10,2)", "max_discount": "decimal(10,2)", "min_bill": "decimal(10,2)", "buy_qty": "int", "get_qty": "int",
+    "valid_from": "date", "valid_to": "date", "usage_limit": "int", "per_customer_limit": "int",
+}
+
+
 def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
     """Coupon payloads ``(seq, id, is_new, payload)`` normalised and checked."""
     p = latest_edit(staged).select("id", "seq", "is_new", F.from_json("payload", COUPON_PAYLOAD).alias("p"))
     raw = lambda c: F.col(f"p.{c}")
-    num = lambda c, t: F.nullif(raw(c), F.lit("")).cast(t)
+    num = lambda c, t: F.nullif(raw(c), F.lit("")).try_cast(t)
     kind = F.lower(F.trim(F.coalesce(raw("kind"), F.lit(""))))
     scope = F.coalesce(clean.blank_to_null(F.lower(raw("applies_to"))), F.lit("all"))
     bogo, whole = kind == "bogo", scope == "all"
@@ -188,11 +196,13 @@ def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
         num("usage_limit", "int").alias("usage_limit"),
         num("per_customer_limit", "int").alias("per_customer_limit"),
         F.coalesce(raw("is_active"), F.lit(True)).alias("is_active"),
+        reduce(or_, [F.nullif(raw(n), F.lit("")).isNotNull() & num(n, t).isNull() for n, t in COUPON_NUMBERS.items()]).alias("malformed"),
     )
     c = F.col
     rules = [
         (~c("code").rlike(clean.COUPON_CODE_PATTERN), messages.BAD_CODE),
         (~c("kind").isin(*clean.COUPON_KINDS), messages.BAD_COUPON_KIND),
+        (c("malformed"), messages.BAD_COUPON_NUMBER),
         ((c("kind") == "percent") & ((c("value") <= 0) | (c("value") > 100)), messages.BAD_PERCENT),
         ((c("kind") == "flat") & (c("value") <= 0), messages.BAD_FLAT),
         ((c("kind") == "bogo") & ((F.coalesce(c("buy_qty"), F.lit(0)) < 1) | (F.coalesce(c("get_qty"), F.lit(0)) < 1)), messages.BAD_BOGO),
@@ -204,7 +214,7 @@ def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
         (c("usage_limit") < 1, messages.BAD_TOTAL_USES),
         (c("per_customer_limit") < 1, messages.BAD_CUSTOMER_USES),
     ]
-    return with_errors(rows, coupons, rules, messages.NO_COUPON, F.upper("code"), messages.CODE_TAKEN)
+    return with_errors(rows, coupons, rules, messages.NO_COUPON, F.upper("code"), messages.CODE_TAKEN).drop("malformed")
 
 
 def replace_recipes(recipes: DataFrame, payloads_in: DataFrame, menu: DataFrame, ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import messages
 
-BILL_ITEMS = "array<struct<menu_item_id:bigint,qty:int>>"
-RECIPE_ITEMS = "array<struct<ingredient_id:bigint,qty:decimal(12,3)>>"
+#: Types of a line's fields; each is read as text first, so quoted numbers count and a malformed one is null.
+BILL_LINE = {"menu_item_id": "bigint", "qty": "int"}
+RECIPE_LINE = {"ingredient_id": "bigint", "qty": "decimal(12,3)"}
+
+
+def _lines(json: Column, line: dict[str, str]) -> Column:
+    """The lines of a JSON array, null if it is none."""
+    texts = F.from_json(json, f"array<struct<{','.join(f'{n}:string' for n in line)}>>")
+    return F.transform(texts, lambda x: F.struct(*[F.trim(x[n]).try_cast(t).alias(n) for n, t in line.items()]))
 
 
 def is_filled_array(json: Column) -> Column:
@@ -22,7 +29,7 @@ def is_array_text(json: Column) -> Column:
 
 def explode_bill_items(bills: DataFrame) -> DataFrame:
     """Payload rows ``(bill_id, line_no, menu_item_id, qty)``; non-arrays and empty arrays give none."""
-    items = F.when(is_filled_array(F.col("items")), F.from_json("items", BILL_ITEMS))
+    items = F.when(is_filled_array(F.col("items")), _lines(F.col("items"), BILL_LINE))
     return bills.select(F.col("id").alias("bill_id"), F.posexplode(items).alias("line_no", "line")).select(
         "bill_id", F.col("line_no").cast("bigint").alias("line_no"), "line.menu_item_id", "line.qty"
     )
@@ -34,21 +41,22 @@ def explode_recipe_items(payloads: DataFrame) -> DataFrame:
     One missing id or non-positive quantity rejects the whole payload. Repeated
     ingredients stay separate rows here.
     """
-    parsed = payloads.select("menu_item_id", F.from_json("items", RECIPE_ITEMS).alias("items"))
+    parsed = payloads.select("menu_item_id", _lines(F.col("items"), RECIPE_LINE).alias("items"))
     bad = F.exists("items", lambda x: x["ingredient_id"].isNull() | (F.coalesce(x["qty"], F.lit(0)) <= 0))
     return parsed.filter(~F.coalesce(bad, F.lit(True))).select("menu_item_id", F.inline("items"))
 
 
 def recipe_payload_error(items: Column) -> Column:
     """Why a recipe payload is rejected, null when it is fine."""
-    parsed = F.from_json(items, RECIPE_ITEMS)
+    parsed = _lines(items, RECIPE_LINE)
     bad = F.exists(parsed, lambda x: x["ingredient_id"].isNull() | (F.coalesce(x["qty"], F.lit(0)) <= 0))
     return F.when(~is_array_text(items), messages.BAD_RECIPE_LIST).when(bad, messages.BAD_RECIPE_LINE)
 
 
 def id_list(json: Column) -> Column:
-    """Distinct ids of a JSON list, sorted."""
-    return F.array_sort(F.array_distinct(F.transform(_texts(json), lambda x: x.cast("bigint"))))
+    """Distinct ids of a JSON list, sorted; entries that are no whole number are left out."""
+    ids = F.transform(_texts(json), lambda x: F.trim(x).try_cast("bigint"))
+    return F.array_sort(F.array_distinct(F.filter(ids, lambda x: x.isNotNull())))
 
 
 def text_list(json: Column) -> Column:
