@@ -287,7 +287,7 @@ def _cut(text: pa.Array, repeats: pa.Array, width: int) -> Iterator[tuple[bytes
 def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(rid, repeats): for each row of ``docs`` (doc_id, text) with repeats, by its key, the ranges of its repeated starts.
 
-    Identical rows have one key and come once.
+    Identical rows have one key and come once; all starts of a row that occurs again are repeats.
     """
     core = width - WINDOW + 1
     if core < GRAM:
@@ -300,9 +300,11 @@ def repeated_starts(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     held, stand = stage_table(held), stage_table(stand)
     lists = suspects.groupBy("rid").agg(F.collect_set("x").alias("sampled"))
     lists = lists.join(_ranges(held, "proven"), "rid", "left").join(_ranges(stand, "stand"), "rid", "left")
-    texts = stage_table(keyed.join(lists, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("text", "sampled", "proven", "stand")]))
-    slots = texts.mapInArrow(_slots(width), "key long, rid long, base long, around binary, open int, need int")
-    found = _merge(slots).union(held)
+    texts = stage_table(keyed.join(lists, "rid").groupBy("rid").agg(*[F.first(c).alias(c) for c in ("text", "sampled", "proven", "stand")], F.count("*").alias("rows")))
+    # A repeated row goes to the merge once and does not meet its own copy there.
+    again = texts.where("rows > 1").select("rid", F.lit(0).cast("long").alias("lo"), (F.octet_length("text") - width).cast("long").alias("hi"))
+    slots = texts.drop("rows").mapInArrow(_slots(width), "key long, rid long, base long, around binary, open int, need int")
+    found = _merge(slots).union(held).union(again)
     return _ranges(found, "repeats")
 
 
