@@ -154,6 +154,36 @@ def test_one_of_each_keeps_clean_rows(docs, rows, empty):
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty).count() == 0
 
 
+def test_one_of_each_confirms_every_pair(spark):
+    rng = np.random.default_rng(11)
+    line = [f"common{k}" for k in range(12)]
+    texts = []
+    for k in range(40):
+        own = [f"w{k}x{j}" for j in range(int(rng.integers(30, 160)))]
+        texts.append(own)
+        for edits in rng.integers(1, 7, 3):  # resemblances around 0.8
+            copy = list(own)
+            for at in rng.choice(len(own), int(edits), replace=False):
+                copy[at] = f"e{rng.integers(1 << 40)}"
+            texts.append(copy)
+    texts += [line + [f"s{k}x{j}" for j in range(k % 6)] for k in range(90)]
+    order = rng.permutation(len(texts))
+    rows = [(i, " ".join(texts[j])) for i, j in enumerate(order.tolist())]
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(max(1, len(t.split()) - 4))} for _, t in rows]
+    root = list(range(len(rows)))
+    near = [0, 0]
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        same, both = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        near[0] += 0.8 <= same / both < 0.85
+        near[1] += 0.75 < same / both < 0.8
+        if same * 5 >= 4 * both and root[a] != root[b]:
+            old, new = sorted((root[a], root[b]))[::-1]
+            root = [new if r == old else r for r in root]
+    assert min(near) > 5
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+
+
 # ---- 3: toxicity
 
 
@@ -257,6 +287,15 @@ def test_repeated_strings(docs, rows, empty):
     assert kept.columns == docs.columns and kept.count() == len(rows) and repeats.without_repeats(empty).count() == 0
 
 
+def test_rows_repeated_under_one_id_only(spark):
+    rng = np.random.default_rng(9)
+    short, long_, once = prose(rng, 400)[:450], prose(rng, 900), prose(rng, 900)
+    rows = [(1, short), (1, short), (2, long_), (2, long_), (3, once)]
+    got = repeats.digest(repeats.removed(spark.createDataFrame(rows, "doc_id long, text string"))).collect()
+    n = {1: len(short.encode()), 2: len(long_.encode()), 3: len(once.encode())}
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [*[(i, n[i], n[i], 1) for i in (1, 1, 2, 2)], (3, n[3], 0, 0)]
+
+
 # ---- 8: neighbours
 
 

@@ -25,7 +25,7 @@ from tillworks.llm.graph import components
 
 BITS = 64
 BLOCK = 8192  # fingerprints of one key that meet in one cell; larger groups are cut into pairs of blocks
-SMALL = 1_000_000  # rows of the table of large keys up to which it may be broadcast (20 bytes each)
+SMALL = 1_000_000  # rows of a table of keys or ids up to which it may be broadcast (20 bytes each)
 
 
 def hashes_of(text: str | None, width: int) -> np.ndarray:
@@ -225,52 +225,137 @@ def hex_of(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-MIX = (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)  # fixed odd numbers: one more hash family each
+LIKE = (4, 5)  # resemblance of a near-duplicate pair: at least 4/5
+HOT = 64  # a shingle among the first ones of more documents than this goes to the end of the order
+HOT_MOST = 1_000_000  # most such shingles, the commonest first; the pairs found do not depend on the choice
 
 
-def prints_of(text: str | None, width: int, families: int) -> list[int]:
-    """SimHashes of the distinct shingles of a text under ``families`` hash families; zeros without words."""
-    h = np.unique(hashes_of(text, width))
-    out = []
-    for k in range(families):
-        own = h * np.uint64(MIX[k])
-        own ^= own >> np.uint64(32)
-        counts = np.zeros(BITS, np.int64)
-        for at in range(0, len(own), 65536):
-            counts += np.unpackbits(own[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-        out.append(int(np.packbits(2 * counts > len(own), bitorder="little").view(np.int64)[0]) if len(own) else 0)
-    return out
+def shingles_of(text: str | None, width: int) -> np.ndarray:
+    """The distinct shingle hashes of a text, ascending as signed numbers."""
+    return np.unique(hashes_of(text, width).view(np.int64))
 
 
-def one_of_each(docs: DataFrame, width: int = 5, families: int = 4, tau: int = 6, segments: int = 7) -> DataFrame:
+def _needed(n: Column) -> Column:
+    """How many first shingles of ``n`` to look up: in one order for all documents, alike sets share one of these."""
+    return (n - F.expr(f"({LIKE[0]} * n + {LIKE[1] - 1}) div {LIKE[1]}") + 1).cast("int")
+
+
+def _alike(shared: Column, n: Column, m: Column) -> Column:
+    """Whether ``shared`` of ``n`` and ``m`` distinct shingles make a resemblance of ``LIKE``, in whole numbers."""
+    return sum(LIKE) * shared >= LIKE[0] * (n + m)
+
+
+def _cells(sets: DataFrame) -> DataFrame:
+    """(h, node, n, i): the first shingles of each set and their places, where another set has ``h`` among its first.
+
+    Shingles that are among the first of many sets go to the end of the order, so that a common
+    line brings documents together only when little else is in them.
+    """
+    names, schema = ("h", "node", "n", "i"), "h long, node long, n long, i long"
+    often = sets.where("n > 0").select(F.explode(F.slice("shingles", F.lit(1), _needed(F.col("n")))).alias("h")).groupBy("h").count().where(F.col("count") > HOT)
+    hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("count"), "h").limit(HOT_MOST).collect()], np.int64))
+    held = sets.sparkSession.sparkContext.broadcast(hot)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = held.value
+        for b in batches:
+            for node, needed, own in zip(b.column("node").to_pylist(), b.column("needed").to_pylist(), b.column("shingles"), strict=True):
+                own = own.values.to_numpy()
+                n = len(own)
+                if len(late):
+                    last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+                    own = np.concatenate([own[~last], own[last]])
+                own = own[:needed]
+                columns = (own, np.full(needed, node), np.full(needed, n), np.arange(needed))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(c).to_numpy() for c in names]
+            own = own if rest is None else [np.concatenate(x) for x in zip(rest, own, strict=True)]
+            upto = int(np.searchsorted(own[0], own[0][-1]))  # the last shingle may go on in the next batch
+            yield from repeated([c[:upto] for c in own])
+            rest = [c[upto:] for c in own]
+        if rest is not None:
+            yield from repeated(rest)
+
+    def repeated(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        same = own[0][1:] == own[0][:-1]
+        if same.any():
+            met = np.append(same, False) | np.append(False, same)
+            yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in own], names=list(names))
+
+    rows = sets.where("n > 0").select("node", "shingles", _needed(F.col("n")).alias("needed")).mapInArrow(first, schema)
+    return stage_table(rows.repartition("h").sortWithinPartitions("h").mapInArrow(shared, schema))
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether two rows of one cell can be alike: if it is their first common shingle, only those after it can be shared too."""
+    rest = F.least(F.col(f"{a}.n") - F.col(f"{a}.i"), F.col(f"{b}.n") - F.col(f"{b}.i"))
+    return _alike(rest, F.col(f"{a}.n"), F.col(f"{b}.n"))
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A table of ids, broadcast while it is small, so that the other side keeps its place."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose shingle sets are alike, by the sets themselves."""
+    ids = stage_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    own = sets.select("node", "n", "shingles").join(_few(ids), "node", "left_semi")
+    one, two = own.toDF("a", "n", "x"), own.toDF("b", "m", "y")
+    met = pairs.join(one, "a").join(two, "b")
+    return met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b")
+
+
+def alike(sets: DataFrame) -> DataFrame:
+    """(node, component) of the sets (node, n, shingles) that a resemblance of ``LIKE`` connects; sets without a partner are not returned.
+
+    No pair is missed and none is taken on trust: alike sets have one of their first shingles in
+    common (prefix filter), and each candidate pair is confirmed by the sets. First each cell's
+    sets meet its least one only; then all that are not yet in one component meet each other.
+    """
+    cells = _cells(sets)
+    row = F.struct("node", "n", "i")
+    centre = cells.groupBy("h").agg(F.min(row).alias("p"))
+    star = cells.select("h", row.alias("q")).join(centre, "h").where((F.col("p.node") < F.col("q.node")) & _possible("p", "q"))
+    tried = stage_table(star.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
+    links = stage_table(_confirmed(tried, sets))
+    placed = cells.join(components(links), "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
+    placed = stage_table(placed)
+    split = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
+    open_ = stage_table(placed.join(split, "h", "left_semi"))
+    own = F.struct("node", "n", "i", "c")
+    met = open_.select("h", own.alias("p")).join(open_.select("h", own.alias("q")), "h")
+    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & _possible("p", "q"))
+    met = stage_table(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    return components(links.union(_confirmed(met, sets)))
+
+
+def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     """The rows of ``docs`` with one document of each near-duplicate group: that of least doc_id.
 
-    Documents are linked when their SimHashes of distinct ``width``-word shingles differ in at most
-    ``tau`` of 64 bits in one of ``families`` hash families; groups are what links connect. One
-    family finds about half of the pairs with a resemblance of 0.9, four find nearly all, and
-    documents that share nothing are 32 bits apart. Exact copies always meet. Texts without words
+    Documents are linked when the exact Jaccard resemblance of their distinct ``width``-word shingles
+    is at least ``LIKE``, see :func:`alike`; groups are what links connect. Texts without words
     (null and empty too) are copies of each other. Rows without a doc_id stay unless one with an id is in their group; rows
     that repeat a doc_id and its text become one.
     """
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([prints_of(t, width, families) for t in texts])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("fps"))
-    rows = stage_table(rows.select("doc_id", "th", "fps", F.xxhash64("fps").alias("node")))
-    nodes = stage_table(rows.groupBy("node", "fps").agg(F.min("doc_id").alias("least")))
-    values = nodes.select("node", F.posexplode("fps").alias("family", "fp"))
-    pairs, edges = None, None
-    for k in range(families):
-        own = values.where(F.col("family") == k)
-        found = links(own.select("fp").distinct(), tau, segments)
-        found = found.select(F.xxhash64(F.lit(k), "a").alias("a"), F.xxhash64(F.lit(k), "b").alias("b"))
-        pairs = found if pairs is None else pairs.union(found)
-    pairs = stage_table(pairs)
-    at = F.xxhash64("family", "fp")
-    met = pairs.select(F.col("a").alias("b")).union(pairs.select("b")).union(values.groupBy("family", "fp").count().where("count > 1").select(at.alias("b"))).distinct()
-    edges = values.select(F.col("node").alias("a"), at.alias("b")).join(met, "b", "left_semi").select("a", "b").union(pairs)
-    placed = nodes.join(components(edges), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+        return pd.Series([shingles_of(t, width) for t in texts])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("shingles"))
+    rows = rows.select("doc_id", "th", F.xxhash64("shingles").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("row"))
+    rows = stage_table(rows)
+    nodes = stage_table(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
+    # One row stands for all with the same set.
+    copies = stage_table(rows.select("row").join(nodes.select("row"), "row", "left_anti"))
+    sets = rows.join(_few(copies), "row", "left_anti").select("node", "n", "shingles")
+    placed = nodes.join(alike(sets), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     owners = placed.join(placed.groupBy("component").agg(F.min("least").alias("keep")), "component").select("node", "keep")
     gone = rows.join(owners, "node").where("keep is not null and not (doc_id <=> keep)").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
     again = rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1")
