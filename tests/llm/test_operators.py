@@ -252,6 +252,21 @@ def test_multiset_hash_is_order_free_and_incremental(spark):
     assert tuple(r) == (True, True, True, 1.0, False)
 
 
+def test_likeness_of_long_documents(spark):
+    rng = np.random.default_rng(13)
+    rows = []
+    for k in range(40):
+        n, share = int(rng.integers(100, 600)), (0.0, 0.25, 0.5, 0.75, 0.95)[k % 5]
+        own = [f"p{k}x{j}" for j in range(n)] + ["again and again"] * int(rng.integers(0, 60))
+        other = own[: int(share * len(own))] + [f"q{k}x{j}" for j in range(len(own) - int(share * len(own)))]
+        x, y = collections.Counter(own), collections.Counter(other)
+        rows.append(("\n".join(own), "\n".join(other), (x & y).total() / (x | y).total()))
+    df = spark.createDataFrame(rows, "x string, y string, want double")
+    df = lthash.with_vector(lthash.with_vector(df, "x", "v"), "y", "w")
+    off = [r.got - r.want for r in df.select("want", lthash.likeness(F.col("v"), F.col("w")).alias("got")).collect()]
+    assert len(off) == 40 and max(map(abs, off)) < 0.25 and np.mean(np.abs(off)) < 0.08 and abs(np.mean(off)) < 0.05
+
+
 def test_edited_texts(docs, rows, empty):
     order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
     want = []
