@@ -252,13 +252,13 @@ def _cells(sets: DataFrame) -> DataFrame:
     line brings documents together only when little else is in them.
     """
     names, schema = ("h", "node", "n", "i"), "h long, node long, n long, i long"
-    often = sets.where("n > 0").select(F.explode(F.slice("shingles", F.lit(1), _needed(F.col("n")))).alias("h")).groupBy("h").count().where(F.col("count") > HOT)
-    hot = np.sort(np.array([r["h"] for r in often.orderBy(F.desc("count"), "h").limit(HOT_MOST).collect()], np.int64))
+    hot = np.empty(0, np.int64)
     held = sets.sparkSession.sparkContext.broadcast(hot)
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
         for b in batches:
+            parts = []
             for node, needed, own in zip(b.column("node").to_pylist(), b.column("needed").to_pylist(), b.column("shingles"), strict=True):
                 own = own.values.to_numpy()
                 n = len(own)
@@ -266,8 +266,9 @@ def _cells(sets: DataFrame) -> DataFrame:
                     last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
                 own = own[:needed]
-                columns = (own, np.full(needed, node), np.full(needed, n), np.arange(needed))
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=list(names))
+                parts.append((own, np.full(needed, node), np.full(needed, n), np.arange(needed)))
+            if parts:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=list(names))
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
@@ -288,7 +289,16 @@ def _cells(sets: DataFrame) -> DataFrame:
             met = np.append(same, False) | np.append(False, same)
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in own], names=list(names))
 
-    rows = sets.where("n > 0").select("node", "shingles", _needed(F.col("n")).alias("needed")).mapInArrow(first, schema)
+    own = sets.where("n > 0").select("node", "shingles", _needed(F.col("n")).alias("needed"))
+    while len(hot) < HOT_MOST:
+        # Where shingles went to the end others become first ones; those are counted again.
+        often = own.mapInArrow(first, schema).groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(HOT_MOST)
+        more = np.union1d(hot, np.array([r["h"] for r in often.collect()], np.int64))
+        if len(more) == len(hot):
+            break
+        hot = more
+        held = sets.sparkSession.sparkContext.broadcast(hot)
+    rows = own.mapInArrow(first, schema)
     return stage_table(rows.repartition("h").sortWithinPartitions("h").mapInArrow(shared, schema))
 
 
