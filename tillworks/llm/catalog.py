@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import kdshards, licenses, lthash, maxent, neighbours, packing, repeats, segments, simhash, toxicity
+from tillworks.llm import kdshards, licenses, lthash, maxent, neighbours, packing, repeats, runs, segments, simhash, toxicity
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -87,6 +87,11 @@ def hashed_maxent(spark: SparkSession, folder: str) -> DataFrame:
     return maxent.scored(docs, toxicity.fold(F.col("doc_id"), 10) == 0)
 
 
+@query("op11_synchronised_runs")
+def synchronised_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return runs.digest(runs.with_runs(runs.planted(table(spark, folder, "documents")), ["doc_id"]))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
