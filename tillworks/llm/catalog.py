@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillworks.llm import kdshards, licenses, lthash, maxent, neighbours, packing, repeats, runs, segments, simhash, toxicity
+from tillworks.llm import kdshards, licenses, lthash, maxent, neighbours, packing, ranked, repeats, runs, segments, simhash, toxicity
 
 PLANS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -92,6 +92,25 @@ def synchronised_runs(spark: SparkSession, folder: str) -> DataFrame:
     return runs.digest(runs.with_runs(runs.planted(table(spark, folder, "documents")), ["doc_id"]))
 
 
+LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+TERMS = f"regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+
+
+@query(
+    "op12_hybrid_search",
+    f"""WITH d AS (SELECT doc_id, row_number() OVER () AS r, {TERMS} AS t FROM documents),
+ s AS (SELECT count(*) AS texts, CAST(sum(len(t)) AS BIGINT) AS words FROM d WHERE len(t) > 0),
+ f AS (SELECT r, doc_id, n, term, count(*) AS tf FROM (SELECT r, doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY ALL),
+ w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(texts) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM f, s GROUP BY 1),
+ q AS (SELECT no, item_id, term, count(*) AS c FROM (SELECT row_number() OVER () AS no, item_id, unnest({TERMS}) AS term FROM benchmark) GROUP BY ALL),
+ m AS (SELECT no, item_id, r, doc_id, CAST(sum(c * w * ((1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * n * texts) // words)))) AS BIGINT) AS score
+ FROM q JOIN f USING (term) JOIN w USING (term), s GROUP BY ALL)
+ SELECT item_id, rank, doc_id, score FROM (SELECT *, CAST(row_number() OVER (PARTITION BY no ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM m WHERE score > 0) WHERE rank <= 20""",
+)
+def hybrid_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(PLANS)
 
