@@ -284,11 +284,11 @@ def _linked(kind: str, shape: tuple, link: float):
             a, b = a[here], b[here]
             np.add.at(links, a, weight[b])
             np.add.at(links, b, weight[a])
-            while len(a):  # the smallest place of each linked group
-                least = np.minimum(label[a], label[b])
-                np.minimum.at(label, a, least)
-                np.minimum.at(label, b, least)
-                label = label[label]
+            while len(a):  # the larger root of each linked pair goes under the smaller one
+                one, two = label[a], label[b]
+                np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+                while (label[label] != label).any():
+                    label = label[label]
                 apart = label[a] != label[b]
                 a, b = a[apart], b[apart]
         some, tied = np.flatnonzero(links), np.flatnonzero(label != np.arange(len(label)))
