@@ -17,10 +17,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillworks.config import stage_table
+
 BUCKETS = 1 << 18
 STEMS = (4, 5, 6, 7)  # lengths of word beginnings used next to the whole word
 TRIM = ".,;:!?\"'()[]{}*#%&<>|-_"  # fixed value: marks cut off both ends of a word
 MAX_POSITIVE, MAX_UNLABELLED = 4_000, 8_000  # bound of the training sample, rows of least hash first
+FEATURES = 256  # buckets a model uses, at most: those that tell most
+TELLING = 5.5  # z-score that chance reaches in one of BUCKETS at less than one time in a hundred
 CACHE = 50_000  # words whose buckets a worker remembers
 
 
@@ -63,40 +67,48 @@ def _rows(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets or [np.empty(0, np.int32)]), np.repeat(np.arange(len(sets), dtype=np.int32), [len(s) for s in sets])
 
 
-def select(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 8.0) -> np.ndarray:
-    """Buckets seen in clearly more positive texts than unlabelled ones: a z-score of ``least`` or more."""
-    p = np.bincount(_rows(positive)[0], minlength=BUCKETS)
-    u = np.bincount(_rows(unlabelled)[0], minlength=BUCKETS)
-    n, m = max(1, len(positive)), max(1, len(unlabelled))
+def select(p: np.ndarray, u: np.ndarray, n: int, m: int, most: int = FEATURES) -> np.ndarray:
+    """Buckets that tell positive from unlabelled texts, at most ``most``, ascending.
+
+    ``p`` and ``u`` say how many of the ``n`` positive and ``m`` unlabelled texts hold each bucket.
+    """
     share = (p + u + 1.0) / (n + m + 2.0)
-    z = (p / n - u / m) / np.sqrt(share * (1 - share) * (1 / n + 1 / m))
-    return np.flatnonzero((z >= least) & (p + u >= 5))
+    z = (p / max(1, n) - u / max(1, m)) / np.sqrt(share * (1 - share) * (1 / max(1, n) + 1 / max(1, m)))
+    z[p + u < 4] = 0
+    best = np.argsort(-z, kind="stable")[:most]
+    return np.sort(best[z[best] >= TELLING])
 
 
-def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 800, rate: float = 0.05, decay: float = 2e-4) -> Model:
-    """Minimises the non-negative risk by full-batch Adam; deterministic.
+def flat(prior: float) -> Model:
+    """The model of a table with nothing to learn from: every text gets the prior."""
+    prior = float(np.clip(prior, 1e-3, 0.999))
+    return Model(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
+
 
-    Without positives (or without unlabelled text) nothing can be learned: the model then
-    gives every text the prior.
+def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
+    """Model of a few texts' features held in memory, see :func:`minimise`."""
+    if not positive or not unlabelled:
+        return flat(prior)
+    (pc, pr), (uc, ur) = _rows(positive), _rows(unlabelled)
+    buckets = select(np.bincount(pc, minlength=BUCKETS), np.bincount(uc, minlength=BUCKETS), len(positive), len(unlabelled))
+    keep_p, keep_u = np.isin(pc, buckets), np.isin(uc, buckets)
+    return minimise(buckets, (pc[keep_p], pr[keep_p], len(positive)), (uc[keep_u], ur[keep_u], len(unlabelled)), prior)
+
+
+def minimise(buckets: np.ndarray, p: tuple, u: tuple, prior: float, rounds: int = 800, rate: float = 0.05, decay: float = 2e-4) -> Model:
+    """Minimises the non-negative risk over ``buckets`` by full-batch Adam; deterministic.
+
+    ``p`` and ``u`` are (bucket, row, number of rows) of the positive and unlabelled texts, of which only
+    ``buckets`` are listed. Without positives, unlabelled text or telling buckets nothing can
+    be learned: the model then gives every text the prior.
     """
+    model = flat(prior)
     prior = float(np.clip(prior, 1e-3, 0.999))
-    flat = Model(np.empty(0, np.int64), np.empty(0), float(np.log(prior / (1 - prior))))
-    if not positive or not unlabelled:
-        return flat
-    buckets = select(positive, unlabelled)
-    if not len(buckets):
-        return flat
-    to = np.full(BUCKETS, -1)
-    to[buckets] = np.arange(len(buckets))
-
-    def narrow(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
-        cols, rows = _rows(sets)
-        keep = to[cols] >= 0
-        return to[cols[keep]], rows[keep], len(sets)
-
-    p, u = narrow(positive), narrow(unlabelled)
+    if not p[2] or not u[2] or not len(buckets):
+        return model
+    p, u = ((np.searchsorted(buckets, x[0]), *x[1:]) for x in (p, u))
     w = np.zeros(len(buckets) + 1)
-    w[-1] = flat.bias
+    w[-1] = model.bias
     first, second = np.zeros_like(w), np.zeros_like(w)
 
     def margin(x: tuple) -> np.ndarray:
@@ -146,17 +158,28 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     def buckets(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: features(t).astype(np.int32))
 
-    def sample(ids: DataFrame, most: int) -> list[np.ndarray]:
-        # The ids are chosen before any text is read.
-        chosen = ids.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-        rows = own.join(chosen, "doc_id", "left_semi").select("doc_id", buckets("text").alias("f")).toPandas()
-        return [np.asarray(f, np.int32) for f in rows.sort_values("doc_id", kind="stable")["f"]]
-
-    ids = own.where("doc_id is not null").select("doc_id")
+    ids = own.where("doc_id is not null").select("doc_id").distinct()
     toxic = known.where("toxic = 1").select("doc_id")
-    positive = sample(ids.join(toxic, "doc_id", "left_semi"), max_positive)
-    unlabelled = sample(ids.join(toxic, "doc_id", "left_anti"), max_unlabelled)
-    return train(positive, unlabelled, share or 0.0)
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]  # the ids are chosen before any text is read
+    positive = ids.join(toxic, "doc_id", "left_semi").orderBy(*first).limit(max_positive).withColumn("toxic", F.lit(True))
+    unlabelled = ids.join(toxic, "doc_id", "left_anti").orderBy(*first).limit(max_unlabelled).withColumn("toxic", F.lit(False))
+    sample = own.join(positive.unionByName(unlabelled), "doc_id").select("toxic", buckets("text").alias("f"))
+    sample = stage_table(sample.withColumn("row", F.monotonically_increasing_id()))
+    n, m = sample.agg(F.count_if("toxic"), F.count_if(~F.col("toxic"))).first()
+    # At most BUCKETS counts reach the driver, then the few buckets of the model in each text of the sample.
+    each = sample.select("row", "toxic", F.explode("f").alias("bucket"))
+    counts = each.groupBy("bucket").agg(F.count_if("toxic").alias("p"), F.count_if(~F.col("toxic")).alias("u")).toArrow()
+    at = counts.column("bucket").to_numpy()
+    seen = np.zeros((2, BUCKETS))
+    seen[0, at], seen[1, at] = counts.column("p").to_numpy(), counts.column("u").to_numpy()
+    chosen = select(*seen, n, m)
+    held = each.where(F.col("bucket").isin(chosen.tolist())).toArrow() if len(chosen) else each.limit(0).toArrow()
+    bucket, row, is_toxic = (held.column(c).to_numpy() for c in ("bucket", "row", "toxic"))
+    sides = []
+    for side, size in ((is_toxic.astype(bool), n), (~is_toxic.astype(bool), m)):
+        order = np.lexsort((bucket[side], row[side]))
+        sides.append((bucket[side][order], np.unique(row[side][order], return_inverse=True)[1], size))
+    return minimise(chosen, *sides, share or 0.0)
 
 
 def score(text: Column, model: Model) -> Column:
