@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tillworks.functions import timeutil as T
 from tillworks.operators import access as A
 from tillworks.operators import coupons as C
-from tillworks.operators import kitchen, prefix, stock
+from tillworks.operators import claims, kitchen, prefix, stock
 
 BASE = datetime(2024, 1, 1)
 
@@ -69,6 +69,72 @@ def test_block_mode_loop(spark):
     assert got == want and 0 < sum(want.values()) < len(want)
 
 
+def replayed(asked, capacity, changes):
+    """Request by request in time order; what is given back at an instant comes before its requests."""
+    used, back, out = defaultdict(int), [], {}
+    requests = defaultdict(list)
+    for bill, at, r, need, until in asked:
+        requests[at, bill].append((r, need, until))
+    for at, bill in sorted(requests):
+        for time, r, amount in [x for x in back + changes if x[0] <= at]:
+            used[r] += amount
+        back, changes = [x for x in back if x[0] > at], [x for x in changes if x[0] > at]
+        bound = [x for x in requests[at, bill] if x[0] in capacity]
+        ok = all(used[r] + need <= capacity[r] for r, need, _ in bound)
+        if bound:
+            out[bill] = (ok, {r: used[r] for r, _, _ in bound})
+        for r, need, until in bound if ok else ():
+            used[r] += need
+            if until is not None and until > at:
+                back.append((until, r, -need))
+    return out
+
+
+def claim_case(rng):
+    hour = claims.HOUR_US
+    asked = []
+    for bill in range(1, 260):
+        at = rng.randrange(60) * hour // 4
+        for r in {f"r{hot_key(rng, 7)}", f"r{hot_key(rng, 7)}", f"r{rng.randrange(9)}"}:
+            asked.append((bill, at, r, rng.randrange(1, 6), rng.choice([None, None, at + rng.randrange(0, 9) * hour])))
+    capacity = {f"r{i}": rng.choice([0, 5, 20, 60]) for i in range(7)} | {"idle": 3}
+    changes = [(rng.randrange(-10, 60) * hour // 4, f"r{rng.randrange(8)}", rng.choice([-3, -1, 1, 2])) for _ in range(40)]
+    return asked, capacity, changes
+
+
+def test_claims_loop(spark):
+    """Any prefix size gives the row-by-row decisions, with uses given back and uses from elsewhere."""
+    rng = random.Random(31)
+    for prefix_size in (60, claims.PREFIX):
+        asked, capacity, changes = claim_case(rng)
+        a = spark.createDataFrame(asked, "bill bigint, at bigint, resource string, need bigint, until bigint")
+        c = spark.createDataFrame(list(capacity.items()), "resource string, capacity bigint")
+        h = spark.createDataFrame(changes, "time bigint, resource string, amount bigint")
+        want = replayed(asked, capacity, changes)
+        steps = [dict(map(tuple, r.collect())) for r in claims.rounds(a, c, h, prefix_size)]
+        got = {k: v for s in steps for k, v in s.items()}
+        assert got == {b: ok for b, (ok, _) in want.items()} and sum(map(len, steps)) == len(got)
+        if prefix_size == claims.PREFIX:
+            assert len(steps) == 1
+            bound = a.join(c, "resource").select(a.columns)
+            taken = bound.join(spark.createDataFrame([(b,) for b, ok in got.items() if ok], "bill bigint"), "bill", "left_semi").select(a.columns)
+            before = defaultdict(dict)
+            for r in claims.used_before(bound.drop("until"), taken, h).collect():
+                before[r.bill][r.resource] = r.used
+            assert dict(before) == {b: u for b, (_, u) in want.items()}
+
+
+def test_rounds_are_bounded(spark):
+    """A chain in which every decision hangs on the one before: each round still decides a whole prefix."""
+    n, size = 120, 80
+    asked = [(i, i, f"r{i // 2}", 1, None) for i in range(n)] + [(i, i, f"s{(i + 1) // 2}", 1, None) for i in range(n)]
+    a = spark.createDataFrame(asked, "bill bigint, at bigint, resource string, need bigint, until bigint")
+    c = spark.createDataFrame([(r, 1) for r in {x[2] for x in asked}], "resource string, capacity bigint")
+    steps = [dict(map(tuple, r.collect())) for r in claims.rounds(a, c, prefix=size)]
+    assert len(steps) <= 2 * n // size + 1
+    assert {k: v for s in steps for k, v in s.items()} == {b: ok for b, (ok, _) in replayed(asked, {r: 1 for r in {x[2] for x in asked}}, []).items()}
+
+
 def test_bogo_units(spark):
     rng = random.Random(4)
     lines = [(b, m, rng.randrange(1, 6)) for b in range(80) for m in rng.sample(range(20), rng.randrange(1, 8))] + [(999, m, 50) for m in range(20)]

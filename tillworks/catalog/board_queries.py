@@ -139,7 +139,18 @@ def stock_deduct(t):
     return S.deduct_sales(needs(t), t.orders, t.ingredients)
 
 
-@query("stock_deduct_block")
+#: Bill by bill in time order; ``st`` is what is left of every tracked ingredient.
+BLOCK = dict(
+    g="SELECT id, stock, row_number() OVER (ORDER BY id) AS i FROM pos_ingredients WHERE track_stock",
+    bl=f"SELECT nd.order_id, o.created_at, list({{'i': g.i, 'q': CAST(nd.need AS {Q24})}}) AS c FROM nd JOIN g ON g.id = nd.ingredient_id JOIN pos_orders o ON o.id = nd.order_id GROUP BY 1, 2",
+    t="SELECT row_number() OVER (ORDER BY created_at, order_id) AS n, order_id, c FROM bl",
+    rc=f"""SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS order_id, CAST(NULL AS BOOLEAN) AS accepted, (SELECT list(CAST(stock AS {Q24}) ORDER BY i) FROM g) AS st
+ UNION ALL SELECT n, order_id, ok, CASE WHEN ok THEN list_transform(st, lambda s, i: s - coalesce(list_filter(c, lambda x: x.i = i)[1].q, 0)) ELSE st END FROM
+ (SELECT t.n, t.order_id, t.c, rc.st, len(list_filter(t.c, lambda x: rc.st[x.i] < x.q)) = 0 AS ok FROM rc JOIN t ON t.n = rc.n + 1)""",
+)
+
+
+@query("stock_deduct_block", "SELECT order_id, accepted FROM rc WHERE n > 0", **NEED, **BLOCK)
 def stock_deduct_block(t):
     return S.deduct_sales_blocking(needs(t), t.orders, t.ingredients)
 

@@ -149,6 +149,37 @@ def coupon_limit_rank(t):
     return C.limit_ranks(stage_table(C.priced_bills(*batch(t)))).select("id", "coupon_id", F.col("_mine").alias("before_customer"), F.col("_used").alias("before_coupon"))
 
 
+# ---- limits over stored bills and cancellations, bill by bill ---------------
+
+STORED = dict(
+    **{**BATCH, "b": "SELECT * FROM pos_coupon_bills WHERE id % 3 <> 0"},
+    cx="SELECT id, created_at + INTERVAL '1' DAY * (1 + id % 30) AS at FROM pos_orders WHERE payment_status = 'cancelled'",
+    sx="SELECT o.coupon_id, o.phone, o.created_at, cx.at AS gone FROM pos_orders o LEFT JOIN cx ON cx.id = o.id WHERE o.id % 3 = 0 AND o.coupon_id IS NOT NULL",
+    e=f"SELECT *, {EARLY.format(today=DAY)} AS early FROM pr",
+    x="SELECT e.*, cx.at AS gone, (kind = 'bogo' AND free_units = 0) OR (per_customer_limit IS NOT NULL AND phone IS NULL) AS failing FROM e LEFT JOIN cx ON cx.id = e.id WHERE early IS NULL AND (usage_limit IS NOT NULL OR per_customer_limit IS NOT NULL)",
+    t="""SELECT row_number() OVER (ORDER BY created_at, id) AS n, * FROM (SELECT x.id, x.coupon_id, x.phone, x.created_at, x.gone, x.usage_limit, x.per_customer_limit, x.failing,
+ count(sx.coupon_id) AS s_used, count(sx.coupon_id) FILTER (sx.phone = x.phone) AS s_mine FROM x LEFT JOIN sx ON sx.coupon_id = x.coupon_id AND sx.created_at <= x.created_at AND (sx.gone IS NULL OR sx.gone > x.created_at) GROUP BY ALL)""",
+    rc="""SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS mine, CAST([] AS STRUCT(c BIGINT, p VARCHAR, u TIMESTAMP)[]) AS held
+ UNION ALL SELECT n, id, used, mine, CASE WHEN NOT failing AND coalesce(used < usage_limit, true) AND coalesce(mine < per_customer_limit, true) THEN list_append(held, {'c': CAST(coupon_id AS BIGINT), 'p': phone, 'u': gone}) ELSE held END FROM
+ (SELECT t.*, rc.held, t.s_used + len(list_filter(rc.held, lambda h: h.c = t.coupon_id AND (h.u IS NULL OR h.u > t.created_at))) AS used,
+ t.s_mine + len(list_filter(rc.held, lambda h: h.c = t.coupon_id AND h.p = t.phone AND (h.u IS NULL OR h.u > t.created_at))) AS mine FROM rc JOIN t ON t.n = rc.n + 1)""",
+    q=f"SELECT e.id, code, coupon_id, subtotal, discount, {LATE} AS reason FROM e LEFT JOIN rc ON rc.id = e.id",
+)
+
+
+def cancellations(t, sign: int = 1):
+    """When cancelled bills were cancelled: 1 to 30 days after they were made."""
+    gone = t.orders.filter("payment_status = 'cancelled'")
+    return gone.select((sign * F.col("id")).alias("id"), F.timestamp_add("DAY", (1 + F.col("id") % 30).cast("int"), F.col("created_at")).alias("at"))
+
+
+@query("coupon_settlement_stored", QUOTED, **STORED)
+def coupon_settlement_stored(t):
+    """Two thirds of the bills settled against the coupon uses of the others, which are stored."""
+    bills = t.coupon_bills.filter("id % 3 <> 0")
+    return C.settlement_over_time(bills, t.order_lines, t.coupons, t.menu, t.orders.filter("id % 3 = 0"), cancellations(t))
+
+
 @query(
     "coupon_uses",
     """SELECT 'coupon' AS kind, coupon_id, NULL AS phone, count(*) AS uses, CAST(sum(discount) AS DECIMAL(24,2)) AS given FROM pos_orders WHERE coupon_id IS NOT NULL AND payment_status <> 'cancelled' GROUP BY 2

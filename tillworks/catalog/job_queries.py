@@ -71,6 +71,74 @@ query(
 )(lambda t: intake(t).customers)
 
 
+# ---- bill intake with stock, bill by bill -----------------------------------
+
+def _shown(c: str) -> str:
+    return f"regexp_replace(CAST({c} AS VARCHAR), '\\.?0+$', '')"
+
+
+def _stepwise(block: bool) -> dict[str, str]:
+    """Every bill in time order with its coupon's uses and, if ``block``, what is left of every tracked ingredient."""
+    short = "len(list_filter(c, lambda x: st[x.i] < x.q)) = 0" if block else "true"
+    return dict(
+        **{k: v for k, v in INTAKE.items() if k not in ("r1", "r2", "q", "dc", "tk", "cn")},
+        cx="SELECT id, created_at + INTERVAL '1' DAY * (1 + id % 30) AS at FROM pos_orders WHERE payment_status = 'cancelled'",
+        sx="SELECT o.coupon_id, o.phone, o.created_at, cx.at AS gone FROM pos_orders o LEFT JOIN cx ON cx.id = o.id WHERE o.id % 3 = 0 AND o.coupon_id IS NOT NULL",
+        g="SELECT id, name, unit, stock, row_number() OVER (ORDER BY id) AS i FROM pos_ingredients WHERE track_stock",
+        nd="""SELECT pl.bill_id AS order_id, g.id AS ingredient_id, g.i, CAST(sum(CAST(r.qty * pl.qty AS DECIMAL(14,3))) AS DECIMAL(24,3)) AS need FROM pl
+ JOIN pos_menu_item_ingredients r ON r.menu_item_id = pl.menu_item_id JOIN g ON g.id = r.ingredient_id GROUP BY 1, 2, 3""",
+        nl="SELECT order_id, list({'i': i, 'q': need} ORDER BY i) AS c FROM nd GROUP BY 1",
+        su2="""SELECT e.id, count(sx.coupon_id) AS s_used, count(sx.coupon_id) FILTER (sx.phone = e.phone) AS s_mine FROM e JOIN sx ON sx.coupon_id = e.coupon_id AND sx.created_at <= e.created_at AND (sx.gone IS NULL OR sx.gone > e.created_at)
+ WHERE e.early IS NULL GROUP BY 1""",
+        t="""SELECT row_number() OVER (ORDER BY ce.created_at, ce.id) AS n, ce.id, ce.created_at, cx.at AS gone, e.coupon_id, ce.phone, e.early, e.usage_limit, e.per_customer_limit, e.kind, e.free_units, ce.code, bs.bill_subtotal,
+ coalesce(su2.s_used, 0) AS s_used, coalesce(su2.s_mine, 0) AS s_mine, coalesce(nl.c, []) AS c FROM ce LEFT JOIN e ON e.id = ce.id LEFT JOIN su2 ON su2.id = ce.id LEFT JOIN bs ON bs.bill_id = ce.id LEFT JOIN nl ON nl.order_id = ce.id LEFT JOIN cx ON cx.id = ce.id WHERE ce.err IS NULL""",
+        rc=f"""SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS reason, CAST(NULL AS STRUCT(i BIGINT, q DECIMAL(24,3), s DECIMAL(24,3))) AS lack, CAST([] AS STRUCT(c BIGINT, p VARCHAR, u TIMESTAMP)[]) AS held,
+ (SELECT list(CAST(stock AS DECIMAL(24,3)) ORDER BY i) FROM g) AS st
+ UNION ALL SELECT n, id, reason, lack, CASE WHEN taken AND (usage_limit IS NOT NULL OR per_customer_limit IS NOT NULL) THEN list_append(held, {{'c': CAST(coupon_id AS BIGINT), 'p': phone, 'u': gone}}) ELSE held END,
+ CASE WHEN taken THEN list_transform(st, lambda s, i: s - coalesce(list_filter(c, lambda x: x.i = i)[1].q, 0)) ELSE st END FROM
+ (SELECT *, reason IS NULL AND bill_subtotal IS NOT NULL AND {short} AS taken, list_transform(list_filter(c, lambda x: st[x.i] < x.q), lambda x: {{'i': x.i, 'q': x.q, 's': st[x.i]}})[1] AS lack FROM
+ (SELECT *, CASE WHEN code <> '' THEN {CQ.LATE} END AS reason FROM
+ (SELECT t.*, rc.held, rc.st, t.s_used + len(list_filter(rc.held, lambda h: h.c = t.coupon_id AND (h.u IS NULL OR h.u > t.created_at))) AS used,
+ t.s_mine + len(list_filter(rc.held, lambda h: h.c = t.coupon_id AND h.p = t.phone AND (h.u IS NULL OR h.u > t.created_at))) AS mine FROM rc JOIN t ON t.n = rc.n + 1)))""",
+        dc=f"""SELECT ce.id, ce.created_at, bs.bill_subtotal, pr.discount AS coupon_discount, coalesce(ce.err, 'Coupon refused: ' || rc.reason, CASE WHEN bs.bill_subtotal IS NULL THEN 'No valid items in order.' END,
+ {"CASE WHEN rc.lack IS NOT NULL THEN 'Not enough ' || g.name || ': ' || " + _shown("rc.lack.s") + " || ' ' || g.unit || ' left, this bill needs ' || " + _shown("rc.lack.q") + " || ' ' || g.unit || '.' END" if block else "NULL"}) AS error
+ FROM ce LEFT JOIN bs ON bs.bill_id = ce.id AND ce.err IS NULL LEFT JOIN rc ON rc.id = ce.id LEFT JOIN pr ON pr.id = ce.id LEFT JOIN g ON g.i = rc.lack.i""",
+        mv="""SELECT nd.order_id, nd.ingredient_id, CAST(-nd.need AS DECIMAL(14,3)) AS qty, CAST(g.stock - sum(nd.need) OVER (PARTITION BY nd.ingredient_id ORDER BY dc.created_at, dc.id ROWS UNBOUNDED PRECEDING) AS DECIMAL(24,3)) AS balance_after
+ FROM nd JOIN dc ON dc.id = nd.order_id AND dc.error IS NULL JOIN g ON g.id = nd.ingredient_id""",
+    )
+
+
+def stocked(t, block: bool = SHOP.hide_out_of_stock):
+    """The raw bills against the coupon uses of a third of the orders, stored under numbers of their own."""
+    stored = t.orders.filter("id % 3 = 0").withColumn("id", -F.col("id"))
+    cancels = CQ.cancellations(t).unionByName(CQ.cancellations(t, -1))
+    return B.bill_intake_with_stock(t.bills, t.menu, t.recipes, t.ingredients, t.coupons, t.customers, stored, cancels, block)
+
+
+@query(
+    "bill_intake_stock",
+    f"""SELECT id, error, CASE WHEN error IS NULL THEN CAST(bill_subtotal AS {A}) END AS subtotal, CASE WHEN error IS NULL THEN CAST(least(coalesce(coupon_discount, 0), bill_subtotal) AS {A}) END AS discount FROM dc""",
+    **_stepwise(True),
+)
+def bill_intake_stock(t):
+    """Every raw bill: taken, with its sums, or refused, with the first failing rule."""
+    found = stocked(t)[0]
+    taken = found.orders.select("id", F.lit(None).cast("string").alias("error"), "subtotal", "discount")
+    return taken.unionByName(found.rejects.select("id", "error", F.lit(None).cast("decimal(18,2)").alias("subtotal"), F.lit(None).cast("decimal(18,2)").alias("discount")))
+
+
+@query("bill_intake_stock_moves", "SELECT * FROM mv", **_stepwise(True))
+def bill_intake_stock_moves(t):
+    return stocked(t)[1].select("order_id", "ingredient_id", "qty", "balance_after")
+
+
+@query("bill_intake_stock_warnings", "SELECT m.order_id, g.name, g.unit, m.balance_after AS stock FROM mv m JOIN g ON g.id = m.ingredient_id WHERE m.balance_after < 0", **_stepwise(False))
+def bill_intake_stock_warnings(t):
+    """Without blocking: what each taken bill leaves below zero."""
+    names = t.ingredients.select(F.col("id").alias("ingredient_id"), "name", "unit")
+    return stocked(t, block=False)[1].filter("warn").join(names, "ingredient_id").select("order_id", "name", "unit", F.col("balance_after").alias("stock"))
+
+
 # ---- staged edits ---------------------------------------------------------
 
 

@@ -146,4 +146,8 @@ def with_views(sql: str, **ctes: str) -> str:
     names: list[str] = []
     _needed(" ".join([*ctes.values(), sql]), names)
     parts = [f"{n} AS ({VIEWS[n].strip()})" for n in names] + [f"{n} AS ({t.strip()})" for n, t in ctes.items()]
-    return (f"WITH {', '.join(parts)} " if parts else "") + sql.strip()
+    # A step-by-step text reads itself, and each step its rows: those are computed once.
+    steps = [n for n, t in ctes.items() if "UNION ALL SELECT" in t and re.search(rf"\bFROM {n} JOIN t\b", t)]
+    if steps:
+        parts = [p.replace("t AS (", "t AS MATERIALIZED (", 1) if p.startswith("t AS (") else p for p in parts]
+    return (f"WITH {'RECURSIVE ' if steps else ''}{', '.join(parts)} " if parts else "") + sql.strip()

@@ -1,5 +1,8 @@
 """The messages a refused input gets. Their text is part of the results."""
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 BAD_RANGE = "End date must be on or after start date."
 LONG_RANGE = "Choose a range of up to 1 year."
 BAD_PHONE = "Enter a valid 10-digit phone number, or leave it blank."
@@ -57,3 +60,9 @@ def missing_times(day: str) -> str:
 
 def equal_times(day: str) -> str:
     return f"Opening and closing times for {day} cannot be the same."
+
+
+def short_stock(name: Column, left: Column, unit: Column, need: Column) -> Column:
+    """Refusal of a bill for want of an ingredient; amounts in thousandths, shown without trailing zeros."""
+    shown = lambda c: F.regexp_replace((c / 1000).cast("decimal(24,3)").cast("string"), r"\.?0+$", "")
+    return F.concat(F.lit("Not enough "), name, F.lit(": "), shown(left), F.lit(" "), unit, F.lit(" left, this bill needs "), shown(need), F.lit(" "), unit, F.lit("."))

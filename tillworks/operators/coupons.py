@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tillworks.config import stage_table
 from tillworks.functions import clean, labels
 from tillworks.functions import timeutil as T
+from tillworks.operators import claims
 from tillworks.operators.prefix import running_sum
 
 AMOUNT = "decimal(18,2)"
@@ -258,6 +259,69 @@ def settlement(bills: DataFrame, lines: DataFrame, coupons: DataFrame, menu: Dat
     return _quoted(settle(stage_table(priced_bills(bills, lines, coupons, menu))))
 
 
+def _limits(rows: DataFrame) -> DataFrame:
+    """One row per limit a bill's coupon sets it: (bill, at, resource, need, limit, kind, until)."""
+    total = F.struct(F.concat(F.lit("coupon "), F.col("coupon_id").cast("string")).alias("resource"), F.col("c_usage_limit").cast("bigint").alias("limit"), F.lit("used").alias("kind"))
+    named = F.concat(F.lit("coupon "), F.col("coupon_id").cast("string"), F.lit(" of "), F.col("phone"))
+    personal = F.struct(named.alias("resource"), F.col("c_per_customer_limit").cast("bigint").alias("limit"), F.lit("mine").alias("kind"))
+    each = rows.select(F.col("id").alias("bill"), T.micros(F.col("created_at")).alias("at"), F.lit(1).cast("bigint").alias("need"), "until", F.inline(F.array(total, personal)))
+    return each.filter("resource is not null and limit is not null")
+
+
+def stored_uses(stored: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Uses by stored bills ``(id, coupon_id, phone, created_at)`` as changes over time.
+
+    A use counts from the bill on until it is cancelled; ``cancels``: (id, at).
+    """
+    used = stored.filter("coupon_id is not null").join(cancels.groupBy("id").agg(F.min("at").alias("gone")), "id", "left")
+    name = F.concat(F.lit("coupon "), F.col("coupon_id").cast("string"))
+    names = F.explode(F.array_compact(F.array(name, F.concat(name, F.lit(" of "), F.col("phone")))))
+    both = used.select("created_at", "gone", names.alias("resource"))
+    step = lambda at, n: F.struct(T.micros(F.col(at)).alias("time"), F.lit(n).cast("bigint").alias("amount"))
+    return both.select("resource", F.inline(F.array(step("created_at", 1), step("gone", -1)))).filter("time is not null")
+
+
+def fails_by_itself() -> Column:
+    """Whether a priced bill's coupon is refused whatever others have used."""
+    no_phone = F.col("c_per_customer_limit").isNotNull() & F.col("phone").isNull()
+    return early_reason(T.local_day(F.col("created_at"))).isNotNull() | bogo_short() | no_phone
+
+
+def limit_steps(priced: DataFrame, cancels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Every limit that a batch looks at, and the capacities.
+
+    A bill that fails by itself may still look at limits, as they come first in the order of reasons.
+    """
+    gone = cancels.groupBy("id").agg(T.micros(F.min("at")).alias("until"))
+    seen = _limits(priced.filter(early_reason(T.local_day(F.col("created_at"))).isNull()).join(gone, "id", "left"))
+    return seen, seen.groupBy("resource").agg(F.max("limit").alias("capacity"))
+
+
+def limit_reasons(priced: DataFrame, used: DataFrame) -> DataFrame:
+    """Adds ``reason`` to priced bills; ``used``: (bill, kind, used) for the limits that were looked at."""
+    zero = lambda kind: F.coalesce(F.max(F.when(F.col("kind") == kind, F.col("used"))), F.lit(0)).alias(f"_{kind}")
+    seen = used.groupBy(F.col("bill").alias("id")).agg(zero("used"), zero("mine"))
+    reason = verdict(early_reason(T.local_day(F.col("created_at"))), F.coalesce("_used", F.lit(0)), F.coalesce("_mine", F.lit(0)))
+    return priced.join(seen, "id", "left").withColumn("reason", reason).drop("_used", "_mine")
+
+
+def settlement_over_time(bills: DataFrame, lines: DataFrame, coupons: DataFrame, menu: DataFrame, stored: DataFrame, cancels: DataFrame) -> DataFrame:
+    """Settles a batch against stored bills, with cancellations that give uses back.
+
+    Bills, stored uses and cancellations ``(id, at)`` of either run through one sequence: a bill is
+    tested against what holds a use at its instant, so one that comes after a cancellation gets
+    the freed use. At the same instant cancellations come first, then stored bills, then the batch by id.
+    Settling a batch in two parts, the second against the first's accepted bills, gives the same.
+    """
+    priced = stage_table(priced_bills(bills, lines, coupons, menu))
+    changes = stage_table(stored_uses(stored, cancels))
+    seen, capacity = limit_steps(priced, cancels)
+    seen = stage_table(seen)
+    asked = seen.join(priced.filter(fails_by_itself()).select(F.col("id").alias("bill")), "bill", "left_anti")
+    taken = claims.accepted_claims(asked, claims.decide(asked, capacity, changes))
+    return _quoted(limit_reasons(priced, claims.used_before(seen.select("bill", "at", "resource", "need", "kind"), taken, changes)))
+
+
 def catalogue(coupons: DataFrame, orders: DataFrame, as_of, currency: str) -> DataFrame:
     """Every coupon with its uses, discount given, state and labels; active first, newest first."""
     uses = coupon_uses(orders).withColumnRenamed("coupon_id", "id")

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.config import cut_lineage
 from tillworks.functions import messages
 from tillworks.functions import timeutil as T
+from tillworks.operators import claims
 from tillworks.operators.prefix import running_balance, running_sum
 
 QTY = "decimal(14,3)"
@@ -148,46 +148,20 @@ def latest_movements(movements: DataFrame, n: int = 50) -> DataFrame:
 def deduct_sales_blocking(needs: DataFrame, orders: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Block mode: a bill is refused whole when any tracked ingredient is short.
 
-    Whether a bill fits depends on earlier accepted bills over shared ingredients, so no
-    single window can say it. Each round brackets what was taken before a bill: at least
-    the earlier accepted needs, at most those plus the earlier undecided ones. A bill
-    that fits under the upper figure is accepted, one that fails under the lower figure
-    is refused, the rest wait for the next round. The earliest undecided bill always
-    has both figures equal, so every round decides some; contested stock empties
-    quickly and few rounds are needed. Only undecided rows are carried on, and each
-    round is written to the shared checkpoint folder.
-
-    Returns ``(order_id, accepted)`` for every bill with a tracked need.
+    Whether a bill fits depends on earlier accepted bills over shared ingredients, see
+    :mod:`tillworks.operators.claims`. Returns ``(order_id, accepted)`` for every bill with a
+    tracked need.
     """
-    wide = "decimal(24,3)"
-    zero = F.lit(0).cast(wide)
+    asked, stock = stock_claims(needs, orders, ingredients)
+    return claims.decide(asked, stock).withColumnRenamed("bill", "order_id")
+
+
+def stock_claims(needs: DataFrame, orders: DataFrame, ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Claims of bills on stock and the stock itself, in thousandths of a unit."""
     when = orders.select(F.col("id").alias("order_id"), "created_at")
-    start = ingredients.select(F.col("id").alias("ingredient_id"), F.col("stock").cast(wide).alias("stock"))
-    rows = needs.join(when, "order_id").join(start, "ingredient_id").select(
-        "order_id", "ingredient_id", "created_at", "stock", F.col("need").cast(wide).alias("need"), zero.alias("used"), F.lit(None).cast("boolean").alias("accepted")
+    name = lambda c: F.concat(F.lit("stock "), F.col(c).cast("string")).alias("resource")
+    thousandths = lambda c: (F.col(c) * 1000).cast("bigint")
+    asked = needs.join(when, "order_id").select(
+        F.col("order_id").alias("bill"), T.micros(F.col("created_at")).alias("at"), name("ingredient_id"), thousandths("need").alias("need"), F.lit(None).cast("bigint").alias("until")
     )
-    open_, taken = F.col("accepted").isNull(), F.coalesce("accepted", F.lit(False))
-    results = []
-    while True:
-        # Rows accepted in the last round ride along once, to be added to what was used.
-        summed = running_sum(
-            rows, ["ingredient_id"], ["created_at", "order_id"], T.hour_slot(F.col("created_at")),
-            _wait=F.when(open_, F.col("need")).otherwise(zero), _new=F.when(taken, F.col("need")).otherwise(zero),
-        ).filter(open_)
-        used = (F.col("used") + F.col("_new")).cast(wide)
-        most = used + F.col("_wait") - F.col("need")
-        tested = summed.select(
-            "order_id", "ingredient_id", "created_at", "stock", "need", used.alias("used"),
-            (F.col("stock") - most >= F.col("need")).alias("_fits"), (F.col("stock") - used < F.col("need")).alias("_short"),
-        )
-        verdicts = tested.groupBy("order_id").agg(F.when(F.bool_or("_short"), False).when(F.bool_and("_fits"), True).alias("accepted"))
-        rows = cut_lineage(tested.drop("_fits", "_short").join(verdicts, "order_id"))
-        results.append(rows.filter("accepted is not null").select("order_id", "accepted"))
-        undecided = rows.filter("accepted is null")
-        if undecided.isEmpty():
-            break
-        rows = rows.filter("accepted is null or accepted")
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    return out.distinct()
+    return asked, ingredients.select(name("id"), thousandths("stock").alias("capacity"))

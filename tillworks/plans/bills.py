@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from tillworks.config import stage_table
 from tillworks.functions import clean, messages
 from tillworks.functions import timeutil as T
+from tillworks.operators import claims
 from tillworks.operators import coupons as C
+from tillworks.operators import stock as S
 from tillworks.operators.prefix import running_last
 from tillworks.sources import payloads
 
@@ -99,6 +101,11 @@ def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredien
     rows = rows.withColumn("error", F.coalesce("error", "coupon_error", no_line))
     decided = stage_table(rows.drop("items", "coupon_error", "bill_id"))
 
+    return _taken(decided, lines, recipes, ingredients, customers)
+
+
+def _taken(decided: DataFrame, lines: DataFrame, recipes: DataFrame, ingredients: DataFrame, customers: DataFrame) -> Intake:
+    """The tables that follow from the decisions."""
     taken = decided.filter("error is null")
     named = _customer_names(taken, customers)
     status, paid_at = opening_payment(F.col("method"), F.col("created_at"))
@@ -114,6 +121,58 @@ def bill_intake(bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredien
     return Intake(orders, items, frozen, upsert_customers(taken, customers), decided.filter("error is not null").select("id", "error"))
 
 
+def bill_intake_with_stock(
+    bills: DataFrame, menu: DataFrame, recipes: DataFrame, ingredients: DataFrame, coupons: DataFrame, customers: DataFrame, stored: DataFrame, cancels: DataFrame, block: bool
+) -> tuple[Intake, DataFrame]:
+    """Takes raw bills in time order with coupon limits and stock in one decision.
+
+    A bill asks for a use of its coupon and, if ``block``, for the tracked ingredients of its lines;
+    when either is short it is refused whole and leaves both to later bills. ``stored`` bills hold
+    coupon uses, ``cancels`` (id, at) give them back (of a bill of the batch too; its stock stays taken,
+    as it is put back by the restore job). Without ``block`` every bill takes its stock.
+
+    Returns the intake and its movements ``(order_id, ingredient_id, qty, balance_after, warn, created_at)``; ``warn``
+    marks a balance below zero. Rejects name the first failing rule; short stock names the first short ingredient by id.
+    """
+    checked = stage_table(checked_bills(bills))
+    ok = checked.filter("error is null")
+    lines = stage_table(priced_lines(payloads.explode_bill_items(ok), menu))
+    sums = lines.groupBy("bill_id").agg(F.sum(F.col("price") * F.col("qty")).cast(AMOUNT).alias("subtotal"))
+    asking = ok.filter("code <> ''").select("id", "phone", "created_at", F.lit("paid").alias("payment_status"), "code")
+    priced = stage_table(C.priced_bills(asking, lines.select(F.col("bill_id").alias("order_id"), "menu_item_id", "qty"), coupons, menu))
+    needs = S.bill_needs(recipe_explosion(lines.select(F.col("bill_id").alias("order_id"), "menu_item_id", "qty"), recipes, ingredients), ingredients)
+    needs = stage_table(needs)
+
+    changes = stage_table(C.stored_uses(stored, cancels))
+    seen, capacity = C.limit_steps(priced, cancels)
+    seen = seen.select("bill", "at", "resource", "need", "until", "kind", F.lit(None).cast("bigint").alias("ingredient_id"), "limit")
+    if block:
+        wanted, left = S.stock_claims(needs, checked, ingredients)
+        part = F.substring_index("resource", " ", -1).cast("bigint").alias("ingredient_id")
+        wanted = wanted.join(left, "resource").select("bill", "at", "resource", "need", "until", F.lit("stock").alias("kind"), part, F.col("capacity").alias("limit"))
+        seen, capacity = seen.unionByName(wanted), capacity.unionByName(left)
+    seen = stage_table(seen)
+    # A bill that is refused in any case, for its coupon or for want of a valid line, claims nothing.
+    refused = priced.filter(C.fails_by_itself()).select(F.col("id").alias("bill"))
+    hopeful = sums.select(F.col("bill_id").alias("bill")).join(refused, "bill", "left_anti")
+    asked = stage_table(seen.join(hopeful, "bill", "left_semi"))
+    taken = stage_table(claims.accepted_claims(asked, claims.decide(asked, capacity, changes)))
+    used = stage_table(claims.used_before(seen.select("bill", "at", "resource", "need", "kind", "ingredient_id", "limit"), taken, changes))
+
+    coupon = C.limit_reasons(priced, used).select(
+        F.col("id").alias("bill_id"), "coupon_id", F.col("discount").alias("coupon_discount"), F.concat(F.lit("Coupon refused: "), F.col("reason")).alias("coupon_error")
+    )
+    lacking = used.filter("kind = 'stock' and used + need > limit").groupBy(F.col("bill").alias("bill_id")).agg(F.min_by(F.struct("ingredient_id", "need", (F.col("limit") - F.col("used")).alias("left")), "ingredient_id").alias("lack"))
+    names = ingredients.select(F.col("id").alias("ingredient_id"), F.col("name").alias("ingredient"), "unit")
+    lacking = lacking.select("bill_id", "lack.*").join(names, "ingredient_id").select("bill_id", messages.short_stock(*[F.col(c) for c in ("ingredient", "left", "unit", "need")]).alias("stock_error"))
+    rows = checked.withColumn("bill_id", F.col("id")).join(sums, "bill_id", "left").join(coupon, "bill_id", "left").join(lacking, "bill_id", "left")
+    no_line = F.when(F.col("subtotal").isNull(), messages.NO_VALID_ITEMS)
+    rows = rows.withColumn("error", F.coalesce("error", "coupon_error", no_line, "stock_error"))
+    decided = stage_table(rows.drop("items", "coupon_error", "stock_error", "bill_id"))
+    kept = needs.join(decided.filter("error is null").select(F.col("id").alias("order_id")), "order_id", "left_semi")
+    return _taken(decided, lines, recipes, ingredients, customers), S.deduct_sales(kept, decided, ingredients)
+
+
 def _customer_names(taken: DataFrame, customers: DataFrame) -> DataFrame:
     """Bill name: its own, else the customer's latest name at that moment, else the stored one."""
     known = taken.filter("phone is not null")
