@@ -190,6 +190,54 @@ def test_limits_loop(spark):
         assert got[i] == want, (i, got[i], want)
 
 
+COUPON = (
+    "id bigint, code string, kind string, value decimal(10,2), max_discount decimal(10,2), min_bill decimal(10,2), buy_qty int, get_qty int, applies_to string, "
+    "item_ids array<bigint>, categories array<string>, valid_from date, valid_to date, usage_limit int, per_customer_limit int, is_active boolean"
+)
+BILL = "id bigint, phone string, created_at timestamp_ntz, payment_status string, code string"
+STORED = "id bigint, coupon_id bigint, phone string, created_at timestamp_ntz"
+CANCEL = "id bigint, at timestamp_ntz"
+
+
+def test_limits_over_stored_bills_loop(spark):
+    """Stored uses and cancellations run with the batch; two batches give what one gives."""
+    rng = random.Random(15)
+    at = lambda: BASE + timedelta(minutes=rng.randrange(4000))
+    limits = {"HOT": (12, 2), "PER": (None, 1), "TOT": (9, None)}
+    coupons = spark.createDataFrame([(i, c, "flat", D(1), None, D(0), None, None, "all", [], [], None, None, u, p, True) for i, (c, (u, p)) in enumerate(limits.items(), 1)], COUPON)
+    menu = spark.createDataFrame([(1, "m", "A", D("10"), True)], "id bigint, name string, category string, price decimal(10,2), is_active boolean")
+    phone = lambda: rng.choice([None, "p0", "p0", f"p{rng.randrange(12)}"])
+    bills = [(i, phone(), at(), "paid", "HOT" if rng.random() < 0.4 else rng.choice(list(limits))) for i in range(1, 241)]
+    stored = [(-i, rng.choice([1, 1, 2, 3]), phone(), at()) for i in range(1, 40)]
+    when = {r[0]: r[2] for r in bills} | {r[0]: r[3] for r in stored}
+    cancels = [(i, when[i] + timedelta(minutes=rng.randrange(1, 900))) for i in rng.sample(sorted(when), 130)]
+    gone = dict(cancels)
+    ids = {c: i for i, c in enumerate(limits, 1)}
+    held, want = [(c, p, t, gone.get(i)) for i, c, p, t in stored], {}
+    for i, p, t, _, code in sorted(bills, key=lambda r: (r[2], r[0])):
+        live = [h for h in held if h[0] == ids[code] and h[2] <= t and (h[3] is None or h[3] > t)]
+        total, per = limits[code]
+        if total is not None and len(live) >= total:
+            want[i] = "used up"
+        elif per is not None and p is None:
+            want[i] = "needs phone"
+        elif per is not None and sum(h[1] == p for h in live) >= per:
+            want[i] = "customer limit"
+        else:
+            want[i] = None
+            held.append((ids[code], p, t, gone.get(i)))
+    lines = spark.createDataFrame([(r[0], 1, 1) for r in bills], "order_id bigint, menu_item_id bigint, qty int")
+    cancelled = spark.createDataFrame(cancels, CANCEL)
+    run = lambda rows, past: {r.id: r.reason for r in C.settlement_over_time(spark.createDataFrame(rows, BILL), lines, coupons, menu, spark.createDataFrame(past, STORED), cancelled).collect()}
+    assert run(bills, stored) == want and set(want.values()) == {None, "used up", "needs phone", "customer limit"}
+    # A bill that a limit would refuse for good is taken once a cancellation has freed a use.
+    assert any(want[i] is None and sum(h[0] == ids[c] and h[2] < t for h in held) >= limits[c][0] for i, _, t, _, c in bills if limits[c][0])
+    bills.sort(key=lambda r: (r[2], r[0]))
+    first = run(bills[:130], stored)
+    taken = [(i, ids[c], p, t) for i, p, t, _, c in bills[:130] if first[i] is None]
+    assert first | run(bills[130:], stored + taken) == want
+
+
 def test_failures_loop(spark):
     rng = random.Random(6)
     rows = [(i, f"u{hot_key(rng, 5)}", rng.choice([None, "ip0", "ip0", f"ip{rng.randrange(6)}"]), rng.random() < 0.2, BASE + timedelta(seconds=rng.randrange(7200))) for i in range(700)]

@@ -9,10 +9,11 @@ from tillworks.catalog.params import AS_OF, EVENTS_AS_OF
 from tillworks.operators import access as A
 from tillworks.operators import kitchen as K
 from tillworks.operators import shifts as H
+from tillworks.operators import signin
 from tillworks.operators import stock as S
 from tillworks.sources.adapters import Tables
 from tillworks.sources.schemas import RAW
-from tillworks.streaming import jobs, stateful
+from tillworks.streaming import guard, jobs, stateful
 from tillworks.streaming.feeds import drain_to_parquet, stream_raw
 from tillworks.streaming.state import BatchLog
 
@@ -135,6 +136,58 @@ def test_lockout_loop(spark, run_dir):
     assert got == want and any(not a for a, _ in got.values())
 
 
+def guarded(tries):
+    """Try by try: id to (lock, wait in minutes)."""
+    recorded, out, quarter = [], {}, timedelta(minutes=15)
+    for i, user, ip, ok, at in sorted(tries, key=lambda r: (r[4], r[0])):
+        last_ok = max([r[4] for r in recorded if r[1] == user and r[3]], default=BASE - timedelta(days=1))
+        mine = [r[4] for r in recorded if r[1] == user and not r[3] and r[4] > max(last_ok, at - quarter)]
+        near = [r for r in recorded if ip is not None and r[2] == ip and not r[3] and r[4] > at - quarter]
+        if len(mine) >= 5:
+            out[i] = ("user", max(-(-int((mine[-5] + quarter - at).total_seconds()) // 60), 1))
+        elif len(near) >= 20:
+            out[i] = ("ip", None)
+        else:
+            out[i] = (None, None)
+            recorded.append((i, user, ip, ok, at))
+    return out
+
+
+def attack(rng, n, seconds):
+    """Few addresses against many users, one of each holding a third of the tries; instants repeat."""
+    pick = lambda name, k: f"{name}0" if rng.random() < 0.35 else f"{name}{rng.randrange(k)}"
+    times = sorted(BASE + timedelta(seconds=rng.randrange(seconds)) for _ in range(n))
+    return [(i, pick("u", 14), rng.choice([None, pick("a", 3), pick("a", 3), pick("a", 3)]), rng.random() < 0.06, at) for i, at in enumerate(times)]
+
+
+TRY = "id bigint, username string, ip string, succeeded boolean, created_at timestamp_ntz"
+
+
+def test_both_rules_in_one_stream(spark, run_dir):
+    """User and address rule meet: what one refuses the other has not seen, in one batch or in several."""
+    import random
+
+    tries = attack(random.Random(21), 900, 6000)
+    want = guarded(tries)
+    assert {lock for lock, _ in want.values()} == {None, "user", "ip"}
+    whole = signin.decide_tries(spark.createDataFrame(tries, TRY).repartition(4))
+    assert {r.id: (r.lock, r.wait_minutes) for r in whole.collect()} == want
+    for part in (tries[:250], tries[250:600], tries[600:]):
+        spark.createDataFrame(part, TRY).coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
+    stream = spark.readStream.schema(TRY).option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
+    got = guard.guard(stream, f"{run_dir}/out")
+    assert {r.id: (r.lock, r.wait_minutes) for r in got.collect()} == want
+    # The state holds at most five failures and one success of a user for each address they came from.
+    held = spark.read.parquet(f"{run_dir}/out/state/version=2")
+    assert held.groupBy("username", "succeeded").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_guard_of_nothing(spark):
+    assert signin.decide_tries(spark.createDataFrame([], TRY)).count() == 0
+    lone = [(1, None, None, False, BASE), (2, "u", None, False, BASE), (3, None, "a", True, BASE)]
+    assert signin.decide_tries(spark.createDataFrame(lone, TRY)).filter("lock is not null").count() == 0
+
+
 def test_late_orders(spark, run_dir):
     at = lambda m: BASE + timedelta(minutes=m)
     batches = [[(1, at(0), "new", "paid", at(0)), (2, at(0), "new", "paid", at(1))], [(2, at(0), "served", "paid", at(10)), (3, at(16), "new", "paid", at(16))], [(4, at(40), "new", "paid", at(40))]]

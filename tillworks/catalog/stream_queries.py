@@ -8,8 +8,8 @@ from tillworks.catalog.board_queries import LEDGER, QUEUE, SHIFT
 from tillworks.catalog.params import AS_OF, EVENTS_AS_OF, EVENTS_AS_OF_SQL
 from tillworks.catalog.registry import query
 from tillworks.sources.adapters import Tables
-from tillworks.streaming import jobs, stateful
-from tillworks.streaming.feeds import drain_to_parquet, new_run, stream_raw
+from tillworks.streaming import guard, jobs
+from tillworks.streaming.feeds import new_run, stream_raw
 
 
 class Streams(Tables):
@@ -81,17 +81,32 @@ def stream_shift_totals(t):
     return jobs.shift_totals(live(t).orders, t.shifts, new_run(t.spark, "shift-totals"), AS_OF)
 
 
-@query("stream_login_lockout")
+#: Try by try in time order; ``held`` are the let-through failures, ``live`` until the user's next success.
+TRIES = dict(
+    t="SELECT row_number() OVER (ORDER BY created_at, id) AS n, id, username, ip, succeeded, epoch_us(created_at) AS us FROM pos_login_bursts",
+    rc="""SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS id, CAST(NULL AS VARCHAR) AS username, CAST(NULL AS VARCHAR) AS ip, CAST(NULL AS VARCHAR) AS lock, CAST(NULL AS BIGINT) AS wait_minutes,
+ CAST([] AS STRUCT(u VARCHAR, a VARCHAR, us BIGINT, live BOOLEAN)[]) AS held, CAST([] AS STRUCT(u VARCHAR, us BIGINT)[]) AS good
+ UNION ALL SELECT n, id, username, ip, lock, CASE WHEN lock = 'user' THEN greatest((mine[-5].us + 900000000 - us + 59999999) // 60000000, 1) END,
+ CASE WHEN lock IS NOT NULL THEN held WHEN succeeded THEN list_transform(held, lambda h: {'u': h.u, 'a': h.a, 'us': h.us, 'live': h.live AND h.u <> username})
+ ELSE list_append(held, {'u': username, 'a': ip, 'us': us, 'live': len(list_filter(good, lambda g: g.u = username AND g.us = us)) = 0}) END,
+ CASE WHEN lock IS NULL AND succeeded THEN list_append(list_filter(good, lambda g: g.us = us), {'u': username, 'us': us}) ELSE good END FROM
+ (SELECT *, CASE WHEN len(mine) >= 5 THEN 'user' WHEN len(list_filter(held, lambda h: h.a = ip)) >= 20 THEN 'ip' END AS lock FROM
+ (SELECT *, list_filter(held, lambda h: h.live AND h.u = username) AS mine FROM
+ (SELECT t.*, list_filter(rc.held, lambda h: h.us > t.us - 900000000) AS held, rc.good FROM rc JOIN t ON t.n = rc.n + 1)))""",
+)
+
+
+@query("stream_login_lockout", "SELECT id, username, ip, lock, wait_minutes FROM rc WHERE n > 0", **TRIES)
 def stream_login_lockout(t):
-    tries = live(t).login_bursts
-    user = stateful.attempt_lockout(tries, "username", 5, True)
-    return drain_to_parquet(user, new_run(t.spark, "user-lockout"))
+    """Both rules over one stream of raw tries."""
+    return guard.guard(live(t).login_bursts, new_run(t.spark, "login-guard")).select("id", "username", "ip", "lock", "wait_minutes")
 
 
-@query("stream_ip_lockout")
+@query("stream_ip_lockout", "SELECT ip AS key, count(*) AS tries, count(*) FILTER (lock = 'ip') AS refused, count(*) FILTER (lock = 'user') AS refused_for_user FROM rc WHERE n > 0 GROUP BY 1", **TRIES)
 def stream_ip_lockout(t):
-    tries = live(t).login_bursts
-    return drain_to_parquet(stateful.attempt_lockout(tries, "ip", 20, False), new_run(t.spark, "ip-lockout"))
+    """What became of the tries of each address."""
+    decided = guard.guard(live(t).login_bursts, new_run(t.spark, "address-guard"))
+    return decided.groupBy(F.col("ip").alias("key")).agg(F.count("*").alias("tries"), F.count_if(F.col("lock") == "ip").alias("refused"), F.count_if(F.col("lock") == "user").alias("refused_for_user"))
 
 
 @query(
