@@ -24,6 +24,7 @@ from tillworks.config import stage_table
 from tillworks.llm.graph import components
 
 BITS = 64
+PORTION = 256  # texts whose shingles a task holds at once
 BLOCK = 8192  # fingerprints of one key that meet in one cell; larger groups are cut into pairs of blocks
 SMALL = 1_000_000  # rows of a table of keys or ids up to which it may be broadcast (20 bytes each)
 
@@ -354,11 +355,17 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     (null and empty too) are copies of each other. Rows without a doc_id stay unless one with an id is in their group; rows
     that repeat a doc_id and its text become one.
     """
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles_of(t, width) for t in texts])
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), of("text").alias("shingles"))
+    def sets_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for f in frames:
+            for start in range(0, f.num_rows, PORTION):
+                part = f.slice(start, PORTION)
+                found = [shingles_of(t, width) for t in part.column("text").to_pylist()]
+                cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found), pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists], names=["doc_id", "th", "shingles"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sets_of, f"doc_id {kind}, th long, shingles array<long>")
     rows = rows.select("doc_id", "th", F.xxhash64("shingles").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("row"))
     rows = stage_table(rows)
     nodes = stage_table(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
