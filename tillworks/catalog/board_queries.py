@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tillworks.catalog.params import ALL_DAYS_SQL, AS_OF, AS_OF_SQL, ONE_YEAR, SHOP
 from tillworks.catalog.registry import query
 from tillworks.functions import labels
+from tillworks.functions.timeutil import DayRange
 from tillworks.operators import kitchen as K
 from tillworks.operators import pages as P
 from tillworks.operators import shifts as H
@@ -32,7 +35,7 @@ ONE_YEAR_SHIFTS = "opened_at >= TIMESTAMP '1997-12-31 18:30:00' AND opened_at <
 def join_items_orders(t):
     from tillworks.catalog.params import ALL_DAYS
 
-    return R.sold_quantities(t.orders.filter((F.col("payment_status") == "paid") & ALL_DAYS.contains(F.col("created_at"))), t.order_lines)
+    return R.sold_quantities(t.orders_between(ALL_DAYS).filter("payment_status = 'paid'"), t.order_lines)
 
 
 @query("join_lines_menu", "SELECT l.bill_id, l.line_no, l.menu_item_id, m.name, m.price, l.qty FROM pos_bill_lines l JOIN pos_menu_items m ON m.id = l.menu_item_id AND m.is_active WHERE l.qty > 0")
@@ -280,12 +283,12 @@ def board_sql(hours: int, as_of: str = AS_OF_SQL) -> str:
 
 @query("lane_top_n", board_sql(WIDE))
 def lane_top_n(t):
-    return K.lane_top_n(K.open_orders(t.orders, AS_OF, WIDE)).select("id", "lane", "pos", "created_at", "kitchen_updated_at")
+    return K.lane_top_n(K.open_orders(t.orders_since(AS_OF - timedelta(hours=WIDE)), AS_OF, WIDE)).select("id", "lane", "pos", "created_at", "kitchen_updated_at")
 
 
 @query("public_kitchen", f"SELECT o.*, {NESTED} AS items FROM bd o", bd=board_sql(12))
 def public_kitchen(t):
-    return B.public_kitchen(t.orders, t.numbered_items, AS_OF)
+    return B.public_kitchen(t.orders_since(AS_OF - timedelta(hours=12)), t.numbered_items, AS_OF)
 
 
 @query(
@@ -293,7 +296,7 @@ def public_kitchen(t):
     f"SELECT count(*) AS orders_today, count(*) FILTER (kitchen_status = 'served') AS served_today FROM pos_orders WHERE payment_status <> 'cancelled' AND created_at >= TIMESTAMP '1998-06-30 18:30:00'",
 )
 def today_counters(t):
-    return K.today_counters(t.orders, AS_OF)
+    return K.today_counters(t.orders_since(DayRange.resolve(as_of=AS_OF).start), AS_OF)
 
 
 QUEUE = dict(
@@ -304,7 +307,7 @@ QUEUE = dict(
 
 @query("kitchen_queue", "SELECT id, board, kitchen_status, created_at FROM kq", **QUEUE)
 def kitchen_queue(t):
-    return K.kitchen_queue(t.orders, AS_OF).select("id", "board", "kitchen_status", "created_at")
+    return K.kitchen_queue(t.orders_since(AS_OF - timedelta(hours=24)), AS_OF).select("id", "board", "kitchen_status", "created_at")
 
 
 AGE_SQL = f"CAST(greatest((epoch_us({AS_OF_SQL}) - epoch_us(created_at)) // 60000000, 0) AS BIGINT)"
@@ -317,7 +320,7 @@ AGE_SQL = f"CAST(greatest((epoch_us({AS_OF_SQL}) - epoch_us(created_at)) // 6000
     **QUEUE,
 )
 def kitchen_board(t):
-    return B.kitchen_board(t.orders, t.numbered_items, AS_OF)
+    return B.kitchen_board(t.orders_since(AS_OF - timedelta(hours=24)), t.numbered_items, AS_OF)
 
 
 @query(
@@ -360,7 +363,7 @@ EARLIER_SQL = f"TIMESTAMP '{EARLIER}'"
 
 def snapshots(t):
     """The board now and a day earlier, over all bills created up to each time."""
-    at = lambda ts: K.open_orders(t.orders, ts, WIDE).filter(F.col("created_at") <= F.lit(ts).cast("timestamp_ntz"))
+    at = lambda ts: K.open_orders(t.orders_since(datetime.fromisoformat(str(ts)) - timedelta(hours=WIDE)), ts, WIDE).filter(F.col("created_at") <= F.lit(ts).cast("timestamp_ntz"))
     return at("1998-07-01 12:00:00"), at(EARLIER)
 
 
@@ -523,4 +526,4 @@ def array_distinct_agg(t):
  WHERE o.payment_status = 'paid' AND o.created_at > {AS_OF_SQL} - INTERVAL '7' DAY GROUP BY 1 ORDER BY qty DESC, menu_item_id LIMIT 6""",
 )
 def public_menu(t):
-    return B.public_menu(t.menu, t.recipes, t.ingredients, t.orders, t.order_lines, AS_OF)
+    return B.public_menu(t.menu, t.recipes, t.ingredients, t.orders_since(AS_OF - R.LIKED), t.order_lines, AS_OF)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tillworks.catalog.params import ALL_DAYS, ALL_DAYS_SQL, AS_OF, AS_OF_SQL, DAY, LOCAL
 from tillworks.catalog.registry import query
+from tillworks.operators.prefix import numbered_in_order
 from tillworks.plans import reports as R
 
 M, Q = "DECIMAL(24,2)", "DECIMAL(24,3)"
@@ -13,7 +14,7 @@ PAID = f"SELECT *, {LOCAL} AS local_at FROM pos_orders WHERE payment_status = 'p
 
 
 def cube(t):
-    return R.order_cube(t.orders, ALL_DAYS)
+    return R.order_cube(t.orders_between(ALL_DAYS), ALL_DAYS)
 
 
 @query(
@@ -87,7 +88,7 @@ TOP = f"""SELECT item_name AS name, CAST(sum(qty) AS BIGINT) AS qty, CAST(sum(qt
 
 
 def sold(t):
-    paid = t.orders.filter((F.col("payment_status") == "paid") & ALL_DAYS.contains(F.col("created_at")))
+    paid = t.orders_between(ALL_DAYS).filter("payment_status = 'paid'")
     return R.with_menu(R.sold_quantities(paid, t.order_lines), t.menu)
 
 
@@ -132,7 +133,7 @@ SECTIONS = dict(
 
 @query("sales_report", f"SELECT section, CAST(rank AS INTEGER) AS rank, label, CAST(orders AS BIGINT) AS orders, CAST(total AS {M}) AS total FROM r", **SECTIONS)
 def sales_report(t):
-    return R.sales_report(t.orders, t.order_lines, t.menu, t.admins, ALL_DAYS)
+    return R.sales_report(t.orders_between(ALL_DAYS), t.order_lines, t.menu, t.admins, ALL_DAYS)
 
 
 @query(
@@ -141,7 +142,7 @@ def sales_report(t):
     **SECTIONS,
 )
 def report_json(t):
-    return R.report_document(R.sales_report(t.orders, t.order_lines, t.menu, t.admins, ALL_DAYS))
+    return R.report_document(R.sales_report(t.orders_between(ALL_DAYS), t.order_lines, t.menu, t.admins, ALL_DAYS))
 
 
 USAGE = dict(
@@ -149,7 +150,7 @@ USAGE = dict(
     u="""SELECT o.day, g.name, g.unit, sum(r.qty * i.qty) AS total FROM pos_order_items i JOIN o ON o.id = i.order_id
  JOIN pos_menu_item_ingredients r ON r.menu_item_id = i.menu_item_id JOIN pos_ingredients g ON g.id = r.ingredient_id GROUP BY 1, 2, 3""",
 )
-USAGE_ARGS = lambda t: (t.orders, t.order_lines, t.recipes, t.ingredients, ALL_DAYS)
+USAGE_ARGS = lambda t: (t.orders_between(ALL_DAYS), t.order_lines, t.recipes, t.ingredients, ALL_DAYS)
 
 
 @query("ingredient_usage", f"SELECT CAST(day AS VARCHAR) AS day, name, unit, CAST(sum(total) AS {Q}) AS total FROM u GROUP BY GROUPING SETS ((day, name, unit), (name, unit))", **USAGE)
@@ -164,15 +165,13 @@ def ingredient_usage(t):
     o=USAGE["o"],
 )
 def usage_coverage(t):
-    return R.usage_coverage(t.orders, t.order_lines, t.recipes, ALL_DAYS)
+    return R.usage_coverage(t.orders_between(ALL_DAYS), t.order_lines, t.recipes, ALL_DAYS)
 
 
 @query("usage_report", f"SELECT CAST(row_number() OVER (ORDER BY lower(name)) AS INTEGER) AS pos, name, unit, total FROM (SELECT name, unit, CAST(sum(total) AS {Q}) AS total FROM u GROUP BY 1, 2)", **USAGE)
 def usage_report(t):
-    from pyspark.sql import Window
-
-    rows = R.usage_from_snapshots(t.orders, _snapshots(t), ALL_DAYS)
-    return rows.select(F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(F.lower("name"))).alias("pos"), "name", "unit", "total")
+    rows = R.usage_from_snapshots(t.orders_between(ALL_DAYS), _snapshots(t), ALL_DAYS)
+    return numbered_in_order(rows, [F.lower("name"), F.col("name"), F.col("unit")], "pos").select(F.col("pos").cast("int").alias("pos"), "name", "unit", "total")
 
 
 def _snapshots(t):
@@ -197,7 +196,7 @@ def unit_rollup(t):
  WHERE o.payment_status = 'paid' AND o.created_at > {AS_OF_SQL} - INTERVAL '7' DAY GROUP BY 1 ORDER BY qty DESC, menu_item_id LIMIT 6""",
 )
 def favourites(t):
-    return R.favourites(t.orders, t.order_lines, t.menu, AS_OF)
+    return R.favourites(t.orders_since(AS_OF - R.LIKED), t.order_lines, t.menu, AS_OF)
 
 
 @query("usage_csv_export", f"SELECT CAST(day AS VARCHAR) AS day, name, CAST(CAST(sum(total) AS {Q}) AS VARCHAR) AS total, unit FROM u GROUP BY day, name, unit", **USAGE)

@@ -152,7 +152,8 @@ def range_presets(t):
     hits = F.array_compact(
         F.array(*[F.when(r.contains(F.col("created_at")), F.lit(name)) for name, r in presets.items()])
     )
-    found = t.orders.select(F.explode(hits).alias("preset"), "total").groupBy("preset").agg(F.count("*").alias("n"), F.sum("total").alias("s"))
+    whole = T.DayRange(min(r.first for r in presets.values()), max(r.last for r in presets.values()))
+    found = t.orders_between(whole).select(F.explode(hits).alias("preset"), "total").groupBy("preset").agg(F.count("*").alias("n"), F.sum("total").alias("s"))
     spine = t.spark.createDataFrame([(n, r.first, r.last) for n, r in presets.items()], "preset string, first date, last date")
     return spine.join(found, "preset", "left").select(
         "preset", "first", "last", F.coalesce("n", F.lit(0)).alias("orders"), F.coalesce("s", F.lit(0)).cast("decimal(24,2)").alias("total")

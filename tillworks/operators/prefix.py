@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillworks.config import stage_table
+
 _SLOT = "_slot"
 
 
@@ -109,3 +111,17 @@ def running_last(df: DataFrame, keys: list[str], order: list, slot: Column, valu
     carried = slots.select(*keys, _SLOT, F.last("_close", ignorenulls=True).over(earlier).alias("_carry"))
     joined = local.join(carried, [*keys, _SLOT])
     return joined.select(*df.columns, F.coalesce("_last", "_carry").alias(name))
+
+
+def numbered_in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds ``name``: the place of each row in ``order`` over the whole table, from 1.
+
+    Rows are dealt by ranges of ``order`` and numbered in their range; a range's offset is
+    the sum of the counts before it. The driver sees one count for each range.
+    """
+    dealt = stage_table(df.repartitionByRange(*order).withColumn(_SLOT, F.spark_partition_id()))
+    counts = sorted(dealt.groupBy(_SLOT).count().collect())
+    offsets = {slot: sum(n for _, n in counts[:i]) for i, (slot, n) in enumerate(counts)}
+    first = F.create_map(*[F.lit(x) for pair in offsets.items() for x in pair])[F.col(_SLOT)] if offsets else F.lit(0)
+    place = F.row_number().over(Window.partitionBy(_SLOT).orderBy(*order)) + first
+    return dealt.withColumn(name, place).drop(_SLOT)

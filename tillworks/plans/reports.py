@@ -7,6 +7,8 @@ folder, and every section is a further aggregate of that cube.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,7 @@ from tillworks.functions import timeutil as T
 
 MONEY_SUM = "decimal(24,2)"
 QTY_SUM = "decimal(24,3)"
+LIKED = timedelta(days=7)  # how far back favourites look
 CUBE_KEYS = ["day", "hour", "payment_status", "payment_method", "created_by"]
 
 
@@ -154,9 +157,9 @@ def top_items(sold: DataFrame, n: int = 10) -> DataFrame:
     )
 
 
-def favourites(orders: DataFrame, lines: DataFrame, menu: DataFrame, as_of, days: int = 7, n: int = 6) -> DataFrame:
+def favourites(orders: DataFrame, lines: DataFrame, menu: DataFrame, as_of, n: int = 6) -> DataFrame:
     """Most sold active items among paid bills of the last days."""
-    recent = orders.filter((F.col("payment_status") == "paid") & (F.col("created_at") > T.instant(as_of) - F.expr(f"interval {days} day")))
+    recent = orders.filter((F.col("payment_status") == "paid") & (F.col("created_at") > T.instant(as_of - LIKED)))
     active = menu.filter("is_active").select(F.col("id").alias("menu_item_id"))
     sold = sold_quantities(recent, lines.select("order_id", "menu_item_id", "qty"))
     return sold.join(active, "menu_item_id", "left_semi").orderBy(F.desc("qty"), "menu_item_id").limit(n)

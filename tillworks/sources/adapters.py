@@ -8,6 +8,7 @@ broadcasts them only while their size is under its threshold.
 from __future__ import annotations
 
 import json
+from datetime import datetime, timedelta
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,6 +20,7 @@ from tillworks.sources.schemas import RAW
 
 MONEY = "decimal(10,2)"
 QTY = "decimal(14,3)"
+KITCHEN_DELAY = timedelta(seconds=600)  # from a bill to its kitchen change in these tables
 
 # Fixed coupon catalogue used by the registered queries (a literal table of ten rows).
 COUPON_ROWS = [
@@ -97,22 +99,31 @@ class Tables:
 
     @cached_property
     def orders(self) -> DataFrame:
-        return self.orders_between()
+        return self._orders(self.raw("orders"))
 
-    def orders_between(self, days: T.DayRange | None = None) -> DataFrame:
-        """Orders, pruned at the scan to the raw days a local range can touch.
+    def orders_between(self, days: T.DayRange) -> DataFrame:
+        """Orders of a range of local days, pruned at the scan to the raw days it can touch.
 
         ``created_at`` is computed from the stored day, so the exact bounds cannot
         reach the scan; the implied bounds on the stored day can.
         """
-        raw = self.raw("orders")
-        if days is not None:
-            day = F.col("o_orderdate")
-            raw = raw.filter((day >= T.instant(days.start) - F.expr("interval 1 day")) & (day < T.instant(days.end)))
+        day = F.col("o_orderdate")
+        raw = self.raw("orders").filter((day > T.instant(days.start - timedelta(days=1))) & (day < T.instant(days.end)))
+        return self._orders(raw).filter(days.contains(F.col("created_at")))
+
+    def orders_since(self, start: datetime) -> DataFrame:
+        """Orders made or changed in the kitchen at ``start`` or later, pruned at the scan likewise.
+
+        A bill's last kitchen change comes at most ``KITCHEN_DELAY`` after it was made.
+        """
+        raw = self.raw("orders").filter(F.col("o_orderdate") > T.instant(start - timedelta(days=1) - KITCHEN_DELAY))
+        return self._orders(raw).filter(F.greatest("created_at", "kitchen_updated_at") >= T.instant(start))
+
+    def _orders(self, raw: DataFrame) -> DataFrame:
         k, cust, day = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate")
         second = (k * 7919) % 86400
         named = cust % 10 != 0
-        out = raw.select(
+        return raw.select(
             k.alias("id"),
             F.when(named, (F.lit(9000000000) + cust).cast("string")).alias("phone"),
             F.when(named, F.concat(F.lit("Customer "), cust.cast("string"))).alias("customer_name"),
@@ -123,13 +134,12 @@ class Tables:
             .when(F.col("o_orderpriority") == "3-MEDIUM", "card")
             .alias("payment_method"),
             F.when(k % 4 == 0, "new").when(k % 4 == 1, "preparing").when(k % 4 == 2, "ready").otherwise("served").alias("kitchen_status"),
-            F.when(k % 4 != 0, F.timestamp_add("SECOND", second + 600, day)).alias("kitchen_updated_at"),
+            F.when(k % 4 != 0, F.timestamp_add("SECOND", second + int(KITCHEN_DELAY.total_seconds()), day)).alias("kitchen_updated_at"),
             F.when(cust % 20 != 0, cust % 20).alias("created_by"),
             F.when(k % 5 == 0, k % 12 + 1).alias("coupon_id"),
             F.when(k % 5 == 0, F.lit(5)).otherwise(F.lit(0)).cast(MONEY).alias("discount"),
             F.timestamp_add("SECOND", second, day).alias("created_at"),
         )
-        return out.filter(days.contains(F.col("created_at"))) if days is not None else out
 
     @cached_property
     def order_lines(self) -> DataFrame:
