@@ -37,3 +37,16 @@ def test_coupon_with_a_malformed_number_is_refused(spark):
     none = spark.createDataFrame([], "id long, code string")
     got = {r["id"]: r["error"] for r in coupon_edits(staged, none).collect()}
     assert got == {901: messages.BAD_COUPON_NUMBER, 902: None}
+
+
+def test_a_bill_with_a_malformed_line_is_refused(spark):
+    """One unreadable number refuses the whole bill instead of making it smaller; quoted numbers and absent ones do not."""
+    from tillworks.plans.bills import checked_bills
+
+    texts = ['[{"menu_item_id":1,"qty":2}]', '[{"menu_item_id":1,"qty":2},{"menu_item_id":2,"qty":"two"}]', '[{"menu_item_id":"x","qty":1}]', '[{"menu_item_id":"3","qty":" 4 "}]', '[{"menu_item_id":1}]', "[]", None]
+    rows = [(i, None, None, "cash", None, t, None) for i, t in enumerate(texts)]
+    bills = spark.createDataFrame(rows, "id bigint, phone string, customer_name string, payment_method string, coupon_code string, items string, created_by bigint")
+    bills = bills.withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    got = {r.id: r.error for r in checked_bills(bills).collect()}
+    bad = "An item number or quantity of the bill cannot be read."
+    assert got == {0: None, 1: bad, 2: bad, 3: None, 4: None, 5: "Add at least one item.", 6: "Add at least one item."}

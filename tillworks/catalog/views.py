@@ -12,7 +12,7 @@ SELECT CAST(s_suppkey AS BIGINT) AS id, 'staff' || CAST(s_suppkey AS VARCHAR) AS
  CASE WHEN s_suppkey % 10 = 0 THEN 'super' ELSE 'admin' END AS role, s_suppkey % 9 <> 0 AS is_active,
  CASE WHEN s_suppkey % 3 = 1 THEN '09:00' WHEN s_suppkey % 3 = 2 THEN '17:00' END AS login_from,
  CASE WHEN s_suppkey % 3 = 1 THEN '22:00' WHEN s_suppkey % 3 = 2 THEN '02:00' END AS login_to,
- s_suppkey % 2 = 0 AS auto_approve FROM supplier WHERE s_suppkey < 20""",
+ s_suppkey % 2 = 0 AS auto_approve FROM supplier""",
     "pos_menu_items": """
 SELECT p_partkey AS id, p_name AS name, p_type AS category,
  CAST(p_retailprice AS DECIMAL(10,2)) AS price, p_partkey % 11 <> 0 AS is_active FROM part""",
@@ -82,8 +82,8 @@ SELECT admin_id * 1000000 + year(m) * 100 + month(m) AS id, admin_id, opened_at,
  CASE WHEN admin_id % 7 <> 0 THEN CAST(500 + month(m) * 1000 AS DECIMAL(10,2)) END AS counted_cash
  FROM (SELECT created_by AS admin_id, date_trunc('month', created_at) AS m, min(created_at) AS opened_at FROM pos_orders WHERE created_by IS NOT NULL GROUP BY 1, 2)""",
     "pos_coupons": """
-SELECT id, code, kind, CAST(value AS DECIMAL(10,2)) AS value, CAST(max_discount AS DECIMAL(10,2)) AS max_discount, CAST(min_bill AS DECIMAL(10,2)) AS min_bill,
- buy_qty, get_qty, applies_to, item_ids, categories, CAST(valid_from AS DATE) AS valid_from, CAST(valid_to AS DATE) AS valid_to, usage_limit, per_customer_limit, is_active,
+SELECT CAST(id AS BIGINT) AS id, code, kind, CAST(value AS DECIMAL(10,2)) AS value, CAST(max_discount AS DECIMAL(10,2)) AS max_discount, CAST(min_bill AS DECIMAL(10,2)) AS min_bill,
+ CAST(buy_qty AS INTEGER) AS buy_qty, CAST(get_qty AS INTEGER) AS get_qty, applies_to, item_ids, categories, CAST(valid_from AS DATE) AS valid_from, CAST(valid_to AS DATE) AS valid_to, CAST(usage_limit AS INTEGER) AS usage_limit, CAST(per_customer_limit AS INTEGER) AS per_customer_limit, is_active,
  TIMESTAMP '1994-01-01' + INTERVAL '1' DAY * id AS created_at FROM (VALUES
  (1,'PCT10','percent',10.00,NULL,0.00,NULL,NULL,'all',CAST([] AS BIGINT[]),CAST([] AS VARCHAR[]),NULL,NULL,5,NULL,true),
  (2,'PCT50','percent',50.00,500.00,1000.00,NULL,NULL,'all',[],[],NULL,NULL,NULL,1,true),
@@ -95,6 +95,11 @@ SELECT id, code, kind, CAST(value AS DECIMAL(10,2)) AS value, CAST(max_discount
  (8,'LATER','flat',50.00,NULL,0.00,NULL,NULL,'all',[],[],'2001-01-01',NULL,NULL,NULL,true),
  (9,'GONE','percent',12.50,300.00,0.00,NULL,NULL,'all',[],[],NULL,'1997-12-31',NULL,NULL,true),
  (10,'PICKED','percent',20.00,NULL,50000.00,NULL,NULL,'items',[1,2,3,999999999],['ECONOMY'],'1996-01-01','2000-12-31',400,2,true)
+ UNION ALL SELECT 1000 + s_suppkey, 'SUP-' || CAST(s_suppkey AS VARCHAR), CASE s_suppkey % 3 WHEN 0 THEN 'percent' WHEN 1 THEN 'flat' ELSE 'bogo' END,
+ CASE s_suppkey % 3 WHEN 0 THEN 5 + s_suppkey % 20 WHEN 1 THEN 50 + s_suppkey % 100 ELSE 0 END, CASE WHEN s_suppkey % 4 = 0 THEN 200 END, s_suppkey % 5 * 100,
+ CASE WHEN s_suppkey % 3 = 2 THEN 2 END, CASE WHEN s_suppkey % 3 = 2 THEN 1 END, CASE WHEN s_suppkey % 7 = 0 THEN 'items' ELSE 'all' END,
+ CASE WHEN s_suppkey % 7 = 0 THEN [CAST(s_suppkey + 1 AS BIGINT), CAST(s_suppkey + 2 AS BIGINT)] ELSE CAST([] AS BIGINT[]) END, CAST([] AS VARCHAR[]), NULL, CASE WHEN s_suppkey % 6 = 0 THEN '1997-12-31' END,
+ CASE WHEN s_suppkey % 4 = 1 THEN 10 + s_suppkey % 50 END, CASE WHEN s_suppkey % 5 = 2 THEN 1 END, s_suppkey % 9 <> 0 FROM supplier
 ) AS t(id, code, kind, value, max_discount, min_bill, buy_qty, get_qty, applies_to, item_ids, categories, valid_from, valid_to, usage_limit, per_customer_limit, is_active)""",
     "pos_coupon_bills": """
 SELECT id, phone, created_at, payment_status,

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 def minute_of(hhmm: Column) -> Column:
     """'HH:MM' text to minutes since midnight; 'H:MM' counts too, other texts give null."""
-    return F.substring_index(hhmm, ":", 1).try_cast("int") * 60 + F.substring_index(hhmm, ":", -1).try_cast("int")
+    parts = F.substring_index(hhmm, ":", 1).try_cast("int") * 60 + F.substring_index(hhmm, ":", -1).try_cast("int")
+    return F.when(hhmm.rlike("^([01]?[0-9]|2[0-3]):[0-5][0-9]$"), parts)
 
 
 def in_login_window(role: Column, login_from: Column, login_to: Column, minute: Column) -> Column:

@@ -8,6 +8,7 @@ LONG_RANGE = "Choose a range of up to 1 year."
 BAD_PHONE = "Enter a valid 10-digit phone number, or leave it blank."
 BAD_METHOD = "Choose a valid payment method."
 NO_ITEMS = "Add at least one item."
+BAD_BILL_LINE = "An item number or quantity of the bill cannot be read."
 NO_VALID_ITEMS = "No valid items in order."
 BAD_RECIPE_LIST = "Invalid ingredients list."
 BAD_RECIPE_LINE = "Each ingredient needs a quantity greater than 0."

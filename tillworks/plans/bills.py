@@ -66,6 +66,7 @@ def checked_bills(bills: DataFrame) -> DataFrame:
         (~clean.phone_ok(F.col("phone")), messages.BAD_PHONE),
         (~F.col("method").isin(*clean.PAYMENT_METHODS), messages.BAD_METHOD),
         (~payloads.is_filled_array(F.col("items")), messages.NO_ITEMS),
+        (payloads.has_bad_line(F.col("items")), messages.BAD_BILL_LINE),
     )
     return rows.withColumn("error", error)
 

@@ -70,7 +70,7 @@ class Tables:
     def admins(self) -> DataFrame:
         k = F.col("s_suppkey")
         band = k % 3
-        return self.raw("supplier").filter(k < 20).select(
+        return self.raw("supplier").select(
             k.alias("id"),
             F.concat(F.lit("staff"), k.cast("string")).alias("username"),
             F.when(k % 10 == 0, "super").otherwise("admin").alias("role"),
@@ -333,11 +333,24 @@ class Tables:
 
     @cached_property
     def coupons(self) -> DataFrame:
+        """Ten coupons that every branch of pricing meets, and one for each supplier."""
         money = lambda c: F.col(c).cast(MONEY).alias(c)
-        # Made from a literal, so Spark knows how small it is and can broadcast it.
         names = [c.split()[0] for c in COUPON_DDL.split(", ")]
         text = json.dumps([dict(zip(names, row)) for row in COUPON_ROWS])
         rows = self.spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{COUPON_DDL}>>")))
+        k = F.col("s_suppkey")
+        percent, flat = k % 3 == 0, k % 3 == 1
+        deal = F.when(~percent & ~flat, F.lit(1))
+        rows = rows.unionByName(self.raw("supplier").select(
+            (1000 + k).alias("id"), F.concat(F.lit("SUP-"), k.cast("string")).alias("code"),
+            F.when(percent, "percent").when(flat, "flat").otherwise("bogo").alias("kind"),
+            F.when(percent, 5 + k % 20).when(flat, 50 + k % 100).otherwise(0).cast("string").alias("value"),
+            F.when(k % 4 == 0, F.lit("200")).alias("max_discount"), (k % 5 * 100).cast("string").alias("min_bill"),
+            (deal * 2).alias("buy_qty"), deal.alias("get_qty"), F.when(k % 7 == 0, "items").otherwise("all").alias("applies_to"),
+            F.when(k % 7 == 0, F.array(k + 1, k + 2)).otherwise(F.array().cast("array<bigint>")).alias("item_ids"), F.array().cast("array<string>").alias("categories"),
+            F.lit(None).cast("string").alias("valid_from"), F.when(k % 6 == 0, F.lit("1997-12-31")).alias("valid_to"),
+            F.when(k % 4 == 1, 10 + k % 50).cast("int").alias("usage_limit"), F.when(k % 5 == 2, 1).alias("per_customer_limit"), (k % 9 != 0).alias("is_active"),
+        ))
         return rows.select(
             "id", "code", "kind", money("value"), money("max_discount"), money("min_bill"), "buy_qty", "get_qty", "applies_to",
             "item_ids", "categories", F.col("valid_from").cast("date").alias("valid_from"), F.col("valid_to").cast("date").alias("valid_to"),

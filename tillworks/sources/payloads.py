@@ -27,6 +27,13 @@ def is_array_text(json: Column) -> Column:
     return F.json_array_length(json).isNotNull()
 
 
+def has_bad_line(json: Column) -> Column:
+    """Whether some line of a bill names an item or a quantity that is no whole number."""
+    texts = F.from_json(json, f"array<struct<{','.join(f'{n}:string' for n in BILL_LINE)}>>")
+    bad = lambda x: (x["menu_item_id"].isNotNull() & F.trim(x["menu_item_id"]).try_cast("bigint").isNull()) | (x["qty"].isNotNull() & F.trim(x["qty"]).try_cast("int").isNull())
+    return F.coalesce(F.exists(texts, bad), F.lit(False))
+
+
 def explode_bill_items(bills: DataFrame) -> DataFrame:
     """Payload rows ``(bill_id, line_no, menu_item_id, qty)``; non-arrays and empty arrays give none."""
     items = F.when(is_filled_array(F.col("items")), _lines(F.col("items"), BILL_LINE))

@@ -45,14 +45,21 @@ class BatchLog:
         return self._found(spark, self.path)
 
     def before(self, spark: SparkSession, batch: int) -> DataFrame:
-        """What the batches before ``batch`` wrote, so a batch that runs again does not see its own rows."""
+        """What the batches before ``batch`` wrote, so a batch that runs again does not see its own rows.
+
+        A missing batch folder is an error: its rows would be taken for new ones.
+        """
         if not batch:
             return spark.createDataFrame([], self.schema)
-        return self._found(spark, *[f"{self.path}/batch={b}" for b in range(batch)])
+        return self._rows(spark, *[f"{self.path}/batch={b}" for b in range(batch)])
+
+    def _rows(self, spark: SparkSession, *paths: str) -> DataFrame:
+        return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
 
-    def _found(self, spark: SparkSession, *paths: str) -> DataFrame:
+    def _found(self, spark: SparkSession, root: str) -> DataFrame:
+        """Rows under ``root``; only where the root itself is absent has no batch run."""
         try:
-            return spark.read.schema(self.schema).option("recursiveFileLookup", "true").parquet(*paths)
+            return self._rows(spark, root)
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
