@@ -258,7 +258,7 @@ def _cells(sets: DataFrame) -> DataFrame:
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
-        for b in batches:
+        for b in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
             parts = []
             for node, needed, own in zip(b.column("node").to_pylist(), b.column("needed").to_pylist(), b.column("shingles"), strict=True):
                 own = own.values.to_numpy()
