@@ -254,6 +254,47 @@ def test_failures_loop(spark):
         assert got[i].wait_minutes == want
 
 
+def test_failures_of_one_user(spark):
+    """All tries on one user and one address within two quarter hours: no window holds the whole key."""
+    rng = random.Random(61)
+    rows = [(i, "u", "a", rng.random() < 0.01, BASE + timedelta(seconds=rng.randrange(1800), microseconds=rng.choice([0, 1]))) for i in range(500)]
+    df = spark.createDataFrame(rows, "id bigint, username string, ip string, succeeded boolean, created_at timestamp_ntz")
+    seen = {r.id: (r.user_failures, r.ip_failures) for r in A.failures_in_window(df).collect()}
+    quarter = timedelta(minutes=15)
+    for i, _, _, _, at in rows:
+        since = max([at - quarter] + [r[4] for r in rows if r[3] and r[4] < at])
+        near = [r[4] for r in rows if not r[3] and at - quarter < r[4] < at]
+        assert seen[i] == (sum(t > since for t in near), len(near))
+    lone = spark.createDataFrame([(1, None, None, False, BASE), (2, "u", None, False, BASE), (3, "u", "a", False, BASE)], df.schema)
+    assert sorted(tuple(r)[5:] for r in A.failures_in_window(lone).collect()) == [(0, None, 0)] * 3
+    assert A.failures_in_window(df.limit(0)).count() == 0
+
+
+def test_session_gate_loop(spark):
+    """Overlapping sessions of one busy account; starts, answers and ends at the very instant of an event."""
+    rng = random.Random(62)
+    at = lambda n: BASE + timedelta(minutes=5 * rng.randrange(n))
+    admins = [(0, "u0", "super", True), (1, "u1", "admin", True), (2, "u2", "admin", True), (3, "u3", "admin", False)]
+    sessions = []
+    for i in range(60):
+        start = at(900)
+        ok = rng.choice([None, start, start + timedelta(minutes=5 * rng.randrange(200))])
+        sessions.append((i, 1 if rng.random() < 0.6 else rng.randrange(5), start, ok, start + timedelta(hours=rng.choice([0, 2, 12]))))
+    events = [(i, f"u{1 if rng.random() < 0.6 else rng.randrange(5)}", at(1100)) for i in range(400)] + [(400, None, BASE)]
+    who = spark.createDataFrame(admins, "id bigint, username string, role string, is_active boolean")
+    who = who.withColumns({c: F.lit(None).cast("string") for c in ("login_from", "login_to")})
+    ev = spark.createDataFrame(events, "id bigint, username string, created_at timestamp_ntz")
+    se = spark.createDataFrame(sessions, "id bigint, admin_id bigint, created_at timestamp_ntz, approved_at timestamp_ntz, expires_at timestamp_ntz")
+    got = {r.id: r.verdict for r in A.session_gate(ev, se, who).collect()}
+    names = {u: (k, role) for k, u, role, active in admins if active}
+    for i, u, t in events:
+        k, role = names.get(u, (None, None))
+        live = [s for s in sessions if s[1] == k and s[2] <= t < s[4]]
+        ok = role == "super" or any(s[3] is not None and s[3] <= t for s in live)
+        assert got[i] == ("expired" if not live else "ok" if ok else "waiting")
+    assert len(got) == len(events) and set(got.values()) == {"expired", "ok", "waiting"}
+
+
 def test_payment_fold_loop(spark):
     rng = random.Random(7)
     rows = [(i, hot_key(rng, 20), rng.choice(["paid", "pending", "cancelled"]), BASE + timedelta(minutes=i)) for i in range(300)]

@@ -15,7 +15,7 @@ from tillworks.sources.adapters import Tables
 from tillworks.sources.schemas import RAW
 from tillworks.streaming import guard, jobs, stateful
 from tillworks.streaming.feeds import drain_to_parquet, stream_raw
-from tillworks.streaming.state import BatchLog
+from tillworks.streaming.state import BatchLog, DayLog
 
 BASE = datetime(2024, 1, 1)
 
@@ -188,6 +188,54 @@ def test_guard_of_nothing(spark):
     assert signin.decide_tries(spark.createDataFrame(lone, TRY)).filter("lock is not null").count() == 0
 
 
+def test_sales_take_back_cancelled_bills(spark, run_dir):
+    """Late cancellations, repeats, reopened and corrected bills in any order: the sums of the latest versions."""
+    import random
+    from collections import defaultdict
+    from decimal import Decimal as D
+
+    rng = random.Random(31)
+    made = {i: BASE + timedelta(minutes=rng.randrange(6000)) for i in range(60)}
+    versions = []
+    for i, at in made.items():
+        status, t = "pending", at
+        for _ in range(rng.randrange(1, 5)):
+            versions.append((i, D(rng.randrange(1, 900)) / 4, status, t, at))
+            status, t = rng.choice(["paid", "paid", "cancelled", "pending"]), t + timedelta(minutes=rng.randrange(1, 3000))
+    last = {v[0]: v for v in sorted(versions, key=lambda v: v[3])}
+    want = defaultdict(lambda: [0, D(0)])
+    for _, total, status, _, at in last.values():
+        if status == "paid":
+            half = at - timedelta(minutes=30)
+            want[half.replace(minute=0) + timedelta(minutes=30)][0] += 1
+            want[half.replace(minute=0) + timedelta(minutes=30)][1] += total
+    rng.shuffle(versions)
+    schema = "id bigint, total decimal(14,2), payment_status string, kitchen_updated_at timestamp_ntz, created_at timestamp_ntz"
+    for part in (versions[:50], versions[50:90] + versions[:10], versions[90:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
+    got = jobs.sales_day_hour(stream, f"{run_dir}/out")
+    assert {r.start: [r.orders, r.total] for r in got.filter("grain = 'hour'").collect()} == want
+    assert got.filter("grain = 'day'").agg(F.sum("orders"), F.sum("total")).first() == (sum(n for n, _ in want.values()), sum(t for _, t in want.values()))
+    # Of a bill paid and then cancelled both changes are in the log, and they cancel out.
+    back = spark.read.parquet(f"{run_dir}/out/changes").groupBy("id").agg(F.sum("orders").alias("n"), F.min("orders").alias("least"))
+    assert {r.id: r.n for r in back.collect()} == {i: int(v[2] == "paid") for i, v in last.items()} and back.filter("least < 0").count() > 0
+
+
+def test_a_batch_reads_its_own_days(spark, run_dir):
+    log = DayLog(f"{run_dir}/log", "id bigint, day date")
+    log.write(spark.range(4).selectExpr("id", "date_add(date'2024-01-01', int(id)) AS day"), 0)
+    log.write(spark.range(0).selectExpr("id", "date'2024-01-01' AS day"), 1)
+    asked = spark.sql("SELECT date'2024-01-02' AS day UNION ALL SELECT date'2024-01-09'")
+    found = log.before(spark, 2, asked)
+    assert [r.id for r in found.collect()] == [1]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(day" in plan or "PartitionFilters: [day" in plan
+    assert log.before(spark, 0, asked).count() == 0 and log.read(spark).count() == 4
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        log.before(spark, 3, asked).count()
+
+
 def test_late_orders(spark, run_dir):
     at = lambda m: BASE + timedelta(minutes=m)
     batches = [[(1, at(0), "new", "paid", at(0)), (2, at(0), "new", "paid", at(1))], [(2, at(0), "served", "paid", at(10)), (3, at(16), "new", "paid", at(16))], [(4, at(40), "new", "paid", at(40))]]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillworks.functions import access
 from tillworks.functions import timeutil as T
+from tillworks.operators.prefix import marks_before, running_last, running_sum
 
 LOCK_WINDOW_US = 15 * T.MINUTE_US
 USER_LIMIT = 5
@@ -31,50 +32,41 @@ def with_role(logins: DataFrame, admins: DataFrame) -> DataFrame:
     return logins.join(roles, F.col("username") == F.col("_key"), "left").drop("_key").withColumn("role", F.coalesce("role", F.lit("admin")))
 
 
-def _overlapping_slots(df: DataFrame) -> DataFrame:
-    """Copies each row into its own quarter-hour slot and the next one.
-
-    A look-back of less than a quarter hour is then complete within (key, slot), so
-    a key under attack is spread over its slots instead of filling one task.
-    """
-    us = T.micros(F.col("created_at"))
-    slot = F.floor(us / LOCK_WINDOW_US)
-    copies = F.array(F.struct(slot.alias("_slot"), F.lit(True).alias("_own")), F.struct((slot + 1).alias("_slot"), F.lit(False).alias("_own")))
-    return df.withColumn("_us", us).select("*", F.inline(copies))
-
-
-def _look_back(*keys: str):
-    return Window.partitionBy(*keys, "_slot").orderBy("_us").rangeBetween(-(LOCK_WINDOW_US - 1), -1)
-
-
 def failures_in_window(attempts: DataFrame) -> DataFrame:
     """Per recorded attempt, what the rate limit saw just before it.
 
     ``user_failures``: failures of the user since their last success within fifteen
     minutes; ``ip_failures``: failures from the address in fifteen minutes;
     ``fifth_failure_us``: when the fifth most recent of the user's failures happened.
+
+    Ids are distinct; an attempt without an address (or username) counts no failures of one. Both
+    counts are differences of running counts at the ends of the look-back, so no task
+    holds a key's attempts: a user or address under attack is spread over its minutes.
     """
-    cols = attempts.columns
-    rows = _overlapping_slots(attempts)
-    so_far = Window.partitionBy("username", "_slot").orderBy("_us").rangeBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_seg", F.coalesce(F.sum(F.col("succeeded").cast("int")).over(so_far), F.lit(0)))
-    streak = Window.partitionBy("username", "_slot", "_seg", "succeeded").orderBy("_us", "id")
-    rows = rows.withColumn("_t5", F.when(~F.col("succeeded"), F.lag("_us", USER_LIMIT - 1).over(streak)))
-    since = Window.partitionBy("username", "_slot", "_seg").orderBy("_us").rangeBetween(-(LOCK_WINDOW_US - 1), -1)
-    failed = (~F.col("succeeded")).cast("bigint")
-    rows = (
-        rows.withColumn("user_failures", F.coalesce(F.sum(failed).over(since), F.lit(0)))
-        .withColumn("fifth_failure_us", F.max("_t5").over(since))
-        .filter("_own")
-        .select(*cols, "user_failures", F.when(F.col("user_failures") >= USER_LIMIT, F.col("fifth_failure_us")).alias("fifth_failure_us"))
-    )
-    # Attempts without an address must not meet in one group.
-    rows = _overlapping_slots(rows).withColumn("_ip", F.coalesce("ip", F.concat(F.lit("none-"), F.col("id").cast("string"))))
-    return (
-        rows.withColumn("ip_failures", F.coalesce(F.sum(failed).over(_look_back("_ip")), F.lit(0)))
-        .filter("_own")
-        .select(*cols, "user_failures", "fifth_failure_us", "ip_failures")
+    tries = attempts.withColumn("_us", T.micros(F.col("created_at")))
+    minute = F.floor(F.col("_us") / T.MINUTE_US)
+    # The last success before each attempt; at one instant attempts come before successes.
+    asked = tries.filter("username is not null").select("id", "username", "ip", "_us", F.lit(0).alias("_mark"), F.lit(None).cast("bigint").alias("_good"))
+    good = tries.filter("succeeded and username is not null").select("id", "username", "ip", "_us", F.lit(1).alias("_mark"), F.col("_us").alias("_good"))
+    seen = running_last(asked.unionByName(good), ["username"], ["_us", "_mark"], minute, "_good", "_ok").filter("_mark = 0")
+    first = F.col("_us") - (LOCK_WINDOW_US - 1)
+    by_user = seen.select("id", F.lit("user").alias("_rule"), F.col("username").alias("_who"), "_us", F.greatest(first, F.col("_ok") + 1).alias("_from"))
+    by_ip = tries.filter("ip is not null").select("id", F.lit("ip").alias("_rule"), F.col("ip").alias("_who"), "_us", first.alias("_from"))
+    ends = F.array(F.struct(F.lit(1).alias("_sign"), F.col("_us").alias("_at")), F.struct(F.lit(-1).alias("_sign"), F.col("_from").alias("_at")))
+    probes = by_user.unionByName(by_ip).select("id", "_rule", "_who", F.inline(ends))
+    rules = F.array(*[F.struct(F.lit(rule).alias("_rule"), F.col(c).alias("_who")) for rule, c in (("user", "username"), ("ip", "ip"))])
+    marks = tries.filter(~F.col("succeeded")).select(F.col("_us").alias("_at"), F.inline(rules)).filter("_who is not null")
+    counted, numbered = marks_before(probes, marks, ["_rule", "_who"], "_at", T.MINUTE_US, "_n")
+    within = lambda rule: F.coalesce(F.sum(F.when(F.col("_rule") == rule, F.col("_sign") * F.col("_n"))), F.lit(0))
+    found = counted.groupBy("id").agg(
+        within("user").alias("user_failures"), within("ip").alias("ip_failures"), F.max(F.when((F.col("_rule") == "user") & (F.col("_sign") == 1), F.col("_n"))).alias("_upto")
     )
+    rows = tries.join(found, "id", "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("user_failures", "ip_failures")})
+    # Attempts without a fifth failure look up a place of their own, so that they do not meet in one task.
+    rows = rows.withColumn("_fifth", F.when(F.col("user_failures") >= USER_LIMIT, F.col("_upto") - (USER_LIMIT - 1)).otherwise(-1 - F.abs("id")))
+    places = numbered.filter("_rule = 'user'").select(F.col("_who").alias("_name"), F.col("_n").alias("_fifth"), F.col("_at").alias("fifth_failure_us"))
+    rows = rows.join(places.withColumnRenamed("_fifth", "_place"), (F.col("username") == F.col("_name")) & (F.col("_fifth") == F.col("_place")), "left")
+    return rows.select(*attempts.columns, "user_failures", "fifth_failure_us", "ip_failures")
 
 
 def lockouts(attempts: DataFrame) -> DataFrame:
@@ -126,28 +118,35 @@ def failure_counts(attempts: DataFrame, as_of) -> DataFrame:
 def session_gate(events: DataFrame, sessions: DataFrame, admins: DataFrame) -> DataFrame:
     """Verdict per event ``(id, username, created_at)``: ok, expired, hours or waiting.
 
-    Sessions last twelve hours, so each touches at most two twelve-hour slots; the
-    interval join is an equi-join on (admin, slot) with the bounds as residual.
+    How many sessions of an account are open, and how many of them approved, are running sums
+    over its session starts (+1) and ends (-1), read at each event: work in proportion to
+    events and sessions, however many sessions of an account overlap. A start counts from its
+    own instant on, an end too. Events of unknown or inactive accounts are expired; sessions
+    without both bounds or of no length never open.
     """
-    slot = lambda c: F.floor(T.hour_slot(c) / SESSION_HOURS)
-    who = admins.filter("is_active").withColumnRenamed("id", "admin_id")
-    acting = events.join(who, "username", "left").withColumn("_slot", slot(F.col("created_at")))
-    spans = sessions.select("admin_id", F.col("created_at").alias("_from"), F.col("expires_at").alias("_to"), F.col("approved_at").alias("_ok")).withColumn(
-        "_slot", F.explode(F.sequence(slot(F.col("_from")), slot(F.col("_to"))))
-    )
-    inside = (F.col("_from") <= F.col("created_at")) & (F.col("created_at") < F.col("_to"))
-    matched = acting.alias("e").join(
-        spans.alias("s"), (F.col("e.admin_id") == F.col("s.admin_id")) & (F.col("e._slot") == F.col("s._slot")) & inside, "left"
-    )
-    per_event = matched.groupBy("e.id", "username", "e.created_at", "role", "login_from", "login_to").agg(
-        F.count("_from").alias("_sessions"), F.coalesce(F.bool_or(F.col("_ok") <= F.col("e.created_at")), F.lit(False)).alias("_approved")
+    who = admins.filter("is_active").withColumnRenamed("id", "_admin")
+    acting = events.join(who, "username", "left")
+    # Events without an account get a key of their own instead of one shared null.
+    known = F.col("_admin").isNotNull()
+    acting = acting.select(
+        "id", "username", "role", "login_from", "login_to", "created_at", known.alias("_known"), F.coalesce(F.col("_admin").cast("bigint"), F.xxhash64("id")).alias("_key"), F.lit(True).alias("_event")
     )
+    begin, end, ok = F.col("created_at"), F.col("expires_at"), F.greatest("approved_at", "created_at")
+    approved = F.col("approved_at").isNotNull() & (ok < end)
+    step = lambda at, opened, allowed: F.struct(at.alias("at"), F.lit(opened).alias("_open"), allowed.cast("int").alias("_allowed"))
+    steps = F.array(step(begin, 1, F.lit(0)), step(end, -1, -approved.cast("int")), step(F.when(approved, ok), 0, F.lit(1)))
+    marks = sessions.filter(begin < end).select(F.col("admin_id").cast("bigint").alias("_key"), F.inline(steps)).filter("at is not null and _key is not null")
+    marks = marks.select("_key", F.col("at").alias("created_at"), "_open", "_allowed", F.lit(True).alias("_known"), F.lit(False).alias("_event"))
+    both = acting.unionByName(marks, allowMissingColumns=True)
+    minute = F.floor(T.micros(F.col("created_at")) / T.MINUTE_US)
+    sums = {"_sessions": F.coalesce("_open", F.lit(0)), "_approved": F.coalesce("_allowed", F.lit(0))}
+    per_event = running_sum(both, ["_known", "_key"], ["created_at", "_event"], minute, **sums).filter("_event")
     gate = access.in_login_window(F.col("role"), F.col("login_from"), F.col("login_to"), T.local_minute(F.col("created_at")))
     verdict = (
         F.when(F.col("_sessions") == 0, "expired")
         .when(F.col("role") == "super", "ok")
         .when(~gate, "hours")
-        .when(~F.col("_approved"), "waiting")
+        .when(F.col("_approved") == 0, "waiting")
         .otherwise("ok")
     )
     return per_event.select("id", "username", verdict.alias("verdict"))

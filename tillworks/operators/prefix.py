@@ -113,6 +113,18 @@ def running_last(df: DataFrame, keys: list[str], order: list, slot: Column, valu
     return joined.select(*df.columns, F.coalesce("_last", "_carry").alias(name))
 
 
+def marks_before(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, slot_width: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """For sliding windows over hot keys: how many ``marks`` of a key lie strictly before a point.
+
+    ``probes`` and ``marks`` have the keys and ``at``, a whole number; ``probes`` may have more columns. Returns the probes
+    with ``name``, the count of marks with a smaller ``at``, and the marks numbered from 1 in the same column. A window
+    [from, to) then holds the difference of two probes, whatever its length and however many rows it covers.
+    """
+    both = probes.withColumn("_mark", F.lit(0)).unionByName(marks.select(*keys, at, F.lit(1).alias("_mark")), allowMissingColumns=True)
+    counted = stage_table(running_sum(both, keys, [at, "_mark"], F.floor(F.col(at) / slot_width), **{name: F.col("_mark")}))
+    return counted.filter("_mark = 0").drop("_mark"), counted.filter("_mark = 1").select(*keys, at, name)
+
+
 def numbered_in_order(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds ``name``: the place of each row in ``order`` over the whole table, from 1.
 

@@ -17,7 +17,7 @@ from tillworks.operators import kitchen as K
 from tillworks.operators import shifts as H
 from tillworks.operators import stock as S
 from tillworks.streaming.feeds import drain
-from tillworks.streaming.state import BatchLog, VersionedTable
+from tillworks.streaming.state import BatchLog, DayLog, VersionedTable
 
 
 class _Progress:
@@ -49,38 +49,42 @@ BOARD = "id bigint, customer_name string, payment_status string, kitchen_status
 
 
 def kitchen_board(orders: DataFrame, run: str, as_of) -> DataFrame:
-    """Latest row per open order, kept across batches, then the staff queue as of ``as_of``."""
-    state, seen = VersionedTable(f"{run}/orders", BOARD), _Progress()
+    """Latest row per order of the board's day, then the staff queue as of ``as_of``.
+
+    A batch writes its own latest rows and reads nothing; a row older than an outdated one is
+    outdated too, so those never enter the log. Of rows of equal event times a
+    cancellation counts, else the later batch. Cancelled orders stay, so that no late row brings them back.
+    """
+    out = BatchLog(f"{run}/orders", BOARD)
     columns = [c.split()[0] for c in BOARD.split(", ")]
 
+    def latest(rows: DataFrame) -> DataFrame:
+        changed = F.struct(F.greatest("kitchen_updated_at", "created_at"), F.col("payment_status").eqNullSafe("cancelled"), F.col("version"))
+        rest = F.struct(*[c for c in columns if c != "id"])
+        return rows.groupBy("id").agg(F.max_by(rest, changed).alias("r")).select("id", "r.*")
+
     def each(batch: DataFrame, n: int) -> None:
-        now = batch.withColumn("version", F.lit(n).cast("bigint")).select(columns)
-        both = state.read(batch.sparkSession, n - 1).unionByName(now)
-        rest = [c for c in columns if c != "id"]
-        changed = F.greatest("kitchen_updated_at", "created_at")  # of event times; the batch only decides between equal ones
-        latest = both.groupBy("id").agg(F.max_by(F.struct(*rest), F.struct(changed, "version")).alias("r")).select("id", "r.*")
-        # A row older than an outdated one is outdated too; cancelled orders stay, so that no late row brings them back.
         fresh = K.since(as_of, 24) | K.since(as_of, 2, "kitchen_updated_at")
-        state.write(latest.filter(fresh).select(columns), n)
-        seen.last = n
+        out.write(latest(batch.filter(fresh).withColumn("version", F.lit(n).cast("bigint"))).select(columns), n)
 
     drain(orders, run, each)
-    return K.kitchen_queue(state.read(orders.sparkSession, seen.last), as_of)
+    return K.kitchen_queue(latest(out.read(orders.sparkSession)), as_of)
 
 
 def new_orders(orders: DataFrame, run: str) -> DataFrame:
     """Each new order once, however often, late or out of order it is delivered.
 
-    An id counts as new unless an earlier batch has written it; no row is too late.
+    An id counts as new unless an earlier batch has written it; no row is too late. An order
+    keeps the time it was made, so a batch looks for its ids in its own days only.
     """
-    out = BatchLog(f"{run}/rows", "id bigint, created_at timestamp_ntz")
+    out = DayLog(f"{run}/rows", "id bigint, created_at timestamp_ntz, day date")
 
     def each(batch: DataFrame, n: int) -> None:
-        rows = batch.groupBy("id").agg(F.min("created_at").alias("created_at"))
-        out.write(rows.join(out.before(batch.sparkSession, n).select("id"), "id", "left_anti"), n)
+        rows = batch.groupBy("id").agg(F.min("created_at").alias("created_at")).withColumn("day", T.local_day(F.col("created_at")))
+        out.write(rows.join(out.before(batch.sparkSession, n, rows).select("id"), "id", "left_anti"), n)
 
     drain(orders.select("id", "created_at"), run, each)
-    return out.read(orders.sparkSession)
+    return out.read(orders.sparkSession).drop("day")
 
 
 def login_alerts(logins: DataFrame, admins: DataFrame, run: str, as_of, me: str) -> DataFrame:
@@ -126,51 +130,57 @@ def low_stock_crossings(movements: DataFrame, ingredients: DataFrame) -> DataFra
     return rows.select("id", "ingredient_id", "balance_after", "created_at")
 
 
-SALES = "grain string, start timestamp_ntz, orders bigint, total decimal(24,2), batch bigint"
+CHANGES = "id bigint, start timestamp_ntz, changed struct<at:timestamp_ntz,rank:int>, orders bigint, amount decimal(24,2), day date"
 
 
 def sales_day_hour(orders: DataFrame, run: str) -> DataFrame:
-    """Paid sales in tumbling local hours and days.
+    """Paid sales in tumbling local hours and days; a bill cancelled later is taken back.
 
     Local time is half an hour off the UTC hour, so hours start at :30 and days at 18:30.
-    Each batch writes the windows it changed; the newest entry per window is current. A
-    cancellation that comes after its bill is not taken back here: the batch report is
-    the truth.
+    A batch writes signed changes: what each of its bills adds to its hour (1 or 0 bills and
+    their amount) less what earlier batches have counted for the bill. The version of a bill with the latest
+    event time counts, of equal times a cancelled one before a paid one before an open one, whatever
+    the order they arrive in. A bill keeps the time it was made, so only its own day is looked up.
     """
-    out = BatchLog(f"{run}/rows", SALES)
-    paid = orders.filter("payment_status = 'paid'").withColumn("ts", F.col("created_at").cast("timestamp"))
-    hours = paid.groupBy(F.window("ts", "1 hour", "1 hour", "30 minutes")).agg(F.count("*").alias("orders"), F.sum("total").alias("total"))
+    out = DayLog(f"{run}/changes", CHANGES)
+    status = F.col("payment_status")
+    rank = F.when(status == "cancelled", 2).when(status == "paid", 1).otherwise(0)
 
     def each(batch: DataFrame, n: int) -> None:
-        start = F.col("window.start").cast("timestamp_ntz")
-        rows = batch.select(F.lit("hour").alias("grain"), start.alias("start"), "orders", F.col("total").cast("decimal(24,2)").alias("total"), F.lit(n).cast("bigint").alias("batch"))
-        out.write(rows, n)
+        rows = batch.select(
+            "id", "total", F.window("created_at", "1 hour", "1 hour", "30 minutes")["start"].alias("start"), F.struct(F.greatest("kitchen_updated_at", "created_at").alias("at"), rank.alias("rank")).alias("changed")
+        )
+        now = rows.groupBy("id").agg(F.max_by(F.struct("start", "total"), "changed").alias("r"), F.max("changed").alias("changed"))
+        now = now.select("id", "r.*", "changed", T.local_day(F.col("r.start")).alias("day"))
+        earlier = out.before(batch.sparkSession, n, now).groupBy("id").agg(F.max("changed").alias("_seen"), F.sum("orders").alias("_orders"), F.sum("amount").alias("_amount"))
+        news = now.join(earlier, "id", "left").filter(F.col("_seen").isNull() | (F.col("changed") > F.col("_seen")))
+        paid = F.col("changed.rank") == 1
+        less = lambda now, counted, kind: (F.when(paid, now).otherwise(0) - F.coalesce(counted, F.lit(0))).cast(kind)
+        out.write(
+            news.select("id", "start", "changed", less(F.lit(1), F.col("_orders"), "bigint").alias("orders"), less(F.col("total"), F.col("_amount"), "decimal(24,2)").alias("amount"), "day"), n
+        )
 
-    drain(hours, run, each, mode="update")
-    current = out.read(orders.sparkSession).groupBy("grain", "start").agg(F.max_by(F.struct("orders", "total"), "batch").alias("r")).select("grain", "start", "r.*")
+    drain(orders.select("id", "total", "payment_status", "kitchen_updated_at", "created_at"), run, each)
+    money = lambda: F.sum("total").cast("decimal(24,2)").alias("total")
+    changes = out.read(orders.sparkSession).withColumnRenamed("amount", "total")
+    hours = changes.groupBy("start").agg(F.sum("orders").alias("orders"), money()).filter("orders <> 0")
     # A local day is exactly twenty-four of the hours, so days come from the few hour rows.
-    day = T.local_day(F.col("start"))
-    midnight = F.timestamp_add("MINUTE", F.lit(-330), day.cast("timestamp_ntz"))
-    days = current.groupBy(midnight.alias("start")).agg(F.sum("orders").alias("orders"), F.sum("total").cast("decimal(24,2)").alias("total"))
-    return current.unionByName(days.select(F.lit("day").alias("grain"), "start", "orders", "total"))
+    midnight = F.timestamp_add("MINUTE", F.lit(-330), T.local_day(F.col("start")).cast("timestamp_ntz"))
+    days = hours.groupBy(midnight.alias("start")).agg(F.sum("orders").alias("orders"), money())
+    return hours.select(F.lit("hour").alias("grain"), "*").unionByName(days.select(F.lit("day").alias("grain"), "*"))
 
 
 def shift_totals(orders: DataFrame, shifts: DataFrame, run: str, as_of) -> DataFrame:
-    """Totals per shift, added up batch by batch."""
+    """Totals per shift: each batch writes the sums of its own bills, which add up when they are read."""
     columns = ["shift_id", *H.TOTALS]
-    schema = ", ".join(f"{c} {'bigint' if c in ('shift_id', 'orders') or c.endswith('count') else 'decimal(24,2)'}" for c in columns)
-    state, seen = VersionedTable(f"{run}/totals", schema), _Progress()
+    kind = {c: ("bigint" if c in ("shift_id", "orders") or c.endswith("count") else "decimal(24,2)") for c in columns}
+    out = BatchLog(f"{run}/totals", ", ".join(f"{c} {k}" for c, k in kind.items()))
 
     def each(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        fresh = H.shift_totals(H.shift_orders(shifts, batch, as_of)).select(columns)
-        both = state.read(spark, n - 1).unionByName(fresh)
-        kind = {c: ("bigint" if c == "orders" or c.endswith("count") else "decimal(24,2)") for c in H.TOTALS}
-        state.write(both.groupBy("shift_id").agg(*[F.sum(c).cast(kind[c]).alias(c) for c in H.TOTALS]), n)
-        seen.last = n
+        out.write(H.shift_totals(H.shift_orders(shifts, batch, as_of)).select(columns), n)
 
     drain(orders, run, each)
-    return state.read(orders.sparkSession, seen.last)
+    return out.read(orders.sparkSession).groupBy("shift_id").agg(*[F.sum(c).cast(kind[c]).alias(c) for c in H.TOTALS])
 
 
 def _millis(c):

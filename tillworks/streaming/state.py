@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -64,3 +65,21 @@ class BatchLog:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return spark.createDataFrame([], self.schema)
+
+
+class DayLog(BatchLog):
+    """A log whose rows lie by a ``day`` column, so that a batch reads only its own days of the earlier batches."""
+
+    def write(self, df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={batch}")
+
+    def before(self, spark: SparkSession, batch: int, rows: DataFrame | None = None) -> DataFrame:
+        """What the batches before ``batch`` wrote, of the days found in ``rows`` where given.
+
+        The days of one batch come to the driver, nothing else.
+        """
+        found = super().before(spark, batch)
+        return found if rows is None else found.where(F.col("day").isin([r.day for r in rows.select("day").distinct().collect()]))
+
+    def _rows(self, spark: SparkSession, *paths: str) -> DataFrame:
+        return spark.read.schema(self.schema).option("basePath", self.path).parquet(*paths).drop("batch")
