@@ -68,18 +68,29 @@ class BatchLog:
 
 
 class DayLog(BatchLog):
-    """A log whose rows lie by a ``day`` column, so that a batch reads only its own days of the earlier batches."""
+    """A log of rows with a ``day``, laid down by month, so that a batch reads only its own days of the earlier batches."""
+
+    def __init__(self, path: str, schema: str):
+        super().__init__(path, f"{schema}, month date")
 
     def write(self, df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").partitionBy("day").parquet(f"{self.path}/batch={batch}")
+        rows = df.withColumn("month", F.trunc("day", "month")).hint("rebalance", "month")
+        rows.write.mode("overwrite").partitionBy("month").parquet(f"{self.path}/batch={batch}")
 
     def before(self, spark: SparkSession, batch: int, rows: DataFrame | None = None) -> DataFrame:
         """What the batches before ``batch`` wrote, of the days found in ``rows`` where given.
 
-        The days of one batch come to the driver, nothing else.
+        The days of one batch come to the driver, nothing else. Their months choose the folders, the
+        days themselves are pushed into the files.
         """
         found = super().before(spark, batch)
-        return found if rows is None else found.where(F.col("day").isin([r.day for r in rows.select("day").distinct().collect()]))
+        if rows is not None and batch:
+            days = [r.day for r in rows.select("day").distinct().collect()]
+            found = found.where(F.col("month").isin(list({d.replace(day=1) for d in days})) & F.col("day").isin(days))
+        return found.drop("month")
+
+    def read(self, spark: SparkSession) -> DataFrame:
+        return super().read(spark).drop("month")
 
     def _rows(self, spark: SparkSession, *paths: str) -> DataFrame:
         return spark.read.schema(self.schema).option("basePath", self.path).parquet(*paths).drop("batch")
