@@ -11,13 +11,14 @@ are checked before the full Hamming distance.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillworks.config import stage_table
@@ -25,10 +26,23 @@ from tillworks.llm.graph import components
 
 BITS = 64
 PORTION = 256  # texts whose shingles a task holds at once
+ARROW_ROWS = 1024  # rows that a task and its Python worker hand each other at once where rows are whole texts or shingle sets
 BLOCK = 8192  # fingerprints of one key that meet in one cell; larger groups are cut into pairs of blocks
 SMALL = 1_000_000  # rows of a table of keys or ids up to which it may be broadcast (20 bytes each)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> Iterator[None]:
+    """Arrow batches of ``rows`` for the actions run inside; both sides of a task hold whole batches."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def hashes_of(text: str | None, width: int) -> np.ndarray:
     """XXH64 (seed 42) of each ``width``-word shingle of the ASCII-lower-cased text, repeats included."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -291,16 +305,34 @@ def _cells(sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in own], names=list(names))
 
     own = sets.where("n > 0").select("node", "shingles", _needed(F.col("n")).alias("needed"))
+    spark = sets.sparkSession
     while len(hot) < HOT_MOST:
         # Where shingles went to the end others become first ones; those are counted again.
-        often = own.mapInArrow(first, schema).groupBy("h").count().where(F.col("count") > HOT).orderBy(F.desc("count"), "h").limit(HOT_MOST)
-        more = np.union1d(hot, np.array([r["h"] for r in often.collect()], np.int64))
+        with small_batches(spark):
+            often = stage_table(own.mapInArrow(first, schema).groupBy("h").count().where(F.col("count") > HOT))
+        more = np.union1d(hot, _commonest(often, HOT_MOST - len(hot)))
         if len(more) == len(hot):
             break
         hot = more
-        held = sets.sparkSession.sparkContext.broadcast(hot)
+        held = spark.sparkContext.broadcast(hot)
     rows = own.mapInArrow(first, schema)
-    return stage_table(rows.repartition("h").sortWithinPartitions("h").mapInArrow(shared, schema))
+    with small_batches(spark):
+        return stage_table(rows.repartition("h").sortWithinPartitions("h").mapInArrow(shared, schema))
+
+
+def _commonest(counts: DataFrame, most: int) -> np.ndarray:
+    """At most ``most`` shingles of ``counts`` (h, count): whole powers of two of the count, the largest ones first.
+
+    Only the number of shingles of each power and the chosen ones reach the driver.
+    """
+    power = F.floor(F.log2("count")).cast("int")
+    total, least = 0, None
+    for p, n in sorted(counts.groupBy(power.alias("p")).agg(F.count("*")).collect(), reverse=True):
+        if total + n > most:
+            break
+        total, least = total + n, p
+    chosen = counts.where(power >= least) if least is not None else counts.limit(0)
+    return chosen.select("h").toArrow().column("h").to_numpy()
 
 
 def _possible(a: str, b: str) -> Column:
@@ -367,7 +399,8 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sets_of, f"doc_id {kind}, th long, shingles array<long>")
     rows = rows.select("doc_id", "th", F.xxhash64("shingles").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("row"))
-    rows = stage_table(rows)
+    with small_batches(docs.sparkSession):
+        rows = stage_table(rows)
     nodes = stage_table(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
     # One row stands for all with the same set.
     copies = stage_table(rows.select("row").join(nodes.select("row"), "row", "left_anti"))
