@@ -154,6 +154,21 @@ def test_one_of_each_keeps_clean_rows(docs, rows, empty):
     assert simhash.one_of_each(docs).columns == docs.columns and simhash.one_of_each(empty).count() == 0
 
 
+def test_outlines_bound_what_is_shared(spark):
+    """The bound is never under the true number of shared shingles, on short and on very long sets."""
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(-(2**62), 2**62, n)) for n in (1, 5, 60, 300, 9000)]
+    sets += [np.unique(np.concatenate([s[: len(s) * 9 // 10], rng.integers(-(2**62), 2**62, 1 + len(s) // 20)])) for s in sets]
+    rows = spark.createDataFrame([(i, len(s), s.tolist()) for i, s in enumerate(sets)], "node long, n long, shingles array<long>")
+    drawn = simhash._outlines(rows)
+    met = drawn.toDF("a", "n", "x").crossJoin(drawn.toDF("b", "m", "y"))
+    most = {(r.a, r.b): r.most for r in met.select("a", "b", simhash._most_shared("n", "m", "x", "y").alias("most")).collect()}
+    shared = {(i, j): len(np.intersect1d(s, t)) for i, s in enumerate(sets) for j, t in enumerate(sets)}
+    assert len(most) == len(shared) and all(most[p] >= n for p, n in shared.items())
+    assert most[2, 3] < 30 and all(most[i, i] == len(s) for i, s in enumerate(sets))
+    assert simhash._outlines(rows.limit(0)).count() == 0
+
+
 def test_one_of_each_confirms_every_pair(spark):
     rng = np.random.default_rng(11)
     line = [f"common{k}" for k in range(12)]

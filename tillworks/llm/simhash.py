@@ -17,6 +17,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -241,6 +242,7 @@ def hex_of(fp: Column) -> Column:
 
 
 LIKE = (4, 5)  # resemblance of a near-duplicate pair: at least 4/5
+OUTLINE = 16  # long numbers of a set's outline
 HOT = 64  # a shingle among the first ones of more documents than this goes to the end of the order
 HOT_MOST = 1_000_000  # most such shingles, the commonest first; the pairs found do not depend on the choice
 
@@ -346,12 +348,43 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+def _outlines(sets: DataFrame) -> DataFrame:
+    """(node, n, bits): which of 64 * ``OUTLINE`` bits the shingles of a set hash to, as ``OUTLINE`` long numbers."""
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
+            lists = b.column("shingles")
+            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+            on = np.zeros((b.num_rows, 64 * OUTLINE), bool)
+            on[np.repeat(np.arange(b.num_rows), sizes), lists.flatten().to_numpy() & (64 * OUTLINE - 1)] = True
+            bits = pa.array(np.packbits(on, axis=1).view(np.int64).ravel())
+            cuts = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * OUTLINE)
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.ListArray.from_arrays(cuts, bits)], names=["node", "n", "bits"])
+
+    with small_batches(sets.sparkSession):
+        return stage_table(sets.select("node", "n", "shingles").mapInArrow(draw, "node long, n long, bits array<long>"))
+
+
+def _most_shared(n: str, m: str, x: str, y: str) -> Column:
+    """The most shingles two sets can share: each bit that only one set has on is a shingle that the other has not."""
+    only = lambda one, two: sum(F.bit_count(F.col(one)[i].bitwiseAND(F.bitwise_not(F.col(two)[i]))) for i in range(OUTLINE))
+    return F.least(F.col(n) - only(x, y), F.col(m) - only(y, x))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose shingle sets are alike, by the sets themselves."""
-    ids = stage_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    own = sets.select("node", "n", "shingles").join(_few(ids), "node", "left_semi")
-    one, two = own.toDF("a", "n", "x"), own.toDF("b", "m", "y")
-    met = pairs.join(one, "a").join(two, "b")
+    """The ``pairs`` (a, b) of nodes whose shingle sets are alike, by the sets themselves.
+
+    Outlines of 128 bytes go first: pairs that cannot share enough leave before any set is sent.
+    """
+    def of(pairs: DataFrame) -> DataFrame:
+        ids = stage_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+        return sets.select("node", "n", "shingles").join(_few(ids), "node", "left_semi")
+
+    drawn = _outlines(of(pairs))
+    met = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b")
+    left = stage_table(met.where(_alike(_most_shared("n", "m", "x", "y"), F.col("n"), F.col("m"))).select("a", "b"))
+    own = of(left)
+    met = left.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
     return met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b")
 
 
