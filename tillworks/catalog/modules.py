@@ -7,3 +7,4 @@ from tillworks.catalog import board_queries  # noqa: F401
 from tillworks.catalog import access_queries  # noqa: F401
 from tillworks.catalog import job_queries  # noqa: F401
 from tillworks.catalog import stream_queries  # noqa: F401
+from tillworks.catalog import desk_queries  # noqa: F401

@@ -12,6 +12,18 @@ BAD_BILL_LINE = "An item number or quantity of the bill cannot be read."
 NO_VALID_ITEMS = "No valid items in order."
 BAD_RECIPE_LIST = "Invalid ingredients list."
 BAD_RECIPE_LINE = "Each ingredient needs a quantity greater than 0."
+NO_ORDER = "Order not found."
+NOT_PENDING = "Only pending orders can be marked as paid."
+BAD_STATUS = "Choose a valid status: paid, pending or cancelled."
+BAD_STOCK_KIND = "Choose purchase, waste or count."
+LONG_NOTE = "Note can be at most 200 characters."
+BAD_OPENING_CASH = "Enter the opening cash in the drawer (0 or more)."
+BAD_COUNTED_CASH = "Enter the cash counted in the drawer (0 or more)."
+OPEN_ALREADY = "You already have an open shift."
+NONE_OPEN = "You have no open shift."
+NO_SHIFT = "Shift not found."
+SHIFT_CLOSED = "This shift is already closed."
+SUPER_ONLY = "Super admin access required."
 BAD_COUNT = "Enter the counted quantity (0 or more)."
 BAD_QUANTITY = "Enter a quantity greater than 0."
 BAD_ALERT = "Low stock alert must be 0 or more."

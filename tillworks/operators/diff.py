@@ -86,6 +86,24 @@ def _shown(key: Column, v: Column, currency: str) -> Column:
     )
 
 
+def _plain_number(n: Column) -> Column:
+    """At most three decimals, no trailing zeros."""
+    return F.regexp_replace(n.cast("decimal(24,3)").cast("string"), r"\.?0+$", "")
+
+
+def _recipe_text(json: Column) -> Column:
+    """A recipe as ``qty unit name, ...``; ``none`` for an empty or missing one."""
+    lines = F.from_json(json, "array<struct<qty:string,unit:string,name:string>>")
+    text = F.array_join(F.transform(lines, lambda r: F.concat_ws(" ", _plain_number(r["qty"]), r["unit"], r["name"])), ", ")
+    return F.coalesce(F.nullif(text, F.lit("")), F.lit("none"))
+
+
+def _bill_text(json: Column) -> Column:
+    """Bill lines as ``qty× name, ...``."""
+    lines = F.from_json(json, "array<struct<qty:string,name:string>>")
+    return F.coalesce(F.array_join(F.transform(lines, lambda r: F.concat(r["qty"], F.lit("× "), r["name"])), ", "), F.lit(""))
+
+
 def render(audit: DataFrame, currency: str) -> DataFrame:
     """Adds ``label``, ``target`` and ``summary`` to audit rows; unknown actions pass through."""
     get = lambda name: F.get_json_object("details", f"$.{name}")
@@ -102,23 +120,43 @@ def render(audit: DataFrame, currency: str) -> DataFrame:
     changes = F.from_json(get("changes"), "map<string,array<variant>>")
     by_key = lambda m: F.array_sort(F.map_keys(m))
     changed = F.array_join(
-        F.transform(by_key(changes), lambda k: F.concat(human(k), F.lit(": "), arrow(_shown(k, changes[k][0], currency), _shown(k, changes[k][1], currency)))), "; "
+        F.transform(by_key(changes), lambda k: F.when(k == "password", F.lit("password reset")).otherwise(F.concat(human(k), F.lit(": "), arrow(_shown(k, changes[k][0], currency), _shown(k, changes[k][1], currency))))), "; "
     )
     plain = F.from_json("details", "map<string,variant>")
     rest = F.filter(by_key(plain), lambda k: ~k.isin("name", "username"))
     listed = F.array_join(F.transform(rest, lambda k: F.concat(human(k), F.lit(": "), _shown(k, plain[k], currency))), " · ")
-    money = lambda name: F.concat(F.lit(currency), get(name))
+    money = lambda name: F.concat(F.lit(currency), get(name).cast("decimal(18,2)").cast("string"))
+    out = get("sessions_signed_out").cast("bigint")
+    signed_out = F.when(out > 0, F.concat(out.cast("string"), F.lit(" session(s) signed out")))
+    lines = lambda *parts: F.concat_ws("; ", *[F.nullif(p, F.lit("")) for p in parts])
+    off = get("difference").cast("decimal(12,2)")
+    diff_label = labels.cash_diff_label(off)
+    diff_text = F.when(diff_label == "Exact match", diff_label).otherwise(F.concat(diff_label, F.lit(" "), F.lit(currency), F.abs(off).cast("string")))
+    dotted = lambda *parts: F.concat_ws(" · ", *parts)
     summary = (
         F.when(F.col("action").isin("order.status", "kitchen.status"), arrow(get("from"), get("to")))
         .when(F.col("action") == "order.paid", F.concat(labels.method_label(get("method")), F.lit(" · "), money("total")))
-        .when(F.col("action").isin("stock.purchase", "stock.waste", "stock.count"), F.concat(arrow(get("before"), get("after")), F.lit(" "), get("unit")))
+        .when(
+            F.col("action") == "order.delete",
+            lines(dotted(F.coalesce(F.nullif(get("customer_name"), F.lit("")), F.lit("Customer")), F.coalesce(get("phone"), F.lit("")), money("total"), get("payment_status")), _bill_text(get("items"))),
+        )
+        .when(F.col("action") == "menu.recipe", lines(F.concat(F.lit("Before: "), _recipe_text(get("from"))), F.concat(F.lit("After: "), _recipe_text(get("to")))))
+        .when(
+            F.col("action") == "menu.delete",
+            lines(dotted(get("category"), money("price")), F.when(_recipe_text(get("recipe")) != "none", F.concat(F.lit("Recipe: "), _recipe_text(get("recipe"))))),
+        )
+        .when(
+            F.col("action").isin("stock.purchase", "stock.waste", "stock.count"),
+            lines(F.concat(arrow(_plain_number(get("before")), _plain_number(get("after"))), F.lit(" "), get("unit")), get("note")),
+        )
         .when(F.col("action") == "shift.open", F.concat(F.lit("Opening cash "), money("opening_cash")))
         .when(
             F.col("action") == "shift.close",
-            F.concat(F.lit("Expected "), money("expected_cash"), F.lit(" · counted "), money("counted_cash"), F.lit(" · "), labels.cash_diff_label(get("difference").cast("decimal(12,2)"))),
+            F.concat(F.lit("Expected "), money("expected_cash"), F.lit(" · counted "), money("counted_cash"), F.lit(" · "), diff_text),
         )
         .when(F.col("action") == "staff.sign_out", F.concat(get("sessions"), F.lit(" session(s) signed out")))
-        .when(get("changes").isNotNull(), changed)
+        .when(F.col("action") == "staff.password", F.coalesce(signed_out, F.lit("")))
+        .when(get("changes").isNotNull(), lines(changed, signed_out))
         .otherwise(listed)
     )
     return audit.select("*", labels.action_label(F.col("action")).alias("label"), target.alias("target"), summary.alias("summary"))

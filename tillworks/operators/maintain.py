@@ -312,6 +312,44 @@ def delete_snapshots(table: DataFrame, gone: DataFrame, columns: list[str], enti
     return rows.select(F.col("id").cast("string").alias("entity_id"), F.lit(f"{entity}.delete").alias("action"), D.as_json(columns).alias("details"))
 
 
+def delete_requests(requests: DataFrame, table: DataFrame, missing: str) -> DataFrame:
+    """Requested ids (repeats count once) with ``error`` where the table has no such row."""
+    known = table.select("id", F.lit(True).alias("_known"))
+    rows = requests.select("id").distinct().join(known, "id", "left")
+    return rows.select("id", F.when(F.col("_known").isNull(), F.lit(missing)).alias("error"))
+
+
+def order_snapshots(gone: DataFrame, orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Audit rows of deleted bills with what was on them; ``lines`` are the numbered lines of those bills."""
+    entry = F.struct("line_no", F.col("item_name").alias("name"), "qty", "price")
+    items = lines.groupBy(F.col("order_id").alias("id")).agg(F.array_sort(F.collect_list(entry)).alias("_lines"))
+    plain = lambda e: F.struct(e["name"].alias("name"), e["qty"].alias("qty"), e["price"].alias("price"))
+    rows = orders.join(gone.select("id"), "id", "left_semi").join(items, "id", "left")
+    empty = F.array().cast("array<struct<name:string,qty:int,price:decimal(10,2)>>")
+    rows = rows.withColumn("items", F.coalesce(F.transform("_lines", plain), empty))
+    details = D.as_json(["id", "phone", "customer_name", "total", "payment_status", "items"])
+    return rows.select(F.col("id").cast("string").alias("entity_id"), F.lit("order.delete").alias("action"), details.alias("details"))
+
+
+def ingredient_snapshots(gone: DataFrame, ingredients: DataFrame, recipes: DataFrame) -> DataFrame:
+    """Audit rows of deleted ingredients with the number of recipes each was part of."""
+    used = recipes.groupBy(F.col("ingredient_id").alias("id")).agg(F.count("*").alias("used_in"))
+    rows = ingredients.join(gone.select("id"), "id", "left_semi").join(used, "id", "left").withColumn("used_in", F.coalesce("used_in", F.lit(0)))
+    return rows.select(F.col("id").cast("string").alias("entity_id"), F.lit("ingredient.delete").alias("action"), D.as_json(["name", "unit", "used_in"]).alias("details"))
+
+
+def rekey_customers(customers: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Customers under their new numbers, and the moves made.
+
+    ``moves`` is (phone, new_phone), one a phone. A move needs a customer, a valid new number, and one that no customer
+    holds or asks for as well: of several moves to one number the smallest old number goes first.
+    """
+    known = customers.select("phone")
+    free = moves.filter(F.col("new_phone").rlike(clean.PHONE_PATTERN)).join(known, "phone", "left_semi").join(known.withColumnRenamed("phone", "new_phone"), "new_phone", "left_anti")
+    made = free.groupBy("new_phone").agg(F.min("phone").alias("phone"))
+    return rekey_phones(customers, made), made
+
+
 def rekey_phones(orders: DataFrame, moves: DataFrame) -> DataFrame:
     """A customer's new number follows to the bills: ``moves`` is (phone, new_phone)."""
     return orders.join(moves, "phone", "left").withColumn("phone", F.coalesce("new_phone", "phone")).drop("new_phone")

@@ -113,6 +113,19 @@ def running_last(df: DataFrame, keys: list[str], order: list, slot: Column, valu
     return joined.select(*df.columns, F.coalesce("_last", "_carry").alias(name))
 
 
+def latest_before(df: DataFrame, keys: list[str], order: list, slot: Column, **marks: Column) -> DataFrame:
+    """Adds per ``name=expression`` the key's latest non-null value strictly before the row, null where there is none."""
+    slotted = df.select("*", slot.alias(_SLOT), *[e.alias(f"_m_{n}") for n, e in marks.items()])
+    _, before = _within(keys, order)
+    _, _, earlier = _over_slots(keys)
+    local = slotted.select("*", *[F.last(f"_m_{n}", ignorenulls=True).over(before).alias(f"_l_{n}") for n in marks])
+    at = F.struct(*order)
+    closing = slotted.groupBy(*keys, _SLOT).agg(*[F.max_by(f"_m_{n}", F.when(F.col(f"_m_{n}").isNotNull(), at)).alias(f"_c_{n}") for n in marks])
+    carried = closing.select(*keys, _SLOT, *[F.last(f"_c_{n}", ignorenulls=True).over(earlier).alias(f"_c_{n}") for n in marks])
+    joined = local.join(carried, [*keys, _SLOT])
+    return joined.select(*df.columns, *[F.coalesce(f"_l_{n}", f"_c_{n}").alias(n) for n in marks])
+
+
 def marks_before(probes: DataFrame, marks: DataFrame, keys: list[str], at: str, slot_width: int, name: str) -> tuple[DataFrame, DataFrame]:
     """For sliding windows over hot keys: how many ``marks`` of a key lie strictly before a point.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillworks.functions import messages
+from tillworks.functions import clean, messages
 from tillworks.functions import timeutil as T
 from tillworks.operators import claims
 from tillworks.operators.prefix import running_balance, running_sum
@@ -102,6 +102,41 @@ def stock_ledger(events: DataFrame, ingredients: DataFrame) -> DataFrame:
     )
 
 
+def stock_inputs(inputs: DataFrame, ingredients: DataFrame) -> DataFrame:
+    """Purchases, waste and counts typed in by hand: every input with its ``error``, or with the balance it leaves.
+
+    ``inputs`` are (id, ingredient_id, kind, qty, note, created_at). The first broken rule refuses an input: its kind,
+    its quantity, its note, its ingredient. Refused inputs move nothing and keep their row. Adds ``name``, ``unit``,
+    ``before`` and ``after``.
+    """
+    known = ingredients.select(F.col("id").alias("ingredient_id"), "name", "unit")
+    kind, note = F.col("kind"), clean.blank_to_null(F.col("note"))
+    error = (
+        F.when(~F.coalesce(kind.isin(*MANUAL_KINDS), F.lit(False)), messages.BAD_STOCK_KIND)
+        .when(input_error(kind, F.col("qty")).isNotNull(), input_error(kind, F.col("qty")))
+        .when(F.length(note) > 200, messages.LONG_NOTE)
+        .when(F.col("name").isNull(), messages.NO_INGREDIENT)
+    )
+    checked = inputs.join(known, "ingredient_id", "left").withColumn("note", note).withColumn("error", error)
+    moved = stock_ledger(checked.filter("error is null").withColumn("order_id", F.lit(None).cast("bigint")), ingredients)
+    moved = moved.select("id", F.col("balance_after").alias("after"), (F.col("balance_after") - F.col("qty")).cast("decimal(24,3)").alias("before"))
+    return checked.join(moved, "id", "left").select("id", "ingredient_id", "name", "unit", "kind", "qty", "note", "created_at", "error", "before", "after")
+
+
+def ingredients_after(ingredients: DataFrame, inputs: DataFrame) -> DataFrame:
+    """The ingredients after decided inputs: the last balance, and tracking switched on by any input taken."""
+    last = inputs.filter("error is null").groupBy(F.col("ingredient_id").alias("id")).agg(F.max_by("after", F.struct("created_at", "id")).alias("_after"))
+    rows = ingredients.join(last, "id", "left")
+    stock = F.coalesce("_after", "stock").cast("decimal(24,3)")
+    return rows.withColumn("stock", stock).withColumn("track_stock", F.col("track_stock") | F.col("_after").isNotNull()).drop("_after")
+
+
+def input_audit(inputs: DataFrame) -> DataFrame:
+    """One audit row for each input taken."""
+    details = F.to_json(F.struct("name", "unit", "qty", "before", "after", "note"), {"ignoreNullFields": "false"})
+    return inputs.filter("error is null").select("id", F.concat(F.lit("stock."), "kind").alias("action"), F.col("ingredient_id").cast("string").alias("entity_id"), details.alias("details"))
+
+
 def deduct_sales(needs: DataFrame, orders: DataFrame, ingredients: DataFrame) -> DataFrame:
     """Warn mode: every bill is taken in time order and stock may go below zero.
 
