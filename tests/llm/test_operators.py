@@ -241,6 +241,16 @@ def test_shards_are_even_and_whole(spark, docs, empty):
     assert len(odd) == docs.count() and kdshards.slots(kdshards.assign(empty, 3)).count() == 0
 
 
+def test_copies_of_another_source_share_a_shard(spark):
+    rng = np.random.default_rng(4)
+    texts = [f"text {i} " + "w " * int(n) for i, n in enumerate(rng.integers(5, 80, 600))]
+    rows = [(3 * i + j, t, str(rng.integers(4)), str(rng.integers(5))) for i, t in enumerate(texts) for j in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = kdshards.slots(kdshards.assign(docs, 6)).toPandas()
+    assert len(got) == len(rows) and got["shard"].nunique() == 6
+    assert (got.assign(text=got["doc_id"] // 3).groupby("text")["shard"].nunique() == 1).all()
+
+
 # ---- 5: licenses
 
 

@@ -5,7 +5,7 @@ its widest dimension (its value range as a share of the whole table's) at the we
 ``k // 2 : k`` quantile of the bytes, found by histograms that narrow down on the cut: each
 pass reads at most ``BINS`` sums for each node of the level, whatever the table's size. A cut is
 a bound on the row's coordinates in the node's order, so ties are broken by the next
-dimensions and every cut falls between two groups of equal texts and metadata unless a group is
+dimensions and every cut falls between two groups of equal texts unless a group is
 larger than ``WHOLE`` of a shard; such a group is cut by doc_id.
 """
 
@@ -94,6 +94,17 @@ def metadata(docs: DataFrame) -> DataFrame:
     return own.withColumn("size", F.col("n_bytes") + OFFSET)
 
 
+def with_one_box_a_text(rows: DataFrame) -> DataFrame:
+    """Copies of a text that differ in ``lang`` or ``source`` take the smallest pair among them, so that no cut along these parts them.
+
+    Only texts with several pairs enter the join; its rows are narrow, and a large group of copies is split by AQE.
+    """
+    pair = F.struct("lang_at", "source_at")
+    mixed = rows.groupBy("text_hash").agg(F.min(pair).alias("_least"), F.max(pair).alias("_most")).filter("_least <> _most")
+    both = rows.join(mixed.drop("_most"), "text_hash", "left")
+    return both.select(*[F.coalesce(f"_least.{c}", c).alias(c) if c in ("lang_at", "source_at") else c for c in rows.columns])
+
+
 def _of_node(values: list, kind: str) -> Column:
     """The entry of ``values`` (numbers, lists of numbers, names or None) at the row's node, as a look-up in a constant array."""
 
@@ -156,11 +167,11 @@ def _cuts(placed: DataFrame, nodes: list[Node]) -> list[Cut | None]:
 def assign(docs: DataFrame, shards: int = 24) -> DataFrame:
     """(doc_id, size, text_crc32, text_hash, shard): every row in one of ``shards`` shards of nearly equal bytes.
 
-    Size is the text's UTF-8 bytes plus 8. Equal texts of equal ``lang`` and ``source`` share a shard
+    Size is the text's UTF-8 bytes plus 8. Equal texts share a shard, whatever their ``lang`` and ``source``,
     unless they outweigh ``WHOLE`` of it. Rows that agree in text, metadata and doc_id cannot be told apart and stay together.
     Missing ``lang`` or ``source`` columns and nulls are single values; an empty table gives no rows.
     """
-    placed = stage_table(metadata(docs)).withColumn("node", F.lit(0))
+    placed = stage_table(with_one_box_a_text(stage_table(metadata(docs)))).withColumn("node", F.lit(0))
     nodes = [Node(shards, 0)]
     while any(n.shards > 1 for n in nodes):
         cuts = _cuts(placed, nodes)
