@@ -7,11 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tillworks.catalog.board_queries import NEED, needs
+from tillworks.catalog import coupon_queries as CQ
+from tillworks.catalog import job_queries as JQ
+from tillworks.catalog import scalar_queries as SQ
+from tillworks.catalog.board_queries import AS_OF, NEED, lanes, needs, snapshots, SNAP
 from tillworks.catalog.params import SHOP
 from tillworks.catalog.registry import query
 from tillworks.functions import messages
+from tillworks.operators import coupons as C
 from tillworks.operators import diff as D
+from tillworks.operators import kitchen as K
 from tillworks.operators import maintain as M
 from tillworks.operators import payments as PAY
 from tillworks.operators import shifts as H
@@ -338,3 +343,159 @@ def documents(t):
 )
 def audit_texts(t):
     return D.render(documents(t), SHOP.currency).select("id", "action", "target", "summary")
+
+
+# ---- refusals of coupons --------------------------------------------------
+
+QUOTES = dict(**CQ.BATCH, **CQ.PAST, **CQ.quoted(CQ.DAY))
+
+
+@query(
+    "coupon_refusals",
+    """SELECT q.id, q.code, q.reason, CASE q.reason WHEN 'no code' THEN 'Enter a coupon code.' WHEN 'unknown' THEN 'Coupon ' || q.code || ' does not exist.' WHEN 'off' THEN 'Coupon ' || q.code || ' is switched off.'
+ WHEN 'not started' THEN 'Coupon ' || q.code || ' can be used from ' || strftime(c.valid_from, '%d %b %Y') || '.' WHEN 'expired' THEN 'Coupon ' || q.code || ' expired on ' || strftime(c.valid_to, '%d %b %Y') || '.'
+ WHEN 'below minimum' THEN 'Coupon ' || q.code || ' needs a bill of at least ₹' || CAST(c.min_bill AS VARCHAR) || '.' WHEN 'nothing covered' THEN 'Coupon ' || q.code || ' does not cover any item in this bill.'
+ WHEN 'used up' THEN 'Coupon ' || q.code || ' has been used up.' WHEN 'needs phone' THEN 'Coupon ' || q.code || ' needs the customer''s phone number. Go back and enter it.'
+ WHEN 'customer limit' THEN 'This customer has already used coupon ' || q.code || CASE WHEN c.per_customer_limit = 1 THEN '.' ELSE ' ' || CAST(c.per_customer_limit AS VARCHAR) || ' times.' END
+ WHEN 'too few items' THEN 'Coupon ' || q.code || ' needs ' || CAST(c.buy_qty + c.get_qty AS VARCHAR) || ' eligible items in the bill (buy ' || CAST(c.buy_qty AS VARCHAR) || ', get ' || CAST(c.get_qty AS VARCHAR) || ' free).' END AS message
+ FROM q LEFT JOIN pos_coupons c ON c.id = q.coupon_id""",
+    **QUOTES,
+)
+def coupon_refusals(t):
+    """Every bill with a coupon against past uses, and the sentence a refused one gets."""
+    return C.refusal_texts(C.quote(*CQ.batch(t), past=t.orders), t.coupons, SHOP.currency).select("id", "code", "reason", "message")
+
+
+# ---- audit rows of edits --------------------------------------------------
+
+
+@query(
+    "ingredient_edit_audit",
+    """SELECT CAST(n.id AS VARCHAR) AS entity_id, CASE WHEN o.id IS NULL THEN 'ingredient.create' ELSE 'ingredient.update' END AS action, CASE WHEN o.id IS NULL THEN '{"name":"' || n.name || '","unit":"' || n.unit || '"}'
+ ELSE '{"name":"' || n.name || '","changes":{' || concat_ws(',', CASE WHEN o.name <> n.name THEN '"name":["' || o.name || '","' || n.name || '"]' END, CASE WHEN o.unit <> n.unit THEN '"unit":["' || o.unit || '","' || n.unit || '"]' END) || '}}' END AS details
+ FROM ed n LEFT JOIN pos_ingredients o ON o.id = n.id WHERE n.error IS NULL AND (o.id IS NULL OR o.name <> n.name OR o.unit <> n.unit)""",
+    **JQ.INGREDIENT_STAGE,
+)
+def ingredient_edit_audit(t):
+    applied = M.apply_edits(t.ingredients, M.ingredient_edits(JQ.ingredient_stage(t), t.ingredients), M.INGREDIENT_COLUMNS)
+    return M.edit_audit(applied, "ingredient", M.INGREDIENT_COLUMNS, "name")
+
+
+def _pair(column: str, quote: str = "'\"'") -> str:
+    shown = lambda side: f"coalesce({quote} || CAST({side}.{column} AS VARCHAR) || {quote}, 'null')"
+    return f"""CASE WHEN o.{column} IS DISTINCT FROM n.{column} THEN '"{column}":[' || {shown('o')} || ',' || {shown('n')} || ']' END"""
+
+
+STAFF_CHANGES = ", ".join(_pair(c, "''" if c in ("auto_approve", "is_active") else "'\"'") for c in sorted(M.STAFF_COLUMNS))
+STAFF_SNAPSHOT = " || ',' || ".join(
+    f"""'"{c}":' || coalesce({"CAST(n." + c + " AS VARCHAR)" if c in ("auto_approve", "is_active") else "'" + chr(34) + "' || n." + c + " || '" + chr(34) + "'"}, 'null')""" for c in M.STAFF_COLUMNS
+)
+
+
+@query(
+    "staff_edit_audit",
+    f"""SELECT CAST(n.id AS VARCHAR) AS entity_id, CASE WHEN o.id IS NULL THEN 'staff.create' ELSE 'staff.update' END AS action, CASE WHEN o.id IS NULL THEN '{{' || {STAFF_SNAPSHOT} || '}}'
+ ELSE '{{"username":"' || n.username || '","changes":{{' || concat_ws(',', {STAFF_CHANGES}) || '}},"sessions_signed_out":' || CAST(CASE WHEN o.role <> n.role OR (o.is_active AND NOT n.is_active) THEN (SELECT count(*) FROM pos_sessions s WHERE s.admin_id = o.id) ELSE 0 END AS VARCHAR) || '}}' END AS details
+ FROM ed n LEFT JOIN pos_admins o ON o.id = n.id WHERE n.error IS NULL AND (o.id IS NULL OR concat_ws(',', {STAFF_CHANGES}) <> '')""",
+    **JQ.STAFF_STAGE,
+)
+def staff_edit_audit(t):
+    """Accounts created and changed, with the sessions that a change of role or a deactivation ended."""
+    edits = M.staff_edits(JQ.staff_stage(t), t.admins)
+    ended = M.sessions_ended(t.sessions, M.sessions_after_staff_edits(t.sessions, t.admins, edits))
+    return M.edit_audit(M.apply_edits(t.admins, edits, M.STAFF_COLUMNS), "staff", M.STAFF_COLUMNS, "username", "username", ended)
+
+
+@query(
+    "recipe_replace_audit",
+    """SELECT CAST(menu_item_id AS VARCHAR) AS entity_id, 'menu.recipe' AS action, '{"name":"' || name || '","from":' || b || ',"to":' || a || '}' AS details FROM
+ (SELECT gi.menu_item_id, m.name, coalesce(o.j, '[]') AS b, coalesce(n.j, '[]') AS a FROM gi JOIN pos_menu_items m ON m.id = gi.menu_item_id LEFT JOIN oj o ON o.menu_item_id = gi.menu_item_id LEFT JOIN nj n ON n.menu_item_id = gi.menu_item_id) WHERE a <> b""",
+    rp=SQ.RECIPE_PAYLOADS,
+    rl=SQ.RECIPE_LINES,
+    rg=SQ.RECIPE_GOOD,
+    gi="SELECT DISTINCT menu_item_id FROM rg",
+    nr="SELECT rg.menu_item_id, rg.ingredient_id, CAST(sum(rg.qty) AS DECIMAL(12,3)) AS qty FROM rg GROUP BY 1, 2",
+    **{
+        name: f"""SELECT menu_item_id, '[' || string_agg('{{"ingredient_id":' || CAST(ingredient_id AS VARCHAR) || ',"name":"' || i.name || '","unit":"' || i.unit || '","qty":' || CAST(r.qty AS VARCHAR) || '}}', ',' ORDER BY lower(i.name), ingredient_id) || ']' AS j
+ FROM {table} r JOIN pos_ingredients i ON i.id = r.ingredient_id GROUP BY 1"""
+        for name, table in (("oj", "pos_menu_item_ingredients"), ("nj", "nr"))
+    },
+)
+def recipe_replace_audit(t):
+    return M.recipe_audit(M.replace_recipes(t.recipes, SQ.recipe_payloads(t), t.menu, t.ingredients)[1])
+
+
+# ---- first board ----------------------------------------------------------
+
+
+@query(
+    "board_summary",
+    """SELECT coalesce((SELECT 'Order #' || CAST(max_by(id, pos) AS VARCHAR) || ' is being prepared' FROM la WHERE lane = 'preparing' HAVING count(*) > 0), (SELECT CAST(count(*) AS VARCHAR) || ' waiting' FROM la WHERE lane = 'queued' HAVING count(*) > 0),
+ (SELECT 'Order #' || CAST(min_by(id, pos) AS VARCHAR) || ' is ready' FROM la WHERE lane = 'ready' HAVING count(*) > 0), (SELECT CAST(count(*) AS VARCHAR) || ' served up today' FROM pos_orders WHERE payment_status <> 'cancelled' AND created_at >= TIMESTAMP '1998-06-30 18:30:00' HAVING count(*) > 0), 'No orders yet today') AS text""",
+    a=SNAP.format(ts="TIMESTAMP '1998-07-01 12:00:00'"),
+    la=lanes("a"),
+)
+def board_summary(t):
+    """The line over a board that has no earlier one to compare with."""
+    return K.board_summary(K.lane_top_n(snapshots(t)[0]), K.today_counters(t.orders, AS_OF))
+
+
+# ---- rules of the tables --------------------------------------------------
+
+#: Per table the conditions every row meets; the texts are read by both engines.
+ROW_RULES = {
+    ("admins", "pos_admins"): ["username is not null", "role in ('super', 'admin')", "is_active is not null", "auto_approve is not null", "(login_from is null) = (login_to is null)"],
+    ("sessions", "pos_sessions"): ["admin_id is not null", "created_at is not null", "expires_at is not null", "expires_at > created_at"],
+    ("menu", "pos_menu_items"): ["name is not null", "category is not null", "price is not null", "price >= 0", "is_active is not null"],
+    ("customers", "pos_customers"): ["phone is not null", "length(phone) = 10"],
+    ("orders", "pos_orders"): [
+        "total is not null", "total >= 0", "payment_status is not null", "payment_status in ('paid', 'pending', 'cancelled')", "payment_method in ('cash', 'upi', 'card')", "payment_method is not null",
+        "kitchen_status in ('new', 'preparing', 'ready', 'served')", "created_at is not null", "discount >= 0", "discount <= total", "kitchen_status = 'new' or kitchen_updated_at is not null",
+    ],
+    ("order_items", "pos_order_items"): ["order_id is not null", "item_name is not null", "price is not null", "qty is not null", "qty > 0"],
+    ("coupons", "pos_coupons"): [
+        "code is not null", "kind in ('percent', 'flat', 'bogo')", "value >= 0", "max_discount > 0", "min_bill >= 0", "buy_qty > 0", "get_qty > 0", "applies_to in ('all', 'items')", "usage_limit > 0", "per_customer_limit > 0",
+        "valid_from is null or valid_to is null or valid_to >= valid_from", "kind <> 'bogo' or (buy_qty is not null and get_qty is not null)",
+    ],
+    ("logins", "pos_login_attempts"): ["username is not null", "succeeded is not null", "created_at is not null"],
+    ("audit", "pos_audit_log"): ["action is not null", "details is not null", "created_at is not null"],
+    ("shifts", "pos_shifts"): ["opened_at is not null", "opening_cash >= 0", "closed_at >= opened_at", "(closed_at is null) = (counted_cash is null)"],
+    ("ingredients", "pos_ingredients"): ["name is not null", "unit in ('g', 'kg', 'ml', 'l', 'pcs')", "track_stock is not null", "stock is not null", "low_stock_at >= 0"],
+    ("recipes", "pos_menu_item_ingredients"): ["qty is not null", "qty > 0"],
+    ("stock_events", "pos_stock_events"): ["qty is not null", "kind in ('purchase', 'waste', 'count', 'sale', 'sale_reversal')"],
+}
+#: (child table, view, column, parent table, parent view, parent column)
+REFERENCES = [
+    ("sessions", "pos_sessions", "admin_id", "admins", "pos_admins", "id"), ("sessions", "pos_sessions", "approved_by", "admins", "pos_admins", "id"),
+    ("orders", "pos_orders", "created_by", "admins", "pos_admins", "id"), ("orders", "pos_orders", "coupon_id", "coupons", "pos_coupons", "id"), ("orders", "pos_orders", "phone", "customers", "pos_customers", "phone"),
+    ("order_items", "pos_order_items", "order_id", "orders", "pos_orders", "id"), ("order_items", "pos_order_items", "menu_item_id", "menu", "pos_menu_items", "id"),
+    ("shifts", "pos_shifts", "admin_id", "admins", "pos_admins", "id"), ("shifts", "pos_shifts", "closed_by", "admins", "pos_admins", "id"),
+    ("recipes", "pos_menu_item_ingredients", "menu_item_id", "menu", "pos_menu_items", "id"), ("recipes", "pos_menu_item_ingredients", "ingredient_id", "ingredients", "pos_ingredients", "id"),
+    ("stock_events", "pos_stock_events", "ingredient_id", "ingredients", "pos_ingredients", "id"), ("stock_events", "pos_stock_events", "order_id", "orders", "pos_orders", "id"),
+]
+#: (table, view, key, rows concerned)
+UNIQUE = [
+    ("admins", "pos_admins", "lower(username)", "true"), ("sessions", "pos_sessions", "id", "true"), ("menu", "pos_menu_items", "id", "true"), ("customers", "pos_customers", "phone", "true"), ("orders", "pos_orders", "id", "true"),
+    ("coupons", "pos_coupons", "upper(code)", "true"), ("ingredients", "pos_ingredients", "lower(name)", "true"), ("shifts", "pos_shifts", "admin_id", "closed_at is null"),
+    ("recipes", "pos_menu_item_ingredients", "concat(menu_item_id, ' ', ingredient_id)", "true"),
+]
+
+
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+@query(
+    "constraint_rules",
+    " UNION ALL ".join(
+        [f"SELECT {_literal(f'{name}: {rule}')} AS rule, count(*) FILTER (NOT ({rule})) AS violations FROM {view}" for (name, view), rules in ROW_RULES.items() for rule in rules]
+        + [f"SELECT {_literal(f'{a}.{c} in {b}')}, count(*) FROM {va} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {vb} y WHERE y.{k} = x.{c})" for a, va, c, b, vb, k in REFERENCES]
+        + [f"SELECT {_literal(f'{a}: one {k} where {w}')}, count(*) - count(DISTINCT {k}) FROM {v} WHERE {w}" for a, v, k, w in UNIQUE]
+    ),
+)
+def constraint_rules(t):
+    """Violations of every condition, reference and key of the tables, one row a rule."""
+    frames = [M.rule_counts(getattr(t, name), {f"{name}: {rule}": F.expr(rule) for rule in rules}) for (name, _), rules in ROW_RULES.items()]
+    frames += [M.missing_parents(getattr(t, a), c, getattr(t, b).select(F.col(k).alias("id")), f"{a}.{c} in {b}") for a, _, c, b, _, k in REFERENCES]
+    frames += [M.repeated_keys(getattr(t, a).filter(w), F.expr(k), f"{a}: one {k} where {w}") for a, _, k, w in UNIQUE]
+    return M.union_all(frames)

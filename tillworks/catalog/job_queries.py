@@ -248,7 +248,7 @@ INGREDIENT_STAGE = dict(
  FROM (SELECT *, s_suppkey AS k FROM supplier) WHERE k % 3 = 0 UNION ALL SELECT k + {BIG}, k + {BIG}, true, 'Extra ' || CAST(k // 20 AS VARCHAR), 'g' FROM (SELECT s_suppkey AS k FROM supplier) WHERE k % 10 = 1""",
     e1="SELECT seq, id, is_new, nullif(trim(name), '') AS name, unit, CASE WHEN unit NOT IN ('g', 'kg', 'ml', 'l', 'pcs') THEN 'Choose a valid unit.' END AS e FROM si",
     hd="SELECT lower(name) AS k, id, -1 AS seq FROM pos_ingredients WHERE id NOT IN (SELECT id FROM e1 WHERE e IS NULL) UNION ALL SELECT lower(name), id, seq FROM e1 WHERE e IS NULL",
-    ed="""SELECT e1.*, CASE WHEN e IS NOT NULL THEN e WHEN e1.id <> (SELECT min_by(h.id, (h.seq, h.id)) FROM hd h WHERE h.k = lower(e1.name)) THEN 'Name already exists.' END AS error FROM e1""",
+    ed="""SELECT e1.*, CASE WHEN e IS NOT NULL THEN e WHEN e1.id <> (SELECT min_by(h.id, (h.seq, h.id)) FROM hd h WHERE h.k = lower(e1.name)) THEN 'An ingredient named "' || e1.name || '" already exists.' END AS error FROM e1""",
 )
 
 
@@ -263,10 +263,10 @@ def ingredient_upsert(t):
     return M.apply_edits(t.ingredients, edits, M.INGREDIENT_COLUMNS).drop("changes")
 
 
-@query("duplicate_key_probe", "SELECT id FROM ed WHERE error = 'Name already exists.'", **INGREDIENT_STAGE)
+@query("duplicate_key_probe", "SELECT id FROM ed WHERE error LIKE 'An ingredient named % already exists.'", **INGREDIENT_STAGE)
 def duplicate_key_probe(t):
     checked = M.ingredient_edits(ingredient_stage(t), t.ingredients)
-    return checked.filter("error = 'Name already exists.'").select("id")
+    return checked.filter("error like 'An ingredient named % already exists.'").select("id")
 
 
 @query(
@@ -308,7 +308,7 @@ STAFF_STAGE = dict(
     e1="""SELECT *, CASE WHEN NOT regexp_full_match(username, '[a-z0-9._-]{3,32}') THEN 'Username must be 3-32 characters: letters, numbers, dot, dash or underscore.' WHEN role NOT IN ('super', 'admin') THEN 'Choose a valid role.'
  WHEN (login_from IS NULL) <> (login_to IS NULL) THEN 'Set both a start and an end time for the login hours, or leave both blank.' END AS e FROM sn""",
     ed="""SELECT id, is_new, username, role, is_active, CASE WHEN role <> 'super' THEN login_from END AS login_from, CASE WHEN role <> 'super' THEN login_to END AS login_to, role = 'super' OR auto_approve AS auto_approve,
- CASE WHEN e IS NOT NULL THEN e WHEN e1.username = 'staff7' AND e1.id <> 7 THEN 'Username is already taken.' END AS error FROM e1""",
+ CASE WHEN e IS NOT NULL THEN e WHEN e1.username = 'staff7' AND e1.id <> 7 THEN 'Username "staff7" is already taken.' END AS error FROM e1""",
 )
 
 

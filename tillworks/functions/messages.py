@@ -32,12 +32,10 @@ BAD_IMAGE_URL = "Image URL must start with http:// or https://"
 NO_MENU_ITEM = "Menu item not found."
 BAD_UNIT = "Choose a valid unit."
 NO_INGREDIENT = "Ingredient not found."
-NAME_TAKEN = "Name already exists."
 BAD_USERNAME = "Username must be 3-32 characters: letters, numbers, dot, dash or underscore."
 BAD_ROLE = "Choose a valid role."
 HALF_WINDOW = "Set both a start and an end time for the login hours, or leave both blank."
 NO_USER = "User not found."
-USERNAME_TAKEN = "Username is already taken."
 BAD_CODE = "Code must be 3 to 20 letters, numbers, - or _."
 BAD_COUPON_KIND = "Choose a coupon type."
 BAD_PERCENT = "Percentage must be more than 0 and at most 100."
@@ -52,7 +50,6 @@ BAD_VALIDITY = "Valid until must be on or after valid from."
 BAD_TOTAL_USES = "Total uses must be at least 1, or blank."
 BAD_CUSTOMER_USES = "Uses per customer must be at least 1, or blank."
 NO_COUPON = "Coupon not found."
-CODE_TAKEN = "Coupon code already exists."
 NO_SHOP_NAME = "Shop name is required."
 LONG_SHOP_NAME = "Shop name can be at most 80 characters."
 BAD_CURRENCY = "Currency symbol must be 1-5 characters."
@@ -75,6 +72,48 @@ def equal_times(day: str) -> str:
     return f"Opening and closing times for {day} cannot be the same."
 
 
+def _named(before: str, name: Column, after: str) -> Column:
+    return F.concat(F.lit(before), F.coalesce(name, F.lit("")), F.lit(after))
+
+
+def ingredient_taken(name: Column) -> Column:
+    return _named('An ingredient named "', name, '" already exists.')
+
+
+def username_taken(name: Column) -> Column:
+    return _named('Username "', name, '" is already taken.')
+
+
+def code_taken(code: Column) -> Column:
+    return _named("Coupon code ", code, " already exists.")
+
+
+def coupon_refusal(reason: Column, code: Column, coupon: Column, currency: str) -> Column:
+    """The sentence a cashier reads for a short reason; ``coupon`` is the coupon's row, null where there is none."""
+    day = lambda c: F.date_format(coupon[c], "dd MMM yyyy")
+    whole = lambda c: c.cast("string")
+    say = lambda *parts: F.concat(F.lit("Coupon "), code, *[F.lit(p) if isinstance(p, str) else p for p in parts])
+    again = F.concat(F.lit("This customer has already used coupon "), code)
+    limit = coupon["per_customer_limit"]
+    return (
+        F.when(reason == "no code", "Enter a coupon code.")
+        .when(reason == "unknown", say(" does not exist."))
+        .when(reason == "off", say(" is switched off."))
+        .when(reason == "not started", say(" can be used from ", day("valid_from"), "."))
+        .when(reason == "expired", say(" expired on ", day("valid_to"), "."))
+        .when(reason == "below minimum", say(f" needs a bill of at least {currency}", whole(coupon["min_bill"].cast("decimal(12,2)")), "."))
+        .when(reason == "nothing covered", say(" does not cover any item in this bill."))
+        .when(reason == "used up", say(" has been used up."))
+        .when(reason == "needs phone", say(" needs the customer's phone number. Go back and enter it."))
+        .when((reason == "customer limit") & (limit == 1), F.concat(again, F.lit(".")))
+        .when(reason == "customer limit", F.concat(again, F.lit(" "), whole(limit), F.lit(" times.")))
+        .when(
+            reason == "too few items",
+            say(" needs ", whole(coupon["buy_qty"] + coupon["get_qty"]), " eligible items in the bill (buy ", whole(coupon["buy_qty"]), ", get ", whole(coupon["get_qty"]), " free)."),
+        )
+    )
+
+
 def short_stock(name: Column, left: Column, unit: Column, need: Column) -> Column:
     """Refusal of a bill for want of an ingredient; amounts in thousandths, shown without trailing zeros."""
     shown = lambda c: F.regexp_replace((c / 1000).cast("decimal(24,3)").cast("string"), r"\.?0+$", "")

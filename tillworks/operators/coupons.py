@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillworks.config import stage_table
-from tillworks.functions import clean, labels
+from tillworks.functions import clean, labels, messages
 from tillworks.functions import timeutil as T
 from tillworks.operators import claims
 from tillworks.operators.prefix import running_sum
@@ -194,6 +194,13 @@ def _quoted(rows: DataFrame) -> DataFrame:
     )
 
 
+def refusal_texts(quoted: DataFrame, coupons: DataFrame, currency: str) -> DataFrame:
+    """Quoted bills with ``message``: the sentence that goes with a refusal, null for accepted ones."""
+    facts = F.struct("valid_from", "valid_to", "min_bill", "per_customer_limit", "buy_qty", "get_qty")
+    rows = quoted.join(coupons.select(F.col("id").alias("coupon_id"), facts.alias("_coupon")), "coupon_id", "left")
+    return rows.withColumn("message", messages.coupon_refusal(F.col("reason"), F.col("code"), F.col("_coupon"), currency)).drop("_coupon")
+
+
 def coupon_uses(orders: DataFrame) -> DataFrame:
     """Bills that used each coupon, cancelled ones aside, and what they saved."""
     used = orders.filter("coupon_id is not null and payment_status <> 'cancelled'")

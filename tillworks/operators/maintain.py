@@ -55,7 +55,7 @@ def duplicate_keys(current: DataFrame, staged: DataFrame, key: Column) -> DataFr
     return wanted.join(owner, "_k").filter(F.col("_owner") != F.col("id")).select("id")
 
 
-def with_errors(staged: DataFrame, current: DataFrame, rules: list[tuple[Column, str]], missing: str, key: Column | None = None, taken: str = "") -> DataFrame:
+def with_errors(staged: DataFrame, current: DataFrame, rules: list[tuple[Column, str]], missing: str, key: Column | None = None, taken: Column | None = None) -> DataFrame:
     """Adds ``error``: the first broken rule, an update of an unknown id, or a key already taken."""
     known = current.select("id", F.lit(True).alias("_known"))
     rows = staged.join(known, "id", "left").withColumn("error", clean.first_violation(*rules, (~F.col("is_new") & F.col("_known").isNull(), missing))).drop("_known")
@@ -63,7 +63,7 @@ def with_errors(staged: DataFrame, current: DataFrame, rules: list[tuple[Column,
         return rows
     clashes = duplicate_keys(current, rows.filter("error is null"), key).withColumn("_clash", F.lit(True))
     rows = rows.join(clashes, "id", "left")
-    return rows.withColumn("error", F.when(F.col("error").isNull() & F.col("_clash"), F.lit(taken)).otherwise(F.col("error"))).drop("_clash")
+    return rows.withColumn("error", F.when(F.col("error").isNull() & F.col("_clash"), taken).otherwise(F.col("error"))).drop("_clash")
 
 
 def apply_edits(current: DataFrame, edits: DataFrame, columns: list[str]) -> DataFrame:
@@ -86,6 +86,39 @@ def apply_edits(current: DataFrame, edits: DataFrame, columns: list[str]) -> Dat
     return merged.unionByName(refused)
 
 
+def edit_audit(applied: DataFrame, entity: str, columns: list[str], label: str, label_key: str = "name", signed_out: DataFrame | None = None) -> DataFrame:
+    """Audit rows of applied edits: created rows keep their snapshot, updated ones their label and the changed fields.
+
+    ``signed_out``: (id, sessions) that an update ended; given, updates name the count, 0 where there is none.
+    """
+    rows = applied.filter("outcome in ('created', 'updated')")
+    quoted = F.regexp_replace(F.to_json(F.array(label)), r"^\[|\]$", "")
+    tail = F.lit("}")
+    if signed_out is not None:
+        rows = rows.join(signed_out, "id", "left")
+        tail = F.concat(F.lit(',"sessions_signed_out":'), F.coalesce("sessions", F.lit(0)).cast("string"), F.lit("}"))
+    updated = F.concat(F.lit(f'{{"{label_key}":'), quoted, F.lit(',"changes":'), F.col("changes"), tail)
+    # A snapshot names the row under the label's key, whatever its column is called.
+    fields = [F.col(c) for c in columns] + ([] if label_key in columns else [F.col(label).alias(label_key)])
+    created = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    verb = F.when(F.col("outcome") == "created", "create").otherwise("update")
+    return rows.select(
+        F.col("id").cast("string").alias("entity_id"), F.concat(F.lit(f"{entity}."), verb).alias("action"), F.when(verb == "create", created).otherwise(updated).alias("details")
+    )
+
+
+def sessions_ended(sessions: DataFrame, left: DataFrame) -> DataFrame:
+    """(id, sessions): how many sessions of each account are gone, ``left`` being those that remain."""
+    return sessions.join(left.select("id"), "id", "left_anti").groupBy(F.col("admin_id").alias("id")).agg(F.count("*").alias("sessions"))
+
+
+def recipe_audit(changed: DataFrame) -> DataFrame:
+    """Audit rows of replaced recipes (see :func:`replace_recipes`) with both recipes as lists."""
+    name = F.regexp_replace(F.to_json(F.array("name")), r"^\[|\]$", "")
+    details = F.concat(F.lit('{"name":'), name, F.lit(',"from":'), F.col("before"), F.lit(',"to":'), F.col("after"), F.lit("}"))
+    return changed.select(F.col("menu_item_id").cast("string").alias("entity_id"), F.lit("menu.recipe").alias("action"), details.alias("details"))
+
+
 MENU_COLUMNS = ["name", "category", "price", "is_active", "image_url"]
 
 
@@ -110,7 +143,7 @@ def ingredient_edits(staged: DataFrame, ingredients: DataFrame) -> DataFrame:
         (F.col("name").isNull(), messages.NO_NAME),
         (~F.coalesce(F.col("unit").isin(*clean.UNITS), F.lit(False)), messages.BAD_UNIT),
     ]
-    return with_errors(rows, ingredients, rules, messages.NO_INGREDIENT, F.lower("name"), messages.NAME_TAKEN)
+    return with_errors(rows, ingredients, rules, messages.NO_INGREDIENT, F.lower("name"), messages.ingredient_taken(F.col("name")))
 
 
 STOCK_SETTING_COLUMNS = ["track_stock", "low_stock_at"]
@@ -137,7 +170,7 @@ def staff_edits(staged: DataFrame, admins: DataFrame) -> DataFrame:
         (~F.col("role").isin(*clean.ROLES), messages.BAD_ROLE),
         (F.col("login_from").isNull() != F.col("login_to").isNull(), messages.HALF_WINDOW),
     ]
-    checked = with_errors(rows, admins, rules, messages.NO_USER, F.lower("username"), messages.USERNAME_TAKEN)
+    checked = with_errors(rows, admins, rules, messages.NO_USER, F.lower("username"), messages.username_taken(F.col("username")))
     is_super = F.col("role") == "super"
     for c in ("login_from", "login_to"):
         checked = checked.withColumn(c, F.when(~is_super, F.col(c)))
@@ -214,7 +247,7 @@ def coupon_edits(staged: DataFrame, coupons: DataFrame) -> DataFrame:
         (c("usage_limit") < 1, messages.BAD_TOTAL_USES),
         (c("per_customer_limit") < 1, messages.BAD_CUSTOMER_USES),
     ]
-    return with_errors(rows, coupons, rules, messages.NO_COUPON, F.upper("code"), messages.CODE_TAKEN).drop("malformed")
+    return with_errors(rows, coupons, rules, messages.NO_COUPON, F.upper("code"), messages.code_taken(F.col("code"))).drop("malformed")
 
 
 def replace_recipes(recipes: DataFrame, payloads_in: DataFrame, menu: DataFrame, ingredients: DataFrame) -> tuple[DataFrame, DataFrame]:
