@@ -27,6 +27,7 @@ WINDOW = 2048
 END = 1  # id put after every document
 SHARD = 4096  # pieces of one inverted index
 K1, B = 1.2, 0.75  # BM25 parameters
+TOGETHER = 1024  # pieces whose distinct ids are found by one sort
 TERMS = 24  # a seed's query: its terms of highest BM25 weight
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -40,7 +41,7 @@ def _encode(window: int, path: str, pattern: str, size: int):
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(size, np.int32)
         for frame in frames:
-            rows = []
+            rows, rests = [], []
             for doc, text in zip(frame.column("doc_id"), frame.column("text"), strict=True):
                 ids = np.append(ids_of(text.as_py(), path, pattern), np.uint16(END))
                 n = len(ids)
@@ -50,8 +51,10 @@ def _encode(window: int, path: str, pattern: str, size: int):
                     rows.append((0, doc.as_py(), at, window, n, zlib.crc32(wide[at : at + window].tobytes()), None))
                 if n % window:
                     rest = ids[whole:]
-                    seen[np.unique(rest)] += 1
+                    rests.append(rest)
                     rows.append((1, doc.as_py(), whole, len(rest), n, None, rest.astype("<u2").tobytes()))
+            for at in range(0, len(rests), TOGETHER):
+                seen += np.bincount(distinct(rests[at : at + TOGETHER])[1], minlength=size).astype(np.int32)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
         if seen.any():
@@ -79,23 +82,30 @@ def _frequencies(parts: DataFrame, size: int) -> np.ndarray:
     return found
 
 
+def distinct(pieces: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, id, count) of the distinct ids of each piece, in that order, by one sort."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    key = np.concatenate(pieces).astype(np.uint32 if len(pieces) <= 1 << 16 else np.uint64)
+    key |= np.repeat(np.arange(len(pieces), dtype=key.dtype) << 16, sizes)
+    key.sort()
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    own = key[first]
+    return (own >> 16).astype(np.int64), (own & 0xFFFF).astype(np.uint16), np.diff(np.append(first, len(key)))
+
+
 class Index:
     """BM25 inverted index over the pieces of one shard."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float):
-        terms, rows, weights = [], [], []
-        for i, ids in enumerate(pieces):
-            t, tf = np.unique(ids, return_counts=True)
-            terms.append(t.astype(np.int64))
-            rows.append(np.full(len(t), i, np.int32))
-            norm = K1 * (1 - B + B * len(ids) / mean)
-            weights.append((idf[t] * tf * (K1 + 1) / (tf + norm)).astype(np.float32))
-        self.own = list(zip(terms, weights, strict=True))
+        row, term, tf = distinct(pieces)
+        norm = K1 * (1 - B + B * np.fromiter(map(len, pieces), np.int64, len(pieces)) / mean)[row]
+        weight = (idf[term] * tf * (K1 + 1) / (tf + norm)).astype(np.float32)
+        ends = np.searchsorted(row, np.arange(len(pieces) + 1))
+        self.own = [(term[a:b], weight[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
         self.n = len(pieces)
-        flat = np.concatenate(terms)
-        order = np.argsort(flat, kind="stable")
-        self.rows, self.weights = np.concatenate(rows)[order], np.concatenate(weights)[order]
-        self.at = np.searchsorted(flat[order], np.arange(len(idf) + 1))
+        order = np.argsort(term, kind="stable")
+        self.rows, self.weights = row[order].astype(np.int32), weight[order]
+        self.at = np.append(0, np.cumsum(np.bincount(term, minlength=len(idf))))
 
     def query(self, i: int) -> np.ndarray:
         """The terms of piece ``i`` with the highest BM25 weight; terms without weight are left out."""
@@ -176,16 +186,22 @@ def pack(docs: DataFrame, window: int = WINDOW, shard: int = SHARD, tokenizer: t
     @F.pandas_udf("t1 int, t2 int, salt long")
     def route(ids: pd.Series) -> pd.DataFrame:
         """The two most telling terms of a piece, and a salt that cuts groups with the same terms."""
-        weigh, rows = context.value, []
-        for b in ids:
-            t, tf = np.unique(np.frombuffer(b, "<u2"), return_counts=True)
-            w = weigh[t] * tf / (tf + K1)
-            top = t[np.argsort(-w, kind="stable")[:2]]
-            rows.append((int(top[0]), int(top[-1]), zlib.crc32(b)))
+        weigh, rows, blobs = context.value, [], ids.tolist()
+        for at in range(0, len(blobs), TOGETHER):
+            part = blobs[at : at + TOGETHER]
+            row, term, tf = distinct([np.frombuffer(b, "<u2") for b in part])
+            w = weigh[term] * tf / (tf + K1)
+            ends = np.searchsorted(row, np.arange(len(part) + 1))
+            for b, lo, hi in zip(part, ends, ends[1:], strict=False):
+                best = lo + int(w[lo:hi].argmax())
+                w[best] = -1.0
+                second = lo + int(w[lo:hi].argmax())
+                rows.append((int(term[best]), int(term[second]), zlib.crc32(b)))
         return pd.DataFrame(rows, columns=["t1", "t2", "salt"])
 
     rests = parts.where("kind = 1").select("doc_id", "start", "length", "doc_tokens", "ids", route("ids").alias("r"))
-    rests = rests.select("doc_id", "start", "length", "doc_tokens", "ids", "r.*")
+    # Staged, so that the sampling before the range partitioning does not route every piece a second time.
+    rests = stage_table(rests.select("doc_id", "start", "length", "doc_tokens", "ids", "r.*"))
     shards = max(1, -(-n // shard))
     keys = ("t1", "t2", "salt", "doc_id")
     dealt = rests.repartitionByRange(shards, *keys).sortWithinPartitions(*keys, "start", "length")
