@@ -425,6 +425,25 @@ def recipe_replace_audit(t):
     return M.recipe_audit(M.replace_recipes(t.recipes, SQ.recipe_payloads(t), t.menu, t.ingredients)[1])
 
 
+# ---- columns added later --------------------------------------------------
+
+
+@query(
+    "backfill_sessions",
+    """SELECT id, admin_id, approved_at AS raw_approved_at, CASE WHEN created_at < TIMESTAMP '2024-01-15' THEN coalesce(approved_at, created_at) ELSE approved_at END AS approved_at FROM pos_sessions""",
+)
+def backfill_sessions(t):
+    """Sessions from before sign-ins needed approval count as approved when they began."""
+    rows = M.backfill_sessions(t.sessions.withColumn("raw_approved_at", F.col("approved_at")), "2024-01-15")
+    return rows.select("id", "admin_id", "raw_approved_at", "approved_at")
+
+
+@query("backfill_admins", "SELECT id, username, true AS auto_approve FROM pos_admins")
+def backfill_admins(t):
+    """Accounts from before sign-ins needed approval go on without it."""
+    return M.backfill_admins(t.admins).select("id", "username", "auto_approve")
+
+
 # ---- first board ----------------------------------------------------------
 
 
