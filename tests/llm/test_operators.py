@@ -199,6 +199,43 @@ def test_one_of_each_confirms_every_pair(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(root))
 
 
+def test_first_shingles_let_every_alike_pair_pass(spark):
+    """In any order of shingles an alike pair shares enough of its first ones; a common line alone does not."""
+    rng = np.random.default_rng(13)
+    rows = []
+    for _ in range(3000):
+        n = int(rng.integers(1, 90))
+        m = int(rng.integers(-(-4 * n // 5), 5 * n // 4 + 1))
+        both = int(rng.integers(4 * min(n, m) // 5, min(n, m) + 1))
+        order = rng.permutation(n + m - both)
+        first = [sorted(order[a].tolist())[: k - (4 * k + 4) // 5 + 1] for a, k in ((slice(0, n), n), (slice(n - both, None), m))]
+        shared = len(set(first[0]) & set(first[1]))
+        rows.append((n, m, shared, 5 * both >= 4 * (n + m - both)))
+    assert min(collections.Counter(r[3] for r in rows).values()) > 300
+    got = spark.createDataFrame(rows, "n long, m long, shared long, alike boolean").withColumn("passes", simhash._enough())
+    assert got.where("alike and not passes").count() == 0
+    assert not spark.createDataFrame([(300, 300, 8)], "n long, m long, shared long").select(simhash._enough()).first()[0]
+
+
+def test_one_of_each_asks_the_pigeonring(spark, monkeypatch):
+    """Links of fingerprints are among the candidates that are confirmed; those that are not alike do not count."""
+    own = [f"w{j}" for j in range(900)]
+    near = [*own[:-1], "other"]
+    line = [f"z{j}" for j in range(7)] * 200  # repeats rule the fingerprint, distinct shingles the resemblance
+    rows = [(5, " ".join(own)), (3, " ".join(near)), *[(i, " ".join(line + [f"{i}y{j}" for j in range(30)])) for i in (9, 7)]]
+    asked, found = [], []
+    links, confirmed = simhash.links, simhash._confirmed
+    monkeypatch.setattr(simhash, "links", lambda prints, *a, **k: asked.append(prints) or links(prints, *a, **k))
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, sets_of: found.append(pairs) or confirmed(pairs, sets_of))
+    prints = [simhash.fingerprint_of(t, 4) for _, t in rows]
+    node = {i: simhash.name_of(simhash.shingles_of(t, 5)) for i, t in rows}
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.doc_id for r in got) == [3, 7, 9]
+    assert len(asked) == 1 and {r.fp for r in asked[0].collect()} == set(prints)
+    near_prints = sum((a ^ b).bit_count() <= 4 for a, b in itertools.combinations([p & (1 << 64) - 1 for p in prints], 2))
+    assert near_prints == 2 and {(r.a, r.b) for r in found[0].collect()} == {tuple(sorted(p)) for p in ((node[5], node[3]), (node[9], node[7]))}
+
+
 # ---- 3: toxicity
 
 

@@ -10,7 +10,7 @@ are checked before the full Hamming distance.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from itertools import combinations
 
@@ -243,8 +243,9 @@ def hex_of(fp: Column) -> Column:
 
 LIKE = (4, 5)  # resemblance of a near-duplicate pair: at least 4/5
 OUTLINE = 16  # long numbers of a set's outline
-HOT = 64  # a shingle among the first ones of more documents than this goes to the end of the order
+HOT = 64  # a shingle of more documents than about this goes to the end of the order
 HOT_MOST = 1_000_000  # most such shingles, the commonest first; the pairs found do not depend on the choice
+ORDER_SHARE = 16  # one text of so many is read to tell them
 
 
 def shingles_of(text: str | None, width: int) -> np.ndarray:
@@ -252,9 +253,9 @@ def shingles_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(hashes_of(text, width).view(np.int64))
 
 
-def _needed(n: Column) -> Column:
+def _needed(n: str) -> str:
     """How many first shingles of ``n`` to look up: in one order for all documents, alike sets share one of these."""
-    return (n - F.expr(f"({LIKE[0]} * n + {LIKE[1] - 1}) div {LIKE[1]}") + 1).cast("int")
+    return f"({n} - ({LIKE[0]} * {n} + {LIKE[1] - 1}) div {LIKE[1]} + 1)"
 
 
 def _alike(shared: Column, n: Column, m: Column) -> Column:
@@ -262,28 +263,68 @@ def _alike(shared: Column, n: Column, m: Column) -> Column:
     return sum(LIKE) * shared >= LIKE[0] * (n + m)
 
 
-def _cells(sets: DataFrame) -> DataFrame:
+def _portions(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[list[np.ndarray]]:
+    """The shingle sets of (text) batches, ``PORTION`` texts at a time."""
+    for part in (f.slice(at, PORTION) for f in frames for at in range(0, f.num_rows, PORTION)):
+        yield [shingles_of(t, width) for t in part.column("text").to_pylist()]
+
+
+def name_of(shingles: np.ndarray) -> int:
+    """The node that stands for all texts with these shingles."""
+    return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
+
+
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of each text."""
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _portions(frames, width):
+            cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found), pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), lists], names=["node", "n", "shingles"])
+
+    return texts.select("text").mapInArrow(run, "node long, n long, shingles array<long>")
+
+
+def _common(texts: DataFrame, width: int) -> np.ndarray:
+    """Shingles of many texts, ascending. They set the order of shingles and nothing else: the pairs found are the same for any order.
+
+    So one text of ``ORDER_SHARE`` is enough to tell them.
+    """
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _portions(frames, width):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found), pa.int64())], names=["h"])
+
+    some = texts.where(F.pmod(F.xxhash64("text"), F.lit(ORDER_SHARE)) == 0).select("text")
+    with small_batches(texts.sparkSession):
+        often = stage_table(some.mapInArrow(run, "h long").groupBy("h").count().where(F.col("count") > HOT // ORDER_SHARE))
+    return np.sort(_commonest(often, HOT_MOST))
+
+
+def _cells(texts: DataFrame, width: int) -> DataFrame:
     """(h, node, n, i): the first shingles of each set and their places, where another set has ``h`` among its first.
 
-    Shingles that are among the first of many sets go to the end of the order, so that a common
-    line brings documents together only when little else is in them.
+    Common shingles go to the end of the order, so that a common line brings documents together
+    only when little else is in them. Shingles are hashed in the task that reads the text; only
+    the first ones leave it.
     """
     names, schema = ("h", "node", "n", "i"), "h long, node long, n long, i long"
-    hot = np.empty(0, np.int64)
-    held = sets.sparkSession.sparkContext.broadcast(hot)
+    held = texts.sparkSession.sparkContext.broadcast(_common(texts, width))
 
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def first(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = held.value
-        for b in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
+        for found in _portions(frames, width):
             parts = []
-            for node, needed, own in zip(b.column("node").to_pylist(), b.column("needed").to_pylist(), b.column("shingles"), strict=True):
-                own = own.values.to_numpy()
-                n = len(own)
+            for own in found:
+                n, node = len(own), name_of(own)
+                if not n:
+                    continue
+                needed = n - (LIKE[0] * n + LIKE[1] - 1) // LIKE[1] + 1
                 if len(late):
                     last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
                     own = np.concatenate([own[~last], own[last]])
-                own = own[:needed]
-                parts.append((own, np.full(needed, node), np.full(needed, n), np.arange(needed)))
+                parts.append((own[:needed], np.full(needed, node), np.full(needed, n), np.arange(needed)))
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*parts, strict=True)], names=list(names))
 
@@ -301,25 +342,18 @@ def _cells(sets: DataFrame) -> DataFrame:
             yield from repeated(rest)
 
     def repeated(own: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        if not len(own[0]):
+            return
+        fresh = np.append(True, (own[0][1:] != own[0][:-1]) | (own[1][1:] != own[1][:-1]))  # a repeated row counts once
+        own = [c[fresh] for c in own]
         same = own[0][1:] == own[0][:-1]
         if same.any():
             met = np.append(same, False) | np.append(False, same)
             yield pa.RecordBatch.from_arrays([pa.array(c[met]) for c in own], names=list(names))
 
-    own = sets.where("n > 0").select("node", "shingles", _needed(F.col("n")).alias("needed"))
-    spark = sets.sparkSession
-    while len(hot) < HOT_MOST:
-        # Where shingles went to the end others become first ones; those are counted again.
-        with small_batches(spark):
-            often = stage_table(own.mapInArrow(first, schema).groupBy("h").count().where(F.col("count") > HOT))
-        more = np.union1d(hot, _commonest(often, HOT_MOST - len(hot)))
-        if len(more) == len(hot):
-            break
-        hot = more
-        held = spark.sparkContext.broadcast(hot)
-    rows = own.mapInArrow(first, schema)
-    with small_batches(spark):
-        return stage_table(rows.repartition("h").sortWithinPartitions("h").mapInArrow(shared, schema))
+    rows = texts.select("text").mapInArrow(first, schema)
+    with small_batches(texts.sparkSession):
+        return stage_table(rows.repartition("h").sortWithinPartitions("h", "node").mapInArrow(shared, schema))
 
 
 def _commonest(counts: DataFrame, most: int) -> np.ndarray:
@@ -343,6 +377,25 @@ def _possible(a: str, b: str) -> Column:
     return _alike(rest, F.col(f"{a}.n"), F.col(f"{b}.n"))
 
 
+def _enough(shared: str = "shared", n: str = "n", m: str = "m") -> Column:
+    """Whether sets of ``n`` and ``m`` shingles that have ``shared`` of their first ones in common can be alike.
+
+    Alike sets share at least ``least`` shingles, so of either set's first ones at most ``n - least``
+    are not shared. The set whose first ones end earlier in the order meets all its shared ones
+    among the other's first.
+    """
+    least = f"(({LIKE[0]} * ({n} + {m}) + {sum(LIKE) - 1}) div {sum(LIKE)})"
+    return F.expr(f"{shared} >= least({_needed(n)} - {n}, {_needed(m)} - {m}) + {least}")
+
+
+def _met(rows: DataFrame) -> DataFrame:
+    """(a, b) of pairs (p, q) met in cells, each cell they share being one row, that their first shingles let be alike."""
+    found = rows.groupBy(F.col("p.node").alias("a"), F.col("q.node").alias("b")).agg(
+        F.count("*").alias("shared"), F.max(_possible("p", "q")).alias("possible"), F.max("p.n").alias("n"), F.max("q.n").alias("m")
+    )
+    return found.where(F.col("possible") & _enough()).select("a", "b")
+
+
 def _few(df: DataFrame) -> DataFrame:
     """A table of ids, broadcast while it is small, so that the other side keeps its place."""
     return F.broadcast(df) if df.count() <= SMALL else df
@@ -371,45 +424,57 @@ def _most_shared(n: str, m: str, x: str, y: str) -> Column:
     return F.least(F.col(n) - only(x, y), F.col(m) - only(y, x))
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets are alike, by the sets themselves.
 
-    Outlines of 128 bytes go first: pairs that cannot share enough leave before any set is sent.
+    ``sets_of`` gives the sets (node, n, shingles) of a table of nodes. Outlines of 128 bytes go
+    first: pairs that cannot share enough leave before any set is sent.
     """
+
     def of(pairs: DataFrame) -> DataFrame:
-        ids = stage_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-        return sets.select("node", "n", "shingles").join(_few(ids), "node", "left_semi")
+        return sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
 
     drawn = _outlines(of(pairs))
     met = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b")
     left = stage_table(met.where(_alike(_most_shared("n", "m", "x", "y"), F.col("n"), F.col("m"))).select("a", "b"))
-    own = of(left)
+    with small_batches(pairs.sparkSession):
+        own = stage_table(of(left))
     met = left.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
-    return met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b")
+    return stage_table(met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b"))
 
 
-def alike(sets: DataFrame) -> DataFrame:
-    """(node, component) of the sets (node, n, shingles) that a resemblance of ``LIKE`` connects; sets without a partner are not returned.
+def _ringed(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of ``nodes`` (node, fp) that span the links of their fingerprints, see :func:`links`."""
+    owners = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("first")))
+    found = links(owners.select("fp")).join(owners.toDF("a", "x"), "a").join(owners.toDF("b", "y"), "b")
+    same = nodes.join(owners, "fp").where("node <> first")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
 
-    No pair is missed and none is taken on trust: alike sets have one of their first shingles in
-    common (prefix filter), and each candidate pair is confirmed by the sets. First each cell's
-    sets meet its least one only; then all that are not yet in one component meet each other.
+
+def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+    """(node, component) of the ``nodes`` (node, fp) that a resemblance of ``LIKE`` connects; nodes without a partner are not returned.
+
+    The fingerprints' links, found by the pigeonring, are looked at first and confirmed by the
+    shingle sets. Fingerprints of pairs near the bound may differ in more bits; an exact pass
+    finds what is left between the groups: alike sets have some of their first shingles in
+    common (prefix filter, ``texts`` holds one text for each node), each candidate is confirmed
+    too. There each cell's sets meet its least one before all that are not yet in one component
+    meet each other. No pair is missed and none is taken on trust.
     """
-    cells = _cells(sets)
+    cells = _cells(texts, width)
     row = F.struct("node", "n", "i")
     centre = cells.groupBy("h").agg(F.min(row).alias("p"))
-    star = cells.select("h", row.alias("q")).join(centre, "h").where((F.col("p.node") < F.col("q.node")) & _possible("p", "q"))
-    tried = stage_table(star.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct())
-    links = stage_table(_confirmed(tried, sets))
-    placed = cells.join(components(links), "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
-    placed = stage_table(placed)
+    star = cells.select("h", row.alias("q")).join(centre, "h").where(F.col("p.node") < F.col("q.node"))
+    tried = stage_table(_ringed(nodes).union(_met(star)).distinct())
+    linked = _confirmed(tried, sets_of)
+    placed = cells.join(components(linked), "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
     open_ = stage_table(placed.join(split, "h", "left_semi"))
     own = F.struct("node", "n", "i", "c")
     met = open_.select("h", own.alias("p")).join(open_.select("h", own.alias("q")), "h")
-    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")) & _possible("p", "q"))
-    met = stage_table(met.select(F.col("p.node").alias("a"), F.col("q.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
-    return components(links.union(_confirmed(met, sets)))
+    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")))
+    met = stage_table(_met(met).join(tried, ["a", "b"], "left_anti"))
+    return components(linked.union(_confirmed(met, sets_of)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -420,25 +485,31 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     (null and empty too) are copies of each other. Rows without a doc_id stay unless one with an id is in their group; rows
     that repeat a doc_id and its text become one.
     """
-    def sets_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for f in frames:
-            for start in range(0, f.num_rows, PORTION):
-                part = f.slice(start, PORTION)
-                found = [shingles_of(t, width) for t in part.column("text").to_pylist()]
-                cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found), pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists], names=["doc_id", "th", "shingles"])
+
+    def prints_of(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in (f.slice(at, PORTION) for f in frames for at in range(0, f.num_rows, PORTION)):
+            texts = part.column("text").to_pylist()
+            found = [shingles_of(t, width) for t in texts]
+            columns = [[name_of(s) for s in found], [len(s) for s in found], [fingerprint_of(t, 4) for t in texts]]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "th", "node", "n", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text").mapInArrow(sets_of, f"doc_id {kind}, th long, shingles array<long>")
-    rows = rows.select("doc_id", "th", F.xxhash64("shingles").alias("node"), F.size("shingles").cast("long").alias("n"), "shingles", F.monotonically_increasing_id().alias("row"))
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
     with small_batches(docs.sparkSession):
-        rows = stage_table(rows)
-    nodes = stage_table(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("row").alias("row")))
-    # One row stands for all with the same set.
-    copies = stage_table(rows.select("row").join(nodes.select("row"), "row", "left_anti"))
-    sets = rows.join(_few(copies), "row", "left_anti").select("node", "n", "shingles")
-    placed = nodes.join(alike(sets), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
+        rows = stage_table(keyed.mapInArrow(prints_of, f"doc_id {kind}, th long, node long, n long, fp long"))
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("n").alias("n"), F.min("fp").alias("fp"), F.min(F.struct("doc_id", "th")).alias("one"))
+    nodes = stage_table(nodes.select("node", "least", "n", "fp", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")))
+    is_one = F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("th") == F.col("one_th"))
+    # One text stands for all with the same set.
+    copies = rows.join(nodes.select("node", "one_id", "one_th"), "node").where(~is_one)
+    copies = stage_table(copies.select(F.col("doc_id").alias("one_id"), F.col("th").alias("one_th")).distinct())
+    texts = keyed.join(_few(copies), is_one, "left_anti").select("text")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        wanted = stage_table(nodes.join(ids, "node", "left_semi").select("one_id", "one_th"))
+        return _sets(keyed.join(_few(wanted), is_one, "left_semi"), width)
+
+    placed = nodes.join(alike(nodes.where("n > 0").select("node", "fp"), texts, sets_of, width), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     owners = placed.join(placed.groupBy("component").agg(F.min("least").alias("keep")), "component").select("node", "keep")
     gone = rows.join(owners, "node").where("keep is not null and not (doc_id <=> keep)").select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct()
     again = rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1")
