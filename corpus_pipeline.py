@@ -7,6 +7,9 @@ the last return the columns of ``docs``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,22 +19,37 @@ from tillworks.llm import packing, repeats, simhash, toxicity
 TOXIC_AT = 0.7
 
 
+def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """Tasks and their Python workers hand each other few whole texts at once; the setting stays, as the result is written after the stage returns."""
+
+    @wraps(stage)
+    def own(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(simhash.ARROW_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return own
+
+
+@in_small_batches
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity score is under ``TOXIC_AT``; the model learns from all confirmed toxic documents."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.where(toxicity.score(F.col("text"), model) < TOXIC_AT)
 
 
+@in_small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays, see :func:`tillworks.llm.simhash.one_of_each`."""
+    """One document of each near-duplicate group stays: pigeonring links of SimHash fingerprints, confirmed and completed by shingle sets, see :func:`tillworks.llm.simhash.one_of_each`."""
     return simhash.one_of_each(docs)
 
 
+@in_small_batches
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows; every byte covered by a repeated string of 400 bytes is cut out of the text."""
     return repeats.without_repeats(docs)
 
 
+@in_small_batches
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, see :func:`tillworks.llm.packing.pack`."""
     return packing.pack(docs)
