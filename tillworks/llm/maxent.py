@@ -114,25 +114,57 @@ def histories(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.stack(rows)
 
 
+def _raised(weights: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sums of the weights (tokens, classes) less a bound that keeps ``exp`` in range, their ``exp``, and its sum over the classes, (tokens, 1)."""
+    z = weights.take(rows[0], axis=0)
+    held = np.empty_like(z)
+    for r in rows[1:]:
+        z += weights.take(r, axis=0, out=held, mode="clip")
+    z += weights[-1]
+    if z.size:
+        top = z.max()
+        z -= top if top - z.min() < 80 else z.max(1, keepdims=True)
+    e = np.exp(z, out=held)
+    return z, e, (e @ np.ones(e.shape[1], e.dtype))[:, None]
+
+
 def class_logs(weights: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Natural log P(class | history), (tokens, classes)."""
-    z = weights[-1] + weights[rows[0]]
-    for r in rows[1:]:
-        z += weights[r]
-    z -= z.max(1, keepdims=True)
-    return z - np.log(np.exp(z).sum(1, keepdims=True))
+    z, _, total = _raised(weights, rows)
+    return z - np.log(total)
+
+
+def own_logs(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Natural log P(class | history) of each token's own class."""
+    z, _, total = _raised(weights, rows)
+    return z[np.arange(len(classes)), classes] - np.log(total[:, 0])
+
+
+def _sums(g: np.ndarray, order: np.ndarray, first: np.ndarray, uses: np.ndarray, few: int = 8) -> np.ndarray:
+    """The sum of the rows ``order[first : first + uses]`` of ``g`` for each group; groups of up to ``few`` rows are added row by row, all at once."""
+    total = g.take(order[first], axis=0)
+    for k in range(1, few):
+        at = np.flatnonzero((uses > k) & (uses <= few))
+        if not len(at):
+            break
+        total[at] += g.take(order[first[at] + k], axis=0)
+    for at in np.flatnonzero(uses > few):
+        held = g.take(order[first[at] : first[at] + uses[at]], axis=0)
+        total[at] = np.ones(len(held), held.dtype) @ held
+    return total
 
 
 def step(weights: np.ndarray, rows: np.ndarray, classes: np.ndarray, rate: float) -> None:
     """One minibatch gradient step in place; a row's step is its mean gradient, so frequent rows cannot overshoot."""
-    g = np.exp(class_logs(weights, rows))
+    _, g, total = _raised(weights, rows)
+    g /= total
     g[np.arange(len(classes)), classes] -= 1
-    for r in rows:
+    for r in rows.astype(np.uint16) if len(weights) <= 1 << 16 else rows:
         order = np.argsort(r, kind="stable")
         own = r[order]
         first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
         uses = np.diff(np.append(first, len(own)))
-        weights[own[first]] -= (rate / uses)[:, None].astype(np.float32) * np.add.reduceat(g[order], first)
+        weights[own[first]] -= _sums(g, order, first, uses) * (rate / uses)[:, None].astype(np.float32)
     weights[-1] -= np.float32(rate) * g.mean(0)
 
 
@@ -242,8 +274,7 @@ def scored(docs: DataFrame, held_out: Column) -> DataFrame:
             rows = histories(codes, starts)
             logs = np.empty(len(codes))
             for a in range(0, len(codes), BATCH):
-                part = class_logs(model.value, rows[:, a : a + BATCH])
-                logs[a : a + BATCH] = part[np.arange(len(part)), classes[a : a + BATCH]] / ln10
+                logs[a : a + BATCH] = own_logs(model.value, rows[:, a : a + BATCH], classes[a : a + BATCH]) / ln10
             n = np.where(found, t.counts[at], 0) if len(t.codes) else np.zeros(len(codes))
             ends = codes == END
             n = np.where(ends, end, n)
