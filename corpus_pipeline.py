@@ -17,6 +17,8 @@ from tillworks.config import stage_table
 from tillworks.llm import packing, repeats, simhash, toxicity
 
 TOXIC_AT = 0.7
+PASSAGE_WORDS = 50
+PASSAGE = 200  # bytes; over 50 words of three bytes and more take 203
 
 
 def in_small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
@@ -45,8 +47,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 @in_small_batches
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; every byte covered by a repeated string of 400 bytes is cut out of the text."""
-    return repeats.without_repeats(docs)
+    """All rows; repeated runs of over ``PASSAGE_WORDS`` words or of 400 bytes are cut out of the text, see :func:`tillworks.llm.repeats.without_repeats`."""
+    return repeats.without_repeats(docs, PASSAGE, PASSAGE_WORDS)
 
 
 @in_small_batches

@@ -199,6 +199,31 @@ def test_one_of_each_confirms_every_pair(spark):
     assert sorted(r.doc_id for r in got) == sorted(set(root))
 
 
+def test_large_groups_meet_inside_tasks(spark, monkeypatch):
+    """A large group whose members are partly alike: groups equal brute force, and few of its pairs become rows."""
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    monkeypatch.setattr(simhash, "MEET", 32)
+    rng = np.random.default_rng(17)
+    base, rows = [f"b{j}" for j in range(150)], []
+    for i in range(150):
+        copy = list(base)
+        for at in rng.choice(len(base), int(rng.integers(1, 6)), replace=False):
+            copy[at] = f"e{rng.integers(1 << 40)}"
+        rows.append((i, " ".join(copy)))
+    sets = [{tuple(t.split()[p : p + 5]) for p in range(len(t.split()) - 4)} for _, t in rows]
+    root = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and root[a] != root[b]:
+            old, new = sorted((root[a], root[b]))[::-1]
+            root = [new if r == old else r for r in root]
+    assert 10 < len(set(root)) < 150
+    asked, confirmed = [], simhash._confirmed
+    monkeypatch.setattr(simhash, "_confirmed", lambda pairs, sets_of: asked.append(pairs.count()) or confirmed(pairs, sets_of))
+    got = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(r.doc_id for r in got) == sorted(set(root))
+    assert sum(asked) < 150 * 2 * simhash.FIRST
+
+
 def test_first_shingles_let_every_alike_pair_pass(spark):
     """In any order of shingles an alike pair shares enough of its first ones; a common line alone does not."""
     rng = np.random.default_rng(13)
@@ -373,6 +398,19 @@ def test_rows_repeated_under_one_id_only(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [*[(i, n[i], n[i], 1) for i in (1, 1, 2, 2)], (3, n[3], 0, 0)]
 
 
+def test_short_passages_leave_with_words(spark):
+    """A shared passage of over 50 words is cut out even if it takes under 400 bytes; a shorter one stays."""
+    rng = np.random.default_rng(21)
+    own = [" ".join(f"{w}{k}" for w in prose(rng, 90).split()) for k in range(4)]
+    some = [" ".join("".join(rng.choice(list("abcdefgh"), 4)) for _ in range(n)) for n in (60, 45)]
+    texts = [f"{own[0]} {some[0]} {own[1]}", f"{own[2]} {some[0]}", f"{some[1]} {own[3]}", f"{some[1]} zz {own[1][::-1]}", None]
+    got = repeats.without_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 200, 50).collect()
+    kept = {r.doc_id: r.text for r in got}
+    assert 200 < len(some[1]) < len(some[0]) < 400
+    assert some[0] not in kept[0] and kept[0].split() == (own[0] + " " + own[1]).split() and kept[1].strip() == own[2]
+    assert [kept[i] for i in (2, 3, 4)] == texts[2:]
+
+
 # ---- 8: neighbours
 
 

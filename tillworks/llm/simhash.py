@@ -29,6 +29,9 @@ BITS = 64
 PORTION = 256  # texts whose shingles a task holds at once
 ARROW_ROWS = 1024  # rows that a task and its Python worker hand each other at once where rows are whole texts or shingle sets
 BLOCK = 8192  # fingerprints of one key that meet in one cell; larger groups are cut into pairs of blocks
+WIDE = 64  # shingle sets of one cell that meet as rows; more are compared by their outlines inside tasks
+MEET = 2048  # sets of one cell that a task compares; larger cells are cut into pairs of blocks
+FIRST = 8  # partners of a set that a cell proposes before the others
 SMALL = 1_000_000  # rows of a table of keys or ids up to which it may be broadcast (20 bytes each)
 
 
@@ -443,6 +446,53 @@ def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> D
     return stage_table(met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b"))
 
 
+def _wide(rows: DataFrame, drawn: DataFrame, ranks: slice) -> DataFrame:
+    """Pairs (a, b) of different components in the cells ``rows`` (h, node, c) whose outlines (node, n, bits) let be alike.
+
+    Every pair is looked at inside a task. Each set ranks the sets after it that pass by how much
+    they can share; the pairs of the given ``ranks`` leave the task. Ranks do not depend on the
+    components, so slices that make up the whole lose no pair. A cell of more than ``MEET`` sets
+    is cut into blocks, and each pair of blocks becomes a cell of its own.
+    """
+    blocks = rows.groupBy("h").agg(F.ceil(F.count("*") / MEET).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(own, k).alias("x"), F.greatest(own, k).alias("y")))
+    dealt = rows.join(blocks, "h").select("h", "node", "c", own.alias("own"), F.explode(cells).alias("cell")).join(drawn, "node")
+    dealt = dealt.select("h", "cell.x", "cell.y", "own", "node", "c", "n", "bits").repartition("h", "x", "y").sortWithinPartitions("h", "x", "y", "node")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(h, x, y, own, node, c, n, bits) -> Iterator[pa.RecordBatch]:
+        on = np.bitwise_count(bits).sum(1).astype(np.int64)
+        for i in range(len(node) - 1):
+            both = np.bitwise_count(bits[i + 1 :] & bits[i]).sum(1).astype(np.int64)
+            shared = np.minimum(n[i] - on[i], n[i + 1 :] - on[i + 1 :]) + both
+            near = sum(LIKE) * shared >= LIKE[0] * (n[i] + n[i + 1 :])
+            if x[0] != y[0]:
+                near &= own[i + 1 :] != own[i]
+            at = np.flatnonzero(near)
+            at = at[np.argsort(-shared[at], kind="stable")][ranks] + i + 1
+            other = node[at[c[at] != c[i]]]
+            if len(other):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(other, node[i])), pa.array(np.maximum(other, node[i]))], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = [b.column(k).to_numpy() for k in ("h", "x", "y", "own", "node", "c", "n")]
+            now.append(b.column("bits").flatten().to_numpy().view(np.uint64).reshape(b.num_rows, OUTLINE))
+            kept = now if kept is None else [np.concatenate(k) for k in zip(kept, now, strict=True)]
+            starts = np.flatnonzero(np.append(True, np.any([k[1:] != k[:-1] for k in kept[:3]], axis=0)))
+            for p, q in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):  # the last cell may go on in the next batch
+                yield from compare(*[k[p:q] for k in kept])
+            kept = [k[starts[-1] :] for k in kept]
+        if kept is not None:
+            yield from compare(*kept)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def _ringed(nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of ``nodes`` (node, fp) that span the links of their fingerprints, see :func:`links`."""
     owners = stage_table(nodes.groupBy("fp").agg(F.min("node").alias("first")))
@@ -459,7 +509,8 @@ def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[[DataFrame], Dat
     finds what is left between the groups: alike sets have some of their first shingles in
     common (prefix filter, ``texts`` holds one text for each node), each candidate is confirmed
     too. There each cell's sets meet its least one before all that are not yet in one component
-    meet each other. No pair is missed and none is taken on trust.
+    meet each other: as rows in cells of up to ``WIDE`` sets, by their outlines inside tasks in
+    larger ones, see :func:`_wide`. No pair is missed and none is taken on trust.
     """
     cells = _cells(texts, width)
     row = F.struct("node", "n", "i")
@@ -470,11 +521,25 @@ def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[[DataFrame], Dat
     placed = cells.join(components(linked), "node", "left").select("h", "node", "n", "i", F.coalesce("component", "node").alias("c"))
     split = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
     open_ = stage_table(placed.join(split, "h", "left_semi"))
+    # A pair that shares a cell of many sets is found there; all cells that other pairs share are small, so what they share is counted in full.
+    many = open_.groupBy("h").count().where(F.col("count") > WIDE).select("h")
+    large = stage_table(open_.join(many, "h", "left_semi").select("h", "node", "c"))
     own = F.struct("node", "n", "i", "c")
-    met = open_.select("h", own.alias("p")).join(open_.select("h", own.alias("q")), "h")
-    met = met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c")))
-    met = stage_table(_met(met).join(tried, ["a", "b"], "left_anti"))
-    return components(linked.union(_confirmed(met, sets_of)))
+    few = open_.join(many, "h", "left_anti")
+    met = few.select("h", own.alias("p")).join(few.select("h", own.alias("q")), "h")
+    met = _met(met.where((F.col("p.node") < F.col("q.node")) & (F.col("p.c") != F.col("q.c"))))
+    if large.isEmpty():
+        met = stage_table(met.join(tried, ["a", "b"], "left_anti"))
+        return components(linked.union(_confirmed(met, sets_of)))
+    # The likeliest partners first: they connect most of a large group, and what they connect needs no other pair.
+    drawn = _outlines(sets_of(large.select("node").distinct()))
+    met = stage_table(met.union(_wide(large, drawn, slice(0, FIRST))).distinct().join(tried, ["a", "b"], "left_anti"))
+    linked = linked.union(_confirmed(met, sets_of))
+    joined = components(linked)
+    placed = large.drop("c").join(joined, "node", "left").select("h", "node", F.coalesce("component", "node").alias("c"))
+    split = placed.groupBy("h").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("h")
+    rest = stage_table(_wide(placed.join(split, "h", "left_semi"), drawn, slice(FIRST, None)).distinct().join(tried.union(met), ["a", "b"], "left_anti"))
+    return joined if rest.isEmpty() else components(linked.union(_confirmed(rest, sets_of)))
 
 
 def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
@@ -515,7 +580,7 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     again = rows.where("doc_id is not null").groupBy("doc_id", "th").count().where("count > 1")
     own = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     left = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), own)
-    left = left.join(stage_table(gone), F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti")
+    left = left.join(_few(stage_table(gone)), F.col("id").eqNullSafe(F.col("gone")) & (F.col("th") == F.col("gone_th")), "left_anti")
     if not again.isEmpty():
         left = left.where("id is not null").dropDuplicates(["id", "th"]).union(left.where("id is null"))
     return left.select(*[F.col(f"row.`{c}`") for c in docs.columns])
