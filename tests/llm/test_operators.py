@@ -486,6 +486,24 @@ def test_rows_repeated_under_one_id_only(spark):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in got) == [*[(i, n[i], n[i], 1) for i in (1, 1, 2, 2)], (3, n[3], 0, 0)]
 
 
+def test_a_name_of_many_places_is_dealt_to_many_tasks(spark):
+    sampled = spark.range(60_000).select(F.xxhash64("id").alias("rid"), (F.col("id") % 3).alias("x"), F.when(F.col("id") < 50_000, 7).otherwise(F.col("id") % 6_000).alias("core"))
+    rows = sampled.union(sampled.where("core = 9"))
+    often = rows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "32")
+    try:
+        found = repeats._suspects(rows, often).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    count = collections.Counter(r.core for r in rows.collect())
+    want = collections.Counter((r.rid, r.x, r.core) for r in rows.collect() if count[r.core] > 1)
+    assert {(r.rid, r.x, r.core): r.copies for r in found} == want and len(found) == len(want)
+    assert max(collections.Counter(r.task for r in found).values()) < len(found) / 3
+
+
 def test_short_passages_leave_with_words(spark):
     """A shared passage of over 50 words is cut out even if it takes under 400 bytes; a shorter one stays."""
     rng = np.random.default_rng(21)
