@@ -257,6 +257,22 @@ def test_outlines_bound_what_is_shared(spark):
     assert simhash._outlines(rows.limit(0)).count() == 0
 
 
+def test_outlines_are_made_where_the_text_is_read(spark, monkeypatch):
+    """Texts give the outlines that their sets give, and no task of the whole search hands rows from one Python worker to another."""
+    rng = np.random.default_rng(19)
+    base = [f"b{j}" for j in range(80)]
+    rows = [(i, None if i == 3 else " ".join(base[: 80 - i] + [f"e{k}" for k in rng.integers(1 << 40, size=i % 4)])) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    drawn = [{(r.node, r.n, tuple(r.bits)) for r in x.collect()} for x in (simhash._outlines(docs, 5), simhash._outlines(simhash._sets(docs, 5)))]
+    assert drawn[0] == drawn[1] and len(drawn[0]) > 30
+    plans, stage_table = [], simhash.stage_table
+    monkeypatch.setattr(simhash, "WIDE", 8)
+    monkeypatch.setattr(simhash, "stage_table", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or stage_table(df))
+    assert 0 < simhash.one_of_each(docs).count() < 40
+    assert sum("MapInArrow" in p for p in plans) > 5
+    assert not [p for p in plans if re.search(r"MapInArrow[^\n]*\n(?:(?!.*(?:Exchange|Scan))[^\n]*\n)*[^\n]*MapInArrow", p)]
+
+
 def test_one_of_each_confirms_every_pair(spark):
     rng = np.random.default_rng(11)
     line = [f"common{k}" for k in range(12)]

@@ -277,16 +277,17 @@ def name_of(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(shingles.tobytes(), 42))
 
 
-def _sets(texts: DataFrame, width: int) -> DataFrame:
-    """(node, n, shingles) of each text."""
+def _set_batches(frames: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """(node, n, shingles) of (text) batches."""
+    for found in _portions(frames, width):
+        cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found), pa.int64()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), lists], names=["node", "n", "shingles"])
 
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for found in _portions(frames, width):
-            cuts = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(found), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(list(map(name_of, found)), pa.int64()), pa.array(list(map(len, found)), pa.int64()), lists], names=["node", "n", "shingles"])
 
-    return texts.select("text").mapInArrow(run, "node long, n long, shingles array<long>")
+def _sets(texts: DataFrame, width: int) -> DataFrame:
+    """(node, n, shingles) of each text."""
+    return texts.select("text").mapInArrow(lambda frames: _set_batches(frames, width), "node long, n long, shingles array<long>")
 
 
 def _common(texts: DataFrame, width: int) -> np.ndarray:
@@ -404,8 +405,11 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _outlines(sets: DataFrame) -> DataFrame:
-    """(node, n, bits): which of 64 * ``OUTLINE`` bits the shingles of a set hash to, as ``OUTLINE`` long numbers."""
+def _outlines(rows: DataFrame, width: int | None = None) -> DataFrame:
+    """(node, n, bits): which of 64 * ``OUTLINE`` bits the shingles of a set hash to, as ``OUTLINE`` long numbers.
+
+    ``rows`` are sets (node, n, shingles); with ``width`` they are texts, whose sets do not leave the worker that makes them.
+    """
 
     def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(at, PORTION) for whole in batches for at in range(0, whole.num_rows, PORTION)):
@@ -417,8 +421,9 @@ def _outlines(sets: DataFrame) -> DataFrame:
             cuts = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * OUTLINE)
             yield pa.RecordBatch.from_arrays([b.column("node"), b.column("n"), pa.ListArray.from_arrays(cuts, bits)], names=["node", "n", "bits"])
 
-    with small_batches(sets.sparkSession):
-        return stage_table(sets.select("node", "n", "shingles").mapInArrow(draw, "node long, n long, bits array<long>"))
+    own, run = (rows.select("node", "n", "shingles"), draw) if width is None else (rows.select("text"), lambda frames: draw(_set_batches(frames, width)))
+    with small_batches(rows.sparkSession):
+        return stage_table(own.mapInArrow(run, "node long, n long, bits array<long>"))
 
 
 def _most_shared(n: str, m: str, x: str, y: str) -> Column:
@@ -427,21 +432,21 @@ def _most_shared(n: str, m: str, x: str, y: str) -> Column:
     return F.least(F.col(n) - only(x, y), F.col(m) - only(y, x))
 
 
-def _confirmed(pairs: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets_of: Callable[..., DataFrame]) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose shingle sets are alike, by the sets themselves.
 
-    ``sets_of`` gives the sets (node, n, shingles) of a table of nodes. Outlines of 128 bytes go
-    first: pairs that cannot share enough leave before any set is sent.
+    ``sets_of`` gives the sets (node, n, shingles) of a table of nodes, or what :func:`_outlines` makes
+    of their texts. Outlines of 128 bytes go first: pairs that cannot share enough leave before any set is sent.
     """
 
-    def of(pairs: DataFrame) -> DataFrame:
-        return sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    def of(pairs: DataFrame, make: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+        return sets_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), make)
 
-    drawn = _outlines(of(pairs))
+    drawn = of(pairs, _outlines)
     met = pairs.join(drawn.toDF("a", "n", "x"), "a").join(drawn.toDF("b", "m", "y"), "b")
     left = stage_table(met.where(_alike(_most_shared("n", "m", "x", "y"), F.col("n"), F.col("m"))).select("a", "b"))
     with small_batches(pairs.sparkSession):
-        own = stage_table(of(left))
+        own = stage_table(of(left, _sets))
     met = left.join(own.toDF("a", "n", "x"), "a").join(own.toDF("b", "m", "y"), "b")
     return stage_table(met.where(_alike(F.size(F.array_intersect("x", "y")), F.col("n"), F.col("m"))).select("a", "b"))
 
@@ -501,7 +506,7 @@ def _ringed(nodes: DataFrame) -> DataFrame:
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).union(same.select(F.col("first").alias("a"), F.col("node").alias("b")))
 
 
-def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[[DataFrame], DataFrame], width: int) -> DataFrame:
+def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[..., DataFrame], width: int) -> DataFrame:
     """(node, component) of the ``nodes`` (node, fp) that a resemblance of ``LIKE`` connects; nodes without a partner are not returned.
 
     The fingerprints' links, found by the pigeonring, are looked at first and confirmed by the
@@ -532,7 +537,7 @@ def alike(nodes: DataFrame, texts: DataFrame, sets_of: Callable[[DataFrame], Dat
         met = stage_table(met.join(tried, ["a", "b"], "left_anti"))
         return components(linked.union(_confirmed(met, sets_of)))
     # The likeliest partners first: they connect most of a large group, and what they connect needs no other pair.
-    drawn = _outlines(sets_of(large.select("node").distinct()))
+    drawn = sets_of(large.select("node").distinct(), _outlines)
     met = stage_table(met.union(_wide(large, drawn, slice(0, FIRST))).distinct().join(tried, ["a", "b"], "left_anti"))
     linked = linked.union(_confirmed(met, sets_of))
     joined = components(linked)
@@ -570,9 +575,9 @@ def one_of_each(docs: DataFrame, width: int = 5) -> DataFrame:
     copies = stage_table(copies.select(F.col("doc_id").alias("one_id"), F.col("th").alias("one_th")).distinct())
     texts = keyed.join(_few(copies), is_one, "left_anti").select("text")
 
-    def sets_of(ids: DataFrame) -> DataFrame:
+    def sets_of(ids: DataFrame, make: Callable[[DataFrame, int], DataFrame] = _sets) -> DataFrame:
         wanted = stage_table(nodes.join(ids, "node", "left_semi").select("one_id", "one_th"))
-        return _sets(keyed.join(_few(wanted), is_one, "left_semi"), width)
+        return make(keyed.join(_few(wanted), is_one, "left_semi"), width)
 
     placed = nodes.join(alike(nodes.where("n > 0").select("node", "fp"), texts, sets_of, width), "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     owners = placed.join(placed.groupBy("component").agg(F.min("least").alias("keep")), "component").select("node", "keep")
