@@ -417,6 +417,15 @@ def test_copies_of_another_source_share_a_shard(spark):
     assert (got.assign(text=got["doc_id"] // 3).groupby("text")["shard"].nunique() == 1).all()
 
 
+def test_texts_of_many_spaces_find_a_shard(spark):
+    texts = ["a " * 21_475, " " * 300_000, "a b", "", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in kdshards.metadata(docs).collect()}
+    assert [got[i].n_words for i in range(5)] == [50_000, 100_000, 33_333, 0, 0]
+    out = kdshards.slots(kdshards.assign(docs, 3)).collect()
+    assert sorted(r.doc_id for r in out) == list(range(5)) and sum(r["size"] for r in out) == 42_950 + 300_000 + 3 + 5 * 8
+
+
 # ---- 5: licenses
 
 

@@ -86,7 +86,7 @@ def metadata(docs: DataFrame) -> DataFrame:
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.shiftrightunsigned(F.xxhash64(text), 2).alias("text_hash"),
         # Spaces in hundred-thousandths of the bytes: how dense the text is.
-        F.when(F.octet_length(text) > 0, (F.length(text) - F.length(F.replace(text, F.lit(" ")))) * 100_000 / F.octet_length(text)).otherwise(F.lit(0)).cast("long").alias("n_words"),
+        F.when(F.octet_length(text) > 0, (F.length(text) - F.length(F.replace(text, F.lit(" ")))).cast("long") * 100_000 / F.octet_length(text)).otherwise(F.lit(0)).cast("long").alias("n_words"),
         F.pmod(F.xxhash64(optional["lang"].cast("string")), F.lit(1 << 20)).alias("lang_at"),
         F.pmod(F.xxhash64(optional["source"].cast("string")), F.lit(1 << 20)).alias("source_at"),
         F.shiftrightunsigned(F.xxhash64("doc_id"), 2).alias("doc_at"),
