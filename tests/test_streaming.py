@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from tillworks.catalog.params import AS_OF, EVENTS_AS_OF
 from tillworks.operators import access as A
+from tillworks.operators import groups
 from tillworks.operators import kitchen as K
 from tillworks.operators import shifts as H
 from tillworks.operators import signin
 from tillworks.operators import stock as S
+from tillworks.operators.groups import linked
 from tillworks.sources.adapters import Tables
 from tillworks.sources.schemas import RAW
 from tillworks.streaming import guard, jobs, stateful
@@ -183,6 +185,47 @@ def test_both_rules_in_one_stream(spark, run_dir):
     assert held.groupBy("username", "succeeded").count().agg(F.max("count")).first()[0] <= 5
 
 
+def decided_with(spark, tries):
+    return {r.id: (r.lock, r.wait_minutes) for r in signin.decide_tries(spark.createDataFrame(tries, TRY).repartition(4)).collect()}
+
+
+def test_locks_that_undo_each_other_cost_no_turns(spark, monkeypatch):
+    """The same few tables are written however long an attack goes on."""
+    import random
+
+    written = []
+    for module in (signin, groups):
+        monkeypatch.setattr(module, "stage_table", lambda df, write=module.stage_table: written.append(df) or write(df))
+    for n in (400, 2400):
+        written.clear()
+        tries = attack(random.Random(5), n, 10 * n)
+        got = decided_with(spark, tries)
+        assert got == guarded(tries) and {lock for lock, _ in got.values()} == {None, "user", "ip"}
+        assert len(written) <= 8
+
+
+def test_groups_are_replayed_apart(spark, monkeypatch):
+    """Many keys of which few can lock, some bound to each other for a while only, and keys forgotten on the way."""
+    import random
+
+    monkeypatch.setattr(signin, "KEYS_KEPT", 2)
+    rng, tries = random.Random(3), []
+    for k in range(60):
+        start = BASE + timedelta(minutes=rng.randrange(600))
+        for _ in range(rng.choice([2, 4, 30, 90])):
+            who, where = rng.choice([f"u{k}", f"u{k % 7}", f"v{rng.randrange(300)}", f"v{rng.randrange(300)}"]), rng.choice([f"a{k}", f"a{k}", f"a{k}", f"a{k % 5}", None])
+            tries.append((len(tries), who, where, rng.random() < 0.05, start + timedelta(seconds=rng.randrange(1500))))
+    got = decided_with(spark, tries)
+    assert got == guarded(tries) and {lock for lock, _ in got.values()} == {None, "user", "ip"}
+
+
+def test_linked_groups(spark):
+    edges = [(i, i + 1) for i in range(40)] + [(100, 90), (90, 100), (70, 70), (-5, 60)]
+    got = dict(map(tuple, linked(spark.createDataFrame(edges, "a bigint, b bigint")).collect()))
+    assert got == {i: 0 for i in range(41)} | {90: 90, 100: 90, -5: -5, 60: -5}
+    assert linked(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_guard_of_nothing(spark):
     assert signin.decide_tries(spark.createDataFrame([], TRY)).count() == 0
     lone = [(1, None, None, False, BASE), (2, "u", None, False, BASE), (3, None, "a", True, BASE)]
