@@ -226,6 +226,21 @@ def test_linked_groups(spark):
     assert linked(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_tries_that_share_an_id(spark, run_dir):
+    """Each row is a try of its own, in one batch or in several."""
+    import random
+
+    rng = random.Random(8)
+    times = [BASE + timedelta(seconds=s) for s in sorted(rng.sample(range(5000), 500))]
+    tries = [(i, rng.choice("stuvwxyz"), rng.choice("ab"), rng.random() < 0.3, at) for i, at in enumerate(times)]
+    want = sorted((i % 40, at, *said) for (i, *_, at), said in zip(tries, guarded(tries).values()))
+    for part in (tries[:200], tries[200:]):
+        spark.createDataFrame([(r[0] % 40, *r[1:]) for r in part], TRY).coalesce(1).write.mode("append").parquet(f"{run_dir}/in")
+    stream = spark.readStream.schema(TRY).option("maxFilesPerTrigger", 1).parquet(f"{run_dir}/in")
+    got = guard.guard(stream, f"{run_dir}/out").select("id", "created_at", "lock", "wait_minutes").collect()
+    assert sorted(map(tuple, got)) == want and {r[2] for r in want} == {None, "user", "ip"}
+
+
 def test_guard_of_nothing(spark):
     assert signin.decide_tries(spark.createDataFrame([], TRY)).count() == 0
     lone = [(1, None, None, False, BASE), (2, "u", None, False, BASE), (3, None, "a", True, BASE)]
